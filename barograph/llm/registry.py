@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from barograph.llm import toxicity
+from barograph.llm import quality_rules, toxicity
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
-for _m in (toxicity,):
+for _m in (quality_rules, toxicity):
     QUERIES |= _m.QUERIES
     ORACLES |= _m.ORACLES
