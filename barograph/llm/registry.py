@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from barograph.llm import minhash, packing, quality_rules, toxicity
+from barograph.llm import minhash, packing, quality_rules, simple8b, toxicity
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
-for _m in (minhash, packing, quality_rules, toxicity):
+for _m in (minhash, packing, quality_rules, simple8b, toxicity):
     QUERIES |= _m.QUERIES
     ORACLES |= _m.ORACLES
