@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from barograph.llm import minhash, packing, quality_rules, simple8b, toxicity
+from barograph.llm import minhash, packing, quality_rules, simple8b, toxicity, warc
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
-for _m in (minhash, packing, quality_rules, simple8b, toxicity):
+for _m in (minhash, packing, quality_rules, simple8b, toxicity, warc):
     QUERIES |= _m.QUERIES
     ORACLES |= _m.ORACLES
