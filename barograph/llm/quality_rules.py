@@ -26,7 +26,7 @@ COMMON_WORDS = {
     "es": ["de", "la", "que", "el", "en", "y", "a", "los", "del", "se", "las", "por"],
 }
 #: Fixed character classes; the last is what no other holds.
-CLASSES = {"lower": r"\p{Ll}", "upper": r"\p{Lu}", "digit": r"\p{Nd}", "space": r" \x09-\x0D", "stop": r".,;:?!'\"()\-", "symbol": r"#*$%&|<>"}
+CLASSES = {"lower": r"\p{Ll}", "upper": r"\p{Lu}", "digit": r"\p{Nd}", "space": r" \x09-\x0D", "stop": r".,;:?!'\"()\-", "symbol": r"#*$%&|<>"}  # space and symbol are those of the base columns
 MIN_WORDS, MIN_CHARS = 50, 200
 CHAR_LIMIT, WORD_LIMIT = 0.27, 0.30
 TRIM = ".,;:!?"
@@ -73,18 +73,18 @@ def with_shares(df: DataFrame) -> DataFrame:
 
 
 def references(docs: DataFrame) -> DataFrame:
-    """At most one row a listed language and one pooled row: mean histograms, rounded to six places."""
+    """At most one row a listed language and one pooled row: mean histograms, rounded to six places.
+
+    One scan; only the sums, a row a language key (five at most), come to the driver.
+    """
     df = with_shares(with_histograms(with_words(docs))).where((F.col("_n") >= MIN_WORDS) & (F.col("_len") >= MIN_CHARS))
-    p = [F.avg(F.col("_p")[i]).alias(f"p{i}") for i in range(len(CLASSES) + 1)]
-    q = [F.avg(F.col("_q")[i]).alias(f"q{i}") for i in range(len(CODES))]
-    sums = df.groupBy("_lang").agg(F.count(F.lit(1)).alias("n"), *p, *q).where("_lang != '*'")
-    pooled = df.agg(F.count(F.lit(1)).alias("n"), *p, *q).where("n > 0").withColumn("_lang", F.lit("*"))
-    both = sums.unionByName(pooled)
-    return both.select(
-        "_lang",
-        F.array(*[F.round(f"p{i}", 6) for i in range(len(p))]).alias("_rp"),
-        F.when(F.col("_lang") != "*", F.array(*[F.round(f"q{i}", 6) for i in range(len(q))])).alias("_rq"),
-    )
+    k, m = len(CLASSES) + 1, len(CODES)
+    sums = df.groupBy("_lang").agg(F.count(F.lit(1)).alias("n"), *[F.sum(F.col("_p")[i]).alias(f"p{i}") for i in range(k)], *[F.sum(F.col("_q")[i]).alias(f"q{i}") for i in range(m)]).collect()
+    rows = [(r["_lang"], [round(r[f"p{i}"] / r["n"], 6) for i in range(k)], [round(r[f"q{i}"] / r["n"], 6) for i in range(m)]) for r in sums if r["_lang"] != "*"]
+    if sums:
+        n = sum(r["n"] for r in sums)
+        rows.append(("*", [round(sum(r[f"p{i}"] for r in sums) / n, 6) for i in range(k)], None))
+    return docs.sparkSession.createDataFrame(rows, "_lang string, _rp array<double>, _rq array<double>")
 
 
 def js_distance(p: Column, q: Column, bins: int) -> Column:
@@ -108,8 +108,8 @@ def with_base(df: DataFrame) -> DataFrame:
     df = (
         df.withColumn("_lines", lines)
         .withColumn("n_words", F.col("_n").cast("long"))
-        .withColumn("word_chars", F.char_length(F.regexp_replace("_t", SPACE_CLASS + "+", "")).cast("long"))
-        .withColumn("n_symbols", F.char_length(F.regexp_replace("_t", "[^#*$%&|<>]+", "")).cast("long"))
+        .withColumn("word_chars", (F.col("_len") - F.col("_chars")[list(CLASSES).index("space")]).cast("long"))
+        .withColumn("n_symbols", F.col("_chars")[list(CLASSES).index("symbol")].cast("long"))
         .withColumn("n_dup_lines", (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long"))
     )
     at = F.sequence(F.lit(0), F.col("_n") - 3)
@@ -154,7 +154,13 @@ def judge(docs: DataFrame) -> DataFrame:
 
 
 def keep_good(docs: DataFrame) -> DataFrame:
-    return judge(docs).where("kept").select(*docs.columns)
+    """The rows of `docs` that are kept, all columns.
+
+    The row number keeps the optimizer from moving the test below the columns it is made of, where each
+    use of the words would split the text again.
+    """
+    judged = judge(docs).withColumn("_row", F.monotonically_increasing_id())
+    return judged.where(F.col("kept") & (F.col("_row") >= 0)).select(*docs.columns)
 
 
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
