@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from barograph.llm import media, minhash, packing, quality_rules, sharding, simple8b, toxicity, warc
+from barograph.llm import context_mixing, media, minhash, packing, quality_rules, sharding, simple8b, toxicity, warc
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
-for _m in (media, minhash, packing, quality_rules, sharding, simple8b, toxicity, warc):
+for _m in (context_mixing, media, minhash, packing, quality_rules, sharding, simple8b, toxicity, warc):
     QUERIES |= _m.QUERIES
     ORACLES |= _m.ORACLES
