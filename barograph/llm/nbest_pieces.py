@@ -7,7 +7,9 @@ a space, and line ends are in no piece, so the lattice of a text is a chain of s
 the chain is searched once a task, and the N best paths of the whole text are the N least sums of losses.
 
 Scores are log probabilities of a Zipf law over the merge ranks, ln(1 / (rank + 2.7)), as a BPE vocabulary holds
-ranks only; byte pieces cost BYTE_SCORE each.
+ranks only; byte pieces cost BYTE_SCORE each. They are held as whole multiples of 1 / UNIT: sums are then exact,
+each node that the search takes out leads to a path of just its estimate, and as equal estimates go to the node
+nearest the start, N paths cost N walks through the lattice, even through one letter repeated without end.
 """
 
 from __future__ import annotations
@@ -26,7 +28,7 @@ from pyspark.sql import functions as F
 from barograph.llm.common import table
 from barograph.llm.tokens import default_path
 
-N_BEST, BYTE_SCORE, LINKS_KNOWN = 4, -14.0, 250_000
+N_BEST, BYTE_SCORE, LINKS_KNOWN, UNIT = 4, -14.0, 250_000, 1 << 20
 _LINK = re.compile(r"\n| *[^ \n]+| +")
 
 
@@ -39,7 +41,7 @@ class Lattice:
         sp = sentencepiece.SentencePieceProcessor(model_file=path or default_path("piece_bpe_32k.model"))
         self.n, self.known = n, {}
         self.text: list[bytes] = []
-        self.score: dict[str, tuple[float, int]] = {}
+        self.score: dict[str, tuple[int, int]] = {}
         self.byte = [0] * 256
         for i in range(sp.get_piece_size()):
             p = sp.id_to_piece(i)
@@ -52,12 +54,12 @@ class Lattice:
                 p = p.replace("▁", " ")
                 self.text.append(p.encode())
                 rank = min(-sp.get_score(i), float(i))
-                self.score[p] = (-float(np.log(max(rank, 0.0) + 2.7)), i)
+                self.score[p] = (-round(float(np.log(max(rank, 0.0) + 2.7)) * UNIT), i)
         self.longest = max(map(len, self.score))
 
-    def edges(self, s: str) -> list[list[tuple[int, float, tuple[int, ...]]]]:
+    def edges(self, s: str) -> list[list[tuple[int, int, tuple[int, ...]]]]:
         """For each end position: (start, score, ids) of the pieces that end there."""
-        out: list[list[tuple[int, float, tuple[int, ...]]]] = [[]]
+        out: list[list[tuple[int, int, tuple[int, ...]]]] = [[]]
         get = self.score.get
         for end in range(1, len(s) + 1):
             here = []
@@ -66,22 +68,22 @@ class Lattice:
                     here.append((start, found[0], (found[1],)))
             if not here or here[-1][0] != end - 1:  # a character that is no piece itself
                 raw = s[end - 1].encode()
-                here.append((end - 1, BYTE_SCORE * len(raw), tuple(self.byte[b] for b in raw)))
+                here.append((end - 1, round(BYTE_SCORE * UNIT) * len(raw), tuple(self.byte[b] for b in raw)))
             out.append(here)
         return out
 
-    def search(self, s: str) -> list[tuple[float, bytes, int]]:
+    def search(self, s: str) -> list[tuple[int, bytes, int]]:
         """The N best (score, ids as u32 bytes, pieces) of one link, best first; equal scores in the order found."""
         edges = self.edges(s)
-        best = [0.0] * len(edges)
+        best = [0] * len(edges)
         for end in range(1, len(edges)):
             best[end] = max(best[start] + sc for start, sc, _ in edges[end])
-        found: list[tuple[float, bytes, int]] = []
+        found: list[tuple[int, bytes, int]] = []
         count = itertools.count()
-        # entries: -(score of what is done + best score of the prefix), order, position, score done, path
-        heap: list = [(-best[-1], next(count), len(s), 0.0, None)]
+        # entries: -(score of what is done + best score of the prefix), position, order, score done, path
+        heap: list = [(-best[-1], len(s), next(count), 0, None)]
         while heap and len(found) < self.n:
-            _, _, at, done, path = heapq.heappop(heap)
+            _, at, _, done, path = heapq.heappop(heap)
             if at == 0:
                 ids: list[int] = []
                 while path:
@@ -90,10 +92,10 @@ class Lattice:
                 found.append((done, np.array(ids, "<u4").tobytes(), len(ids)))
                 continue
             for start, sc, ids in edges[at]:
-                heapq.heappush(heap, (-(done + sc + best[start]), next(count), start, done + sc, (ids, path)))
+                heapq.heappush(heap, (-(done + sc + best[start]), start, next(count), done + sc, (ids, path)))
         return found
 
-    def link(self, s: str) -> list[tuple[float, bytes, int]]:
+    def link(self, s: str) -> list[tuple[int, bytes, int]]:
         found = self.known.get(s)
         if found is None:
             if len(self.known) >= LINKS_KNOWN:
@@ -117,7 +119,7 @@ class Lattice:
             mine = list(ids)
             for i, k in zip(near, ks, strict=True):
                 mine[i] = chain[i][k][1]
-            out.append((score - lost, b"".join(mine)))
+            out.append(((score - lost) / UNIT, b"".join(mine)))
         return out
 
     def decode(self, ids: bytes) -> str:
