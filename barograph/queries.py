@@ -1,6 +1,6 @@
-"""Registry of the engine's queries and their oracle SQL."""
+"""All queries of the reference's own operators."""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict[str, str] = {}
+from barograph.plans import models, prices, sentiments, texts  # noqa: F401
+from barograph.plans.registry import ORACLES, QUERIES  # noqa: F401
