@@ -55,6 +55,10 @@ class WordHash(dict):
         return h
 
 
+#: A Python worker's words, kept for its next tasks.
+KNOWN = WordHash()
+
+
 def shingles(text: str | None, k: int, known: WordHash) -> np.ndarray:
     """Sorted distinct hashes of the k-word shingles; a shorter text gives its whole sequence as one."""
     words = (text or "").encode().translate(_LOWER).split()
@@ -88,9 +92,8 @@ def signatures(docs: DataFrame, k: int) -> DataFrame:
     """doc_id, n_shingles, set_id (null for texts without words), bands."""
 
     def make(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        known = WordHash()
         for b in batches:
-            sets = [shingles(t, k, known) for t in b["text"]]
+            sets = [shingles(t, k, KNOWN) for t in b["text"]]
             yield pd.DataFrame({"doc_id": b["doc_id"], "n_shingles": [len(s) for s in sets], "set_id": [set_digest(s) for s in sets], "bands": [band_keys(s) if len(s) else None for s in sets]})
 
     return docs.select(F.col("doc_id").cast("long"), "text").mapInPandas(make, "doc_id long, n_shingles long, set_id binary, bands array<long>")
@@ -107,9 +110,8 @@ def confirm(pairs: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFram
     rows = pairs.join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("ta")), "a").join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("tb")), "b")
 
     def check(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        known = WordHash()
         for x in batches:
-            ok = [similar(shingles(s, k, known), shingles(t, k, known), percent) for s, t in zip(x["ta"], x["tb"], strict=True)]
+            ok = [similar(shingles(s, k, KNOWN), shingles(t, k, KNOWN), percent) for s, t in zip(x["ta"], x["tb"], strict=True)]
             yield x.loc[ok, ["a", "b"]]
 
     return rows.mapInPandas(check, "a long, b long")
@@ -152,9 +154,8 @@ def cross_links(buckets: DataFrame, labels: DataFrame, docs: DataFrame, k: int,
     texts = docs.select(F.col("doc_id").cast("long").alias("id"), "text").join(ids, "id", "left_semi")
 
     def sets_of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        known = WordHash()
         for b in batches:
-            yield pd.DataFrame({"id": b["id"], "s": [shingles(t, k, known).view(np.int64) for t in b["text"]]})
+            yield pd.DataFrame({"id": b["id"], "s": [shingles(t, k, KNOWN).view(np.int64) for t in b["text"]]})
 
     sets = texts.mapInPandas(sets_of, "id long, s array<long>")
     x = inside.where("comp <> major").select("bucket", "id", "comp", F.lit(0).alias("role"), F.pmod(F.xxhash64("id", F.lit(1)), "nx").alias("cx"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("ny") - 1)).alias("cy"))

@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from barograph.llm.common import SPACE_CLASS, table
+from barograph.llm.common import SPACE_CLASS, materialise, table
 
 #: Fixed word lists: frequent function words of each language.
 COMMON_WORDS = {
@@ -30,7 +30,7 @@ CLASSES = {"lower": r"\p{Ll}", "upper": r"\p{Lu}", "digit": r"\p{Nd}", "space":
 MIN_WORDS, MIN_CHARS = 50, 200
 CHAR_LIMIT, WORD_LIMIT = 0.27, 0.30
 TRIM = ".,;:!?"
-CODES = "_abcdefghijkl"
+BINS = 1 + len(COMMON_WORDS["en"])
 
 
 def _arr(words: list[str]) -> Column:
@@ -50,16 +50,37 @@ def with_words(docs: DataFrame) -> DataFrame:
     )
 
 
+def common_only(text: Column, words: list[str]) -> Column:
+    """The words of a lower-case text that ends in a space, less all that are not in the list; trailing marks go."""
+    common = f"(?!(?:{'|'.join(words)})[{TRIM}]*+{SPACE_CLASS})"
+    kept = F.regexp_replace(text, rf"(?<![^ \x09-\x0D]){common}[^ \x09-\x0D]++{SPACE_CLASS}*+", "")
+    return F.split(kept, rf"(?<![{TRIM}])[{TRIM}]*+{SPACE_CLASS}+")
+
+
+def _falling(first: Column, kinds: Column, size, less) -> Column:
+    """Sizes of a value before each kind is taken out of it, one after another, and at the end.
+
+    A fold, so that the optimizer can't write each step out again for every use of its size.
+    """
+    start = F.struct(first.alias("s"), F.array().cast("array<int>").alias("n"))
+    step = lambda a, kind: F.struct(less(a["s"], kind).alias("s"), F.array_append(a["n"], size(a["s"])).alias("n"))
+    return F.aggregate(kinds, start, step, lambda a: F.array_append(a["n"], size(a["s"])))
+
+
 def with_histograms(words: DataFrame) -> DataFrame:
-    """_chars: counts by class; _marks: one letter a word, `_` for words that are not common."""
-    kept = [F.char_length(F.regexp_replace("_t", f"[^{c}]+", "")) for c in CLASSES.values()]
-    lists = F.lit(None).cast("array<string>")
-    for k, v in COMMON_WORDS.items():
-        lists = F.when(F.col("_lang") == k, _arr(v)).otherwise(lists)
-    out = words.withColumn("_k", F.array(*kept)).withColumn("_len", F.char_length("_t")).withColumn("_list", lists)
-    rest = F.col("_len") - sum(F.col("_k")[i] for i in range(len(CLASSES)))
-    mark = F.transform("_w", lambda w: F.substring(F.lit(CODES), (F.array_position(F.col("_list"), F.lower(F.rtrim(w, F.lit(TRIM)))) + 1).cast("int"), F.lit(1)))
-    return out.withColumn("_chars", F.concat("_k", F.array(rest))).withColumn("_marks", F.when(F.col("_list").isNotNull(), F.array_join(mark, "")))
+    """_chars: counts by class, each class taken out of what the one before left; _hits: counts of the common words."""
+    classes = F.array(*[F.lit(f"[{c}]+") for c in CLASSES.values()])
+    low, lists, found = F.concat(F.lower("_t"), F.lit(" ")), F.lit(None).cast("array<string>"), F.lit(None).cast("array<string>")
+    for key, v in COMMON_WORDS.items():
+        mine = F.col("_lang") == key
+        lists, found = F.when(mine, _arr(v)).otherwise(lists), F.when(mine, common_only(low, v)).otherwise(found)
+    out = (
+        words.withColumn("_len", F.char_length("_t"))
+        .withColumn("_cs", _falling(F.col("_t"), classes, F.char_length, lambda s, c: F.regexp_replace(s, c, F.lit(""))))
+        .withColumn("_ws", _falling(found, lists, F.size, F.array_remove))
+    )
+    fall = lambda c, n: F.zip_with(F.slice(c, 1, n), F.slice(c, 2, n), lambda x, y: x - y)
+    return out.withColumn("_chars", F.concat(fall("_cs", len(CLASSES)), F.slice("_cs", -1, 1))).withColumn("_hits", fall("_ws", BINS - 1))
 
 
 def _shares(counts: list[Column], total: Column) -> Column:
@@ -67,24 +88,24 @@ def _shares(counts: list[Column], total: Column) -> Column:
 
 
 def with_shares(df: DataFrame) -> DataFrame:
-    chars = [F.col("_chars")[i] for i in range(len(CLASSES) + 1)]
-    marks = [F.col("_n") - F.length(F.replace("_marks", F.lit(c), F.lit(""))) for c in CODES]
-    return df.withColumn("_p", F.when(F.col("_len") > 0, _shares(chars, F.col("_len")))).withColumn("_q", F.when((F.col("_n") > 0) & F.col("_marks").isNotNull(), _shares(marks, F.col("_n"))))
+    chars, hits = [F.col("_chars")[i] for i in range(len(CLASSES) + 1)], [F.col("_hits")[j] for j in range(BINS - 1)]
+    words = [F.col("_n") - sum(hits), *hits]
+    return df.withColumn("_p", F.when(F.col("_len") > 0, _shares(chars, F.col("_len")))).withColumn("_q", F.when((F.col("_n") > 0) & F.col("_hits").isNotNull(), _shares(words, F.col("_n"))))
 
 
-def references(docs: DataFrame) -> DataFrame:
+def references(made: DataFrame) -> DataFrame:
     """At most one row a listed language and one pooled row: mean histograms, rounded to six places.
 
-    One scan; only the sums, a row a language key (five at most), come to the driver.
+    Only the sums, a row a language key (five at most), come to the driver.
     """
-    df = with_shares(with_histograms(with_words(docs))).where((F.col("_n") >= MIN_WORDS) & (F.col("_len") >= MIN_CHARS))
-    k, m = len(CLASSES) + 1, len(CODES)
+    df = made.where((F.col("_n") >= MIN_WORDS) & (F.col("_len") >= MIN_CHARS))
+    k, m = len(CLASSES) + 1, BINS
     sums = df.groupBy("_lang").agg(F.count(F.lit(1)).alias("n"), *[F.sum(F.col("_p")[i]).alias(f"p{i}") for i in range(k)], *[F.sum(F.col("_q")[i]).alias(f"q{i}") for i in range(m)]).collect()
     rows = [(r["_lang"], [round(r[f"p{i}"] / r["n"], 6) for i in range(k)], [round(r[f"q{i}"] / r["n"], 6) for i in range(m)]) for r in sums if r["_lang"] != "*"]
     if sums:
         n = sum(r["n"] for r in sums)
         rows.append(("*", [round(sum(r[f"p{i}"] for r in sums) / n, 6) for i in range(k)], None))
-    return docs.sparkSession.createDataFrame(rows, "_lang string, _rp array<double>, _rq array<double>")
+    return made.sparkSession.createDataFrame(rows, "_lang string, _rp array<double>, _rq array<double>")
 
 
 def js_distance(p: Column, q: Column, bins: int) -> Column:
@@ -99,10 +120,10 @@ def js_distance(p: Column, q: Column, bins: int) -> Column:
 
 
 def with_base(df: DataFrame) -> DataFrame:
-    """The base columns: counts over the whole text, repeats by exact 3-word windows.
+    """The base columns: counts over the whole text, repeats by 3-word windows.
 
-    Windows are first compared by hash; only texts where two hashes agree have their windows sorted as
-    strings, neighbours compared and the covered positions counted.
+    Windows are compared by 64-bit hash, by which two different ones of a text agree once in 2**64. Only texts
+    where two hashes agree have them sorted, neighbours compared and the covered positions counted.
     """
     lines = F.filter(F.split("_t", "\n"), lambda x: x.rlike(r"[^ \x09-\x0D]"))
     df = (
@@ -116,8 +137,7 @@ def with_base(df: DataFrame) -> DataFrame:
     w = F.col("_w")
     df = df.withColumn("_h", F.when(F.col("_n") >= 3, F.transform(at, lambda i: F.xxhash64(F.get(w, i), F.get(w, i + 1), F.get(w, i + 2)))))
     df = df.withColumn("_dup", F.coalesce(F.size(F.array_distinct("_h")) < F.size("_h"), F.lit(False)))
-    window = F.transform(at, lambda i: F.struct(F.concat_ws(" ", F.get(w, i), F.get(w, i + 1), F.get(w, i + 2)).alias("w"), i.alias("i")))
-    df = df.withColumn("_s", F.when(F.col("_dup"), F.sort_array(window)))
+    df = df.withColumn("_s", F.when(F.col("_dup"), F.sort_array(F.transform("_h", lambda h, i: F.struct(h.alias("w"), i.alias("i"))))))
     n = F.size("_s")
     same = F.zip_with(F.slice("_s", F.lit(1), n - 1), F.slice("_s", F.lit(2), n - 1), lambda a, b: a["w"] == b["w"])
     df = df.withColumn("_e", same)
@@ -136,7 +156,7 @@ def with_verdict(df: DataFrame, refs: DataFrame) -> DataFrame:
     """char_distance, word_distance (null under the length guards) and kept. refs has five rows at most."""
     df = df.join(F.broadcast(refs), "_lang", "left")
     char = F.when(F.col("_len") >= MIN_CHARS, js_distance(F.col("_p"), F.col("_rp"), len(CLASSES) + 1))
-    word = F.when(F.col("_n") >= MIN_WORDS, js_distance(F.col("_q"), F.col("_rq"), len(CODES)))
+    word = F.when(F.col("_n") >= MIN_WORDS, js_distance(F.col("_q"), F.col("_rq"), BINS))
     df = df.withColumn("char_distance", F.round(char, 6)).withColumn("word_distance", F.round(word, 6))
     far = F.coalesce(F.col("char_distance") > CHAR_LIMIT, F.lit(False)) | F.coalesce(F.col("word_distance") > WORD_LIMIT, F.lit(False))
     return df.withColumn("kept", ~F.col("base_failed") & ~far)
@@ -145,26 +165,25 @@ def with_verdict(df: DataFrame, refs: DataFrame) -> DataFrame:
 BASE = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed"]
 
 
-def judge(docs: DataFrame) -> DataFrame:
-    """All columns of `docs` (doc_id, text and lang among them) with BASE, the distances and kept: two scans, no shuffle of texts."""
-    names = docs.columns
-    refs = references(docs.select("text", "lang"))
-    df = with_verdict(with_base(with_shares(with_histograms(with_words(docs)))), refs)
-    return df.select(*names, *BASE, "char_distance", "word_distance", "kept")
+def judge(docs: DataFrame, carry: list[str] | None = None) -> DataFrame:
+    """`row`, a struct of the columns `carry` (all of `docs` by default), with BASE, the distances and kept.
 
+    One pass over the texts: what it finds is written to the shared folder with the carried columns, then the
+    references are summed from there and every row is judged. No shuffle of texts.
+    """
+    cols = docs.select(F.struct(*[F.col(c) for c in carry or docs.columns]).alias("row"), F.col("text"), F.col("lang"))
+    found = with_base(with_shares(with_histograms(with_words(cols))))
+    made = materialise(found.select("row", *BASE, "_lang", "_n", "_len", "_p", "_q"), "quality")
+    return with_verdict(made, references(made)).select("row", *BASE, "char_distance", "word_distance", "kept")
 
-def keep_good(docs: DataFrame) -> DataFrame:
-    """The rows of `docs` that are kept, all columns.
 
-    The row number keeps the optimizer from moving the test below the columns it is made of, where each
-    use of the words would split the text again.
-    """
-    judged = judge(docs).withColumn("_row", F.monotonically_increasing_id())
-    return judged.where(F.col("kept") & (F.col("_row") >= 0)).select(*docs.columns)
+def keep_good(docs: DataFrame) -> DataFrame:
+    """The rows of `docs` that are kept, all columns."""
+    return judge(docs).where("kept").select("row.*")
 
 
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return judge(table(spark, sf_dir, "documents").select("doc_id", "text", "lang")).select("doc_id", *BASE, "kept", "char_distance", "word_distance")
+    return judge(table(spark, sf_dir, "documents"), ["doc_id"]).select("row.doc_id", *BASE, "kept", "char_distance", "word_distance")
 
 
 QUERIES = {"op5_quality_rules": op5_quality_rules}

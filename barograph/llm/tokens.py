@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import re
 
 import numpy as np
@@ -65,9 +66,11 @@ class ChunkEncoder:
         return out
 
 
+@functools.cache  # a Python worker keeps it, with the chunks it knows, for its next task
 def byte_bpe(path: str | None = None) -> ChunkEncoder:
     return ChunkEncoder(path or default_path("byte_bpe_50k.json"), chunks_with_spaces)
 
 
+@functools.cache
 def word_bpe(path: str | None = None) -> ChunkEncoder:
     return ChunkEncoder(path or default_path("word_bpe_49k.json"), chunks_of_words)

@@ -21,7 +21,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from barograph.llm.common import held_out, table
+from barograph.llm.common import held_out, materialise, table
 
 SLOTS = 1 << 20
 #: Most labelled rows that the machine is fitted on, the least by hash of doc_id.
@@ -158,6 +158,7 @@ def fit(docs: DataFrame, labels: DataFrame) -> FactorizationMachine:
         yield pd.DataFrame({"slot": np.append(at, -1), "df": np.append(df[at], n[0]), "tox": np.append(tox[at], n[1])})
 
     summed = texts.mapInPandas(counts, "slot long, df long, tox long").groupBy("slot").agg(F.sum("df").alias("df"), F.sum("tox").alias("tox"))
+    summed = materialise(summed, "terms")  # read twice below
     total = summed.where("slot = -1").collect()
     if not total or total[0]["df"] == 0 or total[0]["tox"] in (0, total[0]["df"]):
         return EMPTY

@@ -247,9 +247,12 @@ def test_op8(spark, sf_dir):
     assert all(r["score"] < 0 and math.isfinite(r["score"]) for r in rows)
 
 
-def test_op8_beats_the_base_on_held_out_texts(spark):
+def test_op8_codes_held_out_texts_in_far_less_than_a_byte_each(spark):
+    """With two hundred texts to learn from, order-four contexts already halve the bits of a plain byte."""
+    docs = {d["doc_id"]: len((d["text"] or "").encode()) for d in rows_of("/root/testdata/sf0.001", "documents")}
     rows = [r for r in run(spark, "op8_context_mixing", "/root/testdata/sf0.001") if r["held_out"]]
-    assert sum(r["score"] for r in rows) > sum(r["base_score"] for r in rows)
+    bits = -sum(r["score"] for r in rows) / math.log10(2)
+    assert bits / sum(docs[r["doc_id"]] for r in rows) < 4
 
 
 def test_op9(spark, sf_dir):
@@ -272,12 +275,12 @@ def test_op10(spark, sf_dir):
 
 
 def test_op10_on_held_out_labels(spark):
-    d = "/root/testdata/sf0.01"
+    d = "/root/testdata/sf0.1"  # the smaller tables have 14 held-out toxic rows at most, a third of them without any toxic word
     toxic = {x["doc_id"]: x["toxic"] for x in rows_of(d, "labels") if x["toxic"] is not None}
     rows = [(r["score"], toxic[r["doc_id"]]) for r in run(spark, "op10_toxicity", d) if r["held_out"] and r["doc_id"] in toxic]
     pos, neg = [s for s, y in rows if y], [s for s, y in rows if not y]
     auc = sum((p > n) + (p == n) / 2 for p in pos for n in neg) / (len(pos) * len(neg))
-    assert auc >= 0.9
+    assert auc >= 0.95
 
 
 def test_pipeline_stage_by_stage(spark, sf_dir):
