@@ -10,16 +10,18 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-BY_STOCK = Window.partitionBy("stock_id").orderBy("trade_date")
+def by_stock():
+    """Made anew each time, as a window needs a session."""
+    return Window.partitionBy("stock_id").orderBy("trade_date")
 
 
 def frame(start: int, end: int):
-    return BY_STOCK.rowsBetween(start, end)
+    return by_stock().rowsBetween(start, end)
 
 
 def log_return(close: Column) -> Column:
     """Log of the ratio to the day before; the first day and impossible ratios give 0."""
-    return F.coalesce(F.log(F.try_divide(close, F.lag(close).over(BY_STOCK))), F.lit(0.0))
+    return F.coalesce(F.log(F.try_divide(close, F.lag(close).over(by_stock()))), F.lit(0.0))
 
 
 def volatility(returns: Column, n: int) -> Column:
@@ -82,9 +84,9 @@ def rsi(bars: DataFrame, n: int = 14) -> DataFrame:
 def targets(bars: DataFrame, horizon: int = 5) -> DataFrame:
     """Next close, next log return, its sign, and the day a label of `horizon` rows ends."""
     c = F.col("close_price")
-    ahead = F.lead(c).over(BY_STOCK)
+    ahead = F.lead(c).over(by_stock())
     r = F.log(F.try_divide(ahead, c))
-    return bars.withColumn("target_close", ahead).withColumn("target_return", r).withColumn("target_up", (r > 0).cast("int")).withColumn("label_end_date", F.lead("trade_date", horizon).over(BY_STOCK))
+    return bars.withColumn("target_close", ahead).withColumn("target_return", r).withColumn("target_up", (r > 0).cast("int")).withColumn("label_end_date", F.lead("trade_date", horizon).over(by_stock()))
 
 
 def triple_barrier(bars: DataFrame, up: float = 0.02, down: float = 0.015, horizon: int = 5) -> DataFrame:
@@ -95,7 +97,7 @@ def triple_barrier(bars: DataFrame, up: float = 0.02, down: float = 0.015, horiz
     """
     after = frame(1, horizon)
     days = F.collect_list(F.struct("high_price", "low_price")).over(after)
-    df = bars.withColumn("_days", days).withColumn("_entry", F.lead("open_price").over(BY_STOCK))
+    df = bars.withColumn("_days", days).withColumn("_entry", F.lead("open_price").over(by_stock()))
     entry = F.col("_entry")
 
     def touch(x: Column) -> Column:
@@ -130,5 +132,5 @@ def rolling_mean(c: str, n: int) -> Column:
 
 def lag_with_warm_up(c: str, n: int, failed: Column, fill: float = 0.5) -> Column:
     """Lag by n rows; only the first n rows of a stock are filled, and not where their source failed."""
-    warm = (F.row_number().over(BY_STOCK) <= n) & ~failed
-    return F.coalesce(F.lag(c, n).over(BY_STOCK), F.when(warm, F.lit(fill)))
+    warm = (F.row_number().over(by_stock()) <= n) & ~failed
+    return F.coalesce(F.lag(c, n).over(by_stock()), F.when(warm, F.lit(fill)))
