@@ -11,7 +11,7 @@ import numpy as np
 _WS = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
 _RUN = re.compile(f"[{_WS}]{{2}}")
 _CHUNK = re.compile(f" ?[^{_WS}]+|[{_WS}]+(?![^{_WS}])|[{_WS}]+")
-CHUNKS_KNOWN = 400_000
+CHUNKS_KNOWN = 200_000
 
 
 def default_path(name: str) -> str:
@@ -34,43 +34,70 @@ def chunks_of_words(text: str) -> list[str]:
 
 
 class ChunkEncoder:
-    """ids of whole texts as little-endian unsigned 32-bit bytes; known chunks are bounded and start anew when full."""
+    """ids of whole texts as little-endian unsigned 32-bit bytes; the chunks known are bounded, the long unused ones go."""
 
-    def __init__(self, path: str, chunks):
+    def __init__(self, path: str, chunks, joint: str):
+        """joint: what to put between plain chunks, so that their ids in a row are the ids of each."""
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
-        self.chunks, self.known = chunks, {}
+        self.chunks, self.joint, self.known, self.before = chunks, joint, {}, {}
+        # bytes that each id stands for; both vocabularies spell a byte as one character
+        self.width = np.zeros(self.tokenizer.get_vocab_size(), np.int64)
+        for token, i in self.tokenizer.get_vocab().items():
+            self.width[i] = len(token.removesuffix("</w>"))
+
+    def _plain(self, c: str) -> bool:
+        """Printable, up to Latin-1 where the tokenizer normalises, and parted from the next: neither length nor limits change in a row."""
+        if self.joint:
+            return c.isprintable() and (c.isascii() or max(c) < "\u0100")
+        return c[0] == " " and c[-1] != " " and c.isprintable()
 
     def _learn(self, new: list[str]) -> None:
-        for at in range(0, len(new), 5000):
-            part = new[at : at + 5000]
+        plain, other = [], []
+        for c in new:
+            (plain if self._plain(c) else other).append(c)
+        for at in range(0, len(plain), 5000):
+            part = plain[at : at + 5000]
+            ids = np.asarray(self.tokenizer.encode_batch_fast([self.joint.join(part)], add_special_tokens=False)[0].ids, "<u4")
+            reach = np.cumsum(self.width[ids])
+            goal = np.cumsum([len(c) if c.isascii() else len(c.encode()) for c in part])
+            ends = np.searchsorted(reach, goal)
+            if not len(reach) or reach[-1] != goal[-1] or (reach[ends] != goal).any():  # some id crosses a limit
+                other += part
+                continue
+            self._keep(part, ids, [0, *(ends + 1).tolist()])
+        for at in range(0, len(other), 5000):
+            part = other[at : at + 5000]
             e = self.tokenizer.encode(part, is_pretokenized=True, add_special_tokens=False)
-            ids = np.asarray(e.ids, "<u4")
-            ends = np.searchsorted(np.asarray(e.word_ids, np.int64), np.arange(len(part) + 1))
-            for i, c in enumerate(part):
-                self.known[c] = ids[ends[i] : ends[i + 1]].tobytes()
+            self._keep(part, np.asarray(e.ids, "<u4"), np.searchsorted(np.asarray(e.word_ids, np.int64), np.arange(len(part) + 1)).tolist())
+
+    def _keep(self, part: list[str], ids: np.ndarray, ends: list[int]) -> None:
+        raw = ids.tobytes()
+        for c, a, b in zip(part, ends, ends[1:], strict=False):
+            self.known[c] = raw[4 * a : 4 * b]
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         out = []
         for at in range(0, len(texts), 64):
             rows = [self.chunks(t or "") for t in texts[at : at + 64]]
-            known = self.known
-            if len(known) >= CHUNKS_KNOWN:
-                known.clear()
-            new = dict.fromkeys(c for r in rows for c in r if c not in known)
-            if new:
-                self._learn(list(new))
-            out += [b"".join(map(known.__getitem__, r)) for r in rows]
+            if len(self.known) >= CHUNKS_KNOWN:
+                self.known, self.before = {}, self.known
+            new = set().union(*rows).difference(self.known)
+            again = {c: self.before[c] for c in new if c in self.before}
+            self.known.update(again)
+            if len(new) > len(again):
+                self._learn(list(new.difference(again)))
+            out += [b"".join(map(self.known.__getitem__, r)) for r in rows]
         return out
 
 
 @functools.cache  # a Python worker keeps it, with the chunks it knows, for its next task
 def byte_bpe(path: str | None = None) -> ChunkEncoder:
-    return ChunkEncoder(path or default_path("byte_bpe_50k.json"), chunks_with_spaces)
+    return ChunkEncoder(path or default_path("byte_bpe_50k.json"), chunks_with_spaces, "")
 
 
 @functools.cache
 def word_bpe(path: str | None = None) -> ChunkEncoder:
-    return ChunkEncoder(path or default_path("word_bpe_49k.json"), chunks_of_words)
+    return ChunkEncoder(path or default_path("word_bpe_49k.json"), chunks_of_words, " ")
