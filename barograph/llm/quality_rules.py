@@ -1,10 +1,12 @@
 """Distribution divergence: character-class and common-word histograms against language references.
 
 Each text gives two histograms: shares of seven character classes, and shares of its language's twelve
-common words (with all other words as the last bin). The reference of a language is the mean histogram of
-the table's own texts in it that are long enough; languages without a word list share one pooled reference
-of character classes. A text is rejected if either Jensen-Shannon distance (base 2, 0 to 1) passes its
-limit, unless it is too short for that histogram to say anything. Only DataFrame functions are used.
+common words (with all other words as the last bin). The reference of a language is taken over the table's
+own texts in it that are long enough, but neither copies nor a minority of junk make it: texts whose
+histograms agree to a hundredth in every bin are one cell, however many they are, and the reference is the
+median of the cells' means bin by bin, scaled to a sum of one. Languages without a word list share one pooled
+reference of character classes. A text is rejected if either Jensen-Shannon distance (base 2, 0 to 1) passes
+its limit, unless it is too short for that histogram to say anything. Only DataFrame functions are used.
 
 Defined cases: null and empty texts have no words and fail the base rule; a null or unknown lang takes the
 pooled reference; where no text is long enough there is no reference and only the base rule decides;
@@ -31,6 +33,8 @@ MIN_WORDS, MIN_CHARS = 50, 200
 CHAR_LIMIT, WORD_LIMIT = 0.27, 0.30
 TRIM = ".,;:!?"
 BINS = 1 + len(COMMON_WORDS["en"])
+#: Width of a reference's cells, and the whole numbers that shares are summed in: sums don't depend on their order.
+CELLS, UNITS = 100, 10_000
 
 
 def _arr(words: list[str]) -> Column:
@@ -93,18 +97,26 @@ def with_shares(df: DataFrame) -> DataFrame:
     return df.withColumn("_p", F.when(F.col("_len") > 0, _shares(chars, F.col("_len")))).withColumn("_q", F.when((F.col("_n") > 0) & F.col("_hits").isNotNull(), _shares(words, F.col("_n"))))
 
 
+def _centre(middle: list[float], mean: list[float]) -> list[float]:
+    """Medians scaled to a sum of one; means where all medians are 0."""
+    x = middle if sum(middle) > 0 else mean
+    return [round(v / sum(x), 6) for v in x]
+
+
 def references(made: DataFrame) -> DataFrame:
-    """At most one row a listed language and one pooled row: mean histograms, rounded to six places.
+    """At most one row a listed language and one pooled row: medians over the distinct cells, rounded to six places.
 
-    Only the sums, a row a language key (five at most), come to the driver.
+    Cells are first made in every task, so that a text with many copies is one row a task. A median holds at most
+    UNITS + 1 values, and only the medians, a row a language key (five at most), come to the driver.
     """
     df = made.where((F.col("_n") >= MIN_WORDS) & (F.col("_len") >= MIN_CHARS))
-    k, m = len(CLASSES) + 1, BINS
-    sums = df.groupBy("_lang").agg(F.count(F.lit(1)).alias("n"), *[F.sum(F.col("_p")[i]).alias(f"p{i}") for i in range(k)], *[F.sum(F.col("_q")[i]).alias(f"q{i}") for i in range(m)]).collect()
-    rows = [(r["_lang"], [round(r[f"p{i}"] / r["n"], 6) for i in range(k)], [round(r[f"q{i}"] / r["n"], 6) for i in range(m)]) for r in sums if r["_lang"] != "*"]
-    if sums:
-        n = sum(r["n"] for r in sums)
-        rows.append(("*", [round(sum(r[f"p{i}"] for r in sums) / n, 6) for i in range(k)], None))
+    bins = {f"p{i}": F.col("_p")[i] for i in range(len(CLASSES) + 1)} | {f"q{i}": F.col("_q")[i] for i in range(BINS)}
+    cell = [F.transform(c, lambda x: F.round(x * CELLS).cast("int")).alias(f"{c}c") for c in ("_p", "_q")]
+    cells = df.groupBy("_lang", *cell).agg(F.count(F.lit(1)).alias("n"), *[F.sum(F.round(x * UNITS).cast("long")).alias(c) for c, x in bins.items()])
+    each = cells.select(F.explode(F.array_distinct(F.array("_lang", F.lit("*")))).alias("_lang"), *[F.round(F.col(c) / F.col("n")).cast("long").alias(c) for c in bins])
+    got = each.groupBy("_lang").agg(*[F.percentile(c, F.lit(0.5)).alias(c) for c in bins], *[F.avg(c).alias(f"{c}m") for c in bins]).collect()
+    of = lambda r, kind: _centre(*[[r[c + end] for c in bins if c[0] == kind] for end in ("", "m")])
+    rows = [(r["_lang"], of(r, "p"), None if r["_lang"] == "*" else of(r, "q")) for r in got]
     return made.sparkSession.createDataFrame(rows, "_lang string, _rp array<double>, _rq array<double>")
 
 
@@ -169,7 +181,7 @@ def judge(docs: DataFrame, carry: list[str] | None = None) -> DataFrame:
     """`row`, a struct of the columns `carry` (all of `docs` by default), with BASE, the distances and kept.
 
     One pass over the texts: what it finds is written to the shared folder with the carried columns, then the
-    references are summed from there and every row is judged. No shuffle of texts.
+    references are taken from there and every row is judged. No shuffle of texts.
     """
     cols = docs.select(F.struct(*[F.col(c) for c in carry or docs.columns]).alias("row"), F.col("text"), F.col("lang"))
     found = with_base(with_shares(with_histograms(with_words(cols))))

@@ -186,6 +186,27 @@ def test_op5(spark, sf_dir):
     assert got == Counter(quality_verdicts(rows_of(sf_dir, "documents")))
 
 
+@pytest.mark.parametrize("share", [1 / 3, 1 / 2])
+@pytest.mark.parametrize("kind", ["copies", "near copies"])
+def test_op5_is_not_judged_by_one_junk_text_of_many_copies(spark, share, kind):
+    """One rejected text, repeated up to that share of its language, changes no labelled row's verdict."""
+    from pyspark.sql import functions as F
+
+    from barograph.llm.common import table
+
+    d = "/root/testdata/sf0.01"
+    quality = {x["doc_id"]: x["quality"] for x in rows_of(d, "labels")}
+    docs = table(spark, d, "documents").where("lang = 'en'").select("doc_id", "text", "lang")
+    verdicts = lambda df: {r["doc_id"]: r["kept"] for r in quality_rules.judge(df, ["doc_id"]).select("row.doc_id", "kept", "base_failed").collect() if not r["base_failed"] and quality.get(r["doc_id"]) is not None}
+    alone = verdicts(docs)
+    bad = sorted(i for i, kept in alone.items() if quality[i] == 0 and not kept)
+    assert len(bad) >= 15 and all(kept for i, kept in alone.items() if quality[i] == 1)
+    n = int(docs.count() * share / (1 - share)) + 1
+    text = F.col("text") if kind == "copies" else F.concat("text", F.lit(" x"), F.col("k").cast("string"))
+    junk = docs.where(F.col("doc_id") == bad[0]).crossJoin(spark.range(n).withColumnRenamed("id", "k")).select(F.lit(-1).cast("long").alias("doc_id"), text.alias("text"), "lang")
+    assert verdicts(docs.unionByName(junk)) == alone
+
+
 def groups_of(docs, k: int) -> list[tuple]:
     """(doc_id, set size, component) by comparing every pair of distinct sets."""
     sets = []
