@@ -192,9 +192,20 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
 
 
 def keep_one(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
-    """The rows of `docs` that stay, one of each group, all columns; rows that repeat a doc_id count as copies."""
-    kept = near_duplicates(docs, k, percent).where("kept").select("doc_id").distinct()
-    return docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(*docs.columns)
+    """The rows of `docs` that stay, one of each group of near texts, all columns: the one with the least doc_id.
+
+    Rows are grouped by a key of their own. Defined cases: a row without doc_id stays unless its group has one
+    with doc_id; different texts under one doc_id are judged each; texts without words are copies only of those
+    with the same doc_id.
+    """
+    rows = materialise(docs.withColumn("_row_key", F.monotonically_increasing_id()), "rows")
+    found = near_duplicates(rows.select(F.col("_row_key").alias("doc_id"), "text"), k, percent)
+    ids = rows.select(F.col("_row_key").alias("key"), F.col("doc_id").alias("of"))
+    alone = (F.col("n_shingles") == 0) & F.col("of").isNotNull()
+    named = found.join(ids, F.col("doc_id") == F.col("key")).select("key", "of", F.when(alone, F.col("of")).alias("wordless"), F.when(~alone, F.col("component_id")).alias("group"))
+    first = F.min(F.struct(F.col("of").isNull().alias("no_id"), F.col("of").alias("of"), F.col("key").alias("key")))
+    kept = named.groupBy("wordless", "group").agg(first.alias("first")).select(F.col("first.key").alias("_row_key"))
+    return rows.join(kept, "_row_key", "left_semi").select(*docs.columns)
 
 
 def op6_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

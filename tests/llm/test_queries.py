@@ -243,6 +243,16 @@ def test_op6(spark, sf_dir):
     assert all(r["kept"] == (r["doc_id"] == r["component_id"]) for r in got)
 
 
+def test_keep_one_loses_no_text_that_is_not_a_copy(spark):
+    from barograph.llm import minhash
+
+    a, b, c, d = (" ".join(f"{x}{i}" for i in range(80)) for x in "abcd")
+    near = a.replace("a40", "changed")
+    given = [(None, c), (None, a), (1, a), (1, b), (1, b), (0, near), (7, d), (None, d), (8, ""), (8, ""), (9, ""), (None, "")]
+    rows = minhash.keep_one(spark.createDataFrame(given, "doc_id long, text string"), 5, 80).collect()
+    assert bag(rows) == Counter([(None, c), (0, near), (1, b), (7, d), (8, ""), (9, ""), (None, "")])
+
+
 def test_op7(spark, sf_dir):
     got, docs = run(spark, "op7_nbest_segmentation", sf_dir), rows_of(sf_dir, "documents")
     assert len(got) == len(docs) and all(r["round_trip"] for r in got)
