@@ -1,4 +1,4 @@
-"""Connected components by minimum labels and pointer jumping, as Spark joins; no part of it comes to the driver."""
+"""Connected components by hooking to smaller neighbours and pointer jumping, as Spark joins; no part comes to the driver."""
 
 from __future__ import annotations
 
@@ -8,28 +8,47 @@ from pyspark.sql import functions as F
 from barograph.llm.common import join_skewed, materialise
 
 
+def _roots(parent: DataFrame) -> DataFrame:
+    """parent(id, comp) with comp < id, a forest -> the same with the root of each; hot parents meet a broadcast."""
+    total = parent.count()
+    while True:
+        counts = parent.groupBy("comp").agg(F.count(F.lit(1)).alias("n"))
+        up = parent.select(F.col("id").alias("comp"), F.col("comp").alias("root"))
+        parent = materialise(join_skewed(parent, up, "comp", counts, "n", total).select("id", F.coalesce("root", "comp").alias("comp"), F.col("root").isNotNull().alias("moved")), "roots")
+        if parent.where("moved").isEmpty():
+            return parent.select("id", "comp")
+        parent = parent.select("id", "comp")
+
+
+def _relabelled(edges: DataFrame, labels: DataFrame, total: int) -> DataFrame:
+    """Distinct edges (a, b), a > b, between the labels of their ends; edges within one label go."""
+    for side in ("a", "b"):
+        counts = edges.groupBy(side).agg(F.count(F.lit(1)).alias("n"))
+        named = labels.select(F.col("id").alias(side), F.col("comp").alias("_label"))
+        edges = join_skewed(edges, named, side, counts, "n", total).withColumn(side, F.coalesce("_label", side)).drop("_label")
+    return edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
+
+
 def components(edges: DataFrame) -> DataFrame:
     """edges(a, b) of longs -> (id, comp): comp is the least id reachable. Ids without an edge do not appear.
 
     Nulls in either column drop the edge, loops and repeated edges do no harm, no edges give no rows.
-    Each round takes the least label among neighbours, then follows labels once more, so a path of length n
-    needs about log n rounds; hubs are joined by broadcast (see join_skewed).
+    Each round hooks a node to its least smaller neighbour, follows the hooks to their roots and draws the
+    edges anew between roots; at least every second root goes, and edges inside a component are gone.
     """
-    both = edges.where("a is not null and b is not null").select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")).where("a is not null and b is not null"))
-    both = materialise(both.distinct(), "edges")
-    degree = materialise(both.groupBy("a").agg(F.count(F.lit(1)).alias("n"), F.least(F.col("a"), F.min("b")).alias("comp")), "degree")
-    total = both.count()
-    if not total:
-        return degree.select(F.col("a").alias("id"), "comp")
-    by_b = degree.select(F.col("a").alias("b"), "n")
-    labels = degree.select(F.col("a").alias("id"), "comp")
-    while True:
-        seen = join_skewed(both, labels.select(F.col("id").alias("b"), "comp"), "b", by_b, "n", total, "inner")
-        least = seen.groupBy("a").agg(F.min("comp").alias("least"))
-        near = materialise(labels.join(least, labels["id"] == least["a"]).select("id", F.col("comp").alias("old"), F.least("comp", "least").alias("comp")), "near")
-        counts = near.groupBy("comp").agg(F.count(F.lit(1)).alias("n"))
-        jumped = join_skewed(near, near.select(F.col("id").alias("comp"), F.col("comp").alias("root")), "comp", counts, "n", total, "left")
-        labels = materialise(jumped.select("id", F.least("comp", F.coalesce("root", "comp")).alias("comp"), "old"), "labels")
-        if labels.where("comp <> old").isEmpty():
-            return labels.select("id", "comp")
-        labels = labels.select("id", "comp")
+    edges = materialise(edges.where("a <> b").select(F.greatest("a", "b").cast("long").alias("a"), F.least("a", "b").cast("long").alias("b")).distinct(), "edges")
+    labels = None
+    while total := edges.count():
+        hooks = materialise(edges.groupBy(F.col("a").alias("id")).agg(F.min("b").alias("comp")), "hooks")
+        found = _roots(hooks)
+        edges = materialise(_relabelled(edges, found, total), "edges")
+        if labels is not None:  # what was a root before may have a new one
+            counts = labels.groupBy("comp").agg(F.count(F.lit(1)).alias("n"))
+            up = found.select(F.col("id").alias("comp"), F.col("comp").alias("root"))
+            older = join_skewed(labels, up, "comp", counts, "n", labels.count()).select("id", F.coalesce("root", "comp").alias("comp"))
+            found = older.unionByName(found)
+        labels = materialise(found, "labels")
+    if labels is None:
+        return edges.select(F.col("a").alias("id"), F.col("b").alias("comp"))
+    # roots never hook: they name themselves
+    return labels.unionByName(labels.select(F.col("comp").alias("id"), "comp").distinct())

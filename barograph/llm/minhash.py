@@ -4,14 +4,18 @@
 evaluations; minima and maxima are banded five at a time into 32 band keys, so a pair at similarity 0.8
 misses every band with probability (1 - 0.8**5)**32 = 3e-6.
 
-1. Texts with equal shingle sets fall into one class (128-bit digest of the set), its least doc_id stands
-   for it. Only these representatives are banded.
-2. In each band bucket every member is compared with one pivot, the member that is first in one hash order
-   for all buckets. Comparison is exact, on the full sets; linked members get component labels.
-3. Buckets of three or more that still hold several components are compared exactly in blocks of 128
-   rows: every member outside the bucket's largest component with all others, as matrix products. Only
-   links leave a block, so no pairs of a group are ever written out.
-4. Components of all links, and classes, give each document the least doc_id it can reach.
+1. Rows with equal shingle sets fall into one class (128-bit digest of the set), its least row key stands for
+   it. Only these representatives are banded.
+2. Each representative meets one other: the least key in all its buckets, the pivot. At most one link a
+   representative comes of it, each to a smaller key, so that a group of near copies is a star or nearly so.
+3. In buckets that still hold several components, members of another component than the bucket's pivot meet that.
+4. Buckets of three or more with several components left are compared in blocks of 128 rows, as matrix
+   products: all members outside the bucket's largest component with all others. A block hands out a spanning
+   forest of the components it joins, fewer links than it has rows; no pairs of a group are ever written out.
+5. Components of all links, and classes, give each row the least doc_id it can reach.
+
+Every link is confirmed on the two full sets of 64-bit shingle hashes (two different shingles of a pair agree
+once in 2**64), never on signatures. Sets are made from the whole texts again where they are needed.
 """
 
 from __future__ import annotations
@@ -88,15 +92,15 @@ def band_keys(s: np.ndarray) -> np.ndarray:
     return mix((np.concatenate([low, high]).reshape(BANDS, ROWS) * _BAND).sum(1) + np.arange(BANDS, dtype=np.uint64)).view(np.int64)
 
 
-def signatures(docs: DataFrame, k: int) -> DataFrame:
-    """doc_id, n_shingles, set_id (null for texts without words), bands."""
+def signatures(rows: DataFrame, k: int) -> DataFrame:
+    """rows(key, text) -> key, n_shingles, set_id (null for texts without words), bands."""
 
     def make(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             sets = [shingles(t, k, KNOWN) for t in b["text"]]
-            yield pd.DataFrame({"doc_id": b["doc_id"], "n_shingles": [len(s) for s in sets], "set_id": [set_digest(s) for s in sets], "bands": [band_keys(s) if len(s) else None for s in sets]})
+            yield pd.DataFrame({"key": b["key"], "n_shingles": [len(s) for s in sets], "set_id": [set_digest(s) for s in sets], "bands": [band_keys(s) if len(s) else None for s in sets]})
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInPandas(make, "doc_id long, n_shingles long, set_id binary, bands array<long>")
+    return rows.select("key", "text").mapInPandas(make, "key long, n_shingles long, set_id binary, bands array<long>")
 
 
 def similar(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
@@ -104,21 +108,53 @@ def similar(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
     return 100 * both >= percent * (len(a) + len(b) - both)
 
 
-def confirm(pairs: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
-    """Of pairs(a, b), those whose full shingle sets reach the similarity."""
-    texts = docs.select(F.col("doc_id").cast("long"), "text")
-    rows = pairs.join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("ta")), "a").join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("tb")), "b")
+def confirm(pairs: DataFrame, rows: DataFrame, k: int, percent: int, share: int = 1000) -> DataFrame:
+    """Of pairs(a, b, ...), a row for each a and b, those whose full shingle sets reach the similarity; without the texts.
+
+    A pivot b may stand in a third of all pairs: pairs of such a b are dealt over up to `share` parts, none with
+    more than 1/share of all, and b's text goes to each of its parts. A task keeps the set of the last b.
+    """
+    total = pairs.count()
+    counts = pairs.groupBy("b").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") * share > total)  # fewer than `share` rows
+    parts = F.broadcast(counts.select("b", F.ceil(F.col("n") * share / max(total, 1)).alias("parts")))
+    texts = rows.select(F.col("key").alias("b"), F.col("text").alias("tb"))
+    goal = texts.join(pairs.select("b").distinct(), "b", "left_semi").join(parts, "b", "left")
+    goal = goal.withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce("parts", F.lit(1)) - 1))).drop("parts")
+    dealt = pairs.join(parts, "b", "left").withColumn("part", F.coalesce(F.pmod(F.xxhash64("a"), F.col("parts")), F.lit(0))).drop("parts")
+    both = dealt.join(rows.select(F.col("key").alias("a"), F.col("text").alias("ta")), "a").join(goal, ["b", "part"])
+    names = pairs.columns
 
     def check(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        last, kept = None, None
         for x in batches:
-            ok = [similar(shingles(s, k, KNOWN), shingles(t, k, KNOWN), percent) for s, t in zip(x["ta"], x["tb"], strict=True)]
-            yield x.loc[ok, ["a", "b"]]
+            ok = []
+            for a, b, ta, tb in zip(x["a"], x["b"], x["ta"], x["tb"], strict=True):
+                if b != last:
+                    last, kept = b, shingles(tb, k, KNOWN)
+                ok.append(similar(shingles(ta, k, KNOWN), kept, percent))
+            yield x.loc[ok, names]
+
+    return both.select(*names, "ta", "tb").mapInPandas(check, pairs.schema)
+
 
-    return rows.mapInPandas(check, "a long, b long")
+def _forest(i: np.ndarray, j: np.ndarray) -> Iterator[tuple[int, int]]:
+    """Of links between labels, a spanning forest."""
+    root: dict[int, int] = {}
+
+    def find(x: int) -> int:
+        while (up := root.get(x, x)) != x:
+            root[x] = root.get(up, up)
+            x = up
+        return x
+
+    for a, b in zip(i.tolist(), j.tolist(), strict=True):
+        if (x := find(a)) != (y := find(b)):
+            root[max(x, y)] = min(x, y)
+            yield a, b
 
 
 def _block_links(x: pd.DataFrame, percent: int) -> pd.DataFrame:
-    """Links across components between the rows of either role in one block."""
+    """A spanning forest of the components that the rows of the two roles in one block link."""
     left, right = x[x["role"] == 0], x[x["role"] == 1]
     if left.empty or right.empty:
         return pd.DataFrame({"a": [], "b": []}).astype("int64")
@@ -133,25 +169,31 @@ def _block_links(x: pd.DataFrame, percent: int) -> pd.DataFrame:
         m[row[inside], code[inside] - at] = 1
         both += m[: len(left)] @ m[len(left) :].T
     union = sizes[: len(left), None] + sizes[None, len(left) :] - both
-    ok = (100 * both >= percent * union) & (left["comp"].to_numpy()[:, None] != right["comp"].to_numpy()[None, :])
-    i, j = np.nonzero(ok)
-    return pd.DataFrame({"a": left["id"].to_numpy()[i], "b": right["id"].to_numpy()[j]}).drop_duplicates()
+    p, q = left["comp"].to_numpy(), right["comp"].to_numpy()
+    i, j = np.nonzero((100 * both >= percent * union) & (p[:, None] != q[None, :]))
+    return pd.DataFrame(list(_forest(p[i], q[j])), columns=["a", "b"]).astype("int64")
+
+
+def with_labels(buckets: DataFrame, labels: DataFrame) -> DataFrame:
+    """buckets(bucket, id, ...) with comp; a representative has a row in each of its buckets, BANDS at most."""
+    return buckets.join(labels, "id", "left").withColumn("comp", F.coalesce("comp", "id"))
 
 
-def cross_links(buckets: DataFrame, labels: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
-    """Links between components inside buckets(bucket, id) of three or more members."""
-    members = buckets.join(labels, "id", "left").withColumn("comp", F.coalesce("comp", "id"))
+def cross_links(members: DataFrame, rows: DataFrame, k: int, percent: int) -> DataFrame:
+    """Links (a, b) between components inside members(bucket, id, comp) of buckets of three or more."""
     by_comp = members.groupBy("bucket", "comp").agg(F.count(F.lit(1)).alias("n"))
     mixed = (
         by_comp.groupBy("bucket")
         .agg(F.sum("n").alias("size"), F.count(F.lit(1)).alias("comps"), F.max_by("comp", F.struct("n", -F.col("comp"))).alias("major"), F.max("n").alias("most"))
         .where("size > 2 and comps > 1")
-        .select("bucket", "major", F.ceil((F.col("size") - F.col("most")) / BLOCK).alias("nx"), F.ceil(F.col("size") / BLOCK).alias("ny"))
+        .select("bucket", "size", "major", F.ceil((F.col("size") - F.col("most")) / BLOCK).alias("nx"), F.ceil(F.col("size") / BLOCK).alias("ny"))
     )
     mixed = materialise(mixed, "mixed")
-    inside = materialise(members.join(mixed, "bucket"), "inside")
-    ids = inside.select("id").distinct()
-    texts = docs.select(F.col("doc_id").cast("long").alias("id"), "text").join(ids, "id", "left_semi")
+    total = mixed.agg(F.coalesce(F.sum("size"), F.lit(0)).alias("n")).first()["n"]
+    if not total:
+        return members.select(F.col("id").alias("a"), F.col("comp").alias("b")).where("false")
+    inside = materialise(join_skewed(members.select("bucket", "id", "comp"), mixed.drop("size"), "bucket", mixed, "size", total, "inner"), "inside")
+    texts = rows.select(F.col("key").alias("id"), "text").join(inside.select("id").distinct(), "id", "left_semi")
 
     def sets_of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -164,46 +206,76 @@ def cross_links(buckets: DataFrame, labels: DataFrame, docs: DataFrame, k: int,
     return blocks.groupBy("bucket", "cx", "cy").applyInPandas(lambda d: _block_links(d, percent), "a long, b long").distinct()
 
 
+def class_links(classes: DataFrame, banded: DataFrame, rows: DataFrame, k: int, percent: int) -> tuple[list[DataFrame], DataFrame | None]:
+    """(the links of steps 2 to 4, the components of all of them or None) of classes(id, ...) and banded(id, bucket)."""
+    shared = banded.groupBy("bucket").agg(F.min("id").alias("pivot"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    shared = materialise(shared, "shared")
+    total = classes.count() * BANDS
+    buckets = materialise(join_skewed(banded, shared.drop("n"), "bucket", shared, "n", total, "inner"), "buckets")
+    pairs = buckets.where("id <> pivot").groupBy(F.col("id").alias("a")).agg(F.min("pivot").alias("b"))
+    links = [materialise(confirm(materialise(pairs, "pairs"), rows, k, percent), "links")]
+    labels = components(links[0])
+    # a bucket whose members are all of one component has nothing left to find
+    open_buckets = with_labels(buckets, labels).groupBy("bucket").agg(F.count_distinct("comp").alias("comps"), F.count(F.lit(1)).alias("n")).where("comps > 1").select("bucket", "n")
+    open_buckets = materialise(open_buckets, "open-buckets")
+    left = open_buckets.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first()["n"]
+    if not left:
+        return links, labels
+    kept = materialise(join_skewed(buckets, open_buckets.select("bucket"), "bucket", open_buckets, "n", total, "inner"), "kept-buckets")
+    again = with_labels(kept, labels)
+    pivots = again.where("id = pivot").select("pivot", F.col("comp").alias("pivot_comp")).distinct()
+    per_pivot = kept.groupBy("pivot").agg(F.count(F.lit(1)).alias("n"))
+    apart = join_skewed(again, pivots, "pivot", per_pivot, "n", left, "inner").where("comp <> pivot_comp")
+    more = apart.groupBy(F.col("id").alias("a"), F.col("pivot").alias("b")).agg(F.min("comp").alias("ca"), F.min("pivot_comp").alias("cb"))
+    found = confirm(materialise(more, "pairs"), rows, k, percent)
+    links.append(materialise(found.select(F.col("ca").alias("a"), F.col("cb").alias("b")).distinct(), "links"))
+    if not links[-1].isEmpty():
+        labels = components(links[0].unionByName(links[1]))
+    links.append(materialise(cross_links(with_labels(kept, labels), rows, k, percent), "links"))
+    if not links[-1].isEmpty():
+        labels = components(links[0].unionByName(links[1]).unionByName(links[2]))
+    return links, labels
+
+
+def grouped(rows: DataFrame, k: int, percent: int) -> DataFrame:
+    """rows(key, text, doc_id), materialised, key unique -> key, doc_id, n_shingles, comp: the key of its group, null without words."""
+    sig = materialise(signatures(rows, k), "signatures")
+    worded = sig.where("set_id is not null")
+    classes = materialise(worded.groupBy("set_id").agg(F.min("key").alias("id"), F.count(F.lit(1)).alias("n")), "classes")
+    banded = worded.join(classes.select(F.col("id").alias("key")), "key", "left_semi").select(F.col("key").alias("id"), F.explode("bands").alias("bucket"))
+    labels = class_links(classes, banded, rows, k, percent)[1]
+    named = classes.join(labels, "id", "left").select("set_id", F.coalesce("comp", "id").alias("comp"))
+    out = join_skewed(sig.drop("bands"), named, "set_id", classes, "n", max(1, sig.count()), "left")
+    return out.join(rows.select("key", "doc_id"), "key").select("key", "doc_id", "n_shingles", "comp")
+
+
 def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     """docs(doc_id, text, ...) -> doc_id, n_shingles, component_id, kept, a row for each row.
 
-    Defined cases: texts that are null, empty or without words have no shingles, stand alone and are kept;
-    rows that repeat a doc_id get the same component and are kept alike; other columns are ignored.
+    Defined cases: texts that are null, empty or without words have no shingles, stand alone and are kept; rows
+    are judged by their texts, so two texts under one doc_id are in the groups of their own texts; a row
+    without doc_id is in its text's group and kept only if no row there has one; repeated rows get the same
+    component and are kept alike; other columns are ignored.
     """
-    sig = materialise(signatures(docs, k), "signatures")
-    classes = materialise(sig.where("set_id is not null").groupBy("set_id").agg(F.min("doc_id").alias("id"), F.count(F.lit(1)).alias("n")), "classes")
-    # all rows of a class have the same bands, so the representative's row may be any that has its id
-    banded = sig.where("set_id is not null").join(classes.select("id", F.col("set_id").alias("own")), (F.col("doc_id") == F.col("id")) & (F.col("set_id") == F.col("own"))).select("id", F.explode("bands").alias("bucket"))
-    order = F.struct(F.xxhash64("id").alias("h"), F.col("id").alias("id"))
-    shared = banded.groupBy("bucket").agg(F.min(order)["id"].alias("pivot"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    shared = materialise(shared, "shared")
-    total = classes.count() * BANDS
-    buckets = materialise(join_skewed(banded, shared.drop("n"), "bucket", shared.select("bucket", "n"), "n", total, "inner"), "buckets")
-    pairs = buckets.where("id <> pivot").groupBy(F.col("id").alias("a"), F.col("pivot").alias("b")).agg(F.count(F.lit(1)).alias("n")).drop("n")
-    links = materialise(confirm(pairs, docs, k, percent), "links")
-    labels = components(links)
-    more = materialise(cross_links(buckets.select("bucket", "id"), labels, docs, k, percent), "more-links")
-    if not more.isEmpty():
-        labels = components(links.unionByName(more))
-    named = classes.join(labels, "id", "left").select("set_id", F.coalesce("comp", "id").alias("comp"))
-    out = join_skewed(sig.drop("bands"), named, "set_id", classes.select("set_id", "n"), "n", max(1, sig.count()), "left")
-    component = F.coalesce("comp", "doc_id")
-    return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
+    rows = materialise(docs.select(F.monotonically_increasing_id().alias("key"), F.col("doc_id").cast("long").alias("doc_id"), "text"), "rows")
+    found = materialise(grouped(rows, k, percent), "groups")
+    sizes = found.where("comp is not null").groupBy("comp").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("n"))
+    named = join_skewed(found, sizes.drop("n"), "comp", sizes, "n", max(1, found.count()), "left")
+    component = F.when(F.col("comp").isNull(), F.col("doc_id")).otherwise(F.col("least"))
+    return named.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, component.isNull()).alias("kept"))
 
 
 def keep_one(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     """The rows of `docs` that stay, one of each group of near texts, all columns: the one with the least doc_id.
 
-    Rows are grouped by a key of their own. Defined cases: a row without doc_id stays unless its group has one
-    with doc_id; different texts under one doc_id are judged each; texts without words are copies only of those
-    with the same doc_id.
+    Defined cases: a row without doc_id stays unless its group has one with doc_id; different texts under one
+    doc_id are judged each; texts without words are copies only of those with the same doc_id.
     """
     rows = materialise(docs.withColumn("_row_key", F.monotonically_increasing_id()), "rows")
-    found = near_duplicates(rows.select(F.col("_row_key").alias("doc_id"), "text"), k, percent)
-    ids = rows.select(F.col("_row_key").alias("key"), F.col("doc_id").alias("of"))
-    alone = (F.col("n_shingles") == 0) & F.col("of").isNotNull()
-    named = found.join(ids, F.col("doc_id") == F.col("key")).select("key", "of", F.when(alone, F.col("of")).alias("wordless"), F.when(~alone, F.col("component_id")).alias("group"))
-    first = F.min(F.struct(F.col("of").isNull().alias("no_id"), F.col("of").alias("of"), F.col("key").alias("key")))
+    found = grouped(rows.select(F.col("_row_key").alias("key"), F.col("doc_id").cast("long").alias("doc_id"), "text"), k, percent)
+    alone = F.col("comp").isNull() & F.col("doc_id").isNotNull()
+    named = found.select("key", "doc_id", F.when(alone, F.col("doc_id")).alias("wordless"), F.when(~alone, F.coalesce("comp", "key")).alias("group"))
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "key"))
     kept = named.groupBy("wordless", "group").agg(first.alias("first")).select(F.col("first.key").alias("_row_key"))
     return rows.join(kept, "_row_key", "left_semi").select(*docs.columns)
 

@@ -232,15 +232,55 @@ def groups_of(docs, k: int) -> list[tuple]:
 
 
 def test_op6(spark, sf_dir):
-    docs = rows_of(sf_dir, "documents")
-    if "awkward" in sf_dir:  # two texts under one id are one document of two classes: compare ids that are unique
-        many = {i for i, c in Counter(d["doc_id"] for d in docs).items() if c > 1 and i != 6}
-        got = Counter((r["doc_id"], r["n_shingles"], r["component_id"]) for r in run(spark, "op6_minhash_near_dedup", sf_dir) if r["doc_id"] not in many)
-        assert got == Counter(x for x in groups_of(docs, 4) if x[0] not in many)
-        return
-    got = run(spark, "op6_minhash_near_dedup", sf_dir)
-    assert Counter((r["doc_id"], r["n_shingles"], r["component_id"]) for r in got) == Counter(groups_of(docs, 4))
-    assert all(r["kept"] == (r["doc_id"] == r["component_id"]) for r in got)
+    got, want = run(spark, "op6_minhash_near_dedup", sf_dir), groups_of(rows_of(sf_dir, "documents"), 4)
+    assert Counter((r["doc_id"], r["n_shingles"], r["component_id"]) for r in got) == Counter(want)
+    assert all(r["kept"] == (r["component_id"] is None or r["doc_id"] == r["component_id"]) for r in got)
+
+
+@pytest.mark.parametrize("changed", [0, 4])
+def test_op6_hands_out_few_links(spark, changed):
+    """One group of N near copies, all alike or (with four of its words changed in each) about 0.8 from each other: 2 N links at most, none lost."""
+    import random
+
+    from barograph.llm import minhash
+
+    n, rnd = 600, random.Random(changed)
+    base = [f"w{i}" for i in range(160)]
+    texts = []
+    for i in range(n):
+        w = base.copy()
+        for at in rnd.sample(range(160), changed):
+            w[at] = f"x{rnd.randrange(3)}"
+        texts.append(" ".join([*w, f"end{i}"]))
+    rows = spark.createDataFrame([(i, i, t) for i, t in enumerate(texts)], "key long, doc_id long, text string").repartition(4)
+    sig = minhash.signatures(rows, 4).select(minhash.F.col("key").alias("id"), minhash.F.explode("bands").alias("bucket"))
+    links, _ = minhash.class_links(rows.select(minhash.F.col("key").alias("id")), sig, rows, 4, 80)
+    assert sum(x.count() for x in links) <= 2 * n
+    got = minhash.near_duplicates(rows.select("doc_id", "text"), 4, 80).collect()
+    assert Counter((r["doc_id"], r["n_shingles"], r["component_id"]) for r in got) == Counter(groups_of([{"doc_id": i, "text": t} for i, t in enumerate(texts)], 4))
+
+
+def test_components_of_any_graph(spark):
+    import random
+
+    from barograph.llm.components import components
+
+    rnd = random.Random(3)
+    edges = [(i, i + 1) for i in range(100, 160)] + [(7, x) for x in range(200, 260)] + [(rnd.randrange(300, 360), rnd.randrange(300, 360)) for _ in range(45)] + [(5, 5), (None, 4), (3, None), (8, 9), (9, 8), (9, 8)]
+    root: dict = {}
+
+    def find(x):
+        while root.setdefault(x, x) != x:
+            x = root[x]
+        return x
+
+    for a, b in edges:
+        if a is not None and b is not None and a != b:
+            x, y = find(a), find(b)
+            root[max(x, y)] = min(x, y)
+    got = components(spark.createDataFrame(edges, "a long, b long")).collect()
+    assert sorted((r["id"], r["comp"]) for r in got) == sorted((x, find(x)) for x in list(root))
+    assert components(spark.createDataFrame([], "a long, b long")).collect() == []
 
 
 def test_keep_one_loses_no_text_that_is_not_a_copy(spark):
