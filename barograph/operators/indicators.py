@@ -59,26 +59,44 @@ def technical(bars: DataFrame) -> DataFrame:
     )
 
 
-def rsi(bars: DataFrame, n: int = 14) -> DataFrame:
+def rsi(bars: DataFrame, n: int = 14, block: int = 256) -> DataFrame:
     """Wilder's index, rsi_14 added.
 
-    Averages are exponential with weight 1/n; a missing change keeps the last average and lets older weight
-    fade. 50 until n changes are known, 100 where only gains were. One pass a stock, its days in Arrow batches.
+    The averages follow y' = c y + d x at each known change, with d = 1 - c = a / (a + (1 - a)**gap), a = 1 / n and
+    the gap in rows since the last known one; a row without a change keeps the average. Such a chain is a running
+    sum of d x / Q times Q, the running product of c; Q is started anew each `block` known changes, so it stays
+    above 1e-9, and what went before comes in as the last four blocks' ends: older ones weigh under 1e-30.
+    50 until n changes are known, 100 where only gains were.
     """
-    import numpy as np
-    import pandas as pd
-
-    def one(days: pd.DataFrame) -> pd.DataFrame:
-        days = days.sort_values("trade_date")
-        change = days["close_price"].astype(float).diff()
-        up = change.clip(lower=0).ewm(alpha=1 / n, min_periods=n, adjust=False).mean().to_numpy()
-        down = (-change).clip(lower=0).ewm(alpha=1 / n, min_periods=n, adjust=False).mean().to_numpy()
-        with np.errstate(divide="ignore", invalid="ignore"):
-            value = np.where(down == 0, np.where(up > 0, 100.0, 50.0), 100 - 100 / (1 + up / down))
-        days["rsi_14"] = np.where(np.isnan(up) | np.isnan(down), 50.0, value)
-        return days
-
-    return bars.groupBy("stock_id").applyInPandas(one, ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in bars.schema.fields) + ", rsi_14 double")
+    a, w = 1.0 / n, by_stock()
+    change = F.col("close_price").cast("double") - F.lag("close_price").over(w)
+    at = F.row_number().over(w)
+    df = bars.withColumn("_x", change).withColumn("_i", at)
+    last = F.last(F.when(F.col("_x").isNotNull(), F.col("_i")), ignorenulls=True).over(frame(Window.unboundedPreceding, -1))
+    df = df.withColumn("_k", F.count("_x").over(frame(Window.unboundedPreceding, 0))).withColumn("_last", last)
+    old = F.pow(F.lit(1 - a), F.col("_i") - F.col("_last"))
+    c = F.when(F.col("_x").isNotNull() & F.col("_last").isNotNull(), old / (old + a))
+    df = df.withColumn("_c", c).withColumn("_b", F.floor(F.greatest(F.col("_k") - 1, F.lit(0)) / block))
+    inside = Window.partitionBy("stock_id", "_b").orderBy("trade_date").rowsBetween(Window.unboundedPreceding, 0)
+    df = df.withColumn("_q", F.exp(F.sum(F.coalesce(F.log("_c"), F.lit(0.0))).over(inside)))
+    gain = {"_up": F.greatest(F.col("_x"), F.lit(0.0)), "_down": F.greatest(-F.col("_x"), F.lit(0.0))}
+    share = F.coalesce(1 - F.col("_c"), F.lit(1.0))
+    for name, x in gain.items():
+        df = df.withColumn(name, F.col("_q") * F.coalesce(F.sum(F.when(F.col("_x").isNotNull(), share * x / F.col("_q"))).over(inside), F.lit(0.0)))
+    ends = df.groupBy("stock_id", "_b").agg(F.min("_q").alias("_q"), *[F.max_by(g, "trade_date").alias(g) for g in gain])
+    blocks = Window.partitionBy("stock_id").orderBy("_b")  # a block in 256 rows
+    carried: dict[str, Column] = {}
+    for g in gain:
+        total, product = F.lit(0.0), F.lit(1.0)
+        for k in range(1, 5):
+            total = total + product * F.coalesce(F.lag(g, k).over(blocks), F.lit(0.0))
+            product = product * F.coalesce(F.lag("_q", k).over(blocks), F.lit(0.0))
+        carried[g] = total
+    before = ends.select("stock_id", "_b", *[v.alias(f"{g}_in") for g, v in carried.items()])
+    df = df.join(before, ["stock_id", "_b"], "left")
+    up, down = (F.col(g) + F.col("_q") * F.col(f"{g}_in") for g in gain)
+    value = F.when(down == 0, F.when(up > 0, 100.0).otherwise(50.0)).otherwise(100 - 100 / (1 + up / down))
+    return df.withColumn("rsi_14", F.when(F.col("_k") < n, F.lit(50.0)).otherwise(value)).select(*bars.columns, "rsi_14")
 
 
 def targets(bars: DataFrame, horizon: int = 5) -> DataFrame:
@@ -89,29 +107,32 @@ def targets(bars: DataFrame, horizon: int = 5) -> DataFrame:
     return bars.withColumn("target_close", ahead).withColumn("target_return", r).withColumn("target_up", (r > 0).cast("int")).withColumn("label_end_date", F.lead("trade_date", horizon).over(by_stock()))
 
 
+AMBIGUOUS = "ambiguous_dual_barrier"
+
+
 def triple_barrier(bars: DataFrame, up: float = 0.02, down: float = 0.015, horizon: int = 5) -> DataFrame:
-    """First touch of a barrier above or below tomorrow's open within `horizon` days -> label, reason.
+    """First touch of a barrier above or below tomorrow's open within `horizon` days -> label, reason, label_end_date_tb.
 
     Label 1, -1 or, when time runs out, 0; null with a reason: no_entry (no next day or no open there),
-    insufficient_data (days or bars missing), ambiguous (both barriers in one day).
+    insufficient_data (days or bars missing), ambiguous_dual_barrier (both barriers in one day). The label ends with
+    the `horizon`-th day ahead, which is null where there is none. All looks ahead share one window.
     """
-    after = frame(1, horizon)
-    days = F.collect_list(F.struct("high_price", "low_price")).over(after)
-    df = bars.withColumn("_days", days).withColumn("_entry", F.lead("open_price").over(by_stock()))
-    entry = F.col("_entry")
-
-    def touch(x: Column) -> Column:
-        hi, lo = x["high_price"] >= entry * (1 + up), x["low_price"] <= entry * (1 - down)
-        return F.when(x["high_price"].isNull() | x["low_price"].isNull(), 9).when(hi & lo, 8).when(hi, 1).when(lo, -1).otherwise(0)
-
-    first = F.coalesce(F.get(F.filter(F.transform("_days", touch), lambda t: t != 0), F.lit(0)), F.lit(0))
-    df = df.withColumn("_first", first)
-    n = F.size("_days")
+    w = by_stock()
+    days = range(1, horizon + 1)
+    ahead = {f"_{c[0]}{k}": F.lead(c, k).over(w) for k in days for c in ("high_price", "low_price")}
+    df = bars.withColumns(ahead | {"_entry": F.lead("open_price").over(w), "_next": F.lead("trade_date").over(w), "label_end_date_tb": F.lead("trade_date", horizon).over(w)})
+    top, floor = F.col("_entry") * (1 + up), F.col("_entry") * (1 - down)
+
+    def touch(k: int) -> Column:
+        high, low = F.col(f"_h{k}"), F.col(f"_l{k}")
+        return F.when(high.isNull() | low.isNull(), 9).when((high >= top) & (low <= floor), 8).when(high >= top, 1).when(low <= floor, -1)
+
+    df = df.withColumn("_first", F.coalesce(*[touch(k) for k in days], F.lit(0)))
     reason = (
-        F.when(n == 0, "no_entry").when(n < horizon, "insufficient_data").when(entry.isNull(), "no_entry")
-        .when(F.col("_first") == 9, "insufficient_data").when(F.col("_first") == 8, "ambiguous")
+        F.when(F.col("_next").isNull(), "no_entry").when(F.col("label_end_date_tb").isNull(), "insufficient_data").when(F.col("_entry").isNull(), "no_entry")
+        .when(F.col("_first") == 9, "insufficient_data").when(F.col("_first") == 8, AMBIGUOUS)
     )
-    return df.withColumn("label_reason", reason).withColumn("triple_barrier", F.when(reason.isNull(), F.col("_first"))).drop("_days", "_entry", "_first")
+    return df.withColumn("label_reason", reason).withColumn("triple_barrier", F.when(reason.isNull(), F.col("_first"))).drop(*ahead, "_entry", "_next", "_first")
 
 
 def tail(df: DataFrame, k: int) -> DataFrame:

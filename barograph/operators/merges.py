@@ -53,3 +53,14 @@ def differences(a: DataFrame, b: DataFrame, keys: list[str], columns: list[str],
     changed = F.array_compact(F.array(*[F.when(~s, F.lit(c)) for c, s in same.items()]))
     out = j.select(*keys, side.alias("side"), F.when(side == "both", F.array_join(changed, ",")).otherwise("").alias("changed"))
     return out.where((F.col("side") != "both") | (F.col("changed") != ""))
+
+
+def fingerprint(df: DataFrame, group: str, order: list[str], columns: list[str]) -> DataFrame:
+    """Rows and one print of the whole table: md5 of each group's rows in order, then md5 of the groups' prints in order.
+
+    A group's rows are gathered in one array, so `group` should be a key with a bounded history (a stock's days).
+    """
+    row = F.concat_ws("|", *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in columns])
+    joined = lambda rows: F.md5(F.array_join(F.transform(F.sort_array(rows), lambda r: r["row"]), "").cast("binary"))
+    each = df.groupBy(group).agg(F.count(F.lit(1)).alias("n"), joined(F.collect_list(F.struct(*order, row.alias("row")))).alias("row"))
+    return each.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), joined(F.collect_list(F.struct(group, "row"))).alias("print"))

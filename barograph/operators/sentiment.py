@@ -26,29 +26,44 @@ def scored(articles: DataFrame, allowed: list[str]) -> DataFrame:
     )
 
 
+def _hits(articles: DataFrame, entity_map: DataFrame, theme_map: DataFrame) -> DataFrame:
+    """What is said of a stock on a day, by name and by theme: sums by (stock_id, eff), made before any as-of join."""
+    own = articles.join(entity_map, articles["fetch_keyword"] == entity_map["keyword"]).select("stock_id", "eff", F.lit(True).alias("own"), F.lit(1.0).alias("w"), "sentiment_score", "pos", "neg")
+    theme = articles.join(theme_map, articles["fetch_keyword"] == theme_map["theme_keyword"]).select("stock_id", "eff", F.lit(False).alias("own"), F.col("relevance_weight").alias("w"), "sentiment_score", "pos", "neg")
+    side = {"direct": F.col("own"), "theme": ~F.col("own")}
+    total = lambda on, x: F.sum(F.when(on, F.col("w") * F.col(x)))
+    sums = [e for k, on in side.items() for e in (F.count_if(on).alias(f"{k}_n"), F.sum(F.when(on, F.col("w"))).alias(f"{k}_w"), total(on, "sentiment_score").alias(f"{k}_s"), total(on, "pos").alias(f"{k}_pos"), total(on, "neg").alias(f"{k}_neg"))]
+    return own.unionByName(theme).groupBy("stock_id", "eff").agg(*sums)
+
+
+def both_daily(articles: DataFrame, entity_map: DataFrame, theme_map: DataFrame, calendar: DataFrame) -> DataFrame:
+    """The sums of both sides by (stock_id, trade_date), through one as-of window over days."""
+    day = asof.forward(_hits(articles, entity_map, theme_map), "eff", calendar, ["stock_id"])
+    sums = [c for c in day.columns if c not in ("stock_id", "eff", "trade_date")]
+    return day.groupBy("stock_id", "trade_date").agg(*[F.sum(c).alias(c) for c in sums])
+
+
 def direct_daily(articles: DataFrame, entity_map: DataFrame, calendar: DataFrame) -> DataFrame:
-    """C01, C05, D01"""
-    hit = articles.join(entity_map, articles["fetch_keyword"] == entity_map["keyword"]).select("stock_id", "eff", "sentiment_score", "pos", "neg")
-    day = asof.forward(hit, "eff", calendar, ["stock_id"])
-    return day.groupBy("stock_id", "trade_date").agg(F.count(F.lit(1)).alias("article_count"), F.avg("sentiment_score").alias("direct_score"), F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
+    """Stock days that have articles of their own."""
+    none = entity_map.select(F.col("keyword").alias("theme_keyword"), "stock_id", F.lit(0.0).alias("relevance_weight")).where("false")
+    both = both_daily(articles, entity_map, none, calendar)
+    return both.select("stock_id", "trade_date", F.col("direct_n").alias("article_count"), (F.col("direct_s") / F.col("direct_w")).alias("direct_score"), F.col("direct_pos").alias("pos"), F.col("direct_neg").alias("neg"))
 
 
 def theme_daily(articles: DataFrame, theme_map: DataFrame, calendar: DataFrame) -> DataFrame:
-    """C02, C05, D02"""
-    w = F.col("relevance_weight")
-    hit = articles.join(theme_map, articles["fetch_keyword"] == theme_map["theme_keyword"]).select("stock_id", "eff", (w * F.col("sentiment_score")).alias("ws"), w.alias("w"), (w * F.col("pos")).alias("wp"), (w * F.col("neg")).alias("wn"))
-    day = asof.forward(hit, "eff", calendar, ["stock_id"])
-    return day.groupBy("stock_id", "trade_date").agg(F.count(F.lit(1)).alias("theme_count"), F.try_divide(F.sum("ws"), F.sum("w")).alias("theme_score"), F.sum("wp").alias("theme_pos"), F.sum("wn").alias("theme_neg"))
+    """Stock days that have articles of a theme."""
+    none = theme_map.select(F.col("theme_keyword").alias("keyword"), "stock_id").where("false")
+    both = both_daily(articles, none, theme_map, calendar)
+    return both.select("stock_id", "trade_date", F.col("theme_n").alias("theme_count"), F.try_divide("theme_s", "theme_w").alias("theme_score"), "theme_pos", "theme_neg")
 
 
-def fused(direct: DataFrame, theme: DataFrame) -> DataFrame:
-    """70 to 30 where both sides speak, one side alone otherwise."""
-    both = direct.join(theme, ["stock_id", "trade_date"], "full_outer")
-    d, t = F.col("direct_score"), F.col("theme_score")
+def fused(both: DataFrame) -> DataFrame:
+    """70 to 30 where both sides speak, one side alone otherwise; both_daily has a row where either does."""
+    d, t = F.try_divide("direct_s", "direct_w"), F.try_divide("theme_s", "theme_w")
     score = F.when(d.isNotNull() & t.isNotNull(), DIRECT_SHARE * d + THEME_SHARE * t).otherwise(F.coalesce(d, t, F.lit(0.5)))
-    zero = lambda c: F.coalesce(c, F.lit(0.0))
-    pos, neg = zero(F.col("pos")) + THEME_SHARE * zero(F.col("theme_pos")), zero(F.col("neg")) + THEME_SHARE * zero(F.col("theme_neg"))
-    out = both.select("stock_id", "trade_date", (F.coalesce("article_count", F.lit(0)) + F.coalesce("theme_count", F.lit(0))).alias("article_count"), score.alias("sentiment"), pos.alias("pos"), neg.alias("neg"))
+    zero = lambda c: F.coalesce(F.col(c), F.lit(0.0))
+    pos, neg = (zero(f"direct_{c}") + THEME_SHARE * zero(f"theme_{c}") for c in ("pos", "neg"))
+    out = both.select("stock_id", "trade_date", (F.col("direct_n") + F.col("theme_n")).alias("article_count"), score.alias("sentiment"), pos.alias("pos"), neg.alias("neg"))
     return out.withColumn("bullishness", scalar.bullishness(F.col("pos"), F.col("neg"))).withColumn("agreement", scalar.agreement(F.col("pos"), F.col("neg")))
 
 
@@ -72,7 +87,7 @@ def daily_features(bars: DataFrame, articles: DataFrame, entity_map: DataFrame,
     """
     cal = bars.select("stock_id", "trade_date")
     art = scored(articles, allowed)
-    sent = fused(direct_daily(art, entity_map, cal), theme_daily(art, theme_map, cal))
+    sent = fused(both_daily(art, entity_map, theme_map, cal))
     failed = failed_keys(run_log, entity_map, cal).withColumn("_failed", F.lit(True))
     keys = ["stock_id", "trade_date"]
     df = indicators.technical(bars).join(sent, keys, "left").join(failed, keys, "left")

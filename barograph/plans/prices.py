@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from barograph.operators import asof, indicators, universe
+from barograph.operators import asof, indicators, merges, universe
 from barograph.plans.registry import query
 from barograph.sources.fixtures import Views
 
@@ -46,20 +46,20 @@ def targets(v: Views) -> DataFrame:
     return rounded(indicators.targets(v.bars), ["target_return"]).select("stock_id", "trade_date", "target_close", "target_return", "target_up", "label_end_date")
 
 
-SQL_TB = f""", tb AS (SELECT *, list(struct_pack(h := high_price, l := low_price)) OVER {W} ROWS BETWEEN 1 FOLLOWING AND 5 FOLLOWING) AS days, lead(open_price) OVER {W}) AS e FROM bars),
+SQL_TB = f""", tb AS (SELECT *, list(struct_pack(h := high_price, l := low_price)) OVER {W} ROWS BETWEEN 1 FOLLOWING AND 5 FOLLOWING) AS days, lead(open_price) OVER {W}) AS e, lead(trade_date, 5) OVER {W}) AS label_end_date_tb FROM bars),
 tc AS (SELECT *, coalesce(len(days), 0) AS n, coalesce(list_filter(list_transform(coalesce(days, []), lambda x: CASE WHEN x.h >= e * 1.02 AND x.l <= e * 0.985 THEN 8 WHEN x.h >= e * 1.02 THEN 1 WHEN x.l <= e * 0.985 THEN -1 ELSE 0 END), lambda x: x <> 0)[1], 0) AS f FROM tb),
-labels3 AS (SELECT stock_id, trade_date, CASE WHEN n = 0 THEN 'no_entry' WHEN n < 5 THEN 'insufficient_data' WHEN f = 8 THEN 'ambiguous' END AS label_reason, CASE WHEN n = 5 AND f <> 8 THEN f END AS triple_barrier FROM tc)
+labels3 AS (SELECT stock_id, trade_date, CASE WHEN n = 0 THEN 'no_entry' WHEN n < 5 THEN 'insufficient_data' WHEN f = 8 THEN 'ambiguous_dual_barrier' END AS label_reason, CASE WHEN n = 5 AND f <> 8 THEN f END AS triple_barrier, label_end_date_tb FROM tc)
 """
 
 
 @query("E14_triple_barrier", SQL_TB + "SELECT * FROM labels3")
 def triple_barrier(v: Views) -> DataFrame:
-    return indicators.triple_barrier(v.bars).select("stock_id", "trade_date", "label_reason", "triple_barrier")
+    return indicators.triple_barrier(v.bars).select("stock_id", "trade_date", "label_reason", "triple_barrier", "label_end_date_tb")
 
 
 @query("E15_J07_tail_labels", SQL_TB + f"SELECT * FROM labels3 QUALIFY row_number() OVER (PARTITION BY stock_id ORDER BY trade_date DESC) <= 6")
 def tail_labels(v: Views) -> DataFrame:
-    return indicators.tail_labels(v.bars, 6).select("stock_id", "trade_date", "label_reason", "triple_barrier")
+    return indicators.tail_labels(v.bars, 6).select("stock_id", "trade_date", "label_reason", "triple_barrier", "label_end_date_tb")
 
 
 @query("D17_label_distribution", SQL_TB + "SELECT stock_id, coalesce(label_reason, CAST(triple_barrier AS VARCHAR)) AS label, count(*) AS n FROM labels3 GROUP BY 1, 2")
@@ -68,10 +68,10 @@ def label_distribution(v: Views) -> DataFrame:
     return df.groupBy("stock_id", F.coalesce("label_reason", F.col("triple_barrier").cast("string")).alias("label")).agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("D19_D20_label_ratios", SQL_TB + "SELECT stock_id, count(*) AS n, round(count(*) FILTER (triple_barrier = 0) / count(triple_barrier), 8) AS timeout_ratio, round(count(*) FILTER (label_reason = 'ambiguous') / count(*), 8) AS ambiguous_ratio, count(*) FILTER (label_reason = 'ambiguous') / count(*) > 0.1 AS escalate FROM labels3 GROUP BY 1")
+@query("D19_D20_label_ratios", SQL_TB + "SELECT stock_id, count(*) AS n, round(count(*) FILTER (triple_barrier = 0) / count(triple_barrier), 8) AS timeout_ratio, round(count(*) FILTER (label_reason = 'ambiguous_dual_barrier') / count(*), 8) AS ambiguous_ratio, count(*) FILTER (label_reason = 'ambiguous_dual_barrier') / count(*) > 0.1 AS escalate FROM labels3 GROUP BY 1")
 def label_ratios(v: Views) -> DataFrame:
     df = indicators.triple_barrier(v.bars)
-    n, vague = F.count(F.lit(1)), F.count_if(F.col("label_reason").eqNullSafe("ambiguous"))
+    n, vague = F.count(F.lit(1)), F.count_if(F.col("label_reason").eqNullSafe(indicators.AMBIGUOUS))
     return df.groupBy("stock_id").agg(n.alias("n"), F.round(F.try_divide(F.count_if(F.col("triple_barrier") == 0), F.count("triple_barrier")), 8).alias("timeout_ratio"), F.round(vague / n, 8).alias("ambiguous_ratio"), (vague / n > 0.1).alias("escalate"))
 
 
@@ -162,7 +162,7 @@ def feature_lag(v: Views) -> DataFrame:
     return last.join(F.broadcast(late))  # one row beside one row
 
 
-@query("C14_anti_missing_rows", "SELECT stock_id, trade_date FROM bars b WHERE NOT EXISTS (SELECT 1 FROM bars x WHERE x.volume % 5 <> 0 AND x.stock_id = b.stock_id AND x.trade_date = b.trade_date)")
+@query("C14_anti_missing_rows", "SELECT b.stock_id, b.trade_date FROM bars b ANTI JOIN (SELECT stock_id, trade_date FROM bars WHERE volume % 5 <> 0) x ON x.stock_id = b.stock_id AND x.trade_date = b.trade_date")
 def missing_rows(v: Views) -> DataFrame:
     b = v.bars.select("stock_id", "trade_date", "volume")
     return b.select("stock_id", "trade_date").join(b.where(F.col("volume") % 5 != 0), ["stock_id", "trade_date"], "left_anti")
@@ -174,8 +174,7 @@ def set_operations(v: Views) -> DataFrame:
     return one.intersect(two).withColumn("side", F.lit("both")).unionByName(one.subtract(two).withColumn("side", F.lit("only_first")))
 
 
-@query("D16_fingerprint", "SELECT count(*) AS n, md5(string_agg(stock_id || '|' || trade_date || '|' || volume, '' ORDER BY stock_id, trade_date)) AS print FROM bars WHERE stock_id = 'Brand#3'")
+@query("D16_fingerprint", """, p AS (SELECT stock_id, count(*) AS n, md5(string_agg(stock_id || '|' || trade_date || '|' || volume, '' ORDER BY trade_date)) AS print FROM bars GROUP BY 1)
+SELECT CAST(sum(n) AS BIGINT) AS n, md5(string_agg(print, '' ORDER BY stock_id)) AS print FROM p""")
 def fingerprint(v: Views) -> DataFrame:
-    b = v.bars.where("stock_id = 'Brand#3'")
-    rows = F.sort_array(F.collect_list(F.struct("stock_id", "trade_date", F.concat_ws("|", "stock_id", F.col("trade_date").cast("string"), F.col("volume").cast("string")).alias("row"))))
-    return b.agg(F.count(F.lit(1)).alias("n"), F.md5(F.array_join(F.transform(rows, lambda r: r["row"]), "").cast("binary")).alias("print"))
+    return merges.fingerprint(v.bars, "stock_id", ["trade_date"], ["stock_id", "trade_date", "volume"])

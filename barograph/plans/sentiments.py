@@ -59,7 +59,7 @@ def theme_daily(v: Views) -> DataFrame:
 @query("C03_D03_D05_fusion", SQL_ART + "SELECT stock_id, trade_date, article_count, round(sentiment, 8) AS sentiment, round(bullishness, 8) + 0.0 AS bullishness, round(agreement, 8) + 0.0 AS agreement FROM fused")
 def fusion(v: Views) -> DataFrame:
     cal = v.bars.select("stock_id", "trade_date")
-    df = sentiment.fused(sentiment.direct_daily(_art(v), v.entity_map, cal), sentiment.theme_daily(_art(v), v.theme_map, cal))
+    df = sentiment.fused(sentiment.both_daily(_art(v), v.entity_map, v.theme_map, cal))
     return df.select("stock_id", "trade_date", "article_count", *[(F.round(c, 8) + 0.0).alias(c) for c in ("sentiment", "bullishness", "agreement")])
 
 

@@ -59,7 +59,7 @@ def test_barriers(spark):
     label = lambda **k: [(r["triple_barrier"], r["label_reason"]) for r in indicators.triple_barrier(bars(spark, flat, **k)).orderBy("trade_date").collect()]
     assert label()[:2] == [(0, None)] * 2 and label()[2] == (None, "insufficient_data") and label()[6] == (None, "no_entry")
     assert label(highs=up)[0] == (1, None) and label(lows=both)[0] == (-1, None)
-    assert label(highs=[100.0] * 2 + [103.0] + [100.0] * 4, lows=both)[0] == (None, "ambiguous")
+    assert label(highs=[100.0] * 2 + [103.0] + [100.0] * 4, lows=both)[0] == (None, "ambiguous_dual_barrier")
     assert label(highs=[100.0] * 2 + [None] + [100.0] * 4)[0] == (None, "insufficient_data")
     assert label(opens=[100.0, None] + [100.0] * 5)[0] == (None, "no_entry")
 
@@ -123,3 +123,19 @@ def test_an_upsert_twice_is_one(spark):
     once = merges.upsert(old, new, ["k"], [F.desc("v")])
     twice = merges.upsert(once, new, ["k"], [F.desc("v")])
     assert sorted(map(tuple, once.collect())) == sorted(map(tuple, twice.collect())) == [(1, 1), (2, 5), (3, 7)]
+
+
+def test_rsi_with_missing_closes_over_many_blocks(spark):
+    import random
+
+    import pandas as pd
+
+    rnd = random.Random(4)
+    closes = [None if rnd.random() < 0.15 or 40 <= i < 60 else 100 + rnd.gauss(0, 3) for i in range(300)]
+    change = pd.Series(closes, dtype=float).diff()
+    up, down = (x.clip(lower=0).ewm(alpha=1 / 14, min_periods=14, adjust=False).mean() for x in (change, -change))
+    want = (100 - 100 / (1 + up / down)).fillna(50.0).tolist()
+    got = [r["rsi_14"] for r in indicators.rsi(bars(spark, closes), block=16).orderBy("trade_date").collect()]
+    # blocks of 16 carry four ends: what is older weighs under (13 / 14) ** 64
+    assert got == pytest.approx(want, abs=0.5)
+    assert [r["rsi_14"] for r in indicators.rsi(bars(spark, closes)).orderBy("trade_date").collect()] == pytest.approx(want, abs=1e-9)
