@@ -1,23 +1,30 @@
 """LM scoring by online logistic context mixing over bytes.
 
-Every byte of a text (and an end mark, 255) is coded as eight binary decisions. Five bit predictors look at
-hashed contexts of 0 to 4 preceding bytes plus the bits already known; their stretched probabilities are
-mixed by weights that a gate selects (bit position and how often the two longest contexts were seen), and the
-result is refined by an adaptive probability map of stretched buckets. Bits add up to the text's probability.
+Every byte of a text (and an end mark, 255) is coded as eight binary decisions. Four bit predictors look at
+contexts of 1 to 4 preceding bytes plus the bits already known, the longer ones by hash; their stretched
+probabilities are mixed by weights that a gate selects (bit position and how often the two longest contexts were
+seen), and the result is refined by an adaptive probability map of stretched buckets. Bits add up to the text's
+probability.
 
 Training covers all training texts. As a decision depends on five bytes, tasks count distinct five-byte windows
-and Spark sums them; predictor tables, mixer and map are then learned from those counts, the mixer by online
-gradient steps in every task, with each window's own occurrence taken out of the counts it is predicted from,
-and averaged over tasks. Tables have a fixed number of slots, so what is broadcast is bounded; the window and
-token counts grow with the corpus and stay distributed.
+and Spark sums them. The sums are dealt into parts by the two-byte context, so that each part's counters are
+complete in one task, which writes them to the shared folder; workers read them there. Counters grow with the
+training bytes up to 2**MOST_BITS slots an order, beyond which contexts share slots. Trained weights are the
+likelihood's maximum (Newton steps on sums over all windows, each window's own occurrence taken out of the
+counts), the trained map its shares; both are the same however rows are dealt.
+
+Scoring is online: a text starts from the trained state and learns as it goes. After each run of bytes (16 at
+first, longer ones later) its own weights take a gradient step and its map the outcomes, so the next run is
+predicted by what the text has shown. Texts advance side by side as array operations and never see each other.
 
 The base score needs each token's corpus count. Texts are cut into blocks; a block asks once for each of its
-distinct tokens, so that a word in every text is asked for once a block and no join key is hot, and the
+distinct tokens, so a word in every text is one row a block, one of the thousands that a block asks for, and the
 answers meet the block's texts in a cogroup of bounded size.
 """
 
 from __future__ import annotations
 
+import functools
 from collections import Counter
 from collections.abc import Iterator
 
@@ -26,119 +33,247 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from barograph.llm.common import held_out, materialise, table
+from barograph.llm.common import held_out, materialise, new_path, open_store, table, write_atomic
 
-ORDERS = 5
-#: log2 of the slots of each order's table.
-TABLE_BITS = [8, 16, 18, 20, 20]
-OFFSETS = np.concatenate([[0], np.cumsum([1 << b for b in TABLE_BITS])])
+ORDERS, HASHED = 4, 3
+#: log2 of the slots of each hashed order: as many as there are training bytes, divided by 8, within these limits.
+LEAST_BITS, MOST_BITS = 14, 23
+PART_BITS = 6
+LOW = 1 << 16
 GATES, BUCKETS = 8 * 16, 33
-RATE, EPOCHS, CHUNK = 0.02, 2, 4096
-BLOCK_BYTES, MOST_BLOCK_ROWS = 8 << 20, 20_000
+STEPS, PRIOR = 2, 10.0
+CHUNK = 1 << 15
+#: A text's own learning: rate of the weights, trained map's strength in observations.
+RATE, STRENGTH = 0.002, 48.0
+#: Runs of bytes between updates: (up to this byte, run).
+RUNS = [(256, 16), (1024, 32), (8192, 64), (65536, 512), (1 << 62, 4096)]
+SIDE_BY_SIDE = 512
+BLOCK_BYTES, MOST_BLOCK_ROWS, SLICE = 32 << 20, 80_000, 3_000_000
 END = 255
-CACHE_BITS = 20
+MOST_COUNT = 30_000.0
 _LOWER = bytes(i + 32 if 65 <= i <= 90 else i for i in range(256))
-_SEED = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], np.uint64)
+_SEED = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93], np.uint64)
+_NODE = np.uint64(0xA0761D6478BD642F)
+_J = np.arange(8)
 
 
-def windows(text: str | None) -> np.ndarray:
+def windows(raw: bytes) -> np.ndarray:
     """The five-byte windows that end at each byte of the text and at its end mark, zeros before the start."""
-    b = np.frombuffer(b"\0\0\0\0" + (text or "").encode() + bytes([END]), np.uint8).astype(np.int64)
+    b = np.frombuffer(b"\0\0\0\0" + raw + bytes([END]), np.uint8).astype(np.int64)
     return b[4:] | b[3:-1] << 8 | b[2:-2] << 16 | b[1:-3] << 24 | b[:-4] << 32
 
 
-def slots(grams: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(slot of each window, order and bit position; the bits)."""
-    byte = grams & 255
-    j = np.arange(8)
-    node = (1 << j)[None, :] | (byte[:, None] >> (8 - j)[None, :])
-    bit = (byte[:, None] >> (7 - j)[None, :]) & 1
+def part_of(grams: np.ndarray) -> np.ndarray:
+    """The part of the counters that holds a window's hashed contexts: by hash of the two bytes before."""
+    return (((grams >> 8 & 0xFFFF).astype(np.uint64) * _SEED[0]) >> np.uint64(64 - PART_BITS)).astype(np.int64)
+
+
+def slots(grams: np.ndarray, bits: int) -> np.ndarray:
+    """Slot of each window, order and bit: order one by its byte in LOW slots, the others by hash within their part."""
+    byte, context = grams & 255, grams >> 8
+    node = (1 << _J)[None, :] | (byte[:, None] >> (8 - _J)[None, :])
     out = np.empty((len(grams), ORDERS, 8), np.int64)
-    context = grams >> 8
-    for o in range(ORDERS):
-        c = context & ((1 << 8 * o) - 1)
-        if o < 2:
-            out[:, o] = c[:, None] << 8 | node
+    out[:, 0] = (context & 255)[:, None] << 8 | node
+    local = bits - PART_BITS
+    start, steps = part_of(grams) << local, node.astype(np.uint64) * _NODE
+    for o in range(1, ORDERS):
+        h = (context & ((1 << 8 * (o + 1)) - 1)).astype(np.uint64) * _SEED[o]
+        h = (((h ^ (h >> np.uint64(29)))[:, None] + steps) * _SEED[0]) >> np.uint64(64 - local)
+        out[:, o] = h.astype(np.int64) + (start + (LOW + ((o - 1) << bits)))[:, None]
+    return out
+
+
+def bits_of(grams: np.ndarray) -> np.ndarray:
+    return (grams[:, None] >> (7 - _J)[None, :]) & 1
+
+
+def as_halves(n: np.ndarray) -> np.ndarray:
+    """Counts (..., 2) as 16-bit floats; pairs beyond MOST_COUNT keep their ratio."""
+    top = np.maximum(n.max(-1, keepdims=True), MOST_COUNT)
+    return (n * (MOST_COUNT / top)).astype("<f2")
+
+
+def write_counters(batches: Iterator[pd.DataFrame], folder: str, bits: int) -> Iterator[pd.DataFrame]:
+    """Passes (gram, n) on, writes the counters of the parts it holds, and adds order one's counts as low rows."""
+    local = 1 << (bits - PART_BITS)
+    sums: dict[int, np.ndarray] = {}
+    low = np.zeros((2, LOW))
+
+    def add(grams: np.ndarray, c: np.ndarray) -> None:
+        at, bit, part = slots(grams, bits), bits_of(grams), part_of(grams)
+        weight = np.broadcast_to(c[:, None], bit.shape)
+        for v in (0, 1):
+            low[v] += np.bincount(at[:, 0][bit == v], weight[bit == v], LOW)
+        for k in np.unique(part):
+            mine = part == k
+            total = sums.setdefault(int(k), np.zeros((HASHED, local, 2)))
+            for o in range(HASHED):
+                inside = (at[mine, o + 1] - LOW) & (local - 1)
+                for v in (0, 1):
+                    ok = bit[mine] == v
+                    total[o, :, v] += np.bincount(inside[ok], weight[mine][ok], local)
+
+    held: list[pd.DataFrame] = []
+    for b in batches:
+        yield b.assign(low=False)
+        held.append(b)
+        if sum(map(len, held)) >= 4 * CHUNK:
+            both = pd.concat(held)
+            add(both["gram"].to_numpy(), both["n"].to_numpy(float))
+            held = []
+    if held:
+        both = pd.concat(held)
+        add(both["gram"].to_numpy(), both["n"].to_numpy(float))
+    for k, total in sums.items():
+        write_atomic(folder, f"part-{k:03d}", as_halves(total).tobytes())
+    v, at = np.nonzero(low)
+    yield pd.DataFrame({"gram": at * 2 + v, "n": low[v, at].astype(np.int64), "low": True})
+
+
+@functools.lru_cache(maxsize=1)  # a Python worker keeps the last model's counters for its next tasks
+def counters(folder: str, bits: int) -> np.ndarray:
+    """All counters as pairs of 16-bit floats, zeros where no part was written."""
+    from pyarrow import fs
+
+    out = np.zeros((LOW + (HASHED << bits), 2), "<f2")
+    store, base = open_store(folder)
+    local = 1 << (bits - PART_BITS)
+    for f in store.get_file_info(fs.FileSelector(base, allow_not_found=True)):
+        if f.base_name.startswith("."):
+            continue
+        with store.open_input_stream(f.path) as stream:
+            part = np.frombuffer(stream.read(), "<f2")
+        if f.base_name == "low":
+            out[:LOW] = part.reshape(LOW, 2)
         else:
-            h = (c[:, None] << 8 | node).astype(np.uint64) * _SEED[o]
-            h = (h ^ (h >> np.uint64(29))) * _SEED[0]
-            out[:, o] = (h >> np.uint64(64 - TABLE_BITS[o])).astype(np.int64)
-        out[:, o] += OFFSETS[o]
-    return out, bit
+            k = int(f.base_name.removeprefix("part-"))
+            for o, x in enumerate(part.reshape(HASHED, local, 2)):
+                at = LOW + (o << bits) + k * local
+                out[at : at + local] = x
+    return out
 
 
 class Mixer:
-    """Predictor counts, gate weights and the refining map."""
-
-    def __init__(self, n0: np.ndarray, n1: np.ndarray, weights: np.ndarray | None = None, refine: np.ndarray | None = None):
-        self.n0, self.n1 = n0, n1
-        self.weights = np.full((GATES, ORDERS), 0.3) if weights is None else weights
-        self.refine = refine
-        self.cache: tuple[np.ndarray, np.ndarray] | None = None
-
-    def inputs(self, grams: np.ndarray, leave_out: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(stretched probabilities by window, bit and order; gates; bits)."""
-        at, bit = slots(grams)
-        a, b = self.n0[at], self.n1[at]
+    """Counters, trained gate weights and trained map."""
+
+    def __init__(self, folder: str, bits: int, weights: np.ndarray, refine: np.ndarray | None = None):
+        self.folder, self.bits, self.weights, self.refine = folder, bits, weights, refine
+        self.counts = counters(folder, bits).view("<u4").reshape(-1)
+
+    def inputs(self, grams: np.ndarray, leave_out: bool = False) -> tuple[np.ndarray, np.ndarray]:
+        """(stretched probabilities by window, bit and order, in steps of 1/16; gates)."""
+        pair = self.counts[slots(grams, self.bits)].view("<f2").reshape(len(grams), ORDERS, 8, 2).astype(np.float32)
+        a, b = pair[..., 0], pair[..., 1]
         if leave_out:
-            own = bit[:, None, :]
-            b = np.maximum(b - own, 0)
-            a = np.maximum(a - (1 - own), 0)
-        seen = np.digitize((a + b)[:, 3:], [0.5, 2.5, 16.5])
-        gate = np.arange(8)[None, :] * 16 + seen[:, 0] * 4 + seen[:, 1]
-        x = np.clip(np.log((b + 0.4) / (a + 0.4)), -8, 8)
-        return x.transpose(0, 2, 1), gate, bit
+            own = bits_of(grams)[:, None, :]
+            b, a = np.maximum(b - own, 0), np.maximum(a - (1 - own), 0)
+        n = (a + b)[:, 2:]
+        seen = (n > 0.5).astype(np.int64) + (n > 2.5) + (n > 16.5)
+        gate = _J[None, :] * 16 + seen[:, 0] * 4 + seen[:, 1]
+        x = np.clip(np.rint(16 * np.log((b + 0.4) / (a + 0.4))), -127, 127).astype(np.int8)
+        return x.transpose(0, 2, 1), gate
 
     def mixed(self, x: np.ndarray, gate: np.ndarray) -> np.ndarray:
-        return np.clip((x * self.weights[gate]).sum(-1), -12, 12)
-
-    def probability(self, z: np.ndarray) -> np.ndarray:
-        """Of a one bit, from the mixed stretch and (after fitting) the map for that bit position and bucket."""
-        p = 1 / (1 + np.exp(-z))
-        if self.refine is not None:
-            p = (p + self.refine[np.arange(8)[None, :], bucket(z)]) / 2
-        return np.clip(p, 1e-6, 1 - 1e-6)
-
-    def learn(self, grams: np.ndarray, counts: np.ndarray) -> np.ndarray:
-        """Online steps over chunks of windows; returns how much weight each gate has seen."""
-        visits = np.zeros(GATES)
-        for _ in range(EPOCHS):
-            for at in range(0, len(grams), CHUNK):
-                x, gate, bit = self.inputs(grams[at : at + CHUNK], leave_out=True)
-                n = np.minimum(counts[at : at + CHUNK], 1000.0)[:, None] * np.ones(8)
-                err = n * (bit - 1 / (1 + np.exp(-self.mixed(x, gate))))
-                g = gate.ravel()
-                total = np.bincount(g, n.ravel(), GATES)
-                for o in range(ORDERS):
-                    step = np.bincount(g, (err * x[:, :, o]).ravel(), GATES)
-                    self.weights[:, o] += RATE * step / np.maximum(total, 1)
-                visits += total
-        return visits
-
-    def cost(self, grams: np.ndarray) -> np.ndarray:
-        """log10 probability of the last byte of each window given the four before it."""
-        x, gate, bit = self.inputs(grams)
-        p = self.probability(self.mixed(x, gate))
-        return np.log10(np.where(bit == 1, p, 1 - p)).sum(1)
-
-    def costs(self, grams: np.ndarray) -> np.ndarray:
-        """cost() through a direct-mapped table of recent windows, 2**CACHE_BITS of them."""
-        if self.cache is None:
-            self.cache = np.full(1 << CACHE_BITS, -1, np.int64), np.zeros(1 << CACHE_BITS)
-        keys, known = self.cache
-        at = ((grams.astype(np.uint64) * _SEED[0]) >> np.uint64(64 - CACHE_BITS)).astype(np.int64)
-        out = known[at]
-        miss = np.flatnonzero(keys[at] != grams)
-        if len(miss):
-            new, back = np.unique(grams[miss], return_inverse=True)
-            value = np.concatenate([self.cost(new[i : i + CHUNK]) for i in range(0, len(new), CHUNK)])
-            out[miss] = value[back]
-            keys[at[miss]], known[at[miss]] = grams[miss], value[back]
+        return np.clip((x * np.float32(1 / 16) * self.weights[gate]).sum(-1), -12, 12)
+
+    def costs(self, texts: list[bytes]) -> np.ndarray:
+        """log10 probability of each text, learning from each as it goes; about SLICE bytes of text at once."""
+        out, at, held = np.zeros(len(texts)), 0, 0
+        for i, t in enumerate(texts):
+            held += len(t) + 1
+            if held >= SLICE or i == len(texts) - 1:
+                out[at : i + 1] = self._slice(texts[at : i + 1])
+                at, held = i + 1, 0
+        return out
+
+    def _slice(self, texts: list[bytes]) -> np.ndarray:
+        each = [windows(t) for t in texts]
+        size = np.array([len(w) for w in each])
+        start = np.concatenate([[0], np.cumsum(size)[:-1]])
+        code, distinct = pd.factorize(np.concatenate(each))
+        del each
+        x, z = np.empty((ORDERS, len(distinct), 8), np.int8), np.empty((len(distinct), 8), np.float32)
+        for i in range(0, len(distinct), CHUNK):
+            new, gate = self.inputs(distinct[i : i + CHUNK])
+            x[:, i : i + CHUNK] = new.transpose(2, 0, 1)
+            z[i : i + CHUNK] = self.mixed(new, gate)
+        bit = bits_of(distinct).astype(np.float32)
+        out, order = np.zeros(len(texts)), np.argsort(-size, kind="stable")
+        for i in range(0, len(order), SIDE_BY_SIDE):
+            mine = order[i : i + SIDE_BY_SIDE]
+            out[mine] = self._online(code, x, z, bit, start[mine], size[mine])
         return out
 
+    def _online(self, code: np.ndarray, x: np.ndarray, z: np.ndarray, bit: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
+        """Texts of falling size: each run is predicted from the state after the runs before.
+
+        A text's state: `own`, what it adds to the weights by order and bit position, and by bucket how often
+        (`seen`) and by how much in all (`off`) outcomes were above the trained map. Arrays are texts by the bits
+        of a run, eight a byte.
+        """
+        n = len(size)
+        own = np.zeros((ORDERS, n, 8), np.float32)
+        seen, off = np.zeros(n * BUCKETS + 1), np.zeros(n * BUCKETS + 1)
+        trained = self.refine.astype(np.float32).ravel()
+        rate, half, least, most = np.float32(RATE / 256), np.float32(0.5), np.float32(1e-6), np.float32(1 - 1e-6)
+        rows = (np.arange(n) * BUCKETS)[:, None]
+        out = np.zeros(n)
+        for a, b in runs(int(size[0])):
+            live, wide = int(np.searchsorted(-size, -a, "left")), b - a
+            step = np.arange(a, b)
+            at = code[np.minimum(start[:live, None] + step[None, :], len(code) - 1)]
+            shape = live, wide * 8
+            xs = [v.take(at, 0).astype(np.float32).reshape(shape) for v in x]
+            p, bits = z.take(at, 0).reshape(shape), bit.take(at, 0).reshape(shape)
+            for v, w in zip(xs, own, strict=True):
+                p += v * np.tile(w[:live], (1, wide))
+            np.clip(p, -12, 12, out=p)
+            k = bucket(p)
+            r = trained.take(k + np.tile(_J * BUCKETS, wide))
+            k += rows[:live]
+            np.exp(-p, out=p)
+            p += 1
+            np.reciprocal(p, out=p)
+            past = np.repeat(step, 8)[None, :] >= size[:live, None]
+            ragged = past[:, -1].any()
+            if ragged:
+                k[past] = n * BUCKETS  # bytes beyond the end count in a cell that nobody reads
+                bits[past] = p[past]
+            q = (off / (STRENGTH + seen)).astype(np.float32).take(k)
+            q += p
+            q += r
+            q *= half
+            np.clip(q, least, most, out=q)
+            q -= 1
+            q += bits
+            np.abs(q, out=q)  # the probability of what came
+            np.log(q, out=q)
+            if ragged:
+                q[past] = 0
+            out[:live] += q.sum(1, dtype=np.float64)
+            cells = k.ravel()
+            seen += np.bincount(cells, minlength=len(seen))
+            off += np.bincount(cells, (bits - r).ravel(), len(off))
+            seen[-1] = off[-1] = 0
+            bits -= p
+            err = bits.reshape(live, wide, 8)
+            for v, w in zip(xs, own, strict=True):
+                w[:live] += rate * np.einsum("bnk,bnk->bk", v.reshape(err.shape), err)
+        return out / np.log(10)
+
+
+def runs(size: int) -> Iterator[tuple[int, int]]:
+    """Runs of bytes up to `size`, by the schedule alone: the last one may reach beyond."""
+    a = 0
+    while a < size:
+        step = next(run for end, run in RUNS if a < end)
+        yield a, a + step
+        a += step
+
 
 def bucket(z: np.ndarray) -> np.ndarray:
-    return np.clip(np.rint(z * 2).astype(np.int64) + BUCKETS // 2, 0, BUCKETS - 1)
+    """Nearest half, from 0 on; the least and the greatest take all beyond."""
+    return (np.clip(z + z, -(BUCKETS // 2), BUCKETS // 2) + (BUCKETS // 2 + 0.5)).astype(np.int64)
 
 
 def blocks(docs: DataFrame) -> DataFrame:
@@ -175,123 +310,142 @@ def block_tokens(cut: DataFrame) -> DataFrame:
 
 
 def window_counts(train: DataFrame) -> DataFrame:
-    """gram, n over all training texts; tasks sum what they can hold first."""
+    """gram, n, part over all training texts, not yet summed over tasks: a task sums what it can hold."""
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        grams, n = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        parts: list[tuple[np.ndarray, np.ndarray]] = []
 
-        def merge(parts: list[np.ndarray]) -> None:
-            nonlocal grams, n
-            new, c = np.unique(np.concatenate(parts), return_counts=True)
-            both, back = np.unique(np.concatenate([grams, new]), return_inverse=True)
-            grams, n = both, np.bincount(back, np.concatenate([n, c])).astype(np.int64)
+        def out() -> pd.DataFrame:
+            both, back = np.unique(np.concatenate([g for g, _ in parts]), return_inverse=True)
+            n = np.bincount(back, np.concatenate([c for _, c in parts])).astype(np.int64)
+            return pd.DataFrame({"gram": both, "n": n, "part": part_of(both).astype(np.int32)})
 
+        new, size = [], 0
         for b in batches:
-            parts, size = [], 0
             for text in b["text"]:
-                parts.append(windows(text))
-                size += len(parts[-1])
-                if size > 2_000_000:
-                    merge(parts)
-                    parts, size = [], 0
-            if parts:
-                merge(parts)
-            if len(grams) > 1_000_000:
-                yield pd.DataFrame({"gram": grams, "n": n})
-                grams, n = np.zeros(0, np.int64), np.zeros(0, np.int64)
-        yield pd.DataFrame({"gram": grams, "n": n})
-
-    return train.select("text").mapInPandas(count, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n"))
-
-
-def fit(train: DataFrame) -> Mixer:
-    """Three passes over the window counts: tables, mixer weights, refining map."""
-    counts = materialise(window_counts(train), "windows")
-
-    def tables(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        n = np.zeros((2, OFFSETS[-1]))
-        for b in batches:
-            grams, c = b["gram"].to_numpy(), b["n"].to_numpy(float)
-            for i in range(0, len(grams), CHUNK):
-                at, bit = slots(grams[i : i + CHUNK])
-                w = np.broadcast_to(c[i : i + CHUNK, None, None], at.shape)
-                one = np.broadcast_to(bit[:, None, :] == 1, at.shape)
-                np.add.at(n[1], at[one], w[one])
-                np.add.at(n[0], at[~one], w[~one])
-        used = np.flatnonzero(n.any(0))
-        yield pd.DataFrame({"slot": used, "n0": n[0][used], "n1": n[1][used]})
-
-    summed = counts.mapInPandas(tables, "slot long, n0 double, n1 double").groupBy("slot").agg(F.sum("n0").cast("float").alias("n0"), F.sum("n1").cast("float").alias("n1")).select(F.col("slot").cast("int"), "n0", "n1").toPandas()
-    n0, n1 = np.zeros(OFFSETS[-1], np.float32), np.zeros(OFFSETS[-1], np.float32)
-    n0[summed["slot"]], n1[summed["slot"]] = summed["n0"], summed["n1"]
-    sent = train.sparkSession.sparkContext.broadcast((n0, n1))
-
-    def weights(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        m, visits = Mixer(*sent.value), np.zeros(GATES)
+                new.append(windows(text.encode()))
+                size += len(new[-1])
+                if size >= 2_000_000:
+                    parts.append(np.unique(np.concatenate(new), return_counts=True))
+                    new, size = [], 0
+                    if sum(len(g) for g, _ in parts) >= 4_000_000:
+                        yield out()
+                        parts = []
+        if new:
+            parts.append(np.unique(np.concatenate(new), return_counts=True))
+        if parts:
+            yield out()
+
+    return train.select("text").mapInPandas(count, "gram long, n long, part int")
+
+
+def _sums(made: DataFrame) -> pd.DataFrame:
+    """made(i, v): sums by i, a few thousand numbers at most."""
+    return made.groupBy("i").agg(F.sum("v").alias("v")).toPandas()
+
+
+def fit(train: DataFrame, train_bytes: int) -> tuple[str, int, np.ndarray, np.ndarray]:
+    """(folder of counters, their bits, gate weights, map) of all training texts."""
+    spark = train.sparkSession
+    folder = new_path(spark, "counters")
+    bits = int(min(MOST_BITS, max(LEAST_BITS, np.ceil(np.log2(max(1, train_bytes))) - 3)))
+    dealt = window_counts(train).repartition(1 << PART_BITS, "part")  # a part's windows meet in one task
+    summed = dealt.groupBy("part", "gram").agg(F.sum("n").alias("n")).select("gram", "n")
+    found = materialise(summed.mapInPandas(lambda b: write_counters(b, folder, bits), "gram long, n long, low boolean"), "windows")
+    low = found.where("low").groupBy("gram").agg(F.sum("n").alias("n")).coalesce(1)  # 2 LOW rows at most
+
+    def write_low(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        n = np.zeros(2 * LOW)
         for b in batches:
-            visits += m.learn(b["gram"].to_numpy(), b["n"].to_numpy(float))
-        yield pd.DataFrame({"gate": np.repeat(np.arange(GATES), ORDERS), "order": np.tile(np.arange(ORDERS), GATES), "v": np.repeat(visits, ORDERS), "w": m.weights.ravel()})
-
-    learned = counts.mapInPandas(weights, "gate int, order int, v double, w double").groupBy("gate", "order").agg(F.try_divide(F.sum(F.col("v") * F.col("w")), F.sum("v")).alias("w")).toPandas()
-    w = np.full((GATES, ORDERS), 0.3)
-    learned = learned.dropna()
-    w[learned["gate"], learned["order"]] = learned["w"]
+            n[b["gram"]] = b["n"]
+        write_atomic(folder, "low", as_halves(n.reshape(LOW, 2)).tobytes())
+        yield pd.DataFrame({"done": [True]})
+
+    low.mapInPandas(write_low, "done boolean").collect()
+    counts = found.where("not low").select("gram", "n")
+    weights = np.full((GATES, ORDERS), 0.3)
+    pairs = [(o, q) for o in range(ORDERS) for q in range(o, ORDERS)]
+
+    for _ in range(STEPS):
+        now = weights
+
+        def slopes(batches: Iterator[pd.DataFrame], now: np.ndarray = now) -> Iterator[pd.DataFrame]:
+            m, total = Mixer(folder, bits, now), np.zeros((ORDERS + len(pairs), GATES))
+            for b in batches:
+                grams, c = b["gram"].to_numpy(), b["n"].to_numpy(float)
+                for i in range(0, len(grams), CHUNK):
+                    part = grams[i : i + CHUNK]
+                    x, gate = m.inputs(part, leave_out=True)
+                    p = 1 / (1 + np.exp(-m.mixed(x, gate)))
+                    n, g = c[i : i + CHUNK, None], gate.ravel()
+                    xs = [(x[..., o] / 16.0).ravel() for o in range(ORDERS)]
+                    err, curve = (n * (bits_of(part) - p)).ravel(), (n * p * (1 - p)).ravel()
+                    for o in range(ORDERS):
+                        total[o] += np.bincount(g, err * xs[o], GATES)
+                    for k, (o, q) in enumerate(pairs):
+                        total[ORDERS + k] += np.bincount(g, curve * xs[o] * xs[q], GATES)
+            yield pd.DataFrame({"i": np.arange(total.size), "v": total.ravel()})
+
+        got, total = _sums(counts.mapInPandas(slopes, "i int, v double")), np.zeros((ORDERS + len(pairs)) * GATES)
+        total[got["i"]] = got["v"]
+        total = total.reshape(-1, GATES)
+        weights = weights.copy()
+        for g in range(GATES):
+            curve = np.eye(ORDERS) * PRIOR
+            for k, (o, q) in enumerate(pairs):
+                curve[o, q] = curve[q, o] = total[ORDERS + k, g] + PRIOR * (o == q)
+            weights[g] += np.clip(np.linalg.solve(curve, total[:ORDERS, g] - PRIOR * (weights[g] - 0.3)), -0.5, 0.5)
+    weights = weights.round(6).astype(np.float32)
 
     def mapped(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        m, hits = Mixer(*sent.value, w), np.zeros((2, 8 * BUCKETS))
+        m, hits = Mixer(folder, bits, weights), np.zeros((2, 8 * BUCKETS))
         for b in batches:
             grams, c = b["gram"].to_numpy(), b["n"].to_numpy(float)
             for i in range(0, len(grams), CHUNK):
-                x, gate, bit = m.inputs(grams[i : i + CHUNK], leave_out=True)
-                at = (np.arange(8)[None, :] * BUCKETS + bucket(m.mixed(x, gate))).ravel()
-                k = (c[i : i + CHUNK, None] * np.ones(8)).ravel()
-                hits[0] += np.bincount(at, k, 8 * BUCKETS)
-                hits[1] += np.bincount(at, k * bit.ravel(), 8 * BUCKETS)
-        yield pd.DataFrame({"at": np.arange(8 * BUCKETS), "n": hits[0], "ones": hits[1]})
-
-    got = counts.mapInPandas(mapped, "at int, n double, ones double").groupBy("at").agg(F.sum("n").alias("n"), F.sum("ones").alias("ones")).toPandas()
+                x, gate = m.inputs(grams[i : i + CHUNK], leave_out=True)
+                at = (_J[None, :] * BUCKETS + bucket(m.mixed(x, gate))).ravel()
+                n = np.repeat(c[i : i + CHUNK], 8)
+                hits[0] += np.bincount(at, n, 8 * BUCKETS)
+                hits[1] += np.bincount(at, n * bits_of(grams[i : i + CHUNK]).ravel(), 8 * BUCKETS)
+        yield pd.DataFrame({"i": np.arange(hits.size), "v": hits.ravel()})
+
+    got, hits = _sums(counts.mapInPandas(mapped, "i int, v double")), np.zeros(2 * 8 * BUCKETS)
+    hits[got["i"]] = got["v"]
+    n, ones = hits.reshape(2, 8, BUCKETS)
     middle = 1 / (1 + np.exp(-(np.arange(BUCKETS) - BUCKETS // 2) / 2))
-    n, ones = np.zeros(8 * BUCKETS), np.zeros(8 * BUCKETS)
-    n[got["at"]], ones[got["at"]] = got["n"], got["ones"]
-    refine = (ones.reshape(8, BUCKETS) + 2 * middle) / (n.reshape(8, BUCKETS) + 2)
-    return Mixer(n0, n1, w, refine)
-
-
-#: A worker's last broadcast tables and the mixer over them, so that its table of recent windows outlives a block.
-_HELD: list = [None, None]
+    return folder, bits, weights, (ones + 2 * middle) / (n + 2)
 
 
 def score(docs: DataFrame) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, bits_per_byte.
 
-    Defined cases: null and empty texts have the end token alone; with no training text every bit costs one
-    bit and the base probabilities are 1 / 1; rows that repeat are scored each, other columns ignored.
+    Defined cases: null and empty texts have the end token alone; a null doc_id is not held out; with no training
+    text every bit costs one bit and the base probabilities are 1 / 1; equal texts score alike; rows that repeat
+    are scored each, other columns ignored.
     """
-    spark = docs.sparkSession
     cut = blocks(docs)
     asked = materialise(block_tokens(cut), "block-tokens")
     corpus = asked.groupBy("token").agg(F.sum("n").alias("c"))
     answers = materialise(asked.select("block", "token").join(corpus, "token"), "answers")
-    ends = cut.where(~F.col("held_out")).count()
-    total = asked.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first()["n"] + ends
-    distinct = corpus.where("c > 0").count() + (ends > 0)
-    model = fit(cut.where(~F.col("held_out")))
-    sent = spark.sparkContext.broadcast((model.n0, model.n1, model.weights, model.refine))
+    train = cut.where(~F.col("held_out"))
+    size = train.agg(F.count(F.lit(1)).alias("rows"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("bytes")).first()
+    ends = size["rows"]
+    sums = corpus.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count_if(F.col("c") > 0).alias("distinct")).first()
+    total, distinct = sums["n"] + ends, sums["distinct"] + (ends > 0)
+    model = fit(train, size["bytes"])
     end_value, scale = np.log10(ends + 1), np.log10(total + distinct + 1)
 
     def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        if _HELD[0] is not sent.value:
-            _HELD[:] = sent.value, Mixer(*sent.value)
-        m = _HELD[1]
+        m = Mixer(*model)
         c = dict(zip(right["token"], right["c"], strict=True))
+        raws = [t.encode() for t in left["text"]]
+        found = m.costs(raws)
         rows = []
-        for doc_id, text, held in zip(left["doc_id"], left["text"], left["held_out"], strict=True):
-            raw = text.encode()
+        for doc_id, raw, held, s in zip(left["doc_id"], raws, left["held_out"], found.tolist(), strict=True):
             words = raw.translate(_LOWER).split()
             k = np.fromiter(map(c.__getitem__, words), np.int64, len(words))
             base = float(np.log10(k + 1.0).sum() + end_value - (len(words) + 1) * scale)
-            s = float(m.costs(windows(text)).sum())
-            rows.append((doc_id, held, len(words) + 1, int((k > 0).sum()) + (ends > 0), total, base, s, -s / np.log10(2) / max(1, len(raw))))
+            rows.append((doc_id, held, len(words) + 1, int((k > 0).sum()) + (ends > 0), total, base, round(s, 6), -s / np.log10(2) / max(1, len(raw))))
         return pd.DataFrame(rows, columns=["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score", "bits_per_byte"])
 
     schema = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, bits_per_byte double"
