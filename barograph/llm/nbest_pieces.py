@@ -2,20 +2,26 @@
 
 The lattice of a text holds every piece of the vocabulary at every place, and byte pieces for characters no
 piece covers. A forward Viterbi pass gives the best score of each prefix; a backward A* search from the end
-with those scores as exact estimates then yields the N best paths in order. No piece runs from a letter into
-a space, and line ends are in no piece, so the lattice of a text is a chain of small ones: each distinct link of
-the chain is searched once a task, and the N best paths of the whole text are the N least sums of losses.
+with those scores as exact estimates then yields the N best paths in order. No piece runs from another character
+into a space or holds a line end (checked when the vocabulary is read), so the lattice of a text is a chain of
+small ones and the N best paths of the whole text are the N least sums of losses. The forward pass of a link
+keeps the best path and the score of the second; only the N - 1 links of a text where the second costs least can
+take part in its N best, and only those are searched backward. Links and searches are remembered by the worker.
 
 Scores are log probabilities of a Zipf law over the merge ranks, ln(1 / (rank + 2.7)), as a BPE vocabulary holds
-ranks only; byte pieces cost BYTE_SCORE each. They are held as whole multiples of 1 / UNIT: sums are then exact,
-each node that the search takes out leads to a path of just its estimate, and as equal estimates go to the node
-nearest the start, N paths cost N walks through the lattice, even through one letter repeated without end.
+ranks only, so the best path need not be the merges' own encoding; byte pieces cost BYTE_SCORE each. Text is taken
+as it is: no normaliser runs, which is what makes decoding exact. Scores are held as whole multiples of 1 / UNIT:
+sums are then exact, each node that the search takes out leads to a path of just its estimate, and as equal
+estimates go to the node nearest the start, N paths cost N walks through the lattice, even through one letter
+repeated without end.
 """
 
 from __future__ import annotations
 
+import functools
 import heapq
 import itertools
+import math
 import re
 import zlib
 from collections.abc import Iterator
@@ -28,7 +34,7 @@ from pyspark.sql import functions as F
 from barograph.llm.common import table
 from barograph.llm.tokens import default_path
 
-N_BEST, BYTE_SCORE, LINKS_KNOWN, UNIT = 4, -14.0, 250_000, 1 << 20
+N_BEST, BYTE_SCORE, LINKS_KNOWN, SEARCHES_KNOWN, UNIT = 4, -14.0, 200_000, 50_000, 1 << 20
 _LINK = re.compile(r"\n| *[^ \n]+| +")
 
 
@@ -39,9 +45,13 @@ class Lattice:
         import sentencepiece
 
         sp = sentencepiece.SentencePieceProcessor(model_file=path or default_path("piece_bpe_32k.model"))
-        self.n, self.known = n, {}
+        self.n = n
+        #: Links known lately and before; the second goes when the first is full. The same for searches.
+        self.known: dict[str, tuple[int, bytes, float]] = {}
+        self.before: dict[str, tuple[int, bytes, float]] = {}
+        self.searched: dict[str, list[tuple[int, bytes, int]]] = {}
         self.text: list[bytes] = []
-        self.score: dict[str, tuple[int, int]] = {}
+        self.score: dict[str, tuple[int, bytes]] = {}
         self.byte = [0] * 256
         for i in range(sp.get_piece_size()):
             p = sp.id_to_piece(i)
@@ -52,24 +62,32 @@ class Lattice:
                 self.text.append(b"")
             else:
                 p = p.replace("▁", " ")
+                if " " in p.lstrip(" ") or "\n" in p:
+                    raise ValueError(f"piece {p!r} crosses the links of a chain")
                 self.text.append(p.encode())
                 rank = min(-sp.get_score(i), float(i))
-                self.score[p] = (-round(float(np.log(max(rank, 0.0) + 2.7)) * UNIT), i)
-        self.longest = max(map(len, self.score))
-
-    def edges(self, s: str) -> list[list[tuple[int, int, tuple[int, ...]]]]:
-        """For each end position: (start, score, ids) of the pieces that end there."""
-        out: list[list[tuple[int, int, tuple[int, ...]]]] = [[]]
-        get = self.score.get
-        for end in range(1, len(s) + 1):
-            here = []
-            for start in range(max(0, end - self.longest), end):
-                if found := get(s[start:end]):
-                    here.append((start, found[0], (found[1],)))
-            if not here or here[-1][0] != end - 1:  # a character that is no piece itself
-                raw = s[end - 1].encode()
-                here.append((end - 1, round(BYTE_SCORE * UNIT) * len(raw), tuple(self.byte[b] for b in raw)))
-            out.append(here)
+                self.score[p] = (-round(float(np.log(max(rank, 0.0) + 2.7)) * UNIT), i.to_bytes(4, "little"))
+        #: What some longer piece starts with: beyond it no piece need be looked for.
+        self.more = {p[:k] for p in self.score for k in range(1, len(p))}
+
+    def as_bytes(self, c: str) -> tuple[int, bytes]:
+        """Score and ids of a character that is no piece itself."""
+        raw = c.encode()
+        return round(BYTE_SCORE * UNIT) * len(raw), b"".join(self.byte[b].to_bytes(4, "little") for b in raw)
+
+    def edges(self, s: str) -> list[list[tuple[int, int, bytes]]]:
+        """For each end position: (start, score, ids) of the pieces that end there, by start."""
+        n, get, more = len(s), self.score.get, self.more
+        out: list[list[tuple[int, int, bytes]]] = [[] for _ in range(n + 1)]
+        for start in range(n):
+            end = start + 1
+            word = s[start]
+            out[end].append((start, *(get(word) or self.as_bytes(word))))
+            while end < n and word in more:
+                end += 1
+                word = s[start:end]
+                if found := get(word):
+                    out[end].append((start, *found))
         return out
 
     def search(self, s: str) -> list[tuple[int, bytes, int]]:
@@ -85,40 +103,82 @@ class Lattice:
         while heap and len(found) < self.n:
             _, at, _, done, path = heapq.heappop(heap)
             if at == 0:
-                ids: list[int] = []
+                ids: list[bytes] = []
                 while path:
-                    ids.extend(path[0])
+                    ids.append(path[0])
                     path = path[1]
-                found.append((done, np.array(ids, "<u4").tobytes(), len(ids)))
+                raw = b"".join(ids)
+                found.append((done, raw, len(raw) // 4))
                 continue
-            for start, sc, ids in edges[at]:
-                heapq.heappush(heap, (-(done + sc + best[start]), start, next(count), done + sc, (ids, path)))
+            for start, sc, one in edges[at]:
+                heapq.heappush(heap, (-(done + sc + best[start]), start, next(count), done + sc, (one, path)))
         return found
 
-    def link(self, s: str) -> list[tuple[int, bytes, int]]:
+    def forward(self, s: str) -> tuple[int, bytes, float]:
+        """Best score, its ids, and what the second best path of one link loses (inf where there is one path).
+
+        Of equal scores the piece that starts first counts, as in the search.
+        """
+        n, get, more = len(s), self.score.get, self.more
+        first, second, back = [-math.inf] * (n + 1), [-math.inf] * (n + 1), [None] * (n + 1)
+        first[0] = 0
+        for start in range(n):
+            one, two = first[start], second[start]
+            end, word = start + 1, s[start]
+            found = get(word) or self.as_bytes(word)
+            while True:
+                if found:
+                    c = one + found[0]
+                    if c > first[end]:
+                        second[end] = max(first[end], two + found[0])
+                        first[end], back[end] = c, (start, found[1])
+                    elif c > second[end]:
+                        second[end] = c
+                if end == n or word not in more:
+                    break
+                end += 1
+                word = s[start:end]
+                found = get(word)
+        ids, at = [], n
+        while at:
+            at, one = back[at]
+            ids.append(one)
+        return first[n], b"".join(ids[::-1]), first[n] - second[n]
+
+    def link(self, s: str) -> tuple[int, bytes, float]:
         found = self.known.get(s)
         if found is None:
             if len(self.known) >= LINKS_KNOWN:
-                self.known.clear()
-            found = self.known[s] = self.search(s)
+                self.known, self.before = {}, self.known
+            found = self.known[s] = self.before.get(s) or self.forward(s)
+        return found
+
+    def paths(self, s: str) -> list[tuple[int, bytes, int]]:
+        found = self.searched.get(s)
+        if found is None:
+            if len(self.searched) >= SEARCHES_KNOWN:
+                self.searched.clear()
+            found = self.searched[s] = self.search(s)
         return found
 
     def encode(self, text: str | None) -> list[tuple[float, bytes]]:
         """The N best (score, ids as u32 bytes) of a whole text, best first; an empty text has none."""
         if not text:
             return []
-        chain = [self.link(s) for s in _LINK.findall(" " + text)]
-        top = [c[0] for c in chain]
-        score, ids = sum(t[0] for t in top), [t[1] for t in top]
+        links = _LINK.findall(" " + text)
+        chain = list(map(self.link, links))
+        score, ids = sum([c[0] for c in chain]), [c[1] for c in chain]
         # only the links with the least first losses can take part in the N best
-        loss = np.array([c[0][0] - c[1][0] if len(c) > 1 else np.inf for c in chain])
-        near = [int(i) for i in np.argsort(loss, kind="stable")[: self.n - 1] if np.isfinite(loss[i])]
-        ways = sorted(((sum(chain[i][0][0] - chain[i][k][0] for i, k in zip(near, ks, strict=True)), ks) for ks in itertools.product(*[range(len(chain[i])) for i in near])), key=lambda w: w[0])
+        loss = [c[2] for c in chain]
+        near = [i for i in heapq.nsmallest(self.n - 1, range(len(loss)), key=loss.__getitem__) if loss[i] < math.inf]
+        ways = [(0, ())]
+        for i in near:
+            ways = sorted(((lost + chain[i][0] - p[0], (*ks, k)) for lost, ks in ways for k, p in enumerate(self.paths(links[i]))), key=lambda w: w[0])[: self.n]
         out = []
-        for lost, ks in ways[: self.n]:
+        for lost, ks in ways:
             mine = list(ids)
             for i, k in zip(near, ks, strict=True):
-                mine[i] = chain[i][k][1]
+                mine[i] = self.paths(links[i])[k][1]
             out.append(((score - lost) / UNIT, b"".join(mine)))
         return out
 
@@ -128,6 +188,11 @@ class Lattice:
         return b"".join([text[i] for i in np.frombuffer(ids, "<u4").tolist()])[1:].decode("utf-8", "replace")
 
 
+@functools.lru_cache(maxsize=2)  # a Python worker keeps it, with the links it knows, for its next tasks
+def lattice_of(path: str | None, n: int) -> Lattice:
+    return Lattice(path, n)
+
+
 def encode_table(docs: DataFrame, n: int = N_BEST, tokenizer_path: str | None = None, with_ids: bool = False) -> DataFrame:
     """doc_id, n_pieces, ids_crc32, score, nbest (score, n_pieces, ids_crc32 each), round_trip; with_ids adds the best ids.
 
@@ -136,7 +201,7 @@ def encode_table(docs: DataFrame, n: int = N_BEST, tokenizer_path: str | None =
     """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        lattice = Lattice(tokenizer_path, n)
+        lattice = lattice_of(tokenizer_path, n)
         for b in batches:
             rows = []
             for doc_id, text in zip(b["doc_id"], b["text"], strict=True):
