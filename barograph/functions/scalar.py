@@ -6,13 +6,14 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 #: What reports write for a missing number.
-MISSING_MARKS = ["", "--", "-", "---", "X", "N/A"]
+MISSING_MARKS = ["", "--", "-", "X", "x"]
+FULL_WIDTH, HALF_WIDTH = "０１２３４５６７８９．－", "0123456789.-"
 TEXT_FORMATS = ["yyyy-MM-dd HH:mm:ss", "yyyy/MM/dd HH:mm:ss", "yyyy-MM-dd HH:mm", "yyyy/MM/dd HH:mm", "EEE MMM d HH:mm:ss yyyy", "yyyy-MM-dd", "yyyy/MM/dd"]
 
 
 def parse_number(s: Column) -> Column:
     """Commas, blanks and full-width blanks go; marks and anything unreadable are NULL, never 0."""
-    bare = F.regexp_replace(s, "[,\\s　]", "")
+    bare = F.translate(F.regexp_replace(s, "[,\\s　]", ""), FULL_WIDTH, HALF_WIDTH)
     return F.when(~bare.isin(MISSING_MARKS), bare.try_cast("double"))
 
 

@@ -32,8 +32,9 @@ def forward(left: DataFrame, date: str, calendar: DataFrame, by: list[str], out:
     events = left.where(F.col(date).isNotNull()).select(*by, F.col(date).alias("_at"), F.lit(0).alias("_side"), row.alias("_row"))
     days = calendar.select(*by, F.col("trade_date").alias("_at")).distinct().select("*", F.lit(1).alias("_side"), F.lit(None).cast(events.schema["_row"].dataType).alias("_row"))
     part = by or [F.lit(0)]
-    w = Window.partitionBy(*part).orderBy("_at", "_side").rowsBetween(0, Window.unboundedFollowing)
-    day = F.first(F.when(F.col("_side") == 1, F.col("_at")), ignorenulls=True).over(w)
+    # latest first: a frame that grows is summed up once, one that shrinks would be read again for each row
+    w = Window.partitionBy(*part).orderBy(F.desc("_at"), F.desc("_side")).rowsBetween(Window.unboundedPreceding, 0)
+    day = F.last(F.when(F.col("_side") == 1, F.col("_at")), ignorenulls=True).over(w)
     both = events.unionByName(days).withColumn(out, day).where((F.col("_side") == 0) & F.col(out).isNotNull())
     return both.select(*[F.col(c) if c in by else F.col("_row")[c].alias(c) for c in names], out)
 

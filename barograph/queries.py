@@ -2,5 +2,5 @@
 
 from __future__ import annotations
 
-from barograph.plans import models, prices, sentiments, texts  # noqa: F401
+from barograph.plans import ingest, models, prices, sentiments, texts  # noqa: F401
 from barograph.plans.registry import ORACLES, QUERIES  # noqa: F401
