@@ -29,6 +29,13 @@ def _relabelled(edges: DataFrame, labels: DataFrame, total: int) -> DataFrame:
     return edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
 
 
+def followed(labels: DataFrame, found: DataFrame) -> DataFrame:
+    """labels(id, comp) led on to the components that their own components belong to, found(id, comp)."""
+    counts = labels.groupBy("comp").agg(F.count(F.lit(1)).alias("n"))
+    up = found.select(F.col("id").alias("comp"), F.col("comp").alias("root"))
+    return join_skewed(labels, up, "comp", counts, "n", max(1, labels.count())).select("id", F.coalesce("root", "comp").alias("comp"))
+
+
 def components(edges: DataFrame) -> DataFrame:
     """edges(a, b) of longs -> (id, comp): comp is the least id reachable. Ids without an edge do not appear.
 
@@ -43,10 +50,7 @@ def components(edges: DataFrame) -> DataFrame:
         found = _roots(hooks)
         edges = materialise(_relabelled(edges, found, total), "edges")
         if labels is not None:  # what was a root before may have a new one
-            counts = labels.groupBy("comp").agg(F.count(F.lit(1)).alias("n"))
-            up = found.select(F.col("id").alias("comp"), F.col("comp").alias("root"))
-            older = join_skewed(labels, up, "comp", counts, "n", labels.count()).select("id", F.coalesce("root", "comp").alias("comp"))
-            found = older.unionByName(found)
+            found = followed(labels, found).unionByName(found)
         labels = materialise(found, "labels")
     if labels is None:
         return edges.select(F.col("a").alias("id"), F.col("b").alias("comp"))

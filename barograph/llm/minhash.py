@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from barograph.llm.common import join_skewed, materialise, table
-from barograph.llm.components import components
+from barograph.llm.components import components, followed
 
 PERMUTATIONS, ROWS = 80, 5
 BANDS = 2 * PERMUTATIONS // ROWS
@@ -112,16 +112,17 @@ def confirm(pairs: DataFrame, rows: DataFrame, k: int, percent: int, share: int
     """Of pairs(a, b, ...), a row for each a and b, those whose full shingle sets reach the similarity; without the texts.
 
     A pivot b may stand in a third of all pairs: pairs of such a b are dealt over up to `share` parts, none with
-    more than 1/share of all, and b's text goes to each of its parts. A task keeps the set of the last b.
+    more than 1/share of all, and b's text goes to each of its parts. A task keeps the set of the last b. Texts
+    are always joined by sort and merge, however small the pairs, so that the plan is the same at any size.
     """
     total = pairs.count()
     counts = pairs.groupBy("b").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") * share > total)  # fewer than `share` rows
     parts = F.broadcast(counts.select("b", F.ceil(F.col("n") * share / max(total, 1)).alias("parts")))
     texts = rows.select(F.col("key").alias("b"), F.col("text").alias("tb"))
-    goal = texts.join(pairs.select("b").distinct(), "b", "left_semi").join(parts, "b", "left")
+    goal = texts.join(pairs.select("b").distinct().hint("merge"), "b", "left_semi").join(parts, "b", "left")
     goal = goal.withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce("parts", F.lit(1)) - 1))).drop("parts")
     dealt = pairs.join(parts, "b", "left").withColumn("part", F.coalesce(F.pmod(F.xxhash64("a"), F.col("parts")), F.lit(0))).drop("parts")
-    both = dealt.join(rows.select(F.col("key").alias("a"), F.col("text").alias("ta")), "a").join(goal, ["b", "part"])
+    both = dealt.join(rows.select(F.col("key").alias("a"), F.col("text").alias("ta")).hint("merge"), "a").join(goal.hint("merge"), ["b", "part"])
     names = pairs.columns
 
     def check(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -193,7 +194,7 @@ def cross_links(members: DataFrame, rows: DataFrame, k: int, percent: int) -> Da
     if not total:
         return members.select(F.col("id").alias("a"), F.col("comp").alias("b")).where("false")
     inside = materialise(join_skewed(members.select("bucket", "id", "comp"), mixed.drop("size"), "bucket", mixed, "size", total, "inner"), "inside")
-    texts = rows.select(F.col("key").alias("id"), "text").join(inside.select("id").distinct(), "id", "left_semi")
+    texts = rows.select(F.col("key").alias("id"), "text").join(inside.select("id").distinct().hint("merge"), "id", "left_semi")
 
     def sets_of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -206,12 +207,20 @@ def cross_links(members: DataFrame, rows: DataFrame, k: int, percent: int) -> Da
     return blocks.groupBy("bucket", "cx", "cy").applyInPandas(lambda d: _block_links(d, percent), "a long, b long").distinct()
 
 
+def joined(labels: DataFrame, links: DataFrame) -> DataFrame:
+    """labels(id, comp) after links between components; those that had no label before get one."""
+    found = components(links)
+    return materialise(followed(labels, found).unionByName(found.join(labels.select("id"), "id", "left_anti")), "labels")
+
+
 def class_links(classes: DataFrame, banded: DataFrame, rows: DataFrame, k: int, percent: int) -> tuple[list[DataFrame], DataFrame | None]:
     """(the links of steps 2 to 4, the components of all of them or None) of classes(id, ...) and banded(id, bucket)."""
     shared = banded.groupBy("bucket").agg(F.min("id").alias("pivot"), F.count(F.lit(1)).alias("n")).where("n > 1")
     shared = materialise(shared, "shared")
     total = classes.count() * BANDS
     buckets = materialise(join_skewed(banded, shared.drop("n"), "bucket", shared, "n", total, "inner"), "buckets")
+    # of the texts only those with a partner in some bucket are read from here on
+    rows = materialise(rows.select("key", "text").join(buckets.select(F.col("id").alias("key")).distinct().hint("merge"), "key", "left_semi"), "texts")
     pairs = buckets.where("id <> pivot").groupBy(F.col("id").alias("a")).agg(F.min("pivot").alias("b"))
     links = [materialise(confirm(materialise(pairs, "pairs"), rows, k, percent), "links")]
     labels = components(links[0])
@@ -230,10 +239,10 @@ def class_links(classes: DataFrame, banded: DataFrame, rows: DataFrame, k: int,
     found = confirm(materialise(more, "pairs"), rows, k, percent)
     links.append(materialise(found.select(F.col("ca").alias("a"), F.col("cb").alias("b")).distinct(), "links"))
     if not links[-1].isEmpty():
-        labels = components(links[0].unionByName(links[1]))
+        labels = joined(labels, links[1])
     links.append(materialise(cross_links(with_labels(kept, labels), rows, k, percent), "links"))
     if not links[-1].isEmpty():
-        labels = components(links[0].unionByName(links[1]).unionByName(links[2]))
+        labels = joined(labels, links[2])
     return links, labels
 
 
