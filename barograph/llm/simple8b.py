@@ -28,26 +28,42 @@ BITS = np.array([64, 1, 2, 3, 4, 5, 6, 7, 8, 10, 12, 15, 20, 30, 30, 60])
 _ORDER = [1, 2, 3, 4, 5, 6, 7, 8, 9, 10, 11, 12, 13, 15, 0]
 
 
+def bit_length(ids: np.ndarray) -> np.ndarray:
+    """Bits that each u64 id needs, 0 for 0."""
+    out = np.zeros(len(ids), np.uint8)
+    rest = ids
+    for step in (32, 16, 8, 4, 2, 1):
+        high = rest >> np.uint64(step)
+        big = high > 0
+        out += big * np.uint8(step)
+        rest = np.where(big, high, rest)
+    return out + (rest > 0)
+
+
 def pack_words(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(words, first word of each block) of u64 ids; all blocks advance together, a word a step."""
     n = len(ids)
     if not n:
         return np.zeros(0, np.uint64), np.zeros(0, np.uint64)
     blocks = -(-n // BLOCK)
-    end = np.minimum(np.arange(1, blocks + 1) * BLOCK, n)
-    # for each position the longest run that fits a selector: reach[b] is where ids first need more than b bits
     pos = np.arange(n)
-    selector = np.zeros(n, np.int8)
-    undecided = np.ones(n, bool)
-    block_end = end[pos // BLOCK]
-    for s in _ORDER[:-1]:
-        over = ids >> np.uint64(BITS[s]) > 0
-        bad = np.concatenate([[0], np.cumsum(over)])
-        stop = np.minimum(pos + COUNTS[s], block_end)
-        # a word may end short only at the end of its block
-        fits = undecided & (bad[stop] == bad[pos])
-        selector[fits] = s
-        undecided &= ~fits
+    block_end = np.minimum(np.arange(1, blocks + 1) * BLOCK, n)[pos // BLOCK]
+    end = np.minimum(np.arange(1, blocks + 1) * BLOCK, n)
+    # the widest of the next k ids for each k of a selector, nothing beyond the block's end; each from two shorter runs
+    width = np.zeros((blocks, BLOCK + COUNTS.max()), np.uint8)
+    wide = np.zeros(blocks * BLOCK, np.uint8)
+    wide[:n] = bit_length(ids)
+    width[:, :BLOCK] = wide.reshape(blocks, BLOCK)
+    widest = {1: width}
+    half = 1
+    for k in sorted(set(COUNTS.tolist()) - {1}):  # none is more than twice the one before
+        m = widest[half].copy()
+        np.maximum(m[:, : half - k], widest[half][:, k - half :], out=m[:, : half - k])
+        widest[k], half = m, k
+    chosen = np.zeros((blocks, BLOCK), np.int8)
+    for s in _ORDER[-2::-1]:  # a selector of more ids goes before those of fewer
+        chosen[widest[int(COUNTS[s])][:, :BLOCK] <= BITS[s]] = s
+    selector = chosen.reshape(-1)[:n]
     at = np.arange(blocks) * BLOCK
     live = np.arange(blocks)
     steps: list[tuple[np.ndarray, np.ndarray]] = []
