@@ -35,6 +35,7 @@ from barograph.llm.common import table
 from barograph.llm.tokens import default_path
 
 N_BEST, BYTE_SCORE, LINKS_KNOWN, SEARCHES_KNOWN, UNIT = 4, -14.0, 200_000, 50_000, 1 << 20
+MARKS = ".,;:!?#*$%&|<>"
 _LINK = re.compile(r"\n| *[^ \n]+| +")
 
 
@@ -67,8 +68,11 @@ class Lattice:
                 self.text.append(p.encode())
                 rank = min(-sp.get_score(i), float(i))
                 self.score[p] = (-round(float(np.log(max(rank, 0.0) + 2.7)) * UNIT), i.to_bytes(4, "little"))
-        #: What some longer piece starts with: beyond it no piece need be looked for.
-        self.more = {p[:k] for p in self.score for k in range(1, len(p))}
+        #: Neighbours inside some piece: between any others no piece runs, so a link falls apart there.
+        self.joined = {p[k : k + 2] for p in self.score for k in range(len(p) - 1)}
+        more = {p[:k] for p in self.score for k in range(1, len(p))}
+        #: Pieces and what longer pieces start with: (score or None, ids, whether any piece goes on from here).
+        self.trie: dict[str, tuple[int | None, bytes, bool]] = {w: (*(self.score.get(w) or (self.as_bytes(w) if len(w) == 1 else (None, b""))), w in more) for w in more | self.score.keys()}
 
     def as_bytes(self, c: str) -> tuple[int, bytes]:
         """Score and ids of a character that is no piece itself."""
@@ -77,17 +81,19 @@ class Lattice:
 
     def edges(self, s: str) -> list[list[tuple[int, int, bytes]]]:
         """For each end position: (start, score, ids) of the pieces that end there, by start."""
-        n, get, more = len(s), self.score.get, self.more
+        n = len(s)
         out: list[list[tuple[int, int, bytes]]] = [[] for _ in range(n + 1)]
         for start in range(n):
-            end = start + 1
-            word = s[start]
-            out[end].append((start, *(get(word) or self.as_bytes(word))))
-            while end < n and word in more:
-                end += 1
-                word = s[start:end]
-                if found := get(word):
-                    out[end].append((start, *found))
+            for end in range(start + 1, n + 1):
+                found = self.trie.get(s[start:end])
+                if found is None:
+                    if end > start + 1:
+                        break
+                    found = (*self.as_bytes(s[start]), False)
+                if found[0] is not None:
+                    out[end].append((start, found[0], found[1]))
+                if not found[2]:
+                    break
         return out
 
     def search(self, s: str) -> list[tuple[int, bytes, int]]:
@@ -119,26 +125,28 @@ class Lattice:
 
         Of equal scores the piece that starts first counts, as in the search.
         """
-        n, get, more = len(s), self.score.get, self.more
+        n, get = len(s), self.trie.get
         first, second, back = [-math.inf] * (n + 1), [-math.inf] * (n + 1), [None] * (n + 1)
         first[0] = 0
         for start in range(n):
-            one, two = first[start], second[start]
-            end, word = start + 1, s[start]
-            found = get(word) or self.as_bytes(word)
-            while True:
-                if found:
-                    c = one + found[0]
-                    if c > first[end]:
-                        second[end] = max(first[end], two + found[0])
-                        first[end], back[end] = c, (start, found[1])
+            one = first[start]
+            for end in range(start + 1, n + 1):
+                found = get(s[start:end])
+                if found is None:
+                    if end > start + 1:
+                        break
+                    found = (*self.as_bytes(s[start]), False)
+                score, piece, more = found
+                if score is not None:
+                    c, old = one + score, first[end]
+                    if c > old:
+                        two = second[start] + score
+                        second[end] = old if old > two else two
+                        first[end], back[end] = c, (start, piece)
                     elif c > second[end]:
                         second[end] = c
-                if end == n or word not in more:
+                if not more:
                     break
-                end += 1
-                word = s[start:end]
-                found = get(word)
         ids, at = [], n
         while at:
             at, one = back[at]
@@ -150,9 +158,20 @@ class Lattice:
         if found is None:
             if len(self.known) >= LINKS_KNOWN:
                 self.known, self.before = {}, self.known
-            found = self.known[s] = self.before.get(s) or self.forward(s)
+            found = self.known[s] = self.before.get(s) or self.of_parts(s)
         return found
 
+    def of_parts(self, s: str) -> tuple[int, bytes, float]:
+        """A new link; a word and the marks after it, where no piece joins them, are searched apart and the word's path is one of many words'.
+
+        Scores of parts add up, and the second best path differs in the one part where that costs least.
+        """
+        k = len(s.rstrip(MARKS))
+        if not 0 < k < len(s) or s[k - 1 : k + 1] in self.joined:
+            return self.forward(s)
+        (score, ids, loss), (more, tail, other) = self.link(s[:k]), self.link(s[k:])
+        return score + more, ids + tail, loss if loss < other else other
+
     def paths(self, s: str) -> list[tuple[int, bytes, int]]:
         found = self.searched.get(s)
         if found is None:

@@ -43,3 +43,25 @@ def test_the_best_of_a_chain(lattice, text):
 def test_one_letter_without_end(lattice):
     got = lattice.encode("x" * 20_000)
     assert len(got) == 6 and all(lattice.decode(i) == "x" * 20_000 for _, i in got)
+
+
+def test_the_small_table_against_a_plain_search():
+    """N best scores of whole texts by keeping the N best of every prefix, with no chain and no estimates."""
+    from tests.llm.conftest import SMALL, rows_of
+
+    n = 4
+    plain = Lattice(n=n)
+    longest = max(map(len, plain.score))
+    for d in rows_of(SMALL, "documents"):
+        text = (d["text"] or "")[:500]
+        got = [round(s * UNIT) for s, _ in plain.encode(text)]
+        s = " " + text
+        best = [[0]]
+        for end in range(1, len(s) + 1):
+            here = []
+            for start in range(max(0, end - longest), end):
+                found = plain.score.get(s[start:end]) or (plain.as_bytes(s[start]) if start == end - 1 else None)
+                if found:
+                    here += [x + found[0] for x in best[start]]
+            best.append(sorted(here, reverse=True)[:n])
+        assert got == (best[-1] if text else [])

@@ -9,6 +9,7 @@ import math
 import re
 import zlib
 from collections import Counter, defaultdict
+from decimal import ROUND_HALF_UP, Decimal
 
 import numpy as np
 import pytest
@@ -159,6 +160,30 @@ def histograms(text: str | None, lang: str | None):
     return p, [hits[i] / len(words) for i in range(13)]
 
 
+def half_up(x: float) -> int:
+    return int(Decimal(repr(x)).quantize(Decimal(1), ROUND_HALF_UP))
+
+
+def medians_of_cells(rows) -> tuple:
+    """References of (language, p, q) rows: texts alike to a hundredth are one cell; medians of the cells' means, scaled to one."""
+    q = quality_rules
+    cells = defaultdict(list)
+    for lang, p, w in rows:
+        cells[lang, tuple(half_up(x * q.CELLS) for x in p), w and tuple(half_up(x * q.CELLS) for x in w)].append((p, w))
+    out = []
+    for side in (0, 1):
+        means = [[half_up(sum(half_up(x * q.UNITS) for x in col) / len(v)) for col in zip(*[r[side] for r in v], strict=True)] for v in cells.values() if v[0][side] is not None]
+        if not means:
+            out.append(None)
+            continue
+        cols = list(zip(*means, strict=True))
+        middle = [float(np.percentile(c, 50)) for c in cols]
+        if not sum(middle):
+            middle = [sum(c) / len(c) for c in cols]
+        out.append([round(m / sum(middle), 6) for m in middle])
+    return tuple(out)
+
+
 def quality_verdicts(docs) -> list[tuple]:
     q = quality_rules
     found, sums = [], defaultdict(list)
@@ -168,10 +193,11 @@ def quality_verdicts(docs) -> list[tuple]:
         found.append((d, base, p, w))
         if base[0] >= q.MIN_WORDS and len(d["text"]) >= q.MIN_CHARS:
             sums[d["lang"] if d["lang"] in q.COMMON_WORDS else "*"].append((p, w))
-    mean = lambda rows: [round(sum(x) / len(rows), 6) for x in zip(*rows, strict=True)]
-    refs = {k: (mean([p for p, _ in v]), mean([w for _, w in v])) for k, v in sums.items() if k != "*"}
+    refs = {}
+    for key in [k for k in sums if k != "*"]:
+        refs[key] = medians_of_cells([(key, *r) for r in sums[key]])
     if sums:
-        refs["*"] = (mean([p for v in sums.values() for p, _ in v]), None)
+        refs["*"] = (medians_of_cells([(k, *r) for k, v in sums.items() for r in v])[0], None)
     out = []
     for d, base, p, w in found:
         rp, rw = refs.get(d["lang"] if d["lang"] in q.COMMON_WORDS else "*", (None, None))
@@ -330,21 +356,80 @@ def test_op9(spark, sf_dir):
     t = tokenizer("word_bpe_49k.json")
     docs = sorted(rows_of(sf_dir, "documents"), key=lambda d: (d["doc_id"] is not None, d["doc_id"] or 0))
     got = run(spark, "op9_simple8b", sf_dir)
-    least = -(2**63)
-    want = Counter((least if d["doc_id"] is None else d["doc_id"], len(ids), crc_ids(ids)) for d in docs for ids in [t.encode(d["text"] or "", add_special_tokens=False).ids + [2]])
+    want = Counter((d["doc_id"], len(ids), crc_ids(ids)) for d in docs for ids in [t.encode(d["text"] or "", add_special_tokens=False).ids + [2]])
     assert Counter((r["doc_id"], r["n_tokens"], r["ids_crc32"]) for r in got) == want
     at = 0
-    for r in sorted(got, key=lambda r: (r["doc_id"], r["start"])):
+    for r in sorted(got, key=lambda r: (r["doc_id"] is not None, r["doc_id"], r["start"])):
         assert r["start"] == at
         at += r["n_tokens"]
 
 
+def test_words_of_simple8b_hold_any_ids():
+    """Every width, runs of zeros, escapes beyond 60 bits, and blocks that end short."""
+    from barograph.llm.simple8b import dump, load
+
+    rng = np.random.default_rng(1)
+    for n in (0, 1, 255, 256, 257, 3000):
+        for top in (1, 3, 900, 50_000, 1 << 31, 1 << 59, 1 << 63):
+            ids = rng.integers(0, top, n, dtype=np.uint64, endpoint=True)
+            ids[rng.random(n) < 0.3] = 0
+            doc_ids, counts, back = load(dump(np.arange(2), np.array([n // 2, n - n // 2]), ids))
+            assert (back == ids).all() and counts.tolist() == [n // 2, n - n // 2] and doc_ids.tolist() == [0, 1]
+
+
 def test_op10(spark, sf_dir):
     docs, got = rows_of(sf_dir, "documents"), run(spark, "op10_toxicity", sf_dir)
     assert Counter((r["doc_id"], r["held_out"]) for r in got) == Counter((d["doc_id"], held(d["doc_id"], 4)) for d in docs)
     assert all(0 <= r["score"] <= 1 and r["predicted"] == int(r["score"] >= 0.3) for r in got)
 
 
+def test_op10_does_not_depend_on_how_rows_are_dealt(spark):
+    from barograph.llm import toxicity
+    from barograph.llm.common import table
+
+    d = "/root/testdata/sf0.01"
+    docs, labels = table(spark, d, "documents"), table(spark, d, "labels")
+    copies = docs.unionByName(docs.where("doc_id % 3 = 0"))  # copies choose nothing either
+    scores = [{(r["doc_id"], r["score"]) for r in toxicity.score(docs, toxicity.fit(x, labels)).collect()} for x in (docs.coalesce(1), docs.repartition(8), copies.repartition(64))]
+    assert scores[0] == scores[1] == scores[2]
+
+
+def test_op4_deals_archives_over_tasks(spark, monkeypatch):
+    from barograph.llm import warc
+    from barograph.llm.common import new_path, table
+
+    monkeypatch.setattr(warc, "ARCHIVE_RECORDS", 5)
+    folder = new_path(spark, "warc-test")
+    pages = table(spark, "/root/testdata/sf0.001", "pages")
+    done = warc.normalise(warc.with_revisits(warc.write_monolithic(pages, folder)), folder)
+    assert done.count() == 10 and len({f.rsplit("/", 1)[1] for f in done.inputFiles()}) > 1
+    assert warc.read_archives(done, folder).count() == pages.count()
+
+
+def test_op1_does_not_depend_on_the_layout(spark):
+    from barograph.llm import sharding
+    from barograph.llm.common import table
+
+    docs = table(spark, "/root/testdata/sf0.001", "documents")
+    rows = [sorted((r["doc_id"], r["shard"], r["slot"]) for r in sharding.assign(x).collect()) for x in (docs, docs.repartition(7))]
+    assert rows[0] == rows[1]
+
+
+def test_op1_fills_shards_with_a_group_larger_than_one(spark):
+    """A third of all rows in one group, and many small groups: the large one lies in the eleven shards that it needs beside the small ones, few of which are cut."""
+    from barograph.llm import sharding
+
+    texts = ["hot"] * 1600 + [f"g{i // 4}" for i in range(1200)] + [f"alone {i}" for i in range(2000)]
+    got = sharding.assign(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    shards = defaultdict(Counter)
+    for r in got:
+        shards[texts[r["doc_id"]]][r["shard"]] += 1
+    sizes = Counter(r["shard"] for r in got)
+    assert max(sizes.values()) - min(sizes.values()) <= 1
+    assert sum(sorted(shards["hot"].values())[-11:]) >= 0.9 * 1600
+    assert sum(len(shards[f"g{i}"]) == 1 for i in range(300)) >= 240
+
+
 def test_op10_on_held_out_labels(spark):
     d = "/root/testdata/sf0.1"  # the smaller tables have 14 held-out toxic rows at most, a third of them without any toxic word
     toxic = {x["doc_id"]: x["toxic"] for x in rows_of(d, "labels") if x["toxic"] is not None}
