@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from barograph.llm.common import join_skewed, materialise
+from barograph.llm.common import forget, join_skewed, materialise
 
 
 def _roots(parent: DataFrame) -> DataFrame:
@@ -14,10 +14,11 @@ def _roots(parent: DataFrame) -> DataFrame:
     while True:
         counts = parent.groupBy("comp").agg(F.count(F.lit(1)).alias("n"))
         up = parent.select(F.col("id").alias("comp"), F.col("comp").alias("root"))
-        parent = materialise(join_skewed(parent, up, "comp", counts, "n", total).select("id", F.coalesce("root", "comp").alias("comp"), F.col("root").isNotNull().alias("moved")), "roots")
-        if parent.where("moved").isEmpty():
-            return parent.select("id", "comp")
-        parent = parent.select("id", "comp")
+        jumped = materialise(join_skewed(parent, up, "comp", counts, "n", total).select("id", F.coalesce("root", "comp").alias("comp"), F.col("root").isNotNull().alias("moved")), "roots")
+        forget(parent)
+        if jumped.where("moved").isEmpty():
+            return jumped
+        parent = jumped
 
 
 def _relabelled(edges: DataFrame, labels: DataFrame, total: int) -> DataFrame:
@@ -48,10 +49,14 @@ def components(edges: DataFrame) -> DataFrame:
     while total := edges.count():
         hooks = materialise(edges.groupBy(F.col("a").alias("id")).agg(F.min("b").alias("comp")), "hooks")
         found = _roots(hooks)
+        older_edges, older = edges, labels
         edges = materialise(_relabelled(edges, found, total), "edges")
+        both = found.select("id", "comp")
         if labels is not None:  # what was a root before may have a new one
-            found = followed(labels, found).unionByName(found)
-        labels = materialise(found, "labels")
+            both = followed(labels, found).unionByName(both)
+        labels = materialise(both, "labels")
+        for read in (older_edges, found, *([older] if older is not None else [])):
+            forget(read)
     if labels is None:
         return edges.select(F.col("a").alias("id"), F.col("b").alias("comp"))
     # roots never hook: they name themselves

@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from barograph.llm.common import materialise, new_path, open_store, table, write_atomic
 from barograph.llm.tokens import word_bpe
 
-MAGIC, BLOCK, END_ID = b"S8B1", 256, 2
+MAGIC, BLOCK, END_ID, NO_ID = b"S8B1", 256, 2, -(2**63)
 #: ids a word by selector (fixed by the format); selector 0 escapes, 15 holds one id of up to 60 bits.
 COUNTS = np.array([1, 60, 30, 20, 15, 12, 10, 8, 7, 6, 5, 4, 3, 2, 2, 1])
 BITS = np.array([64, 1, 2, 3, 4, 5, 6, 7, 8, 10, 12, 15, 20, 30, 30, 60])
@@ -164,7 +164,7 @@ def write_files(docs: DataFrame, folder: str, tokenizer_path: str | None = None,
         for b in batches:
             for doc_id, x in zip(b["doc_id"], encoder.encode(list(b["text"])), strict=True):
                 ids.append(x + end)
-                names.append(-(2**63) if pd.isna(doc_id) else int(doc_id))
+                names.append(NO_ID if pd.isna(doc_id) else int(doc_id))
                 size += len(x) // 4 + 1
                 if size >= file_ids:
                     yield flush()
@@ -195,13 +195,14 @@ def read_files(files: DataFrame, folder: str) -> DataFrame:
                 ends = np.cumsum(counts)
                 raw = memoryview(ids.astype("<u4").tobytes())
                 crc = [zlib.crc32(raw[4 * (e - c) : 4 * e]) for c, e in zip(counts, ends, strict=True)]
-                yield pd.DataFrame({"doc_id": doc_ids, "start": at + ends - counts, "n_tokens": counts, "ids_crc32": crc})
+                shown = pd.Series(doc_ids.astype(np.int64)).astype("Int64").mask(doc_ids == NO_ID)
+                yield pd.DataFrame({"doc_id": shown, "start": at + ends - counts, "n_tokens": counts, "ids_crc32": crc})
 
     return rows.mapInPandas(decode, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
 def op9_simple8b(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Null and empty texts are the end id alone; a null doc_id is stored as the least integer; rows that repeat a doc_id follow each other."""
+    """Null and empty texts are the end id alone; a null doc_id, stored as the least integer, comes first and is read back as null (the file format has no other room for it, so a doc_id of that very value is read as null too); rows that repeat a doc_id follow each other."""
     folder = new_path(spark, "tokens-s8b")
     return read_files(write_files(table(spark, sf_dir, "documents"), folder), folder)
 

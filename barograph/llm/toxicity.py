@@ -7,7 +7,8 @@ and a factor vector, whose products give the weight of each pair that occurs tog
 
 Defined cases: null and empty texts carry no term and score the bias; labels that are null or belong to no
 document are left out; a document labelled twice counts as toxic if either label says so; with no usable
-label every score is 0.0; columns beyond doc_id and text are ignored and repeated rows are scored each.
+label every score is 0.0; columns beyond doc_id and text are ignored, repeated rows are scored each, and rows
+without doc_id are scored and belong to no fold.
 """
 
 from __future__ import annotations
@@ -129,25 +130,22 @@ def fit_machine(slots: np.ndarray, rows: list[np.ndarray], y: np.ndarray, seed:
 def fit(docs: DataFrame, labels: DataFrame) -> FactorizationMachine:
     """Fit on labelled rows outside the held-out fold.
 
-    The sample (SAMPLE_ROWS ids and labels at most) is broadcast; term counts are summed on the executors and
-    only the chosen slots, then the sampled rows' few chosen slots, come to the driver.
+    The sample (SAMPLE_ROWS ids and labels at most) is broadcast. Its texts are gathered once, each text once, toxic
+    if any copy is labelled so: neither copies nor the way rows are dealt to tasks change the model. Term counts
+    are summed on the executors; only the chosen slots, then the sampled rows' few chosen slots, come to the driver.
     """
     sample = (
         labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"), 4))
         .groupBy("doc_id").agg(F.max(F.col("toxic").cast("int")).alias("y"))
         .orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE_ROWS)
     )
-    texts = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id")
+    found = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(sample), "doc_id")
+    texts = materialise(found.groupBy(F.md5(F.col("text").cast("binary")).alias("digest")).agg(F.min("doc_id").alias("doc_id"), F.max("y").alias("y"), F.first("text").alias("text")), "toxicity-sample")
 
     def counts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         slots, df, tox, n = SlotCache(), np.zeros(SLOTS, np.int64), np.zeros(SLOTS, np.int64), [0, 0]
-        seen = set()
         for b in batches:
             for text, y in zip(b["text"], b["y"], strict=True):
-                h = hash(text)
-                if h in seen:  # a task counts copies once, so that one copied text does not choose the terms
-                    continue
-                seen.add(h)
                 f = slots(text)
                 df[f] += 1
                 n[0] += 1
@@ -171,10 +169,9 @@ def fit(docs: DataFrame, labels: DataFrame) -> FactorizationMachine:
     def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         at = SlotCache(keep)
         for b in batches:
-            yield pd.DataFrame({"doc_id": b["doc_id"], "y": b["y"], "f": [at(t) for t in b["text"]]})
+            yield pd.DataFrame({"doc_id": b["doc_id"], "digest": b["digest"], "y": b["y"], "f": [at(t) for t in b["text"]]})
 
-    got = texts.mapInPandas(rows, "doc_id long, y int, f array<int>").toPandas()
-    got = got.assign(n=got["f"].map(len)).sort_values(["doc_id", "n"], kind="stable")
+    got = texts.mapInPandas(rows, "doc_id long, digest string, y int, f array<int>").toPandas().sort_values(["doc_id", "digest"])
     return fit_machine(slots, [np.asarray(f, np.int64) for f in got["f"]], got["y"].to_numpy(float))
 
 

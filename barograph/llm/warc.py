@@ -134,6 +134,10 @@ def write_monolithic(pages: DataFrame, folder: str) -> DataFrame:
     return materialise(cols.mapInPandas(write, "archive string, record int, page_id long, payload_bytes long, payload_digest string"), "manifest")
 
 
+def _parts(spark: SparkSession) -> int:
+    return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+
+
 def with_revisits(manifest: DataFrame, least_bytes: int = 0) -> DataFrame:
     """record_type and refers_to by payload digest; payloads under `least_bytes` are all responses."""
     large = manifest.where(F.col("payload_bytes") >= least_bytes)
@@ -165,7 +169,9 @@ def normalise(decided: DataFrame, folder: str) -> DataFrame:
         write_atomic(folder, f"{name}.warc.idx", "\n".join(index).encode())
         return pd.DataFrame({"archive": [name], "members": [len(index)], "bytes": [at]})
 
-    return materialise(decided.select("archive", "record", "refers_to").groupBy("archive").applyInPandas(rewrite, "archive string, members long, bytes long"), "archives")
+    # the manifest is small and would meet in one task: archives are dealt over as many as a shuffle has
+    dealt = decided.select("archive", "record", "refers_to").repartition(_parts(decided.sparkSession), "archive")
+    return materialise(dealt.groupBy("archive").applyInPandas(rewrite, "archive string, members long, bytes long"), "archives")
 
 
 def read_member(stream, entry: dict) -> tuple[dict[str, str], bytes]:
@@ -196,7 +202,7 @@ def read_archives(archives: DataFrame, folder: str) -> DataFrame:
                         rows.append((page_of(head["WARC-Record-ID"]), size, sha, head["WARC-Type"], page_of(head["WARC-Refers-To"]) if "WARC-Refers-To" in head else None))
                 yield pd.DataFrame(rows, columns=["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"]).astype({"page_id": "Int64", "refers_to": "Int64"})
 
-    spread = archives.select("archive").repartition(max(1, int(archives.sparkSession.conf.get("spark.sql.shuffle.partitions"))), "archive")
+    spread = archives.select("archive").repartition(_parts(archives.sparkSession), "archive")
     return spread.mapInPandas(read, "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long")
 
 
