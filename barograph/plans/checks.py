@@ -193,7 +193,7 @@ def gaps(v: Views) -> DataFrame:
     return checks.gaps(days, v.bars.join(F.broadcast(markets), "stock_id"), ["trade_date", "market"])
 
 
-@query("D51_page_rate", ", e AS (SELECT article_id // 25 AS page_index, CAST(epoch(post_time) AS BIGINT) - CASE WHEN article_id % 25 = 7 THEN 8640000 ELSE 0 END AS t FROM articles), f AS (SELECT *, max(t) OVER (PARTITION BY page_index) AS m FROM e) SELECT page_index, count(*) AS n, min(t) AS oldest, max(t) AS newest FROM f WHERE t >= m - 604800 GROUP BY 1")
+@query("D51_page_rate", ", e AS (SELECT article_id // 25 AS page_index, CAST(floor(epoch(post_time)) AS BIGINT) - CASE WHEN article_id % 25 = 7 THEN 8640000 ELSE 0 END AS t FROM articles), f AS (SELECT *, max(t) OVER (PARTITION BY page_index) AS m FROM e) SELECT page_index, count(*) AS n, min(t) AS oldest, max(t) AS newest FROM f WHERE t >= m - 604800 GROUP BY 1")
 def page_rate(v: Views) -> DataFrame:
     at = F.unix_seconds(F.col("post_time").cast("timestamp")) - F.when(F.col("article_id") % 25 == 7, 8640000).otherwise(0)
     return checks.page_rate(v.articles.select(F.floor(F.col("article_id") / 25).alias("page_index"), at.alias("at")))
