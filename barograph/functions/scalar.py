@@ -100,3 +100,55 @@ def previous_weekday(d: Column) -> Column:
     """H12"""
     w = F.weekday(d)
     return F.date_sub(d, F.when(w == 0, 3).when(w == 6, 2).otherwise(1))
+
+
+def forum_time(s: Column, reference: Column) -> Column:
+    """H05 whole: a full stamp, a bare day at noon of the year that the reference (timestamp without zone) suggests, else the reference.
+
+    Early in a year a bare October to December is the year before's.
+    """
+    t = F.trim(s)
+    stamp = F.regexp_extract(t, r"^[A-Z][a-z]{2} +([A-Z][a-z]{2}) +(\d{1,2}) +(\d{2}:\d{2}:\d{2}) +(\d{4})$", 0)
+    part = lambda i: F.regexp_extract(t, r"^[A-Z][a-z]{2} +([A-Z][a-z]{2}) +(\d{1,2}) +(\d{2}:\d{2}:\d{2}) +(\d{4})$", i)
+    long_form = F.when(stamp != "", F.try_to_timestamp(F.concat_ws(" ", part(4), part(1), F.lpad(part(2), 2, "0"), part(3)), F.lit("yyyy MMM dd HH:mm:ss")))
+    plain = [F.when(t.rlike(p), F.try_to_timestamp(t, F.lit(f))) for p, f in ((r"^\d{4}-\d{2}-\d{2} \d{2}:\d{2}:\d{2}$", "yyyy-MM-dd HH:mm:ss"), (r"^\d{4}/\d{2}/\d{2} \d{2}:\d{2}:\d{2}$", "yyyy/MM/dd HH:mm:ss"), (r"^\d{4}-\d{2}-\d{2}T\d{2}:\d{2}:\d{2}$", "yyyy-MM-dd'T'HH:mm:ss"), (r"^\d{4}-\d{2}-\d{2}$", "yyyy-MM-dd"), (r"^\d{4}/\d{2}/\d{2}$", "yyyy/MM/dd"))]
+    month, day = F.regexp_extract(t, r"^(\d{1,2})[/-](\d{1,2})$", 1).try_cast("int"), F.regexp_extract(t, r"^(\d{1,2})[/-](\d{1,2})$", 2).try_cast("int")
+    year = F.year(reference) - F.when((F.month(reference) <= 3) & (month >= 10), 1).otherwise(0)
+    noon = F.try_make_timestamp_ntz(year, month, day, F.lit(12), F.lit(0), F.lit(0))
+    return F.coalesce(long_form.cast("timestamp_ntz"), *[p.cast("timestamp_ntz") for p in plain], noon, reference.cast("timestamp_ntz"))
+
+
+def market_of(source: Column) -> Column:
+    """The market that a price source reports; the job fails for an unknown one."""
+    return F.when(source == "twse_mi_index", "TWSE").when(source == "tpex_daily_quotes", "TPEX").otherwise(F.raise_error(F.concat(F.lit("unknown source "), F.coalesce(source, F.lit("NULL")))))
+
+
+def weekdays_between(last: Column, target: Column, most: int = 30) -> Column:
+    """Weekdays after `last` up to `target`; the job fails beyond `most` of them."""
+    days = F.filter(F.when(last < target, F.sequence(F.date_add(last, 1), target)).otherwise(F.array().cast("array<date>")), lambda d: F.weekday(d) < 5)
+    return F.when(F.size(days) > most, F.raise_error(F.lit("too many days to fill"))).otherwise(days)
+
+
+def next_run(now: Column, hour: int = 15, minute: int = 35) -> Column:
+    """The next weekday moment at the hour, today's if it is still ahead."""
+    today, w = F.to_date(now), F.weekday(now)
+    early = (w < 5) & (F.hour(now) * 60 + F.minute(now) < hour * 60 + minute)
+    ahead = F.when(w == 4, 3).when(w == 5, 2).otherwise(1)
+    return F.date_add(today, F.when(early, 0).otherwise(ahead)).cast("timestamp_ntz") + F.make_dt_interval(F.lit(0), F.lit(hour), F.lit(minute))
+
+
+def cutoff_seconds(text: str | None) -> int:
+    """Seconds of a HH:MM or HH:MM:SS cutoff, 15:30 where it can't be read."""
+    import re
+
+    m = re.fullmatch(r"\s*(\d{1,2}):(\d{2})(?::(\d{2}))?\s*", text or "")
+    h, i, s = (int(x or 0) for x in m.groups()) if m else (15, 30, 0)
+    return h * 3600 + i * 60 + s if h < 24 and i < 60 and s < 60 else 55_800
+
+
+def failure_kind(message: Column) -> Column:
+    """The daily quota before the general one, as its message holds both; then what may be tried again."""
+    m = F.coalesce(message, F.lit(""))
+    low = F.lower(m)
+    code = F.regexp_extract(m, r"HTTP (\d{3})", 1).try_cast("int")
+    return F.when(F.contains(m, F.lit("PerDay")), "daily_quota").when(F.contains(low, F.lit("quota")), "quota").when(code.between(500, 599), "retriable").when(code.isNotNull(), "refused").when(low.rlike("timeout|timed out|connection|tls"), "retriable").otherwise("other")

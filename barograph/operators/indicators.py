@@ -155,3 +155,11 @@ def lag_with_warm_up(c: str, n: int, failed: Column, fill: float = 0.5) -> Colum
     """Lag by n rows; only the first n rows of a stock are filled, and not where their source failed."""
     warm = (F.row_number().over(by_stock()) <= n) & ~failed
     return F.coalesce(F.lag(c, n).over(by_stock()), F.when(warm, F.lit(fill)))
+
+
+def equity_curves(bars: DataFrame, long: Column) -> DataFrame:
+    """Growth of holding and of a sign strategy (`long`, else short), and the drawdown of holding."""
+    w = frame(Window.unboundedPreceding, 0)
+    df = bars.withColumn("_r", log_return(F.col("close_price"))).withColumn("_s", F.when(long, F.col("_r")).otherwise(-F.col("_r")))
+    df = df.withColumn("_e", F.exp(F.sum("_r").over(w))).withColumn("_g", F.exp(F.sum("_s").over(w))).withColumn("_top", F.max("_e").over(w))
+    return df.withColumn("buy_and_hold", F.col("_e") - 1).withColumn("sign_strategy", F.col("_g") - 1).withColumn("drawdown", F.col("_e") / F.col("_top") - 1).drop("_r", "_s", "_e", "_g", "_top")

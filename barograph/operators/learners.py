@@ -46,3 +46,35 @@ def isotonic(train: DataFrame, apply_to: DataFrame, p: str, y: str) -> DataFrame
 
     model = IsotonicRegression(featuresCol=p, labelCol=y, predictionCol="calibrated").fit(train.select(F.col(p), F.col(y).cast("double").alias(y)))
     return model.transform(apply_to)
+
+
+def ridge_predict(df: DataFrame, weights: dict[str, float], limit: float = 10.0):
+    """Sigmoid of the clipped linear score."""
+    z = sum((F.lit(w) if k == "bias" else F.lit(w) * F.col(k).cast("double") for k, w in weights.items()), F.lit(0.0))
+    return df.withColumn("probability", 1 / (1 + F.exp(-F.least(F.greatest(z, F.lit(-limit)), F.lit(limit)))))
+
+
+def scaled(df: DataFrame, train: DataFrame, by: list[str], columns: list[str], robust: bool = False) -> DataFrame:
+    """Columns less mean or median, by population deviation or interquartile range (1 where that is 0), as `train` has them."""
+    stats = []
+    for c in columns:
+        q = F.percentile(c, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
+        stats += [(q[1] if robust else F.avg(c)).alias(f"_m_{c}"), (q[2] - q[0] if robust else F.stddev_pop(c)).alias(f"_d_{c}")]
+    known = F.broadcast(train.groupBy(*by).agg(*stats))  # a row a group
+    out = df.join(known, by, "left") if by else df.join(known)
+    wide = lambda c: F.when(F.col(f"_d_{c}") == 0, 1.0).otherwise(F.col(f"_d_{c}"))
+    return out.select(*[((F.col(c) - F.col(f"_m_{c}")) / wide(c)).alias(c) if c in columns else F.col(c) for c in df.columns])
+
+
+def classifier(name: str, features: str, label: str, seed: int = 42):
+    """Lr, rf or a boosted forest (lgbm and xgb share Spark's own, at their own depth and rate)."""
+    from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
+
+    common = {"featuresCol": features, "labelCol": label}
+    if name == "lr":
+        return LogisticRegression(maxIter=500, **common)
+    if name == "rf":
+        return RandomForestClassifier(numTrees=50, maxDepth=5, seed=seed, **common)
+    if name in ("lgbm", "xgb"):
+        return GBTClassifier(maxIter=50, maxDepth=4, stepSize=0.05, seed=seed, **common)
+    raise ValueError(f"unknown model {name}")

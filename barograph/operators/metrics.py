@@ -53,10 +53,40 @@ def strategy(df: DataFrame, by: list[str], order: list[str], signal: Column, ret
 
 
 def reliability(df: DataFrame, by: list[str], y: str = "y", p: str = "p", bins: int = 10) -> DataFrame:
-    """Equal bins with literal edges i * (1 / bins), the last one closed."""
+    """Equal bins with literal edges i * (1 / bins), the last one closed; an empty bin is there with NULL means."""
     edge = [i * (1.0 / bins) for i in range(bins)]
     at = sum((F.col(p) >= e).cast("int") for e in edge[1:])
-    return df.groupBy(*by, at.cast("int").alias("bin")).agg(F.count(F.lit(1)).alias("n"), F.avg(p).alias("mean_p"), F.avg(F.col(y).cast("double")).alias("observed"))
+    found = df.groupBy(*by, at.cast("int").alias("bin")).agg(F.count(F.lit(1)).alias("n"), F.avg(p).alias("mean_p"), F.avg(F.col(y).cast("double")).alias("observed"))
+    grid = df.select(*by).distinct().withColumn("bin", F.explode(F.sequence(F.lit(0), F.lit(bins - 1))))
+    return grid.join(found, [*by, "bin"], "left").fillna(0, ["n"])
+
+
+def theta_grid(df: DataFrame, by: list[str], p: str = "p", steps: int = 121, step: float = 0.005, parts: int = 100) -> DataFrame:
+    """By, thetas: fixed steps and the exact percentiles 1 to `parts` of the scores, distinct and in order."""
+    fixed = F.transform(F.sequence(F.lit(0), F.lit(steps - 1)), lambda k: F.round(k * step, 6))
+    own = F.percentile(p, F.array(*[F.lit(k / parts) for k in range(1, parts + 1)]))
+    return df.groupBy(*by).agg(F.array_sort(F.array_distinct(F.concat(fixed, F.transform(own, lambda x: F.round(x, 6))))).alias("thetas"))
+
+
+def curve_at(df: DataFrame, grid: DataFrame, by: list[str], y: str = "y", p: str = "p") -> DataFrame:
+    """D40 on any grid: rows are summed by score, scores by the first theta that keeps them; the curve is a running sum over thetas."""
+    counts = df.groupBy(*by, F.col(p).alias("_p")).agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col(y) == 0).alias("good"))
+    placed = counts.join(F.broadcast(grid), by).withColumn("_at", F.size(F.filter("thetas", lambda t: t < F.col("_p") - 1e-9)))  # a row a group
+    each = placed.groupBy(*by, "_at").agg(F.sum("n").alias("n"), F.sum("good").alias("good"))
+    full = grid.select(*by, F.posexplode("thetas").alias("_at", "theta")).join(each, [*by, "_at"], "left").fillna(0, ["n", "good"])
+    total = df.groupBy(*by).agg(F.count(F.lit(1)).alias("_all"), F.count_if(F.col(y) == 0).alias("_base"))
+    run = Window.partitionBy(*by).orderBy("_at").rowsBetween(Window.unboundedPreceding, 0)
+    full = full.withColumn("_kept", F.sum("n").over(run)).withColumn("_right", F.sum("good").over(run)).join(F.broadcast(total), by)
+    d = lambda a, b: F.try_divide(F.col(a).cast("double"), F.col(b).cast("double"))
+    return full.select(*by, "theta", d("_kept", "_all").alias("coverage"), d("_right", "_kept").alias("precision"), d("_right", "_base").alias("recall"), F.try_divide(d("_right", "_kept"), d("_base", "_all")).alias("lift"))
+
+
+def terciles(df: DataFrame, by: str, y: str = "y", p: str = "p", least: int = 10) -> DataFrame:
+    """Rank AUC within thirds of a column; NULL under `least` positives. The two cuts are one broadcast row."""
+    q = df.agg(F.percentile(by, F.array(F.lit(1 / 3), F.lit(2 / 3))).alias("_q"))
+    named = df.join(F.broadcast(q)).withColumn("regime", F.when(F.col(by) <= F.col("_q")[0], "low").when(F.col(by) <= F.col("_q")[1], "mid").otherwise("high"))
+    n = named.groupBy("regime").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col(y) == 1).alias("positives"))
+    return auc(named, ["regime"], y, p).join(n, "regime").withColumn("auc", F.when(F.col("positives") >= least, F.col("auc")))
 
 
 def threshold_curve(df: DataFrame, by: list[str], y: str = "y", p: str = "p", steps: int = 121, step: float = 0.005) -> DataFrame:

@@ -54,15 +54,27 @@ def build(bars: DataFrame, top: int = 150, code_pattern: str = r"^[1-9]\d{3}$",
 def panel(features: DataFrame, snapshots: DataFrame, prices: DataFrame, horizon: int = 5, as_of=None) -> DataFrame:
     """Feature rows of stocks that the last snapshot on or before the day includes, with label_end_date.
 
-    label_end_date comes from the price calendar; as_of cuts the features. Doubled (stock, day) rows raise.
+    label_end_date comes from the price calendar; as_of cuts the features. The job fails at doubled (stock, day) rows.
     """
     if as_of is not None:
         features = features.where(F.col("trade_date") <= F.lit(as_of))
-    twice = features.groupBy("stock_id", "trade_date").count().where("count > 1").limit(5).collect()
-    if twice:
-        raise ValueError(f"feature rows occur twice: {[(r['stock_id'], r['trade_date']) for r in twice]}")
+    once = Window.partitionBy("stock_id", "trade_date")
+    doubled = F.raise_error(F.concat(F.lit("feature rows occur twice: "), "stock_id", F.lit(" "), F.col("trade_date").cast("string")))
+    features = features.withColumn("stock_id", F.when(F.count(F.lit(1)).over(once) > 1, doubled).otherwise(F.col("stock_id")))
     found = asof.backward(features, "trade_date", snapshots, "effective_date")
     member = snapshots.where("included").select("effective_date", "stock_id")
     ends = prices.select("stock_id", "trade_date", F.lead("trade_date", horizon).over(Window.partitionBy("stock_id").orderBy("trade_date")).alias("label_end_date"))
     out = found.join(member, ["effective_date", "stock_id"]).join(ends, ["stock_id", "trade_date"], "left")
     return out.select(*features.columns, "effective_date", "label_end_date")
+
+
+def report_qa(bars: DataFrame, expected: int, band: tuple[float, float], most_change: float = 0.02) -> DataFrame:
+    """By day: rows, the upper of the middle turnovers, whether rows changed little since the day before, are as many as expected, and the middle lies in its band.
+
+    A day's turnovers, one a stock, are sorted in one array; the window without a key runs over days.
+    """
+    days = bars.groupBy("trade_date").agg(F.count(F.lit(1)).alias("n"), F.sort_array(F.collect_list("turnover")).alias("_t"))
+    before = F.lag("n").over(Window.orderBy("trade_date"))
+    days = days.withColumn("upper_median", F.get("_t", F.floor(F.col("n") / 2).cast("int")))
+    steady = F.coalesce(F.abs(F.col("n") - before) / before <= most_change, F.lit(True))
+    return days.select("trade_date", "n", "upper_median", steady.alias("steady"), (F.col("n") == expected).alias("conserved"), F.col("upper_median").between(*band).alias("in_band"))

@@ -31,7 +31,7 @@ def fold_rows(v: Views) -> DataFrame:
     return SPLIT.split(_panel(v))
 
 
-@query("I06_I07_fold_sizes", SQL_FOLDS + "SELECT fold, count(*) FILTER (role = 'train') AS train_rows, count(*) FILTER (role = 'test') AS test_rows, count(DISTINCT CASE WHEN role = 'train' THEN trade_date END) AS train_days, count(DISTINCT CASE WHEN role = 'train' THEN trade_date END) < 245 AS skipped FROM folded GROUP BY 1")
+@query("I06_fold_sizes", SQL_FOLDS + "SELECT fold, count(*) FILTER (role = 'train') AS train_rows, count(*) FILTER (role = 'test') AS test_rows, count(DISTINCT CASE WHEN role = 'train' THEN trade_date END) AS train_days, count(DISTINCT CASE WHEN role = 'train' THEN trade_date END) < 245 AS skipped FROM folded GROUP BY 1")
 def fold_sizes(v: Views) -> DataFrame:
     return SPLIT.sizes(SPLIT.split(_panel(v)))
 
@@ -89,9 +89,9 @@ def multiclass_brier(v: Views) -> DataFrame:
 EDGES = " + ".join(f"CAST(p >= CAST('{(i * 0.1)!r}' AS DOUBLE) AS INTEGER)" for i in range(1, 10))
 
 
-@query("D37_reliability", f"SELECT model, {EDGES} AS bin, count(*) AS n, round(avg(p), 8) AS mean_p, round(avg(y), 8) AS observed FROM preds GROUP BY 1, 2")
+@query("D37_reliability", f", b AS (SELECT model, {EDGES} AS bin, count(*) AS n, round(avg(p), 8) AS mean_p, round(avg(y), 8) AS observed FROM preds WHERE p < 0.3 OR p >= 0.4 GROUP BY 1, 2) SELECT model, CAST(k AS INTEGER) AS bin, coalesce(n, 0) AS n, mean_p, observed FROM (SELECT DISTINCT model FROM b) m CROSS JOIN range(10) r(k) LEFT JOIN b USING (model) WHERE b.bin = k UNION ALL SELECT model, 3, 0, NULL, NULL FROM (SELECT DISTINCT model FROM b)")
 def reliability(v: Views) -> DataFrame:
-    return metrics.reliability(v.preds, ["model"]).withColumns({c: F.round(c, 8) for c in ("mean_p", "observed")})
+    return metrics.reliability(v.preds.where("p < 0.3 OR p >= 0.4"), ["model"]).withColumns({c: F.round(c, 8) for c in ("mean_p", "observed")})
 
 
 SQL_CURVE = """, g AS (SELECT model, round(k * 0.005, 6)::DOUBLE AS theta FROM (SELECT DISTINCT model FROM preds), range(121) r(k)),
@@ -110,15 +110,27 @@ def choice(v: Views) -> DataFrame:
     return metrics.choose_threshold(metrics.threshold_curve(v.preds, ["model"]), 0.3, 0.9, 0.2).select("model", "theta", F.round("recall", 8).alias("recall"))
 
 
-@query("D43_terciles", ", t AS (SELECT quantile_cont(vol, [1.0 / 3, 2.0 / 3]) AS q FROM preds), l AS (SELECT CASE WHEN vol <= q[1] THEN 'low' WHEN vol <= q[2] THEN 'mid' ELSE 'high' END AS regime, y, p FROM preds, t), r AS (SELECT regime, y, (rank() OVER (PARTITION BY regime ORDER BY p) + (count(*) OVER (PARTITION BY regime, p) - 1) / 2) AS r FROM l) SELECT regime, count(*) AS n, round((sum(r) FILTER (y = 1) - count(*) FILTER (y = 1) * (count(*) FILTER (y = 1) + 1) / 2) / (count(*) FILTER (y = 1) * count(*) FILTER (y = 0)), 8) AS auc FROM r GROUP BY 1")
+@query("D43_terciles", ", t AS (SELECT quantile_cont(vol, [1.0 / 3, 2.0 / 3]) AS q FROM preds), l AS (SELECT CASE WHEN vol <= q[1] THEN 'low' WHEN vol <= q[2] THEN 'mid' ELSE 'high' END AS regime, CASE WHEN vol > q[2] THEN 0 ELSE y END AS y, p FROM preds, t), r AS (SELECT regime, y, (rank() OVER (PARTITION BY regime ORDER BY p) + (count(*) OVER (PARTITION BY regime, p) - 1) / 2) AS r FROM l) SELECT regime, count(*) AS n, count(*) FILTER (y = 1) AS positives, CASE WHEN count(*) FILTER (y = 1) >= 10 THEN round((sum(r) FILTER (y = 1) - count(*) FILTER (y = 1) * (count(*) FILTER (y = 1) + 1) / 2) / (count(*) FILTER (y = 1) * count(*) FILTER (y = 0)), 8) END AS auc FROM r GROUP BY 1")
 def terciles(v: Views) -> DataFrame:
+    """The highest third has no positives here, so its AUC is NULL."""
     p = v.preds
-    q = p.agg(F.percentile("vol", F.array(F.lit(1 / 3), F.lit(2 / 3))).alias("q"))  # one row
-    df = p.join(F.broadcast(q)).withColumn("regime", F.when(F.col("vol") <= F.col("q")[0], "low").when(F.col("vol") <= F.col("q")[1], "mid").otherwise("high"))
-    return metrics.auc(df, ["regime"]).join(df.groupBy("regime").agg(F.count(F.lit(1)).alias("n")), "regime").withColumn("auc", F.round("auc", 8))
+    cut = p.agg(F.percentile("vol", 2 / 3).alias("_c"))  # one row
+    return metrics.terciles(p.join(F.broadcast(cut)).withColumn("y", F.when(F.col("vol") > F.col("_c"), 0).otherwise(F.col("y"))).drop("_c"), "vol").withColumn("auc", F.round("auc", 8))
 
 
-@query("I08_I11_stacking", ", w AS (SELECT d, fold, round(avg(p) FILTER (model = 'm0'), 8) AS m0, round(avg(p) FILTER (model = 'm1'), 8) AS m1, round(avg(p) FILTER (model = 'm2'), 8) AS m2, round(avg(p) FILTER (model = 'm3'), 8) AS m3 FROM preds GROUP BY 1, 2) SELECT * FROM w")
+SQL_GRID = """, pq AS (SELECT model, quantile_cont(p, [k / 100.0 FOR k IN range(1, 101)]) AS q FROM preds GROUP BY 1),
+th AS (SELECT DISTINCT model, round(t, 6) AS theta FROM (SELECT model, unnest(q) AS t FROM pq UNION ALL SELECT model, k * 0.005::DOUBLE FROM pq, range(121) r(k))),
+cg AS (SELECT th.model, theta, count(*) FILTER (p <= theta + 1e-9) AS kept, count(*) FILTER (p <= theta + 1e-9 AND y = 0) AS good, count(*) AS n, count(*) FILTER (y = 0) AS base FROM th JOIN preds USING (model) GROUP BY 1, 2)
+"""
+
+
+@query("D39_D40_percentile_curve", SQL_GRID + "SELECT model, theta, round(kept / n, 8) AS coverage, round(good / nullif(kept, 0), 8) AS precision, round(good / base, 8) AS recall, round(good / nullif(kept, 0) / (base / n), 8) AS lift FROM cg")
+def percentile_curve(v: Views) -> DataFrame:
+    p = v.preds
+    return metrics.curve_at(p, metrics.theta_grid(p, ["model"]), ["model"]).withColumns({c: F.round(c, 8) for c in ("coverage", "precision", "recall", "lift")})
+
+
+@query("I08_wide_means", ", w AS (SELECT d, fold, round(avg(p) FILTER (model = 'm0'), 8) AS m0, round(avg(p) FILTER (model = 'm1'), 8) AS m1, round(avg(p) FILTER (model = 'm2'), 8) AS m2, round(avg(p) FILTER (model = 'm3'), 8) AS m3 FROM preds GROUP BY 1, 2) SELECT * FROM w")
 def stacking(v: Views) -> DataFrame:
     wide = v.preds.groupBy("d", "fold").pivot("model", ["m0", "m1", "m2", "m3"]).agg(F.avg("p"))
     return wide.select("d", "fold", *[F.round(m, 8).alias(m) for m in ("m0", "m1", "m2", "m3")])

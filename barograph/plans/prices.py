@@ -75,11 +75,11 @@ def label_ratios(v: Views) -> DataFrame:
     return df.groupBy("stock_id").agg(n.alias("n"), F.round(F.try_divide(F.count_if(F.col("triple_barrier") == 0), F.count("triple_barrier")), 8).alias("timeout_ratio"), F.round(vague / n, 8).alias("ambiguous_ratio"), (vague / n > 0.1).alias("escalate"))
 
 
-@query("E22_E24_curves", f", r AS (SELECT *, coalesce(ln(close_price / lag(close_price) OVER {W})), 0.0) AS r FROM bars), c AS (SELECT *, exp(sum(r) OVER {W} ROWS UNBOUNDED PRECEDING)) AS eq FROM r), m AS (SELECT *, max(eq) OVER {W} ROWS UNBOUNDED PRECEDING) AS top FROM c) SELECT stock_id, trade_date, round(eq - 1, 8) + 0.0 AS buy_and_hold, round(eq / top - 1, 8) + 0.0 AS drawdown FROM m")
+@query("E22_E24_curves", f", r AS (SELECT *, coalesce(ln(close_price / lag(close_price) OVER {W})), 0.0) AS r, coalesce(lag(volume % 10) OVER {W}), 0) / 10.0 >= 0.5 AS up FROM bars), c AS (SELECT *, exp(sum(r) OVER {W} ROWS UNBOUNDED PRECEDING)) AS eq, exp(sum(CASE WHEN up THEN r ELSE -r END) OVER {W} ROWS UNBOUNDED PRECEDING)) AS st FROM r), m AS (SELECT *, max(eq) OVER {W} ROWS UNBOUNDED PRECEDING) AS top FROM c) SELECT stock_id, trade_date, round(eq - 1, 8) + 0.0 AS buy_and_hold, round(st - 1, 8) + 0.0 AS sign_strategy, round(eq / top - 1, 8) + 0.0 AS drawdown FROM m")
 def curves(v: Views) -> DataFrame:
-    w = indicators.frame(Window.unboundedPreceding, 0)
-    df = v.bars.withColumn("r", indicators.log_return(F.col("close_price"))).withColumn("eq", F.exp(F.sum("r").over(w))).withColumn("top", F.max("eq").over(w))
-    return df.select("stock_id", "trade_date", (F.round(F.col("eq") - 1, 8) + 0.0).alias("buy_and_hold"), (F.round(F.col("eq") / F.col("top") - 1, 8) + 0.0).alias("drawdown"))
+    """The sign strategy goes by a score of the day before, here a digit of its volume."""
+    score = F.coalesce(F.lag(F.col("volume") % 10).over(indicators.by_stock()), F.lit(0)) / 10
+    return rounded(indicators.equity_curves(v.bars, score >= 0.5), ["buy_and_hold", "sign_strategy", "drawdown"]).select("stock_id", "trade_date", "buy_and_hold", "sign_strategy", "drawdown")
 
 
 @query("E23_chart_means", f"SELECT stock_id, trade_date, round(avg(close_price) OVER {W} ROWS 4 PRECEDING), 8) AS ma5, round(avg(close_price) OVER {W} ROWS 19 PRECEDING), 8) AS ma20 FROM bars")
@@ -142,11 +142,9 @@ def batches(v: Views) -> DataFrame:
 
 
 @query("D25_report_qa", """, d AS (SELECT trade_date, count(*) AS n, list(turnover ORDER BY turnover) AS t FROM bars GROUP BY 1)
-SELECT trade_date, n, t[n // 2 + 1] AS upper_median, coalesce(abs(n - lag(n) OVER (ORDER BY trade_date)) / lag(n) OVER (ORDER BY trade_date) <= 0.02, TRUE) AS steady FROM d""")
+SELECT trade_date, n, t[n // 2 + 1] AS upper_median, coalesce(abs(n - lag(n) OVER (ORDER BY trade_date)) / lag(n) OVER (ORDER BY trade_date) <= 0.02, TRUE) AS steady, n = 25 AS conserved, t[n // 2 + 1] BETWEEN 10000 AND 200000 AS in_band FROM d""")
 def report_qa(v: Views) -> DataFrame:
-    days = v.bars.groupBy("trade_date").agg(F.count(F.lit(1)).alias("n"), F.sort_array(F.collect_list("turnover")).alias("t"))
-    before = F.lag("n").over(Window.orderBy("trade_date"))
-    return days.select("trade_date", "n", F.get("t", F.floor(F.col("n") / 2).cast("int")).alias("upper_median"), F.coalesce(F.abs(F.col("n") - before) / before <= 0.02, F.lit(True)).alias("steady"))
+    return universe.report_qa(v.bars, expected=25, band=(10_000.0, 200_000.0))
 
 
 @query("D11_max_date", "SELECT stock_id, max(trade_date) AS last_day, arg_max(close_price, trade_date) AS last_close, arg_min(close_price, trade_date) AS first_close FROM bars GROUP BY 1")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from barograph.operators import asof, comments, sentiment
+from barograph.operators import asof, comments, runlog, sentiment
 from barograph.plans.prices import SQL_TECH, TECH, TECH_SQL_COLS, W
 from barograph.plans.registry import query
 from barograph.sources.fixtures import ALLOWED, Views
@@ -128,7 +128,41 @@ def outcomes(v: Views) -> DataFrame:
     return v.run_log.groupBy("batch_date").agg(*[F.count_if(o == k).alias(k.lower()) for k in ("OK", "NO_DATA", "FETCH_FAILED", "REFUSED")], F.count(F.lit(1)).alias("total"))
 
 
-@query("M05_J09_batch_outcome", "SELECT keyword, CASE WHEN EXISTS (SELECT 1 FROM articles WHERE fetch_keyword = keyword AND event_hit) THEN 'OK' ELSE 'NO_DATA' END AS outcome FROM entity_map".replace("AND event_hit", "AND article_id % 50 = 0"))
-def batch_outcome(v: Views) -> DataFrame:
-    hits = v.articles.where(F.col("article_id") % 50 == 0).select(F.col("fetch_keyword").alias("keyword")).distinct().withColumn("hit", F.lit(True))
-    return v.entity_map.select("keyword").join(hits, "keyword", "left").select("keyword", F.when(F.col("hit"), "OK").otherwise("NO_DATA").alias("outcome"))
+@query("M05_keyword_outcomes", ", k AS (SELECT keyword, CAST(substr(keyword, 3) AS INTEGER) % 3 AS batch FROM entity_map), h AS (SELECT DISTINCT fetch_keyword AS keyword FROM articles WHERE sentiment_score >= 0.99) SELECT batch, keyword, CASE WHEN keyword IN (SELECT keyword FROM h) THEN 'OK' WHEN batch = 2 THEN 'FETCH_FAILED' ELSE 'NO_DATA' END AS outcome FROM k")
+def keyword_outcomes(v: Views) -> DataFrame:
+    """Three batches of keywords, the last of them degraded."""
+    k = v.entity_map.select((F.substring("keyword", 3, 9).cast("int") % 3).alias("batch"), "keyword")
+    hits = v.articles.where("sentiment_score >= 0.99").select(F.col("fetch_keyword").alias("keyword")).join(k, "keyword")
+    batches = v.spark.createDataFrame([(0, "OK"), (1, "NO_DATA"), (2, "SOURCE_DEGRADED")], "batch int, outcome string")
+    return runlog.keyword_outcomes(k, hits, batches)
+
+
+@query("J09_market_attempts", ", m AS (SELECT stock_id AS market, trade_date, CASE WHEN volume % 997 = 0 THEN 'REFUSED' WHEN volume % 7 = 0 THEN 'FETCH_FAILED' ELSE 'OK' END AS outcome FROM bars), f AS (SELECT market, min(trade_date) FILTER (outcome = 'REFUSED') AS d FROM m GROUP BY 1) SELECT market, trade_date, d IS NULL OR trade_date <= d AS attempted, CASE WHEN d IS NULL OR trade_date <= d THEN outcome END AS outcome FROM m JOIN f USING (market)")
+def market_attempts(v: Views) -> DataFrame:
+    o = F.when(F.col("volume") % 997 == 0, "REFUSED").when(F.col("volume") % 7 == 0, "FETCH_FAILED").otherwise("OK")
+    return runlog.attempts(v.bars.select(F.col("stock_id").alias("market"), "trade_date", o.alias("outcome")))
+
+
+@query("A28_copied_prices", """, w AS (SELECT stock_id, trade_date, volume, close_price, CASE volume % 3 WHEN 0 THEN 'TWSE' ELSE 'TPEX' END AS market FROM bars),
+b AS (SELECT trade_date, market, CASE (day(trade_date) + length(market) + CASE market WHEN 'TWSE' THEN 1 ELSE 0 END) % 3 WHEN 0 THEN 'OK' WHEN 1 THEN 'REFUSED' ELSE 'NO_DATA' END AS outcome FROM (SELECT DISTINCT trade_date FROM bars), (VALUES ('TWSE'), ('TPEX')) m(market))
+SELECT stock_id, trade_date, market, CASE WHEN volume % 2 = 0 THEN close_price END AS close_price, CASE WHEN volume % 2 = 0 THEN 'OK' WHEN outcome = 'OK' THEN 'NO_DATA' WHEN outcome = 'REFUSED' THEN 'REFUSED' ELSE 'FETCH_FAILED' END AS outcome FROM w JOIN b USING (trade_date, market)""")
+def copied_prices(v: Views) -> DataFrame:
+    w = v.bars.select("stock_id", "trade_date", "volume", "close_price", F.when(F.col("volume") % 3 == 0, "TWSE").otherwise("TPEX").alias("market"))
+    markets = v.spark.createDataFrame([("TWSE", 1), ("TPEX", 0)], "market string, k int")
+    days = v.bars.select("trade_date").distinct().crossJoin(F.broadcast(markets))  # two markets
+    code = (F.dayofmonth("trade_date") + 4 + F.col("k")) % 3
+    b = days.select("market", "trade_date", F.when(code == 0, "OK").when(code == 1, "REFUSED").otherwise("NO_DATA").alias("outcome"))
+    return runlog.copied_prices(w.select("stock_id", "trade_date", "market"), w.where("volume % 2 = 0"), b)
+
+
+@query("A27_B20_run_log", "SELECT item_key, batch_date, outcome, CASE WHEN outcome IN ('FETCH_FAILED', 'REFUSED') THEN 'HTTP 503' END AS detail FROM run_log")
+def run_log(v: Views) -> DataFrame:
+    rows = v.run_log.select(F.lit("board").alias("source"), F.col("batch_date").cast("string").alias("batch_key"), "item_key", "outcome", F.when(F.col("outcome") == "FETCH_FAILED", "HTTP 503").alias("detail"))
+    log = rows.where("false").withColumn("started_at", F.lit(None).cast("timestamp"))
+    return runlog.appended(log, rows, "2024-01-01 15:35:00").select("item_key", F.col("batch_key").cast("date").alias("batch_date"), "outcome", "detail")
+
+
+@query("B20_invalid_entries", "SELECT item_key, batch_date, CASE WHEN outcome = 'OK' AND day(batch_date) % 4 = 0 THEN 'detail without failure' WHEN outcome = 'FETCH_FAILED' AND day(batch_date) % 4 <> 0 THEN 'detail missing' END AS why FROM run_log WHERE (outcome = 'OK' AND day(batch_date) % 4 = 0) OR (outcome = 'FETCH_FAILED' AND day(batch_date) % 4 <> 0)")
+def invalid_entries(v: Views) -> DataFrame:
+    rows = v.run_log.withColumn("detail", F.when((F.dayofmonth("batch_date") % 4 == 0) & (F.col("outcome") != "NO_DATA"), "HTTP 503"))
+    return runlog.invalid(rows).select("item_key", "batch_date", "why")
