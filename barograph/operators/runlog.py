@@ -21,7 +21,7 @@ def appended(log: DataFrame, entries: DataFrame, started_at) -> DataFrame:
     """The log with the entries of one run; the job fails at an entry that may not be written."""
     odd = invalid(entries).select("source", "batch_key", "item_key", "why")
     checked = entries.join(odd, ["source", "batch_key", "item_key"], "left")
-    ok = checked.withColumn("outcome", F.when(F.col("why").isNotNull(), F.raise_error("why")).otherwise(F.col("outcome"))).drop("why")
+    ok = checked.withColumn("outcome", F.when(F.col("why").isNotNull(), F.raise_error(F.col("why"))).otherwise(F.col("outcome"))).drop("why")
     return log.unionByName(ok.withColumn("started_at", F.lit(started_at).cast(log.schema["started_at"].dataType)).select(log.columns))
 
 
