@@ -64,3 +64,8 @@ def fingerprint(df: DataFrame, group: str, order: list[str], columns: list[str])
     joined = lambda rows: F.md5(F.array_join(F.transform(F.sort_array(rows), lambda r: r["row"]), "").cast("binary"))
     each = df.groupBy(group).agg(F.count(F.lit(1)).alias("n"), joined(F.collect_list(F.struct(*order, row.alias("row")))).alias("row"))
     return each.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), joined(F.collect_list(F.struct(group, "row"))).alias("print"))
+
+
+def affected(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
+    """How many rows of `old` a keyed update by `new` reaches, to be held against what was expected."""
+    return old.join(new.select(*keys).distinct(), keys, "left_semi").agg(F.count(F.lit(1)).alias("affected"))

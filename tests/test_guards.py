@@ -149,3 +149,32 @@ def test_gaps_and_foreign_rows(spark):
     a = spark.createDataFrame([("1", D), ("2", D)], "stock_id string, trade_date date")
     assert [r["stock_id"] for r in checks.gaps(a, a.where("stock_id = '1'"), ["stock_id", "trade_date"]).collect()] == ["2"]
     assert checks.foreign_rows(a, a, "stock_id").count() == 0
+
+
+def test_stage_guards(spark, tmp_path):
+    from barograph.operators import guards
+
+    df = spark.createDataFrame([(1, 2.0)], "a int, b double")
+    assert guards.required_columns(df, ["a"]) is df
+    with pytest.raises(ValueError, match="missing"):
+        guards.required_columns(df, ["c"])
+    assert (guards.timeout_column("target_triple_barrier"), guards.timeout_column("target_up_down")) == ("p1", "p0")
+    with pytest.raises(ValueError, match="unknown target"):
+        guards.timeout_column("x")
+    guards.may_write({"confirmed": True})
+    with pytest.raises(PermissionError, match="holdout"):
+        guards.may_write({"confirmed": True, "holdout unused": False})
+    (tmp_path / "f").write_bytes(b"abc")
+    assert guards.file_digests(spark, str(tmp_path / "f")).first()["sha256"].startswith("ba7816bf")
+
+
+def test_models_are_stored_and_read_again(spark, tmp_path):
+    from pyspark.ml.classification import LogisticRegressionModel
+    from pyspark.ml.feature import VectorAssembler
+
+    from barograph.operators import guards
+
+    df = VectorAssembler(inputCols=["x"], outputCol="f").transform(spark.range(20).select((F.col("id") % 2).cast("double").alias("y"), F.col("id").cast("double").alias("x")))
+    model = learners.classifier("lr", "f", "y").fit(df)
+    again = LogisticRegressionModel.load(guards.save_model(model, str(tmp_path / "m")))
+    assert again.coefficients == model.coefficients
