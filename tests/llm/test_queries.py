@@ -466,5 +466,26 @@ def test_pipeline_stage_by_stage(spark, sf_dir):
     assert len(corpus_pipeline.run(spark, sf_dir).collect()) == len(got)
 
 
+def test_pipeline_of_nothing(spark, empty):
+    import corpus_pipeline
+
+    assert corpus_pipeline.run(spark, empty).collect() == []
+
+
+def test_patterns_use_up_a_histogram_exactly():
+    """Whatever the lengths, the plan's contents are the histogram, no content is too long, and fitted patterns place most of a smooth one."""
+    rng = np.random.default_rng(5)
+    for lengths in (rng.integers(1, 1024, 20_000), np.minimum(1023, rng.geometric(1 / 90, 30_000)), np.array([1, 1, 2, 1023]), np.full(500, 513), np.zeros(0, int)):
+        have = np.bincount(lengths, minlength=1025)
+        made = packing.plan(have, 1024)
+        used = np.zeros_like(have)
+        for content, count in made:
+            assert sum(content) <= 1024 and count > 0
+            np.add.at(used, list(content), count)
+        assert (used == have).all()
+    x = packing.nnls_counts(np.array([0, 0, 6, 4, 0, 0]), [(3, 2), (2, 2)])
+    assert x == pytest.approx([4, 1], abs=0.05)
+
+
 def test_piece_cut_is_defined_by_the_remainder():
     assert packing.SIZE == 1024 and packing.END_ID == 2
