@@ -47,7 +47,7 @@ CHUNK = 1 << 15
 RATE, STRENGTH = 0.002, 48.0
 #: Runs of bytes between updates: (up to this byte, run).
 RUNS = [(256, 16), (1024, 32), (8192, 64), (65536, 512), (1 << 62, 4096)]
-SIDE_BY_SIDE = 512
+SIDE_BY_SIDE, STEP_BYTES = 512, 16_384
 BLOCK_BYTES, MOST_BLOCK_ROWS, SLICE = 32 << 20, 80_000, 3_000_000
 END = 255
 MOST_COUNT = 30_000.0
@@ -199,9 +199,12 @@ class Mixer:
             z[i : i + CHUNK] = self.mixed(new, gate)
         bit = bits_of(distinct).astype(np.float32)
         out, order = np.zeros(len(texts)), np.argsort(-size, kind="stable")
-        for i in range(0, len(order), SIDE_BY_SIDE):
-            mine = order[i : i + SIDE_BY_SIDE]
+        i = 0
+        while i < len(order):  # as many side by side as keeps a step's arrays in a core's cache
+            step = next(run for end, run in RUNS if size[order[i]] <= end)
+            mine = order[i : i + max(8, min(SIDE_BY_SIDE, STEP_BYTES // step))]
             out[mine] = self._online(code, x, z, bit, start[mine], size[mine])
+            i += len(mine)
         return out
 
     def _online(self, code: np.ndarray, x: np.ndarray, z: np.ndarray, bit: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
