@@ -7,6 +7,9 @@ first one's type replaces a wrong declared type. Formats: PNG, BMP, WAV, AU, GIF
 The query stores each text as 8-bit samples in a media file (PNG, BMP, WAV or AU by its checksum), half of
 them inside a foreign wrapper and most under a wrong or vague declared type, as a binary column in Parquet;
 it reads the column back, sniffs, carves and decodes it.
+
+Defined cases: null and empty texts are one unit of padding; a text of any length is one media; repeated rows and
+equal texts give equal media; rows without doc_id keep their null; other columns are ignored; no rows give none.
 """
 
 from __future__ import annotations

@@ -165,16 +165,18 @@ def pack(cut: DataFrame, size: int = SIZE) -> DataFrame:
     where = runs(plan(have, size))
     full = cut.where(F.col("length") == size).select("*", (-1 - F.monotonically_increasing_id()).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
     part = cut.where(F.col("length") < size)
-    ranked = gapless_rank(part, ["length"], F.xxhash64("doc_id", "piece"), [F.col("doc_id"), F.col("piece"), F.col("ids_crc32")], "rank")
+    ranked = gapless_rank(part, ["length"], F.xxhash64("doc_id", "piece"), [F.col("doc_id"), F.col("piece"), F.col("ids_crc32")], "rank", min(512, max(64, int(have.sum()) // 1_000_000)))
+    names = cut.columns
+    sent = cut.sparkSession.sparkContext.broadcast(where)  # a row for each length of each pattern: bounded by ROUNDS and MOST_PATTERNS, and by `size` for the rest
 
     def place(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        where = sent.value
         for b in batches:
             key = (b["length"].to_numpy(np.int64) << _RANK_BITS) | b["rank"].to_numpy(np.int64)
             at = np.searchsorted(where[:, 0], key, "right") - 1
             b = b.drop(columns="rank")
             yield b.assign(sequence_id=where[at, 1] + key - where[at, 0], offset=where[at, 2])
 
-    names = cut.columns
     placed = ranked.select(*names, "rank").mapInPandas(place, full.schema)
     return placed.unionByName(full)
 

@@ -97,7 +97,7 @@ def assign(docs: DataFrame, shards: int = SHARDS, key: Column | None = None) ->
     names = marked.columns
     both = materialise(moved.select(names).unionByName(marked.where(~F.col("linked"))), "propagated")
     # linked documents come first in their shard, so that only loners are moved while there are any
-    ranked = gapless_rank(both.withColumn("late", (~F.col("linked")).cast("int")), ["shard", "late"], F.xxhash64("id"), [F.col("id"), F.col("doc_id"), F.col("text_crc32")], "r")
+    ranked = gapless_rank(both.withColumn("late", (~F.col("linked")).cast("int")), ["shard", "late"], F.xxhash64("id"), [F.col("id"), F.col("doc_id"), F.col("text_crc32")], "r", min(4096, max(64, total // 1_000_000)))
     counts = {(row["shard"], row["linked"]): row["c"] for row in both.groupBy("shard", "linked").agg(F.count(F.lit(1)).alias("c")).collect()}
     first = [counts.get((s, True), 0) for s in range(shards)]
     size = [first[s] + counts.get((s, False), 0) for s in range(shards)]
