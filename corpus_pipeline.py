@@ -3,6 +3,11 @@
 Each stage takes (spark, docs, sf_dir) and works on all that its predecessor kept; the first three return the
 columns of documents, the last one row a piece. `run` writes each stage to the shared folder as Parquet and
 reads it back as the next stage's input.
+
+Defined cases: null and empty texts are not toxic, fail the quality rules' least of words, and so never reach the
+packing; rows without doc_id go through all stages, and of near copies one with doc_id stays before one without;
+repeated rows are near copies of each other; no documents, or none that stay, give no rows; documents may carry
+further columns, whatever their names.
 """
 
 from __future__ import annotations
