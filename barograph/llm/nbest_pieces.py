@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 from barograph.llm.common import table
 from barograph.llm.tokens import default_path
 
-N_BEST, BYTE_SCORE, LINKS_KNOWN, SEARCHES_KNOWN, UNIT = 4, -14.0, 200_000, 50_000, 1 << 20
+N_BEST, BYTE_SCORE, LINKS_KNOWN, SEARCHES_KNOWN, UNIT = 4, -14.0, 450_000, 50_000, 1 << 20
 MARKS = ".,;:!?#*$%&|<>"
 _LINK = re.compile(r"\n| *[^ \n]+| +")
 
