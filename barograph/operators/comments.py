@@ -16,13 +16,20 @@ def time_resets(comments: DataFrame) -> DataFrame:
     return comments.withColumn("_back", F.coalesce(back, F.lit(False))).groupBy("article_id").agg(F.bool_or("_back").alias("suspect"))
 
 
-def infer_years(comments: DataFrame, post_year: Column, post_md: Column) -> DataFrame:
-    """`md` (month * 100 + day, NULL unread) to a year: one more at each fall; read rows only."""
-    before = Window.partitionBy("article_id").orderBy("comment_seq").rowsBetween(Window.unboundedPreceding, -1)
-    now = Window.partitionBy("article_id").orderBy("comment_seq").rowsBetween(Window.unboundedPreceding, 0)
-    prev = F.coalesce(F.last("md", ignorenulls=True).over(before), post_md)
-    df = comments.withColumn("_fall", F.coalesce(F.col("md") < prev, F.lit(False)).cast("int"))
-    return df.withColumn("year_inferred", F.when(F.col("md").isNotNull(), post_year + F.sum("_fall").over(now))).drop("_fall")
+def infer_years(comments: DataFrame, post_year: Column, post_md: Column, full_year: str | None = None) -> DataFrame:
+    """`md` (month * 100 + day, NULL unread) to a year: one more at each fall; read rows only.
+
+    A stamp with its own year, in the column `full_year`, anchors anew: what follows counts from there.
+    """
+    by = Window.partitionBy("article_id").orderBy("comment_seq")
+    own = F.col(full_year) if full_year else F.lit(None).cast("long")
+    df = comments.withColumn("_own", own).withColumn("_seg", F.count("_own").over(by.rowsBetween(Window.unboundedPreceding, 0)))
+    base = F.coalesce(F.last("_own", ignorenulls=True).over(by.rowsBetween(Window.unboundedPreceding, 0)), post_year)
+    prev = F.coalesce(F.last("md", ignorenulls=True).over(by.rowsBetween(Window.unboundedPreceding, -1)), post_md)
+    fall = F.col("_own").isNull() & F.coalesce(F.col("md") < prev, F.lit(False))
+    df = df.withColumn("_base", base).withColumn("_fall", fall.cast("int"))
+    falls = F.sum("_fall").over(Window.partitionBy("article_id", "_seg").orderBy("comment_seq").rowsBetween(Window.unboundedPreceding, 0))
+    return df.withColumn("year_inferred", F.when(F.col("md").isNotNull(), F.col("_base") + falls)).drop("_own", "_seg", "_base", "_fall")
 
 
 def counts_as_of(comments: DataFrame, cutoffs: DataFrame) -> DataFrame:

@@ -19,6 +19,7 @@ class WalkForward:
     step: int | None = None
     embargo: int = 5
     expanding: bool = False
+    horizon: int = 5
     least_train: int | None = None
 
     def bounds(self, panel: DataFrame) -> DataFrame:
@@ -52,6 +53,10 @@ class WalkForward:
 
     def sizes(self, split: DataFrame) -> DataFrame:
         """Rows and days of each fold; folds with fewer train days than `least_train` are marked."""
-        least = self.least_train if self.least_train is not None else max(1, self.train - 5)
+        least = self.least_train if self.least_train is not None else max(1, self.train - self.horizon)
         c = split.groupBy("fold").agg(*[F.count_if(F.col("role") == r).alias(f"{r}_rows") for r in ("train", "test")], F.count_distinct(F.when(F.col("role") == "train", F.col("trade_date"))).alias("train_days"))
         return c.withColumn("skipped", F.col("train_days") < least)
+
+    def usable(self, split: DataFrame) -> DataFrame:
+        """The rows of folds that have enough train days; fold numbers stay. Sizes are a row a fold."""
+        return split.join(F.broadcast(self.sizes(split).where(~F.col("skipped")).select("fold")), "fold", "left_semi")

@@ -65,3 +65,11 @@ def save_model(model, path: str) -> str:
     """Through Spark's own writer, no pickle; replaces what was there."""
     model.write().overwrite().save(path)
     return path
+
+
+def label_report(labels: DataFrame, least: float = 0.05) -> DataFrame:
+    """By stock: share of timeouts and whether it is below `least`, the rarest class's share and whether that reaches it."""
+    n = F.count("triple_barrier")
+    share = lambda k: F.try_divide(F.count_if(F.col("triple_barrier") == k), n)
+    r = labels.groupBy("stock_id").agg(share(0).alias("timeout_ratio"), F.least(share(-1), share(0), share(1)).alias("rarest_share"))
+    return r.select("stock_id", "timeout_ratio", (F.col("timeout_ratio") < least).alias("below"), "rarest_share", (F.col("rarest_share") >= least).alias("balanced"))

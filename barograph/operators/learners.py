@@ -21,7 +21,7 @@ def ridge_weights(df: DataFrame, features: list[str], y: str, penalty: float = 1
     return dict(zip(["bias", *features], np.linalg.solve(gram, [row[f"t{i}"] for i in range(k)]), strict=True))
 
 
-def forest_by_fold(df: DataFrame, features: list[str], y: str, fold: str, key: str, trees: int = 10, depth: int = 5, seed: int = 42) -> DataFrame:
+def forest_by_fold(df: DataFrame, features: list[str], y: str, fold: str, key: str, trees: int = 50, depth: int = 5, seed: int = 42) -> DataFrame:
     """For each fold but the first, a forest of the rows before it; (key, fold, probability).
 
     Folds are few; the rows of each fit stay distributed. Rows with a NULL label or feature are left out.

@@ -69,3 +69,9 @@ def fingerprint(df: DataFrame, group: str, order: list[str], columns: list[str])
 def affected(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
     """How many rows of `old` a keyed update by `new` reaches, to be held against what was expected."""
     return old.join(new.select(*keys).distinct(), keys, "left_semi").agg(F.count(F.lit(1)).alias("affected"))
+
+
+def of_known_source(df: DataFrame, column: str, sources: list[str]) -> DataFrame:
+    """The same rows; the job fails at one whose source is none of the known."""
+    odd = ~F.coalesce(F.col(column).isin(sources), F.lit(False))
+    return df.withColumn(column, F.when(odd, F.raise_error(F.concat(F.lit("unknown source "), F.coalesce(column, F.lit("NULL"))))).otherwise(F.col(column)))

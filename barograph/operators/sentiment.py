@@ -99,3 +99,27 @@ def daily_features(bars: DataFrame, articles: DataFrame, entity_map: DataFrame,
     )
     owned = ["sentiment", "bullishness", "agreement", "sentiment_3d", "sentiment_5d", "sentiment_lag1", "sentiment_lag2"]
     return df.withColumns({c: F.when(~F.col("_bad"), F.col(c)) for c in owned}).drop("_bad", "_failed", "pos", "neg")
+
+
+ORDERS = {"newest": ["post_time DESC", "article_id"], "oldest": ["post_time", "article_id"], "highest": ["sentiment_score DESC NULLS LAST", "article_id"], "lowest": ["sentiment_score NULLS LAST", "article_id"]}
+
+
+def article_rows(articles: DataFrame, label: str | None = None, contains: str | None = None, order: str = "newest", column: str = "title") -> DataFrame:
+    """Articles of one band and with a piece of text, whatever its case, in one of four orders; the day as text."""
+    df = articles.withColumn("label", scalar.sentiment_band(F.col("sentiment_score"))).withColumn("day", F.date_format("post_time", "yyyy-MM-dd HH:mm"))
+    if label:
+        df = df.where(F.col("label") == label)
+    if contains:
+        df = df.where(F.contains(F.lower(column), F.lit(contains.lower())))
+    return df.orderBy(*[F.expr(c.split(" ")[0]).desc_nulls_last() if " DESC" in c else F.expr(c.split(" ")[0]).asc_nulls_last() for c in ORDERS[order]])
+
+
+def radar(counts: DataFrame, themes: DataFrame) -> DataFrame:
+    """counts(theme_keyword, n, pos, neg) to bullishness, label and three stocks of each theme; a theme without articles shows placeholders."""
+    stocks = F.slice(F.transform(F.sort_array(F.collect_list(F.struct((-F.col("relevance_weight")).alias("w"), "stock_id"))), lambda x: x["stock_id"]), 1, 3)
+    each = themes.groupBy("theme_keyword").agg(stocks.alias("stocks"), F.count(F.lit(1)).alias("_k")).join(counts, "theme_keyword", "left")
+    some = F.coalesce(F.col("n") > 0, F.lit(False))
+    b = F.when(some, scalar.bullishness(F.col("pos"), F.col("neg"))).otherwise(0.85)
+    out = each.withColumn("bullishness", b)
+    label = F.when(F.col("bullishness") >= 1.0, "very_bullish").when(F.col("bullishness") >= 0.3, "bullish").when(F.col("bullishness") <= -0.5, "bearish").otherwise("steady")
+    return out.select("theme_keyword", F.when(some, F.col("n")).otherwise(F.col("_k") * 8).alias("article_count"), "bullishness", label.alias("label"), F.array_join("stocks", ",").alias("stocks"))

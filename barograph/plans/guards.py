@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from barograph.operators import guards, merges, metrics, universe
+from barograph.operators import folds, guards, indicators, merges, metrics, sentiment, universe
 from barograph.plans.models import SQL_CURVE
-from barograph.plans.prices import SQL_UNIVERSE
+from barograph.plans.prices import SQL_TB, SQL_UNIVERSE, W
 from barograph.plans.registry import query
 from barograph.sources.fixtures import Views
 
@@ -61,3 +61,51 @@ def universe_reasons(v: Views) -> DataFrame:
 @query("F01_A02_sorted_features", "SELECT stock_id, trade_date, close_price FROM bars WHERE stock_id IN ('Brand#1', 'Brand#2') ORDER BY stock_id, trade_date")
 def sorted_features(v: Views) -> DataFrame:
     return v.bars.where("stock_id IN ('Brand#1', 'Brand#2')").select("stock_id", "trade_date", "close_price").orderBy("stock_id", "trade_date")
+
+
+@query("B07_B09_article_rows", "SELECT article_id, CASE WHEN sentiment_score >= 0.6 THEN 'positive' WHEN sentiment_score <= 0.4 THEN 'negative' ELSE 'neutral' END AS label, strftime(post_time, '%Y-%m-%d %H:%M') AS day FROM articles WHERE sentiment_score >= 0.6 AND fetch_keyword LIKE '%w3%'")
+def article_rows(v: Views) -> DataFrame:
+    return sentiment.article_rows(v.articles, "positive", "W3", "highest", "fetch_keyword").select("article_id", "label", "day")
+
+
+@query("D10_D48_radar_labels", """, c AS (SELECT fetch_keyword AS theme_keyword, count(*) AS n, count(*) FILTER (sentiment_score >= 0.55) AS pos, count(*) FILTER (sentiment_score <= 0.45) AS neg FROM articles WHERE fetch_keyword <> 'kw4' GROUP BY 1),
+t AS (SELECT theme_keyword, list(stock_id ORDER BY relevance_weight DESC, stock_id) AS s FROM theme_map GROUP BY 1), b AS (SELECT theme_keyword, s, n, CASE WHEN n > 0 THEN ln((1 + pos) / (1 + neg)) ELSE 0.85 END AS b FROM t LEFT JOIN c USING (theme_keyword))
+SELECT theme_keyword, coalesce(n, 8 * len(s)) AS article_count, round(b, 8) + 0.0 AS bullishness, CASE WHEN b >= 1.0 THEN 'very_bullish' WHEN b >= 0.3 THEN 'bullish' WHEN b <= -0.5 THEN 'bearish' ELSE 'steady' END AS label, array_to_string(s[1:3], ',') AS stocks FROM b""")
+def radar_labels(v: Views) -> DataFrame:
+    s = F.col("sentiment_score")
+    c = v.articles.where("fetch_keyword <> 'kw4'").groupBy(F.col("fetch_keyword").alias("theme_keyword")).agg(F.count(F.lit(1)).alias("n"), F.count_if(s >= 0.55).alias("pos"), F.count_if(s <= 0.45).alias("neg"))
+    return sentiment.radar(c, v.theme_map).withColumn("bullishness", F.round("bullishness", 8) + 0.0)
+
+
+@query("D11_market_max_date", "SELECT m.market, max(trade_date) AS last_day FROM (VALUES ('TWSE', 'Brand#1'), ('TPEX', 'Brand#2'), ('US', 'none')) m(market, s) LEFT JOIN bars ON stock_id = m.s GROUP BY 1")
+def market_max_date(v: Views) -> DataFrame:
+    """A market without rows is there with NULL."""
+    markets = v.spark.createDataFrame([("TWSE", "Brand#1"), ("TPEX", "Brand#2"), ("US", "none")], "market string, stock_id string")
+    return markets.join(v.bars.select("stock_id", "trade_date"), "stock_id", "left").groupBy("market").agg(F.max("trade_date").alias("last_day"))
+
+
+@query("D19_D20_label_report", SQL_TB + "SELECT stock_id, round(count(*) FILTER (triple_barrier = 0) / count(triple_barrier), 8) AS timeout_ratio, count(*) FILTER (triple_barrier = 0) / count(triple_barrier) < 0.05 AS below, round(least(count(*) FILTER (triple_barrier = 1), count(*) FILTER (triple_barrier = 0), count(*) FILTER (triple_barrier = -1)) / count(triple_barrier), 8) AS rarest_share, least(count(*) FILTER (triple_barrier = 1), count(*) FILTER (triple_barrier = 0), count(*) FILTER (triple_barrier = -1)) / count(triple_barrier) >= 0.05 AS balanced FROM labels3 GROUP BY 1")
+def label_report(v: Views) -> DataFrame:
+    r = guards.label_report(indicators.triple_barrier(v.bars))
+    return r.withColumns({c: F.round(c, 8) for c in ("timeout_ratio", "rarest_share")})
+
+
+SQL_GROWING = f""", pan AS (SELECT stock_id, trade_date, lead(trade_date, 5) OVER {W}) AS label_end_date FROM bars), cal AS (SELECT trade_date, row_number() OVER (ORDER BY trade_date) AS i FROM (SELECT DISTINCT trade_date FROM bars)),
+fo AS (SELECT k AS fold, k * 120 + 500 AS b, k * 120 + 501 AS c, k * 120 + 620 AS d FROM range(1000) r(k) WHERE k * 120 + 620 <= (SELECT max(i) FROM cal)),
+sp AS (SELECT f.fold, CASE WHEN x.i < f.c THEN 'train' ELSE 'test' END AS role, p.stock_id, p.trade_date, p.label_end_date, s.trade_date AS test_start FROM fo f JOIN cal x ON x.i <= f.d JOIN pan p ON p.trade_date = x.trade_date JOIN cal s ON s.i = f.c)
+SELECT fold, count(*) FILTER (role = 'train' AND label_end_date < test_start) AS train_rows, count(*) FILTER (role = 'test') AS test_rows FROM sp GROUP BY 1"""
+
+
+@query("I03_expanding_folds", SQL_GROWING)
+def expanding_folds(v: Views) -> DataFrame:
+    panel = indicators.targets(v.bars.select("stock_id", "trade_date", "close_price")).select("stock_id", "trade_date", "label_end_date")
+    split = folds.WalkForward(train=500, test=120, embargo=0, expanding=True).split(panel)
+    return split.groupBy("fold").agg(F.count_if(F.col("role") == "train").alias("train_rows"), F.count_if(F.col("role") == "test").alias("test_rows"))
+
+
+@query("A15_lineage_upsert", "SELECT stock_id, trade_date, close_price, CASE WHEN volume % 2 = 0 THEN 'twse_mi_index' ELSE 'tpex_daily_quotes' END AS source FROM bars WHERE volume % 3 = 0")
+def lineage_upsert(v: Views) -> DataFrame:
+    """New rows may only name known sources."""
+    new = v.bars.where("volume % 3 = 0").select("stock_id", "trade_date", "close_price", F.when(F.col("volume") % 2 == 0, "twse_mi_index").otherwise("tpex_daily_quotes").alias("source"))
+    checked = merges.of_known_source(new, "source", ["twse_mi_index", "tpex_daily_quotes"])
+    return merges.upsert(new.where("false"), checked, ["stock_id", "trade_date"])

@@ -103,6 +103,15 @@ def year_inference(v: Views) -> DataFrame:
     return comments.infer_years(df, F.lit(2000).cast("long"), F.lit(101)).select("article_id", "comment_seq", "year_inferred")
 
 
+@query("E18_year_anchors", """, m AS (SELECT article_id, comment_seq, 100 * (1 + (article_id * 5 + comment_seq * 5) % 12) + 3 AS md, CASE WHEN comment_seq = 3 THEN 2010 END AS own FROM comments),
+s AS (SELECT *, count(own) OVER (PARTITION BY article_id ORDER BY comment_seq) AS seg, CASE WHEN own IS NULL AND md < coalesce(lag(md) OVER (PARTITION BY article_id ORDER BY comment_seq), 101) THEN 1 ELSE 0 END AS fall FROM m)
+SELECT article_id, comment_seq, CAST(CASE WHEN seg > 0 THEN 2010 ELSE 2000 END + sum(fall) OVER (PARTITION BY article_id, seg ORDER BY comment_seq ROWS UNBOUNDED PRECEDING) AS BIGINT) AS year_inferred FROM s""")
+def year_anchors(v: Views) -> DataFrame:
+    """The third comment shows its year."""
+    df = v.comments.withColumn("md", 100 * (1 + (F.col("article_id") * 5 + F.col("comment_seq") * 5) % 12) + 3).withColumn("own", F.when(F.col("comment_seq") == 3, 2010).cast("long"))
+    return comments.infer_years(df, F.lit(2000).cast("long"), F.lit(101), "own").select("article_id", "comment_seq", "year_inferred")
+
+
 @query("H14_M06_out_of_bounds", """, a AS (SELECT article_id, post_time, post_time + INTERVAL 100 MINUTE AS scraped_at FROM articles)
 SELECT article_id, comment_seq, CASE WHEN comment_time > scraped_at THEN 'after_scrape' ELSE 'before_post' END AS cause FROM comments JOIN a USING (article_id) WHERE comment_time > scraped_at OR comment_time < date_trunc('minute', post_time)""")
 def out_of_bounds(v: Views) -> DataFrame:
