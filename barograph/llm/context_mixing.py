@@ -442,7 +442,8 @@ def score(docs: DataFrame) -> DataFrame:
         m = Mixer(*model)
         c = dict(zip(right["token"], right["c"], strict=True))
         raws = [t.encode() for t in left["text"]]
-        found = m.costs(raws)
+        once = {t: i for i, t in enumerate(dict.fromkeys(raws))}  # copies in a block are scored once
+        found = m.costs(list(once))[[once[t] for t in raws]]
         rows = []
         for doc_id, raw, held, s in zip(left["doc_id"], raws, left["held_out"], found.tolist(), strict=True):
             words = raw.translate(_LOWER).split()
