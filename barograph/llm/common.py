@@ -69,14 +69,16 @@ def hot_keys(counts: DataFrame, key: str, n: str, total: int, share: int) -> Dat
 def join_skewed(left: DataFrame, right: DataFrame, key: str, counts: DataFrame, n: str, total: int, how: str = "left", share: int = 1000) -> DataFrame:
     """Join on a key of which some values hold a large part of `left`; `right` has one row a key.
 
-    Values over 1/share of all rows (under `share` of them) meet a broadcast; all the others are
-    shuffled, none of them more than 1/share of the rows. No row is left out.
+    Values over 1/share of all rows (under `share` of them, so their list may come to the driver) meet a
+    broadcast of their rows of `right`; all the others are shuffled, none of them more than 1/share of the rows.
+    Where there are no such values it is a plain join. No row is left out.
     """
-    hot = F.broadcast(hot_keys(counts, key, n, total, share).withColumn("_hot", F.lit(True)))
-    marked = left.join(hot, key, "left")
-    hot_right = F.broadcast(right.join(hot, key, "left_semi"))
-    warm = marked.where(F.col("_hot").isNull()).drop("_hot").join(right, key, how)
-    return warm.unionByName(marked.where(F.col("_hot")).drop("_hot").join(hot_right, key, how))
+    hot = [F.lit(row[0]) for row in hot_keys(counts, key, n, total, share).collect()]
+    if not hot:
+        return left.join(right, key, how)
+    is_hot = F.coalesce(F.col(key).isin(*hot), F.lit(False))
+    warm = left.where(~is_hot).join(right, key, how)
+    return warm.unionByName(left.where(is_hot).join(F.broadcast(right.where(is_hot)), key, how))
 
 
 def gapless_rank(df: DataFrame, groups: list[str], spread: Column, order: list[Column], name: str, buckets: int = 64) -> DataFrame:

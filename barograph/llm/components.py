@@ -37,6 +37,14 @@ def followed(labels: DataFrame, found: DataFrame) -> DataFrame:
     return join_skewed(labels, up, "comp", counts, "n", max(1, labels.count())).select("id", F.coalesce("root", "comp").alias("comp"))
 
 
+def roots(parent: DataFrame) -> DataFrame:
+    """A forest parent(id, comp), materialised, comp < id, an id once -> (id, comp) of all its nodes, roots among them; no rows for none."""
+    if parent.isEmpty():
+        return parent
+    found = _roots(parent).select("id", "comp")
+    return materialise(found.unionByName(found.select(F.col("comp").alias("id"), "comp").distinct()), "labels")
+
+
 def components(edges: DataFrame) -> DataFrame:
     """edges(a, b) of longs -> (id, comp): comp is the least id reachable. Ids without an edge do not appear.
 

@@ -9,7 +9,7 @@ misses every band with probability (1 - 0.8**5)**32 = 3e-6.
 2. Each representative meets one other: the least key in all its buckets, the pivot. At most one link a
    representative comes of it, each to a smaller key, so that a group of near copies is a star or nearly so.
 3. In buckets that still hold several components, members of another component than the bucket's pivot meet that.
-4. Buckets of three or more with several components left are compared in blocks of 128 rows, as matrix
+4. Such buckets of three or more are also compared in blocks of 128 rows, as matrix
    products: all members outside the bucket's largest component with all others. A block hands out a spanning
    forest of the components it joins, fewer links than it has rows; no pairs of a group are ever written out.
 5. Components of all links, and classes, give each row the least doc_id it can reach.
@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from barograph.llm.common import join_skewed, materialise, table
-from barograph.llm.components import components, followed
+from barograph.llm.components import components, followed, roots
 
 PERMUTATIONS, ROWS = 80, 5
 BANDS = 2 * PERMUTATIONS // ROWS
@@ -207,14 +207,12 @@ def cross_links(members: DataFrame, rows: DataFrame, k: int, percent: int) -> Da
     return blocks.groupBy("bucket", "cx", "cy").applyInPandas(lambda d: _block_links(d, percent), "a long, b long").distinct()
 
 
-def joined(labels: DataFrame, links: DataFrame) -> DataFrame:
-    """labels(id, comp) after links between components; those that had no label before get one."""
-    found = components(links)
-    return materialise(followed(labels, found).unionByName(found.join(labels.select("id"), "id", "left_anti")), "labels")
+def class_links(classes: DataFrame, banded: DataFrame, rows: DataFrame, k: int, percent: int) -> tuple[list[DataFrame], DataFrame]:
+    """(the links of steps 2 to 4, the components of all of them) of classes(id, ...) and banded(id, bucket).
 
-
-def class_links(classes: DataFrame, banded: DataFrame, rows: DataFrame, k: int, percent: int) -> tuple[list[DataFrame], DataFrame | None]:
-    """(the links of steps 2 to 4, the components of all of them or None) of classes(id, ...) and banded(id, bucket)."""
+    Links of step 2 lead from each representative to one smaller key, a forest, so its roots are its components.
+    Steps 3 and 4 both start from those and find links between them, which are few.
+    """
     shared = banded.groupBy("bucket").agg(F.min("id").alias("pivot"), F.count(F.lit(1)).alias("n")).where("n > 1")
     shared = materialise(shared, "shared")
     total = classes.count() * BANDS
@@ -223,27 +221,26 @@ def class_links(classes: DataFrame, banded: DataFrame, rows: DataFrame, k: int,
     rows = materialise(rows.select("key", "text").join(buckets.select(F.col("id").alias("key")).distinct().hint("merge"), "key", "left_semi"), "texts")
     pairs = buckets.where("id <> pivot").groupBy(F.col("id").alias("a")).agg(F.min("pivot").alias("b"))
     links = [materialise(confirm(materialise(pairs, "pairs"), rows, k, percent), "links")]
-    labels = components(links[0])
+    labels = roots(links[0].select(F.col("a").alias("id"), F.col("b").alias("comp")))
     # a bucket whose members are all of one component has nothing left to find
     open_buckets = with_labels(buckets, labels).groupBy("bucket").agg(F.count_distinct("comp").alias("comps"), F.count(F.lit(1)).alias("n")).where("comps > 1").select("bucket", "n")
     open_buckets = materialise(open_buckets, "open-buckets")
     left = open_buckets.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first()["n"]
     if not left:
         return links, labels
-    kept = materialise(join_skewed(buckets, open_buckets.select("bucket"), "bucket", open_buckets, "n", total, "inner"), "kept-buckets")
-    again = with_labels(kept, labels)
-    pivots = again.where("id = pivot").select("pivot", F.col("comp").alias("pivot_comp")).distinct()
+    kept = materialise(with_labels(join_skewed(buckets, open_buckets.select("bucket"), "bucket", open_buckets, "n", total, "inner"), labels), "kept-buckets")
+    pivots = kept.where("id = pivot").select("pivot", F.col("comp").alias("pivot_comp")).distinct()
     per_pivot = kept.groupBy("pivot").agg(F.count(F.lit(1)).alias("n"))
-    apart = join_skewed(again, pivots, "pivot", per_pivot, "n", left, "inner").where("comp <> pivot_comp")
+    apart = join_skewed(kept, pivots, "pivot", per_pivot, "n", left, "inner").where("comp <> pivot_comp")
     more = apart.groupBy(F.col("id").alias("a"), F.col("pivot").alias("b")).agg(F.min("comp").alias("ca"), F.min("pivot_comp").alias("cb"))
     found = confirm(materialise(more, "pairs"), rows, k, percent)
     links.append(materialise(found.select(F.col("ca").alias("a"), F.col("cb").alias("b")).distinct(), "links"))
-    if not links[-1].isEmpty():
-        labels = joined(labels, links[1])
-    links.append(materialise(cross_links(with_labels(kept, labels), rows, k, percent), "links"))
-    if not links[-1].isEmpty():
-        labels = joined(labels, links[2])
-    return links, labels
+    links.append(materialise(cross_links(kept.select("bucket", "id", "comp"), rows, k, percent), "links"))
+    between = links[1].unionByName(links[2])
+    if between.isEmpty():
+        return links, labels
+    led = components(between)
+    return links, materialise(followed(labels, led).unionByName(led.join(labels.select("id"), "id", "left_anti")), "labels")
 
 
 def grouped(rows: DataFrame, k: int, percent: int) -> DataFrame:
