@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from barograph.llm import context_mixing, media, minhash, nbest_pieces, packing, quality_rules, sharding, simple8b, toxicity, warc
+from barograph.llm import context_mixing, hard_negatives, media, minhash, nbest_pieces, packing, quality_rules, repair, sharding, simple8b, toxicity, warc, winnowing
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
-for _m in (context_mixing, media, minhash, nbest_pieces, packing, quality_rules, sharding, simple8b, toxicity, warc):
+for _m in (context_mixing, hard_negatives, media, minhash, nbest_pieces, packing, quality_rules, repair, sharding, simple8b, toxicity, warc, winnowing):
     QUERIES |= _m.QUERIES
     ORACLES |= _m.ORACLES
