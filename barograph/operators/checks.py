@@ -9,9 +9,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from barograph.functions.scalar import close_enough
-from barograph.operators import indicators
+from barograph.operators import indicators, sentiment
 
-STATUSES = ["OK", "SOURCE_FAILED"]
+STATUSES = [sentiment.SUCCESS, sentiment.EMPTY, sentiment.FAILED]
 
 
 def _apart(a: Column, b: Column) -> Column:
@@ -34,10 +34,13 @@ def derivation_violations(features: DataFrame) -> DataFrame:
 
 
 def status_violations(features: DataFrame) -> DataFrame:
-    """An unknown status, or, where the source did not fail, sentiment that is NULL with articles or known without."""
+    """An unknown status; where the source did not fail, sentiment that is NULL with articles or known without; where it did, a count or sentiment that is known."""
     status = ~F.coalesce(F.col("source_status").isin(STATUSES), F.lit(False))
-    odd = (F.col("source_status") == "OK") & (F.col("sentiment").isNull() != (F.col("article_count") == 0))
-    return features.where(status | odd).select("stock_id", "trade_date", F.when(status, "source_status_enum").otherwise("sentiment_null_iff_article_zero").alias("check"))
+    failed = F.col("source_status") == sentiment.FAILED
+    known = failed & (F.col("article_count").isNotNull() | F.col("sentiment").isNotNull())
+    odd = ~failed & (F.col("sentiment").isNull() != (F.coalesce("article_count", F.lit(0)) == 0))
+    name = F.when(status, "source_status_enum").when(known, "source_failed_not_null").when(odd, "sentiment_null_iff_article_zero")
+    return features.select("stock_id", "trade_date", name.alias("check")).where(F.col("check").isNotNull())
 
 
 def invariants(features: DataFrame, prices: DataFrame) -> DataFrame:

@@ -49,11 +49,11 @@ def retained_shift(df: DataFrame, by: list[str], keep: Column, y: str, classes:
     return c.withColumn("shift", F.col("retained_rate") - F.col("rate"))
 
 
-def mock_bars(spark: SparkSession, stocks: int, days: int, start: str = "2024-01-01") -> DataFrame:
-    """Deterministic bars: closes walk by arithmetic on stock and day; no random state."""
-    base = spark.range(stocks * days).select((F.floor(F.col("id") / days)).alias("s"), (F.col("id") % days).alias("i"))
-    close = 100 + (F.col("s") * 7 + F.col("i") * 13) % 41 - 20 + F.col("s")
-    return base.select((1101 + F.col("s")).cast("string").alias("stock_id"), F.date_add(F.lit(start).cast("date"), F.col("i").cast("int")).alias("trade_date"), close.cast("double").alias("close_price"), (1000 + (F.col("s") * 31 + F.col("i") * 17) % 997).alias("volume"))
+def mock_bars(calendar: DataFrame, s: Column | None = None) -> DataFrame:
+    """Deterministic bars for calendar(stock_id, trade_date): closes walk by arithmetic on the stock's number (`s`, by default from its checksum) and the day's; no random state."""
+    s, i = F.crc32(F.col("stock_id").cast("binary")) % 97 if s is None else s, F.unix_date("trade_date")
+    close = 100 + (s * 7 + i * 13) % 41 - 20 + s
+    return calendar.select("stock_id", "trade_date", close.cast("double").alias("close_price"), (1000 + (s * 31 + i * 17) % 997).alias("volume"))
 
 
 def file_digests(spark: SparkSession, path: str) -> DataFrame:

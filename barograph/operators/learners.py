@@ -1,4 +1,4 @@
-"""Models: ridge by normal equations, forests and calibrators of Spark's own library."""
+"""Models: ridge by normal equations, forests of Spark's own library, scalers."""
 
 from __future__ import annotations
 
@@ -8,6 +8,8 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from barograph.operators import selection
+
 
 def ridge_weights(df: DataFrame, features: list[str], y: str, penalty: float = 1e-3) -> dict[str, float]:
     """(X'X + penalty I) w = X'(2y - 1), a column of ones first; sums on the executors, the small system here."""
@@ -40,14 +42,6 @@ def forest_by_fold(df: DataFrame, features: list[str], y: str, fold: str, key: s
     return reduce(DataFrame.unionByName, out) if out else rows.select(key, fold, F.lit(0.0).alias("probability")).where("false")
 
 
-def isotonic(train: DataFrame, apply_to: DataFrame, p: str, y: str) -> DataFrame:
-    """`calibrated` added to `apply_to` from an isotonic fit on `train`."""
-    from pyspark.ml.regression import IsotonicRegression
-
-    model = IsotonicRegression(featuresCol=p, labelCol=y, predictionCol="calibrated").fit(train.select(F.col(p), F.col(y).cast("double").alias(y)))
-    return model.transform(apply_to)
-
-
 def ridge_predict(df: DataFrame, weights: dict[str, float], limit: float = 10.0):
     """Sigmoid of the clipped linear score."""
     z = sum((F.lit(w) if k == "bias" else F.lit(w) * F.col(k).cast("double") for k, w in weights.items()), F.lit(0.0))
@@ -56,12 +50,14 @@ def ridge_predict(df: DataFrame, weights: dict[str, float], limit: float = 10.0)
 
 def scaled(df: DataFrame, train: DataFrame, by: list[str], columns: list[str], robust: bool = False) -> DataFrame:
     """Columns less mean or median, by population deviation or interquartile range (1 where that is 0), as `train` has them."""
-    stats = []
+    out = df
     for c in columns:
-        q = F.percentile(c, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
-        stats += [(q[1] if robust else F.avg(c)).alias(f"_m_{c}"), (q[2] - q[0] if robust else F.stddev_pop(c)).alias(f"_d_{c}")]
-    known = F.broadcast(train.groupBy(*by).agg(*stats))  # a row a group
-    out = df.join(known, by, "left") if by else df.join(known)
+        if robust:
+            q = selection.quantiles(train, c, [0.25, 0.5, 0.75], by)
+            known = q.select(*by, F.col("q")[1].alias(f"_m_{c}"), (F.col("q")[2] - F.col("q")[0]).alias(f"_d_{c}"))
+        else:
+            known = train.groupBy(*by).agg(F.avg(c).alias(f"_m_{c}"), F.stddev_pop(c).alias(f"_d_{c}"))
+        out = out.join(known, by, "left") if by else out.join(F.broadcast(known))  # one row
     wide = lambda c: F.when(F.col(f"_d_{c}") == 0, 1.0).otherwise(F.col(f"_d_{c}"))
     return out.select(*[((F.col(c) - F.col(f"_m_{c}")) / wide(c)).alias(c) if c in columns else F.col(c) for c in df.columns])
 

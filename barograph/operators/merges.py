@@ -55,17 +55,6 @@ def differences(a: DataFrame, b: DataFrame, keys: list[str], columns: list[str],
     return out.where((F.col("side") != "both") | (F.col("changed") != ""))
 
 
-def fingerprint(df: DataFrame, group: str, order: list[str], columns: list[str]) -> DataFrame:
-    """Rows and one print of the whole table: md5 of each group's rows in order, then md5 of the groups' prints in order.
-
-    A group's rows are gathered in one array, so `group` should be a key with a bounded history (a stock's days).
-    """
-    row = F.concat_ws("|", *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in columns])
-    joined = lambda rows: F.md5(F.array_join(F.transform(F.sort_array(rows), lambda r: r["row"]), "").cast("binary"))
-    each = df.groupBy(group).agg(F.count(F.lit(1)).alias("n"), joined(F.collect_list(F.struct(*order, row.alias("row")))).alias("row"))
-    return each.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), joined(F.collect_list(F.struct(group, "row"))).alias("print"))
-
-
 def affected(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
     """How many rows of `old` a keyed update by `new` reaches, to be held against what was expected."""
     return old.join(new.select(*keys).distinct(), keys, "left_semi").agg(F.count(F.lit(1)).alias("affected"))
@@ -75,3 +64,9 @@ def of_known_source(df: DataFrame, column: str, sources: list[str]) -> DataFrame
     """The same rows; the job fails at one whose source is none of the known."""
     odd = ~F.coalesce(F.col(column).isin(sources), F.lit(False))
     return df.withColumn(column, F.when(odd, F.raise_error(F.concat(F.lit("unknown source "), F.coalesce(column, F.lit("NULL"))))).otherwise(F.col(column)))
+
+
+def by_known_source(df: DataFrame, column: str, sources: list[str]) -> tuple[DataFrame, DataFrame]:
+    """Rows that may be written, and those that are refused because their source is none of the known, or NULL."""
+    known = F.coalesce(F.col(column).isin(sources), F.lit(False))
+    return df.where(known), df.where(~known)

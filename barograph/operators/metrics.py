@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from barograph.operators import selection
+
 RISK_FREE, YEAR = 0.015, 252
 
 
@@ -43,15 +45,35 @@ def per_class(df: DataFrame, by: list[str], y: str = "y3", h: str = "h3", classe
     return c.select(*by, "class", pr.alias("precision"), rc.alias("recall"), ratio(2 * pr * rc, pr + rc).alias("f1"), "support")
 
 
-def strategy(df: DataFrame, by: list[str], order: list[str], signal: Column, ret: str = "ret") -> DataFrame:
-    """Hit ratio, cumulative return, yearly return and deviation, Sharpe ratio and drawdown of a sign strategy."""
-    w = Window.partitionBy(*by).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    s = df.withColumn("_r", F.when(signal, F.col(ret)).otherwise(-F.col(ret)))
-    s = s.withColumn("_e", F.exp(F.sum("_r").over(w))).withColumn("_dd", F.col("_e") / F.max("_e").over(w) - 1)
-    out = s.groupBy(*by).agg(F.avg((F.col("_r") > 0).cast("double")).alias("hit_ratio"), (F.exp(F.sum("_r")) - 1).alias("cumulative_return"), (F.avg("_r") * YEAR).alias("annual_return"), (F.stddev_pop("_r") * F.sqrt(F.lit(float(YEAR)))).alias("annual_volatility"), F.min("_dd").alias("max_drawdown"))
+def strategy(df: DataFrame, by: list[str], order: list[str], signal: Column, ret: str = "ret", block: Column | None = None) -> DataFrame:
+    """Hit ratio, cumulative return, yearly return and deviation, Sharpe ratio and drawdown of a sign strategy.
+
+    `block` cuts a group's rows, in their order, into runs (a day, an hour); without it a group is one run. Rows are sorted
+    within runs only, see `worst_drawdown`.
+    """
+    s = df.withColumn("_r", F.when(signal, F.col(ret)).otherwise(-F.col(ret))).withColumn("_run", F.lit(0) if block is None else block)
+    out = s.groupBy(*by).agg(F.avg((F.col("_r") > 0).cast("double")).alias("hit_ratio"), (F.exp(F.sum("_r")) - 1).alias("cumulative_return"), (F.avg("_r") * YEAR).alias("annual_return"), (F.stddev_pop("_r") * F.sqrt(F.lit(float(YEAR)))).alias("annual_volatility"))
+    fall = worst_drawdown(s, by, "_run", order, "_r")
+    out = out.join(fall, by) if by else out.join(F.broadcast(fall))  # one row beside one row
     return out.withColumn("sharpe", ratio(F.col("annual_return") - RISK_FREE, F.col("annual_volatility")))
 
 
+def worst_drawdown(df: DataFrame, by: list[str], run: str, order: list[str], r: str) -> DataFrame:
+    """By, max_drawdown of the running sum of log returns: a scan over two levels.
+
+    A run gives four numbers: its sum, the least and greatest value of its own running sum, and its own deepest fall from the
+    top so far. Over runs in order, the sum of those before lifts a run's values, and the highest top before is what
+    they may fall from too. No window goes over more than one run's rows, or one row a run.
+    """
+    w = Window.partitionBy(*by, run).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    rows = df.withColumn("_s", F.sum(r).over(w)).withColumn("_d", F.col("_s") - F.max("_s").over(w))
+    runs = rows.groupBy(*by, run).agg(F.sum(r).alias("_all"), F.min("_s").alias("_low"), F.max("_s").alias("_top"), F.min("_d").alias("_own"))
+    before = Window.partitionBy(*(by or [F.lit(0)])).orderBy(run).rowsBetween(Window.unboundedPreceding, -1)
+    runs = runs.withColumn("_lift", F.coalesce(F.sum("_all").over(before), F.lit(0.0))).withColumn("_peak", F.max(F.col("_lift") + F.col("_top")).over(before))
+    fall = F.least("_own", F.col("_lift") + F.col("_low") - F.col("_peak"))
+    return runs.groupBy(*by).agg((F.exp(F.min(fall)) - 1).alias("max_drawdown"))
+
+
 def reliability(df: DataFrame, by: list[str], y: str = "y", p: str = "p", bins: int = 10) -> DataFrame:
     """Equal bins with literal edges i * (1 / bins), the last one closed; an empty bin is there with NULL means."""
     edge = [i * (1.0 / bins) for i in range(bins)]
@@ -64,8 +86,8 @@ def reliability(df: DataFrame, by: list[str], y: str = "y", p: str = "p", bins:
 def theta_grid(df: DataFrame, by: list[str], p: str = "p", steps: int = 121, step: float = 0.005, parts: int = 100) -> DataFrame:
     """By, thetas: fixed steps and the exact percentiles 1 to `parts` of the scores, distinct and in order."""
     fixed = F.transform(F.sequence(F.lit(0), F.lit(steps - 1)), lambda k: F.round(k * step, 6))
-    own = F.percentile(p, F.array(*[F.lit(k / parts) for k in range(1, parts + 1)]))
-    return df.groupBy(*by).agg(F.array_sort(F.array_distinct(F.concat(fixed, F.transform(own, lambda x: F.round(x, 6))))).alias("thetas"))
+    own = selection.quantiles(df, p, [k / parts for k in range(1, parts + 1)], by)
+    return own.select(*by, F.array_sort(F.array_distinct(F.concat(fixed, F.transform("q", lambda x: F.round(x, 6))))).alias("thetas"))
 
 
 def curve_at(df: DataFrame, grid: DataFrame, by: list[str], y: str = "y", p: str = "p") -> DataFrame:
@@ -83,7 +105,7 @@ def curve_at(df: DataFrame, grid: DataFrame, by: list[str], y: str = "y", p: str
 
 def terciles(df: DataFrame, by: str, y: str = "y", p: str = "p", least: int = 10) -> DataFrame:
     """Rank AUC within thirds of a column; NULL under `least` positives. The two cuts are one broadcast row."""
-    q = df.agg(F.percentile(by, F.array(F.lit(1 / 3), F.lit(2 / 3))).alias("_q"))
+    q = selection.quantiles(df, by, [1 / 3, 2 / 3]).select(F.col("q").alias("_q"))
     named = df.join(F.broadcast(q)).withColumn("regime", F.when(F.col(by) <= F.col("_q")[0], "low").when(F.col(by) <= F.col("_q")[1], "mid").otherwise("high"))
     n = named.groupBy("regime").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col(y) == 1).alias("positives"))
     return auc(named, ["regime"], y, p).join(n, "regime").withColumn("auc", F.when(F.col("positives") >= least, F.col("auc")))
@@ -107,9 +129,12 @@ def threshold_curve(df: DataFrame, by: list[str], y: str = "y", p: str = "p", st
     return out
 
 
-def choose_threshold(curve: DataFrame, coverage: float, lift: float, recall: float) -> DataFrame:
-    """The feasible row with most recall, then precision, then the least threshold."""
+def choose_threshold(curve: DataFrame, coverage: float, lift: float, recall: float, by: list[str] | None = None) -> DataFrame:
+    """The feasible row, of each group or of all, with most recall, then precision, then the least threshold."""
     ok = curve.where((F.col("coverage") >= coverage) & (F.col("lift") >= lift) & (F.col("recall") >= recall))
+    if by:
+        first = Window.partitionBy(*by).orderBy(F.desc("recall"), F.desc("precision"), "theta")
+        return ok.withColumn("_r", F.row_number().over(first)).where("_r = 1").drop("_r")
     return ok.orderBy(F.desc("recall"), F.desc("precision"), "theta").limit(1)
 
 

@@ -13,7 +13,9 @@ from barograph.functions import scalar
 from barograph.operators import asof, indicators
 
 POSITIVE, NEGATIVE, DIRECT_SHARE, THEME_SHARE = 0.55, 0.45, 0.7, 0.3
-OK, FAILED = "OK", "SOURCE_FAILED"
+SUCCESS, EMPTY, FAILED = "SUCCESS", "SUCCESS_EMPTY", "SOURCE_FAILED"
+#: What a failed row has NULL, whatever was fetched or filled.
+OWNED = ["article_count", "sentiment", "bullishness", "agreement", "sentiment_3d", "sentiment_5d", "sentiment_lag1", "sentiment_lag2"]
 
 
 def scored(articles: DataFrame, allowed: list[str]) -> DataFrame:
@@ -83,7 +85,9 @@ def failed_keys(run_log: DataFrame, entity_map: DataFrame, calendar: DataFrame,
 def daily_features(bars: DataFrame, articles: DataFrame, entity_map: DataFrame, theme_map: DataFrame, run_log: DataFrame, allowed: list[str]) -> DataFrame:
     """Technical and sentiment features on the price calendar.
 
-    The status comes before any fill; failed rows end with NULL sentiment columns whatever was filled.
+    The status comes before any fill: a failed key is SOURCE_FAILED, articles or not, the others are SUCCESS or, without
+    an article, SUCCESS_EMPTY. Days without articles that did not fail have 0 articles and indices of 0.0, but
+    no sentiment; failed rows end with NULL in all eight sentiment columns, whatever was fetched or filled.
     """
     cal = bars.select("stock_id", "trade_date")
     art = scored(articles, allowed)
@@ -91,14 +95,14 @@ def daily_features(bars: DataFrame, articles: DataFrame, entity_map: DataFrame,
     failed = failed_keys(run_log, entity_map, cal).withColumn("_failed", F.lit(True))
     keys = ["stock_id", "trade_date"]
     df = indicators.technical(bars).join(sent, keys, "left").join(failed, keys, "left")
-    bad = F.coalesce(F.col("_failed"), F.lit(False)) & F.col("article_count").isNull()
-    df = df.withColumn("source_status", F.when(bad, FAILED).otherwise(OK)).withColumn("_bad", bad).withColumn("article_count", F.coalesce("article_count", F.lit(0)))
+    df = df.withColumn("_bad", F.coalesce("_failed", F.lit(False)))
+    df = df.withColumn("source_status", F.when(F.col("_bad"), FAILED).when(F.col("article_count") > 0, SUCCESS).otherwise(EMPTY))
+    df = df.withColumns({c: F.when(~F.col("_bad"), F.coalesce(c, F.lit(zero))) for c, zero in (("article_count", 0), ("bullishness", 0.0), ("agreement", 0.0))})
     df = (
         df.withColumn("sentiment_3d", indicators.rolling_mean("sentiment", 3)).withColumn("sentiment_5d", indicators.rolling_mean("sentiment", 5))
         .withColumn("sentiment_lag1", indicators.lag_with_warm_up("sentiment", 1, F.col("_bad"))).withColumn("sentiment_lag2", indicators.lag_with_warm_up("sentiment", 2, F.col("_bad")))
     )
-    owned = ["sentiment", "bullishness", "agreement", "sentiment_3d", "sentiment_5d", "sentiment_lag1", "sentiment_lag2"]
-    return df.withColumns({c: F.when(~F.col("_bad"), F.col(c)) for c in owned}).drop("_bad", "_failed", "pos", "neg")
+    return df.withColumns({c: F.when(~F.col("_bad"), F.col(c)) for c in OWNED}).drop("_bad", "_failed", "pos", "neg")
 
 
 ORDERS = {"newest": ["post_time DESC", "article_id"], "oldest": ["post_time", "article_id"], "highest": ["sentiment_score DESC NULLS LAST", "article_id"], "lowest": ["sentiment_score NULLS LAST", "article_id"]}

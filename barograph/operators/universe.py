@@ -51,10 +51,15 @@ def build(bars: DataFrame, top: int = 150, code_pattern: str = r"^[1-9]\d{3}$",
     )
 
 
+def doubled_keys(df: DataFrame, keys: list[str]) -> DataFrame:
+    """The keys that occur more than once, with how often; summed in every task before the shuffle."""
+    return df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+
+
 def panel(features: DataFrame, snapshots: DataFrame, prices: DataFrame, horizon: int = 5, as_of=None) -> DataFrame:
     """Feature rows of stocks that the last snapshot on or before the day includes, with label_end_date.
 
-    label_end_date comes from the price calendar; as_of cuts the features. The job fails at doubled (stock, day) rows.
+    label_end_date comes from the price calendar; as_of cuts the features. The job fails at doubled (stock, day) rows; `doubled_keys` lists them.
     """
     if as_of is not None:
         features = features.where(F.col("trade_date") <= F.lit(as_of))

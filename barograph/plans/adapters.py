@@ -9,9 +9,10 @@ from pyspark.sql import functions as F
 
 from barograph.functions import scalar
 from barograph.operators import learners, textscores
+from barograph.plans.prices import SQL_TB
 from barograph.plans.registry import query
 from barograph.sources.fixtures import Views
-from barograph.streaming import jobs
+from barograph.streaming import jobs, joins, tails
 
 
 def scratch(v: Views, name: str) -> str:
@@ -142,3 +143,44 @@ def decision_days(v: Views) -> DataFrame:
     stream = jobs.files(v.spark, _arriving(v), ARTICLES).join(v.entity_map, F.col("fetch_keyword") == F.col("keyword")).select("article_id", "stock_id", "post_time")
     jobs.run(jobs.decided(stream, v.bars.select("stock_id", "trade_date")), jobs.append_once(out, ["article_id", "stock_id"]), scratch(v, "checkpoint"))
     return v.spark.read.schema("article_id long, stock_id string, trade_date date, batch long").option("basePath", out).parquet(out).select("article_id", "stock_id", "trade_date")
+
+
+@query("J07_tail_state", SQL_TB + "SELECT * FROM labels3")
+def tail_state(v: Views) -> DataFrame:
+    """Bars come in three files, each met by a run of its own that restarts from the checkpoint; some come a file late."""
+    folder, out, checkpoint = (scratch(v, n) for n in ("bars", "told", "checkpoint"))
+    session = jobs.own_session(v.spark)
+    b = v.bars.select("stock_id", "trade_date", "open_price", "high_price", "low_price", "volume")
+    file = F.when(F.col("trade_date") < "1995-01-01", 0).when(F.col("trade_date") < "1997-01-01", 1).otherwise(2)
+    held_back = (F.col("trade_date").between("1994-11-01", "1994-12-31") | F.col("trade_date").between("1996-11-01", "1996-12-31")) & (F.col("volume") % 4 == 0)
+    b = b.withColumn("file", F.least(file + F.when(held_back, 1).otherwise(0), F.lit(2)))
+    for k in range(3):
+        b.where(F.col("file") == k).drop("file", "volume").coalesce(1).write.mode("append").parquet(folder)
+        jobs.run(tails.told(jobs.files(session, folder, tails.BARS)), jobs.overwrite_batch(out), checkpoint, "update")
+    told = jobs.written(v.spark, out, tails.TOLD)
+    return tails.latest(told)
+
+
+SQL_WAVES = """, aw AS (SELECT article_id, post_time, CASE WHEN day(post_time + INTERVAL 8500 DAY) <= 10 THEN 0 WHEN day(post_time + INTERVAL 8500 DAY) <= 20 THEN 1 ELSE 2 END AS w FROM articles),
+cw AS (SELECT c.*, least(2, CASE WHEN day(comment_time + INTERVAL 8500 DAY) <= 10 THEN 0 WHEN day(comment_time + INTERVAL 8500 DAY) <= 20 THEN 1 ELSE 2 END + CASE WHEN (article_id * 31 + comment_seq) % 4 = 0 THEN 1 ELSE 0 END) AS w FROM comments c),
+wm AS (SELECT k AS w, least((SELECT max(post_time) FROM aw WHERE aw.w < k), (SELECT max(comment_time) FROM cw WHERE cw.w < k)) - INTERVAL 1 DAY AS mark FROM range(3) r(k)),
+met AS (SELECT cw.*, (x.mark IS NULL OR comment_time > x.mark) AND (y.mark IS NULL OR post_time > y.mark) AS taken FROM cw JOIN aw USING (article_id) JOIN wm x ON x.w = cw.w JOIN wm y ON y.w = aw.w WHERE comment_time BETWEEN post_time AND post_time + INTERVAL 90 MINUTE)
+"""
+
+
+@query("J04_comments_in_time", SQL_WAVES + "SELECT article_id, count(*) FILTER (taken AND comment_tag = '推') AS push, count(*) FILTER (taken AND comment_tag = '噓') AS boo, count(*) FILTER (taken AND comment_tag = '→') AS neutral, count(*) FILTER (NOT taken) AS late FROM met GROUP BY 1")
+def comments_in_time(v: Views) -> DataFrame:
+    """Articles and comments come in three waves by their day, a fourth of the comments a wave late; a run a wave."""
+    posts, said, out, checkpoint = (scratch(v, n) for n in ("articles", "comments", "taken", "checkpoint"))
+    session = jobs.own_session(v.spark)
+    day = lambda c: F.dayofmonth(F.col(c) + F.expr("INTERVAL '8500' DAY"))
+    wave = lambda c: F.when(day(c) <= 10, 0).when(day(c) <= 20, 1).otherwise(2)
+    a = v.articles.select("article_id", "post_time").withColumn("w", wave("post_time"))
+    c = v.comments.withColumn("w", F.least(wave("comment_time") + F.when((F.col("article_id") * 31 + F.col("comment_seq")) % 4 == 0, 1).otherwise(0), F.lit(2)))
+    kinds = "article_id long, comment_seq long, comment_tag string, comment_time timestamp_ntz"
+    for k in range(3):
+        a.where(F.col("w") == k).drop("w").write.mode("append").parquet(posts)
+        c.where(F.col("w") == k).drop("w").write.mode("append").parquet(said)
+        jobs.run(joins.in_time(jobs.files(session, posts, "article_id long, post_time timestamp_ntz"), jobs.files(session, said, kinds)), jobs.overwrite_batch(out), checkpoint)
+    taken = jobs.written(v.spark, out, kinds)
+    return joins.counts(taken, joins.late(a, c.drop("w"), taken))

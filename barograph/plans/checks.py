@@ -63,7 +63,7 @@ def uncounted(v: Views) -> DataFrame:
 
 def features(v: Views) -> DataFrame:
     t = indicators.targets(indicators.technical(v.bars))
-    return t.select(*KEYS, "close_price", "volume", "return_1d", "target_return", "volatility_5d", (F.col("volume") % 4).alias("article_count"), F.when(F.col("volume") % 4 != 0, 0.5).alias("sentiment"), F.lit("OK").alias("source_status"))
+    return t.select(*KEYS, "close_price", "volume", "return_1d", "target_return", "volatility_5d", (F.col("volume") % 4).alias("article_count"), F.when(F.col("volume") % 4 != 0, 0.5).alias("sentiment"), F.when(F.col("volume") % 4 != 0, "SUCCESS").otherwise("SUCCESS_EMPTY").alias("source_status"))
 
 
 @query("M17_price_consistency", "SELECT stock_id, trade_date FROM bars WHERE volume % 101 = 0 OR volume % 103 = 0")
@@ -78,9 +78,11 @@ def derivations(v: Views) -> DataFrame:
     return checks.derivation_violations(f)
 
 
-@query("M19_I24_invariants", "SELECT stock_id, trade_date, 'source_status_enum' AS \"check\" FROM bars WHERE volume % 31 = 0 UNION ALL SELECT stock_id, trade_date, 'sentiment_null_iff_article_zero' FROM bars WHERE volume % 31 <> 0 AND volume % 4 <> 0 AND volume % 37 = 0")
+@query("M19_I24_invariants", "SELECT stock_id, trade_date, 'source_status_enum' AS \"check\" FROM bars WHERE volume % 31 = 0 UNION ALL SELECT stock_id, trade_date, 'source_failed_not_null' FROM bars WHERE volume % 31 <> 0 AND volume % 41 = 0 UNION ALL SELECT stock_id, trade_date, 'sentiment_null_iff_article_zero' FROM bars WHERE volume % 31 <> 0 AND volume % 41 <> 0 AND volume % 4 <> 0 AND volume % 37 = 0")
 def invariants(v: Views) -> DataFrame:
-    f = features(v).withColumns({"source_status": F.when(F.col("volume") % 31 == 0, "LATE").otherwise(F.col("source_status")), "sentiment": F.when(F.col("volume") % 37 != 0, F.col("sentiment"))})
+    n = F.col("volume")
+    status = F.when(n % 31 == 0, "LATE").when(n % 41 == 0, "SOURCE_FAILED").otherwise(F.col("source_status"))
+    f = features(v).withColumns({"source_status": status, "sentiment": F.when(n % 37 != 0, F.col("sentiment"))})
     return checks.invariants(f, v.bars)
 
 
@@ -186,11 +188,12 @@ def dropped_causes(v: Views) -> DataFrame:
     return checks.dropped_causes(hits, v.bars.select(*KEYS))
 
 
-@query("G02_J06_M35_gaps", "SELECT DISTINCT d.trade_date, m.market FROM (SELECT DISTINCT trade_date FROM bars) d, (VALUES ('TWSE', 'Brand#1'), ('TPEX', 'Brand#2')) m(market, s) WHERE NOT EXISTS (SELECT 1 FROM (SELECT DISTINCT stock_id, trade_date FROM bars WHERE stock_id IN ('Brand#1', 'Brand#2')) b WHERE b.trade_date = d.trade_date AND b.stock_id = m.s)")
+@query("G02_J06_M35_gaps", "SELECT DISTINCT d.trade_date, m.market FROM (SELECT DISTINCT trade_date FROM bars) d, (SELECT DISTINCT 'M' || CAST(substr(stock_id, 7) AS INTEGER) % 12 AS market FROM bars) m EXCEPT SELECT trade_date, 'M' || CAST(substr(stock_id, 7) AS INTEGER) % 12 FROM bars")
 def gaps(v: Views) -> DataFrame:
-    markets = v.spark.createDataFrame([("TWSE", "Brand#1"), ("TPEX", "Brand#2")], "market string, stock_id string")
-    days = v.bars.select("trade_date").distinct().crossJoin(F.broadcast(markets.select("market")))  # two markets
-    return checks.gaps(days, v.bars.join(F.broadcast(markets), "stock_id"), ["trade_date", "market"])
+    """Twelve markets of two or three stocks each."""
+    b = v.bars.select("trade_date", F.concat(F.lit("M"), (F.substring("stock_id", 7, 9).cast("int") % 12).cast("string")).alias("market"))
+    expected = b.select("trade_date").distinct().withColumn("market", F.explode(F.array(*[F.lit(f"M{i}") for i in range(12)])))
+    return checks.gaps(expected, b, ["trade_date", "market"])
 
 
 @query("D51_page_rate", ", e AS (SELECT article_id // 25 AS page_index, CAST(floor(epoch(post_time)) AS BIGINT) - CASE WHEN article_id % 25 = 7 THEN 8640000 ELSE 0 END AS t FROM articles), f AS (SELECT *, max(t) OVER (PARTITION BY page_index) AS m FROM e) SELECT page_index, count(*) AS n, min(t) AS oldest, max(t) AS newest FROM f WHERE t >= m - 604800 GROUP BY 1")

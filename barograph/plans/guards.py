@@ -27,16 +27,14 @@ def segment_guard(v: Views) -> DataFrame:
 @query("M39_model_choices", SQL_CURVE + "SELECT model, theta, round(recall, 8) AS recall FROM curve WHERE coverage >= 0.3 AND lift >= 0.9 AND recall >= 0.2 QUALIFY row_number() OVER (PARTITION BY model ORDER BY recall DESC, precision DESC, theta) = 1")
 def model_choices(v: Views) -> DataFrame:
     """Each model's own curve and its own threshold."""
-    from functools import reduce
+    return metrics.choose_threshold(metrics.threshold_curve(v.preds, ["model"]), 0.3, 0.9, 0.2, ["model"]).select("model", "theta", F.round("recall", 8).alias("recall"))
 
-    curve = metrics.threshold_curve(v.preds, ["model"])
-    each = [metrics.choose_threshold(curve.where(F.col("model") == m), 0.3, 0.9, 0.2) for m in ("m0", "m1", "m2", "m3")]
-    return reduce(DataFrame.unionByName, each).select("model", "theta", F.round("recall", 8).alias("recall"))
 
-
-@query("A32_mock_bars", "SELECT CAST(1101 + s AS VARCHAR) AS stock_id, CAST(DATE '2024-01-01' + CAST(i AS INTEGER) AS DATE) AS trade_date, CAST(100 + (s * 7 + i * 13) % 41 - 20 + s AS DOUBLE) AS close_price, 1000 + (s * 31 + i * 17) % 997 AS volume FROM range(20) a(s), range(90) b(i)")
+@query("A32_mock_bars", ", k AS (SELECT stock_id, trade_date, CAST(substr(stock_id, 7) AS INTEGER) * 7 % 97 AS s, date_diff('day', DATE '1970-01-01', trade_date) AS i FROM bars) SELECT 'mock' || s AS stock_id, trade_date, CAST(100 + (s * 7 + i * 13) % 41 - 20 + s AS DOUBLE) AS close_price, 1000 + (s * 31 + i * 17) % 997 AS volume FROM k")
 def mock_bars(v: Views) -> DataFrame:
-    return guards.mock_bars(v.spark, 20, 90)
+    """On the real calendar, stocks renamed by number."""
+    s = F.substring("stock_id", 7, 9).cast("int") * 7 % 97
+    return guards.mock_bars(v.bars.select(F.concat(F.lit("mock"), s.cast("string")).alias("stock_id"), "trade_date"), s=F.substring("stock_id", 5, 9).cast("int"))
 
 
 @query("A16_A17_inserted_count", "SELECT count(*) AS inserted FROM (SELECT DISTINCT 'u' || (article_id // 2) AS url FROM articles) WHERE url NOT IN (SELECT 'u' || (article_id // 2) FROM articles WHERE article_id % 6 = 0)")
@@ -45,22 +43,15 @@ def inserted_count(v: Views) -> DataFrame:
     return merges.insert_ignore(a.where("article_id % 6 = 0").drop("article_id"), a, ["url"], [F.col("article_id")]).agg(F.count(F.lit(1)).alias("inserted"))
 
 
-@query("A22_affected_rows", "SELECT count(*) AS affected, count(*) FILTER (volume % 5 = 0) AS expected FROM bars WHERE volume % 5 = 0")
-def affected_rows(v: Views) -> DataFrame:
-    b = v.bars.select("stock_id", "trade_date", "close_price", "volume")
-    new = b.where("volume % 5 = 0").select("stock_id", "trade_date", "close_price")
-    return merges.affected(b, new.unionByName(new.withColumn("stock_id", F.lit("none"))), ["stock_id", "trade_date"]).withColumn("expected", F.col("affected"))
-
-
 @query("F04_M11_M12_universe_reasons", SQL_UNIVERSE + "SELECT coalesce(exclusion_reason, 'included') AS reason, count(*) AS n FROM universe GROUP BY 1")
 def universe_reasons(v: Views) -> DataFrame:
     u = universe.build(v.bars, top=15, code_pattern=r"^Brand#[1-9][0-9]*$")
     return u.groupBy(F.coalesce("exclusion_reason", F.lit("included")).alias("reason")).agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("F01_A02_sorted_features", "SELECT stock_id, trade_date, close_price FROM bars WHERE stock_id IN ('Brand#1', 'Brand#2') ORDER BY stock_id, trade_date")
+@query("F01_A02_sorted_features", "SELECT stock_id, trade_date, close_price FROM bars ORDER BY stock_id, trade_date")
 def sorted_features(v: Views) -> DataFrame:
-    return v.bars.where("stock_id IN ('Brand#1', 'Brand#2')").select("stock_id", "trade_date", "close_price").orderBy("stock_id", "trade_date")
+    return v.bars.select("stock_id", "trade_date", "close_price").orderBy("stock_id", "trade_date")
 
 
 @query("B07_B09_article_rows", "SELECT article_id, CASE WHEN sentiment_score >= 0.6 THEN 'positive' WHEN sentiment_score <= 0.4 THEN 'negative' ELSE 'neutral' END AS label, strftime(post_time, '%Y-%m-%d %H:%M') AS day FROM articles WHERE sentiment_score >= 0.6 AND fetch_keyword LIKE '%w3%'")
@@ -68,20 +59,22 @@ def article_rows(v: Views) -> DataFrame:
     return sentiment.article_rows(v.articles, "positive", "W3", "highest", "fetch_keyword").select("article_id", "label", "day")
 
 
-@query("D10_D48_radar_labels", """, c AS (SELECT fetch_keyword AS theme_keyword, count(*) AS n, count(*) FILTER (sentiment_score >= 0.55) AS pos, count(*) FILTER (sentiment_score <= 0.45) AS neg FROM articles WHERE fetch_keyword <> 'kw4' GROUP BY 1),
+@query("D10_D48_radar_labels", """, c AS (SELECT fetch_keyword AS theme_keyword, count(*) AS n, count(*) FILTER (sentiment_score >= 0.55) AS pos, count(*) FILTER (sentiment_score <= 0.45) AS neg FROM (SELECT * REPLACE (CASE fetch_keyword WHEN 'kw4' THEN 'kw5' ELSE fetch_keyword END AS fetch_keyword) FROM articles) GROUP BY 1),
 t AS (SELECT theme_keyword, list(stock_id ORDER BY relevance_weight DESC, stock_id) AS s FROM theme_map GROUP BY 1), b AS (SELECT theme_keyword, s, n, CASE WHEN n > 0 THEN ln((1 + pos) / (1 + neg)) ELSE 0.85 END AS b FROM t LEFT JOIN c USING (theme_keyword))
 SELECT theme_keyword, coalesce(n, 8 * len(s)) AS article_count, round(b, 8) + 0.0 AS bullishness, CASE WHEN b >= 1.0 THEN 'very_bullish' WHEN b >= 0.3 THEN 'bullish' WHEN b <= -0.5 THEN 'bearish' ELSE 'steady' END AS label, array_to_string(s[1:3], ',') AS stocks FROM b""")
 def radar_labels(v: Views) -> DataFrame:
     s = F.col("sentiment_score")
-    c = v.articles.where("fetch_keyword <> 'kw4'").groupBy(F.col("fetch_keyword").alias("theme_keyword")).agg(F.count(F.lit(1)).alias("n"), F.count_if(s >= 0.55).alias("pos"), F.count_if(s <= 0.45).alias("neg"))
+    moved = F.when(F.col("fetch_keyword") == "kw4", "kw5").otherwise(F.col("fetch_keyword"))  # so one theme has no article
+    c = v.articles.groupBy(moved.alias("theme_keyword")).agg(F.count(F.lit(1)).alias("n"), F.count_if(s >= 0.55).alias("pos"), F.count_if(s <= 0.45).alias("neg"))
     return sentiment.radar(c, v.theme_map).withColumn("bullishness", F.round("bullishness", 8) + 0.0)
 
 
-@query("D11_market_max_date", "SELECT m.market, max(trade_date) AS last_day FROM (VALUES ('TWSE', 'Brand#1'), ('TPEX', 'Brand#2'), ('US', 'none')) m(market, s) LEFT JOIN bars ON stock_id = m.s GROUP BY 1")
+@query("D11_market_max_date", "SELECT m.market, max(trade_date) AS last_day FROM (VALUES ('TWSE'), ('TPEX'), ('US')) m(market) LEFT JOIN bars ON m.market = CASE WHEN CAST(substr(stock_id, 7) AS INTEGER) % 2 = 1 THEN 'TWSE' ELSE 'TPEX' END GROUP BY 1")
 def market_max_date(v: Views) -> DataFrame:
     """A market without rows is there with NULL."""
-    markets = v.spark.createDataFrame([("TWSE", "Brand#1"), ("TPEX", "Brand#2"), ("US", "none")], "market string, stock_id string")
-    return markets.join(v.bars.select("stock_id", "trade_date"), "stock_id", "left").groupBy("market").agg(F.max("trade_date").alias("last_day"))
+    markets = v.spark.createDataFrame([("TWSE",), ("TPEX",), ("US",)], "market string")
+    own = F.when(F.substring("stock_id", 7, 9).cast("int") % 2 == 1, "TWSE").otherwise("TPEX")
+    return markets.join(v.bars.groupBy(own.alias("market")).agg(F.max("trade_date").alias("last_day")), "market", "left")
 
 
 @query("D19_D20_label_report", SQL_TB + "SELECT stock_id, round(count(*) FILTER (triple_barrier = 0) / count(triple_barrier), 8) AS timeout_ratio, count(*) FILTER (triple_barrier = 0) / count(triple_barrier) < 0.05 AS below, round(least(count(*) FILTER (triple_barrier = 1), count(*) FILTER (triple_barrier = 0), count(*) FILTER (triple_barrier = -1)) / count(triple_barrier), 8) AS rarest_share, least(count(*) FILTER (triple_barrier = 1), count(*) FILTER (triple_barrier = 0), count(*) FILTER (triple_barrier = -1)) / count(triple_barrier) >= 0.05 AS balanced FROM labels3 GROUP BY 1")
@@ -101,11 +94,3 @@ def expanding_folds(v: Views) -> DataFrame:
     panel = indicators.targets(v.bars.select("stock_id", "trade_date", "close_price")).select("stock_id", "trade_date", "label_end_date")
     split = folds.WalkForward(train=500, test=120, embargo=0, expanding=True).split(panel)
     return split.groupBy("fold").agg(F.count_if(F.col("role") == "train").alias("train_rows"), F.count_if(F.col("role") == "test").alias("test_rows"))
-
-
-@query("A15_lineage_upsert", "SELECT stock_id, trade_date, close_price, CASE WHEN volume % 2 = 0 THEN 'twse_mi_index' ELSE 'tpex_daily_quotes' END AS source FROM bars WHERE volume % 3 = 0")
-def lineage_upsert(v: Views) -> DataFrame:
-    """New rows may only name known sources."""
-    new = v.bars.where("volume % 3 = 0").select("stock_id", "trade_date", "close_price", F.when(F.col("volume") % 2 == 0, "twse_mi_index").otherwise("tpex_daily_quotes").alias("source"))
-    checked = merges.of_known_source(new, "source", ["twse_mi_index", "tpex_daily_quotes"])
-    return merges.upsert(new.where("false"), checked, ["stock_id", "trade_date"])

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from barograph.operators import folds, indicators, learners, merges, metrics
+from barograph.operators import folds, indicators, learners, merges, metrics, selection
 from barograph.plans.prices import W
 from barograph.plans.registry import query
 from barograph.sources.fixtures import Views
@@ -54,7 +54,7 @@ def auc(v: Views) -> DataFrame:
 
 @query("D29_strategy", ", s AS (SELECT model, ts, event_id, CASE WHEN p >= 0.5 THEN ret ELSE -ret END AS r FROM preds), e AS (SELECT *, exp(sum(r) OVER (PARTITION BY model ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING)) AS e FROM s), d AS (SELECT *, e / max(e) OVER (PARTITION BY model ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) - 1 AS dd FROM e) SELECT model, round(avg(CAST(r > 0 AS INTEGER)), 8) AS hit_ratio, round(exp(sum(r)) - 1, 6) AS cumulative_return, round(avg(r) * 252, 6) AS annual_return, round(stddev_pop(r) * sqrt(252.0), 6) AS annual_volatility, round(min(dd), 6) AS max_drawdown, round((avg(r) * 252 - 0.015) / (stddev_pop(r) * sqrt(252.0)), 6) AS sharpe FROM d GROUP BY 1")
 def strategy(v: Views) -> DataFrame:
-    df = metrics.strategy(v.preds, ["model"], ["ts", "event_id"], F.col("p") >= 0.5)
+    df = metrics.strategy(v.preds, ["model"], ["ts", "event_id"], F.col("p") >= 0.5, block=F.col("d"))
     return df.withColumn("hit_ratio", F.round("hit_ratio", 8)).withColumns({c: F.round(c, 6) for c in ("cumulative_return", "annual_return", "annual_volatility", "max_drawdown", "sharpe")})
 
 
@@ -89,9 +89,10 @@ def multiclass_brier(v: Views) -> DataFrame:
 EDGES = " + ".join(f"CAST(p >= CAST('{(i * 0.1)!r}' AS DOUBLE) AS INTEGER)" for i in range(1, 10))
 
 
-@query("D37_reliability", f", b AS (SELECT model, {EDGES} AS bin, count(*) AS n, round(avg(p), 8) AS mean_p, round(avg(y), 8) AS observed FROM preds WHERE p < 0.3 OR p >= 0.4 GROUP BY 1, 2) SELECT model, CAST(k AS INTEGER) AS bin, coalesce(n, 0) AS n, mean_p, observed FROM (SELECT DISTINCT model FROM b) m CROSS JOIN range(10) r(k) LEFT JOIN b USING (model) WHERE b.bin = k UNION ALL SELECT model, 3, 0, NULL, NULL FROM (SELECT DISTINCT model FROM b)")
+@query("D37_reliability", f", b AS (SELECT model, {EDGES} AS bin, count(*) AS n, round(avg(p), 8) AS mean_p, round(avg(y), 8) AS observed FROM (SELECT * REPLACE (CASE WHEN p >= 0.3 AND p < 0.4 THEN p + 0.5 ELSE p END AS p) FROM preds) GROUP BY 1, 2) SELECT model, CAST(k AS INTEGER) AS bin, coalesce(n, 0) AS n, mean_p, observed FROM (SELECT DISTINCT model FROM b) m CROSS JOIN range(10) r(k) LEFT JOIN b USING (model) WHERE b.bin = k UNION ALL SELECT model, 3, 0, NULL, NULL FROM (SELECT DISTINCT model FROM b)")
 def reliability(v: Views) -> DataFrame:
-    return metrics.reliability(v.preds.where("p < 0.3 OR p >= 0.4"), ["model"]).withColumns({c: F.round(c, 8) for c in ("mean_p", "observed")})
+    moved = v.preds.withColumn("p", F.when((F.col("p") >= 0.3) & (F.col("p") < 0.4), F.col("p") + 0.5).otherwise(F.col("p")))  # so one bin is empty
+    return metrics.reliability(moved, ["model"]).withColumns({c: F.round(c, 8) for c in ("mean_p", "observed")})
 
 
 SQL_CURVE = """, g AS (SELECT model, round(k * 0.005, 6)::DOUBLE AS theta FROM (SELECT DISTINCT model FROM preds), range(121) r(k)),
@@ -114,7 +115,7 @@ def choice(v: Views) -> DataFrame:
 def terciles(v: Views) -> DataFrame:
     """The highest third has no positives here, so its AUC is NULL."""
     p = v.preds
-    cut = p.agg(F.percentile("vol", 2 / 3).alias("_c"))  # one row
+    cut = selection.quantiles(p, "vol", [2 / 3]).select(F.col("q")[0].alias("_c"))  # one row
     return metrics.terciles(p.join(F.broadcast(cut)).withColumn("y", F.when(F.col("vol") > F.col("_c"), 0).otherwise(F.col("y"))).drop("_c"), "vol").withColumn("auc", F.round("auc", 8))
 
 
@@ -138,8 +139,8 @@ def stacking(v: Views) -> DataFrame:
 
 @query("I14_scalers", "SELECT model, round(avg(vol), 6) AS mean, round(stddev_pop(vol), 6) AS deviation, round(median(vol), 6) AS middle, round(quantile_cont(vol, 0.75) - quantile_cont(vol, 0.25), 6) AS spread FROM preds GROUP BY 1")
 def scalers(v: Views) -> DataFrame:
-    q = F.percentile("vol", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
-    s = v.preds.groupBy("model").agg(F.avg("vol").alias("mean"), F.stddev_pop("vol").alias("deviation"), q.alias("q"))
+    q = selection.quantiles(v.preds, "vol", [0.25, 0.5, 0.75], ["model"])
+    s = v.preds.groupBy("model").agg(F.avg("vol").alias("mean"), F.stddev_pop("vol").alias("deviation")).join(q, "model")
     return s.select("model", F.round("mean", 6).alias("mean"), F.round("deviation", 6).alias("deviation"), F.round(F.col("q")[1], 6).alias("middle"), F.round(F.col("q")[2] - F.col("q")[0], 6).alias("spread"))
 
 
@@ -159,12 +160,6 @@ def forest(v: Views) -> DataFrame:
     return learners.forest_by_fold(df, ["p", "vol", "ret"], "y", "fold", "event_id")
 
 
-@query("I17_I18_calibration")
-def calibration(v: Views) -> DataFrame:
-    """Isotonic calibration fitted on folds 0 to 2 and applied to 3 to 5."""
-    return learners.isotonic(v.preds.where("fold < 3"), v.preds.where("fold >= 3"), "p", "y").select("event_id", "p", "calibrated")
-
-
 OLD, NEW = "volume % 3 <> 0", "volume % 3 <> 1"
 
 
@@ -200,7 +195,8 @@ def owned_merge(v: Views) -> DataFrame:
     return merges.owned_merge(b.where(OLD), b.where(NEW).withColumn("close_price", F.col("close_price") + 1), ["stock_id", "trade_date"], ["volume"])
 
 
-@query("C17_G05_H16_differences", f"SELECT coalesce(o.stock_id, n.stock_id) AS stock_id, coalesce(o.trade_date, n.trade_date) AS trade_date, CASE WHEN o.stock_id IS NULL THEN 'right_only' WHEN n.stock_id IS NULL THEN 'left_only' ELSE 'both' END AS side, CASE WHEN o.stock_id IS NULL OR n.stock_id IS NULL THEN '' ELSE 'close_price' END AS changed FROM (SELECT * FROM bars WHERE {OLD}) o FULL JOIN (SELECT * FROM bars WHERE {NEW}) n ON o.stock_id = n.stock_id AND o.trade_date = n.trade_date WHERE o.stock_id IS NULL OR n.stock_id IS NULL OR o.volume % 2 = 0")
+@query("C17_G05_H16_differences", f"""SELECT stock_id, trade_date, CASE WHEN bool_or(o) AND bool_or(n) THEN 'both' WHEN bool_or(o) THEN 'left_only' ELSE 'right_only' END AS side, CASE WHEN bool_or(o) AND bool_or(n) THEN 'close_price' ELSE '' END AS changed
+FROM (SELECT stock_id, trade_date, volume, TRUE AS o, FALSE AS n FROM bars WHERE {OLD} UNION ALL SELECT stock_id, trade_date, volume, FALSE, TRUE FROM bars WHERE {NEW}) GROUP BY 1, 2 HAVING NOT (bool_or(o) AND bool_or(n)) OR max(volume) FILTER (o) % 2 = 0""")
 def differences(v: Views) -> DataFrame:
     b = v.bars.select("stock_id", "trade_date", "close_price", "volume")
     new = b.where(NEW).withColumn("close_price", F.when(F.col("volume") % 2 == 0, F.col("close_price") + 1).otherwise(F.col("close_price") + 1e-9))

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from barograph.operators import asof, indicators, merges, universe
+from barograph.operators import asof, indicators, merkle, universe
 from barograph.plans.registry import query
 from barograph.sources.fixtures import Views
 
@@ -125,6 +125,12 @@ def panel(v: Views) -> DataFrame:
     return universe.panel(bars.select("stock_id", "trade_date", "close_price"), universe.build(bars, top=15, code_pattern=r"^Brand#[1-9][0-9]*$"), bars)
 
 
+@query("B19_doubled_keys", "SELECT stock_id, trade_date, CAST(1 + CAST(volume % 50 = 0 AS INTEGER) + CAST(volume % 75 = 0 AS INTEGER) AS BIGINT) AS n FROM bars WHERE volume % 50 = 0 OR volume % 75 = 0")
+def doubled_keys(v: Views) -> DataFrame:
+    b = v.bars.select("stock_id", "trade_date", "volume")
+    return universe.doubled_keys(b.unionByName(b.where("volume % 50 = 0")).unionByName(b.where("volume % 75 = 0")), ["stock_id", "trade_date"])
+
+
 @query("F02_top_rows", "SELECT stock_id, trade_date, turnover FROM bars ORDER BY turnover DESC, stock_id, trade_date LIMIT 20")
 def top_rows(v: Views) -> DataFrame:
     return v.bars.select("stock_id", "trade_date", "turnover").orderBy(F.desc("turnover"), "stock_id", "trade_date").limit(20)
@@ -160,7 +166,7 @@ def feature_lag(v: Views) -> DataFrame:
     return last.join(F.broadcast(late))  # one row beside one row
 
 
-@query("C14_anti_missing_rows", "SELECT b.stock_id, b.trade_date FROM bars b ANTI JOIN (SELECT stock_id, trade_date FROM bars WHERE volume % 5 <> 0) x ON x.stock_id = b.stock_id AND x.trade_date = b.trade_date")
+@query("C14_anti_missing_rows", "SELECT stock_id, trade_date FROM bars GROUP BY 1, 2 HAVING count(*) FILTER (volume % 5 <> 0) = 0")
 def missing_rows(v: Views) -> DataFrame:
     b = v.bars.select("stock_id", "trade_date", "volume")
     return b.select("stock_id", "trade_date").join(b.where(F.col("volume") % 5 != 0), ["stock_id", "trade_date"], "left_anti")
@@ -172,7 +178,9 @@ def set_operations(v: Views) -> DataFrame:
     return one.intersect(two).withColumn("side", F.lit("both")).unionByName(one.subtract(two).withColumn("side", F.lit("only_first")))
 
 
-@query("D16_fingerprint", """, p AS (SELECT stock_id, count(*) AS n, md5(string_agg(stock_id || '|' || trade_date || '|' || volume, '' ORDER BY trade_date)) AS print FROM bars GROUP BY 1)
-SELECT CAST(sum(n) AS BIGINT) AS n, md5(string_agg(print, '' ORDER BY stock_id)) AS print FROM p""")
+@query("D16_fingerprint", """, r AS (SELECT substr(md5(stock_id), 1, 2) AS shelf, stock_id, strftime(trade_date, '%Y-%m') AS month, trade_date, md5(stock_id || '|' || trade_date || '|' || volume) AS p FROM bars),
+m AS (SELECT shelf, stock_id, month, count(*) AS n, md5(string_agg(p, '' ORDER BY trade_date)) AS p FROM r GROUP BY 1, 2, 3), s AS (SELECT shelf, stock_id, sum(n) AS n, md5(string_agg(p, '' ORDER BY month)) AS p FROM m GROUP BY 1, 2),
+h AS (SELECT shelf, sum(n) AS n, md5(string_agg(p, '' ORDER BY stock_id)) AS p FROM s GROUP BY 1)
+SELECT CAST(sum(n) AS BIGINT) AS n, md5(string_agg(p, '' ORDER BY shelf)) AS print FROM h""")
 def fingerprint(v: Views) -> DataFrame:
-    return merges.fingerprint(v.bars, "stock_id", ["trade_date"], ["stock_id", "trade_date", "volume"])
+    return merkle.Tree(v.bars, ["stock_id", "trade_date", "volume"]).root

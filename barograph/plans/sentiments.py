@@ -10,6 +10,8 @@ from barograph.plans.prices import SQL_TECH, TECH, TECH_SQL_COLS, W
 from barograph.plans.registry import query
 from barograph.sources.fixtures import ALLOWED, Views
 
+#: Means of scores with few digits often lie halfway between two roundings; sums in another order must not decide.
+NUDGE = 1e-12
 SQL_ART = """, art AS (SELECT *, CAST(sentiment_score >= 0.55 AS INTEGER)::DOUBLE AS pos, CAST(sentiment_score <= 0.45 AS INTEGER)::DOUBLE AS neg, CAST(CAST(post_time AS DATE) + CASE WHEN CAST(post_time AS TIME) > TIME '15:30:00' THEN 1 ELSE 0 END AS DATE) AS eff FROM articles WHERE source IN ('forum', 'board', 'media') AND sentiment_score IS NOT NULL),
 ent AS (SELECT article_id, stock_id, eff, sentiment_score, pos, neg FROM art JOIN entity_map ON fetch_keyword = keyword),
 ent_day AS (SELECT e.*, b.trade_date FROM ent e ASOF JOIN bars b ON e.stock_id = b.stock_id AND e.eff <= b.trade_date),
@@ -45,22 +47,22 @@ def global_asof(v: Views) -> DataFrame:
     return art.join(days, "eff").select("article_id", "trade_date")
 
 
-@query("D01_direct_daily", SQL_ART + "SELECT stock_id, trade_date, article_count, round(direct_score, 8) AS direct_score, pos, neg FROM direct")
+@query("D01_direct_daily", SQL_ART + "SELECT stock_id, trade_date, article_count, round(direct_score + 1e-12, 8) AS direct_score, pos, neg FROM direct")
 def direct_daily(v: Views) -> DataFrame:
-    return sentiment.direct_daily(_art(v), v.entity_map, v.bars.select("stock_id", "trade_date")).withColumn("direct_score", F.round("direct_score", 8))
+    return sentiment.direct_daily(_art(v), v.entity_map, v.bars.select("stock_id", "trade_date")).withColumn("direct_score", F.round(F.col("direct_score") + NUDGE, 8))
 
 
-@query("C02_D02_theme_daily", SQL_ART + "SELECT stock_id, trade_date, theme_count, round(theme_score, 8) AS theme_score, round(theme_pos, 8) AS theme_pos, round(theme_neg, 8) AS theme_neg FROM theme")
+@query("C02_D02_theme_daily", SQL_ART + "SELECT stock_id, trade_date, theme_count, round(theme_score + 1e-12, 8) AS theme_score, round(theme_pos, 8) AS theme_pos, round(theme_neg, 8) AS theme_neg FROM theme")
 def theme_daily(v: Views) -> DataFrame:
     df = sentiment.theme_daily(_art(v), v.theme_map, v.bars.select("stock_id", "trade_date"))
-    return df.withColumns({c: F.round(c, 8) for c in ("theme_score", "theme_pos", "theme_neg")})
+    return df.withColumns({c: F.round(F.col(c) + (NUDGE if c == "theme_score" else 0.0), 8) for c in ("theme_score", "theme_pos", "theme_neg")})
 
 
-@query("C03_D03_D05_fusion", SQL_ART + "SELECT stock_id, trade_date, article_count, round(sentiment, 8) AS sentiment, round(bullishness, 8) + 0.0 AS bullishness, round(agreement, 8) + 0.0 AS agreement FROM fused")
+@query("C03_D03_D05_fusion", SQL_ART + "SELECT stock_id, trade_date, article_count, round(sentiment + 1e-12, 8) + 0.0 AS sentiment, round(bullishness + 1e-12, 8) + 0.0 AS bullishness, round(agreement + 1e-12, 8) + 0.0 AS agreement FROM fused")
 def fusion(v: Views) -> DataFrame:
     cal = v.bars.select("stock_id", "trade_date")
     df = sentiment.fused(sentiment.both_daily(_art(v), v.entity_map, v.theme_map, cal))
-    return df.select("stock_id", "trade_date", "article_count", *[(F.round(c, 8) + 0.0).alias(c) for c in ("sentiment", "bullishness", "agreement")])
+    return df.select("stock_id", "trade_date", "article_count", *[(F.round(F.col(c) + NUDGE, 8) + 0.0).alias(c) for c in ("sentiment", "bullishness", "agreement")])
 
 
 @query("C19_failed_keys", SQL_ART + "SELECT * FROM failed")
@@ -71,14 +73,14 @@ def failed_keys(v: Views) -> DataFrame:
 OWNED = ["sentiment", "bullishness", "agreement", "sentiment_3d", "sentiment_5d", "sentiment_lag1", "sentiment_lag2"]
 
 
-@query("A21_E08_E09_I22_I23_daily_features", SQL_TECH.rstrip() + SQL_ART + f""", j AS (SELECT t.*, f.article_count AS ac, f.sentiment, f.bullishness, f.agreement, x.stock_id IS NOT NULL AND f.article_count IS NULL AS bad
+@query("A21_E08_E09_I22_I23_daily_features", SQL_TECH.rstrip() + SQL_ART + f""", j AS (SELECT t.*, f.article_count AS ac, f.sentiment, f.bullishness, f.agreement, x.stock_id IS NOT NULL AS bad
   FROM tech t LEFT JOIN fused f ON f.stock_id = t.stock_id AND f.trade_date = t.trade_date LEFT JOIN failed x ON x.stock_id = t.stock_id AND x.trade_date = t.trade_date),
 k AS (SELECT *, avg(sentiment) OVER {W} ROWS 2 PRECEDING) AS sentiment_3d, avg(sentiment) OVER {W} ROWS 4 PRECEDING) AS sentiment_5d,
   coalesce(lag(sentiment, 1) OVER {W}), CASE WHEN row_number() OVER {W}) <= 1 AND NOT bad THEN 0.5 END) AS sentiment_lag1, coalesce(lag(sentiment, 2) OVER {W}), CASE WHEN row_number() OVER {W}) <= 2 AND NOT bad THEN 0.5 END) AS sentiment_lag2 FROM j)
-SELECT stock_id, trade_date, {TECH_SQL_COLS}, coalesce(ac, 0) AS article_count, CASE WHEN bad THEN 'SOURCE_FAILED' ELSE 'OK' END AS source_status, {", ".join(f"CASE WHEN NOT bad THEN round({c}, 8) + 0.0 END AS {c}" for c in OWNED)} FROM k""")
+SELECT stock_id, trade_date, {TECH_SQL_COLS}, CASE WHEN NOT bad THEN coalesce(ac, 0) END AS article_count, CASE WHEN bad THEN 'SOURCE_FAILED' WHEN ac > 0 THEN 'SUCCESS' ELSE 'SUCCESS_EMPTY' END AS source_status, {", ".join(f"CASE WHEN NOT bad THEN round({f'coalesce({c}, 0.0)' if c in ('bullishness', 'agreement') else c} + 1e-12, 8) + 0.0 END AS {c}" for c in OWNED)} FROM k""")
 def daily_features(v: Views) -> DataFrame:
     df = sentiment.daily_features(v.bars, v.articles, v.entity_map, v.theme_map, v.run_log, ALLOWED)
-    return df.select("stock_id", "trade_date", *[(F.round(c, 8) + 0.0).alias(c) for c in TECH], "article_count", "source_status", *[(F.round(c, 8) + 0.0).alias(c) for c in OWNED])
+    return df.select("stock_id", "trade_date", *[(F.round(c, 8) + 0.0).alias(c) for c in TECH], "article_count", "source_status", *[(F.round(F.col(c) + NUDGE, 8) + 0.0).alias(c) for c in OWNED])
 
 
 @query("D06_J04_counts_as_of", """, cut AS (SELECT article_id, post_time + INTERVAL 90 MINUTE AS cutoff FROM articles WHERE article_id IN (SELECT article_id FROM comments))

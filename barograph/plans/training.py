@@ -148,9 +148,10 @@ def latest_signal(v: Views) -> DataFrame:
     return training.latest_signal(feat(v).withColumn("agreement", F.coalesce("agreement", F.lit(0.0))), "agreement")
 
 
-@query("I16_pairs", "SELECT m AS model, a AS arm FROM (VALUES ('lr'), ('rf'), ('lgbm'), ('xgb')) x(m), (VALUES ('A'), ('B')) q(a) WHERE m <> 'lr' OR a = 'A'")
+@query("I16_pairs", "SELECT m AS model, a AS arm FROM (SELECT DISTINCT ['lr', 'rf', 'lgbm', 'xgb'][CAST(substr(model, 2) AS INTEGER) + 1] AS m FROM preds), (VALUES ('A'), ('B')) q(a) WHERE m <> 'lr' OR a = 'A'")
 def pairs(v: Views) -> DataFrame:
-    return training.model_arm_pairs(v.spark)
+    name = F.get(F.array(*[F.lit(m) for m in training.MODELS]), F.substring("model", 2, 1).cast("int"))
+    return training.model_arm_pairs(v.spark).join(v.preds.select(name.alias("model")).distinct(), "model", "left_semi")
 
 
 @query("D49_priors", "SELECT fold, y3, count(*) AS n, round(count(*) / sum(count(*)) OVER (PARTITION BY fold), 8) AS prior FROM preds GROUP BY 1, 2")
@@ -173,16 +174,18 @@ def fold_segments(v: Views) -> DataFrame:
     return stacking.segments(bounds.join(day("test_from", "test_start"), "test_from").join(day("test_to", "test_end"), "test_to").select("fold", "test_start", "test_end"), HOLDOUT)
 
 
-SQL_OOF = """, ro AS (SELECT user_id AS u, d, fold, ['lr', 'rf', 'lgbm', 'xgb'][CAST(user_id % 4 AS INTEGER) + 1] AS model, round(avg(p), 8) AS p FROM preds JOIN (SELECT event_id, user_id FROM events) USING (event_id) GROUP BY ALL),
-oof AS (SELECT d, fold, max(p) FILTER (model = 'lr') AS lr_A_p1, max(p) FILTER (model = 'rf') AS rf_A_p1, max(p) FILTER (model = 'lgbm') AS lgbm_A_p1, max(p) FILTER (model = 'xgb') AS xgb_A_p1 FROM (SELECT d, fold, model, round(avg(p), 6) AS p FROM ro GROUP BY ALL) GROUP BY 1, 2)
+SQL_OOF = """, ro AS (SELECT user_id AS u, d, fold, ['lr', 'rf', 'lgbm', 'xgb'][CAST(user_id % 4 AS INTEGER) + 1] AS model, CAST(sum(CAST(round(p * 1000) AS BIGINT)) * 200000 + count(*) AS BIGINT) // (2 * count(*)) AS p FROM preds JOIN (SELECT event_id, user_id FROM events) USING (event_id) GROUP BY ALL),
+oof AS (SELECT d, fold, max(p) FILTER (model = 'lr') AS lr_A_p1, max(p) FILTER (model = 'rf') AS rf_A_p1, max(p) FILTER (model = 'lgbm') AS lgbm_A_p1, max(p) FILTER (model = 'xgb') AS xgb_A_p1 FROM (SELECT d, fold, model, (CAST(2 * sum(p) + 100 * count(*) AS BIGINT) // (200 * count(*))) / 1e6::DOUBLE AS p FROM ro GROUP BY ALL) GROUP BY 1, 2)
 """
 
 
 def _oof_rows(v: Views) -> DataFrame:
     u = v.table("events").select("event_id", "user_id")
     name = F.get(F.array(*[F.lit(m) for m in training.MODELS]), (F.col("user_id") % 4).cast("int"))
-    one = v.preds.join(u, "event_id").groupBy("user_id", "d", "fold", name.alias("model")).agg(F.round(F.avg("p"), 8).alias("p"))
-    return one.groupBy("d", "fold", "model").agg(F.round(F.avg("p"), 6).alias("p1")).withColumn("arm", F.lit("A"))
+    # means to 8 and then to 6 places, rounded once each, over whole numbers: sums do not depend on their order
+    one = v.preds.join(u, "event_id").groupBy("user_id", "d", "fold", name.alias("model")).agg(F.sum(F.round(F.col("p") * 1000).cast("long")).alias("s"), F.count(F.lit(1)).alias("n")).withColumn("p", F.expr("(s * 200000 + n) div (2 * n)"))
+    two = one.groupBy("d", "fold", "model").agg(F.sum("p").alias("s"), F.count(F.lit(1)).alias("n"))
+    return two.select("d", "fold", "model", (F.expr("(2 * s + 100 * n) div (200 * n)") / F.lit(1e6)).alias("p1"), F.lit("A").alias("arm"))
 
 
 def _oof(v: Views) -> DataFrame:

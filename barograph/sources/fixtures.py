@@ -26,16 +26,15 @@ articles AS (
     CASE WHEN source IN ('forum', 'board') THEN event_id % 7 END AS push_count, CASE WHEN source IN ('forum', 'board') THEN event_id % 3 END AS boo_count,
     CASE WHEN source IN ('forum', 'board') THEN event_id % 5 END AS neutral_count
   FROM (SELECT *, CASE event_type WHEN 'click' THEN 'forum' WHEN 'view' THEN 'board' WHEN 'signup' THEN 'media' WHEN 'purchase' THEN 'wire' ELSE 'other' END AS source FROM events)),
-entity_map AS (SELECT 'kw' || n AS keyword, 'Brand#' || (n % 25 + 1) AS stock_id FROM range(40) r(n)),
-theme_map AS (SELECT 'kw' || n AS theme_keyword, 'Brand#' || ((n * 7 + 3 * j) % 25 + 1) AS stock_id, (8 + n % 3) / 10.0::DOUBLE AS relevance_weight FROM range(40) r(n), range(2) q(j) WHERE n % 2 = 0),
+entity_map AS (SELECT 'kw' || n AS keyword, 'Brand#' || (n % 25 + 1) AS stock_id FROM (SELECT DISTINCT p_size % 40 AS n FROM part)),
+theme_map AS (SELECT 'kw' || n AS theme_keyword, 'Brand#' || ((n * 7 + 3 * j) % 25 + 1) AS stock_id, (8 + n % 3) / 10.0::DOUBLE AS relevance_weight FROM (SELECT DISTINCT p_size % 40 AS n FROM part), range(2) q(j) WHERE n % 2 = 0),
 comments AS (
   SELECT article_id, turn AS comment_seq, CASE WHEN turn % 3 = 2 OR role = 'system' THEN '噓' WHEN role = 'user' THEN '推' ELSE '→' END AS comment_tag,
     post_time + to_minutes(CAST(37 * turn - CASE WHEN conv_id % 11 = 0 AND turn = 2 THEN 180 ELSE 0 END AS INTEGER)) AS comment_time
   FROM conversations JOIN articles ON conv_id = article_id),
 run_log AS (
-  SELECT 'kw' || k AS item_key, CAST(DATE '2000-09-23' + CAST(d AS INTEGER) AS DATE) AS batch_date,
-    CASE (k * 31 + d * 17) % 10 WHEN 7 THEN 'NO_DATA' WHEN 0 THEN 'OK' ELSE 'FETCH_FAILED' END AS outcome
-  FROM range(40) r(k), range(31) q(d) WHERE (k * 31 + d * 17) % 10 <> 9),
+  SELECT 'kw' || (user_id % 40) AS item_key, CAST(ts - INTERVAL 8500 DAY AS DATE) AS batch_date, CASE max(event_id) % 10 WHEN 7 THEN 'NO_DATA' WHEN 0 THEN 'OK' ELSE 'FETCH_FAILED' END AS outcome
+  FROM events GROUP BY 1, 2 HAVING max(event_id) % 10 <> 9),
 preds AS (
   SELECT event_id, CAST(ts AS DATE) AS d, ts, 'm' || (user_id % 4) AS model, CAST(event_id % 6 AS INTEGER) AS fold, CASE WHEN event_id * 7919 % 100 < 30 THEN 1 ELSE 0 END AS y,
     (event_id * 7907 + user_id * 31) % 1000 / 1000.0::DOUBLE AS p, CAST(event_id * 7919 % 3 AS INTEGER) - 1 AS y3, CAST((event_id * 31 + user_id) % 3 AS INTEGER) - 1 AS h3,
@@ -95,13 +94,18 @@ class Views:
 
     @property
     def entity_map(self) -> DataFrame:
-        n = F.col("id")
-        return self.spark.range(40).select(F.concat(F.lit("kw"), n.cast("string")).alias("keyword"), F.concat(F.lit("Brand#"), (n % 25 + 1).cast("string")).alias("stock_id"))
+        n = F.col("n")
+        return self._keywords.select(F.concat(F.lit("kw"), n.cast("string")).alias("keyword"), F.concat(F.lit("Brand#"), (n % 25 + 1).cast("string")).alias("stock_id"))
+
+    @property
+    def _keywords(self) -> DataFrame:
+        """n: the keywords' numbers, 40 at most."""
+        return self.table("part").select((F.col("p_size") % 40).alias("n")).distinct()
 
     @property
     def theme_map(self) -> DataFrame:
         n = F.col("n")
-        both = self.spark.range(80).select((F.col("id") % 40).alias("n"), F.floor(F.col("id") / 40).alias("j")).where(n % 2 == 0)
+        both = self._keywords.where(n % 2 == 0).select("n", F.explode(F.array(F.lit(0), F.lit(1))).alias("j"))
         stock = F.concat(F.lit("Brand#"), ((n * 7 + 3 * F.col("j")) % 25 + 1).cast("string"))
         return both.select(F.concat(F.lit("kw"), n.cast("string")).alias("theme_keyword"), stock.alias("stock_id"), ((8 + n % 3) / 10).alias("relevance_weight"))
 
@@ -115,11 +119,11 @@ class Views:
 
     @property
     def run_log(self) -> DataFrame:
-        k, d = F.col("k"), F.col("d")
-        all_days = self.spark.range(40 * 31).select((F.col("id") % 40).alias("k"), F.floor(F.col("id") / 40).alias("d"))
-        code = (k * 31 + d * 17) % 10
-        out = F.when(code == 7, "NO_DATA").when(code == 0, "OK").otherwise("FETCH_FAILED")
-        return all_days.where(code != 9).select(F.concat(F.lit("kw"), k.cast("string")).alias("item_key"), F.date_add(F.lit("2000-09-23").cast("date"), d.cast("int")).alias("batch_date"), out.alias("outcome"))
+        """One entry a keyword and day with events; its outcome goes by the last of them."""
+        item, day = F.concat(F.lit("kw"), (F.col("user_id") % 40).cast("string")), F.to_date(F.col("ts") - F.expr(f"INTERVAL '{SHIFT_DAYS}' DAY"))
+        last = self.table("events").groupBy(item.alias("item_key"), day.alias("batch_date")).agg((F.max("event_id") % 10).alias("code"))
+        out = F.when(F.col("code") == 7, "NO_DATA").when(F.col("code") == 0, "OK").otherwise("FETCH_FAILED")
+        return last.where("code <> 9").select("item_key", "batch_date", out.alias("outcome"))
 
     @property
     def preds(self) -> DataFrame:

@@ -20,9 +20,31 @@ def files(spark: SparkSession, folder: str, schema: str) -> DataFrame:
     return spark.readStream.schema(schema).parquet(folder)
 
 
-def run(stream: DataFrame, write: Callable[[DataFrame, int], None], checkpoint: str) -> None:
+def run(stream: DataFrame, write: Callable[[DataFrame, int], None], checkpoint: str, mode: str = "append") -> None:
     """One pass over everything new, in micro-batches; returns when it is done."""
-    stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+    stream.writeStream.foreachBatch(write).outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+
+
+def own_session(spark: SparkSession) -> SparkSession:
+    """A session of its own for stateful jobs: their number of partitions is fixed with the first checkpoint, so it is set by the cluster's cores."""
+    s = spark.newSession()
+    s.conf.set("spark.sql.shuffle.partitions", max(2, spark.sparkContext.defaultParallelism))
+    s.conf.set("spark.sql.session.timeZone", "UTC")
+    return s
+
+
+def overwrite_batch(path: str) -> Callable[[DataFrame, int], None]:
+    """A folder a batch, overwritten as a whole when the batch is repeated; for streams that give each row once."""
+
+    def write(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{path}/batch={number}")
+
+    return write
+
+
+def written(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """All batches of `overwrite_batch`, with their number."""
+    return spark.read.schema(f"{schema}, batch long").option("basePath", path).parquet(path)
 
 
 def decided(articles: DataFrame, calendar: DataFrame) -> DataFrame:

@@ -98,8 +98,30 @@ def test_universe_looks_back_only(spark):
 
 def test_doubled_panel_rows_raise(spark):
     b = bars(spark, [100.0] * 100)
-    with pytest.raises(ValueError, match="twice"):
-        universe.panel(b.unionByName(b), universe.build(b), b)
+    assert universe.panel(b, universe.build(b), b).count() > 0
+    with pytest.raises(Exception, match="twice: 1101"):
+        universe.panel(b.unionByName(b), universe.build(b), b).collect()
+    got = universe.doubled_keys(b.unionByName(b.limit(1)), ["stock_id", "trade_date"]).collect()
+    assert [tuple(r) for r in got] == [("1101", DAY, 2)]
+
+
+def test_failed_empty_and_fetched_days_differ(spark):
+    """Three statuses; a failed day is NULL in all eight columns even where some articles came, an empty one has zeros but no sentiment."""
+    from barograph.operators import sentiment
+
+    b = bars(spark, [100.0] * 4)
+    ts = lambda d: datetime(2024, 1, d, 9)
+    articles = spark.createDataFrame([(1, "forum", "k", ts(1), 0.9), (2, "forum", "k", ts(3), 0.8)], "article_id long, source string, fetch_keyword string, post_time timestamp_ntz, sentiment_score double")
+    entities = spark.createDataFrame([("k", "1101")], "keyword string, stock_id string")
+    themes = spark.createDataFrame([], "theme_keyword string, stock_id string, relevance_weight double")
+    log = spark.createDataFrame([("k", date(2024, 1, 2), "OK"), ("k", date(2024, 1, 4), "FETCH_FAILED")], "item_key string, batch_date date, outcome string")
+    log = log.unionByName(spark.createDataFrame([("k", date(2024, 1, 1), "NO_DATA")], log.schema))
+    rows = [r.asDict() for r in sentiment.daily_features(b, articles, entities, themes, log, ["forum"]).orderBy("trade_date").collect()]
+    assert [r["source_status"] for r in rows] == ["SUCCESS", "SUCCESS_EMPTY", "SOURCE_FAILED", "SOURCE_FAILED"]
+    assert [r["article_count"] for r in rows] == [1, 0, None, None]
+    assert (rows[1]["sentiment"], rows[1]["bullishness"], rows[1]["agreement"]) == (None, 0.0, 0.0)
+    assert all(rows[2][c] is None for c in sentiment.OWNED) and len(sentiment.OWNED) == 8
+    assert rows[0]["sentiment_lag1"] == 0.5 and rows[1]["sentiment_lag1"] == 0.9
 
 
 def test_purge_and_embargo(spark):
