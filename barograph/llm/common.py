@@ -51,6 +51,25 @@ def drop_path(spark: SparkSession, path: str) -> None:
     at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
 
 
+def in_pandas(df: DataFrame, run, schema: str, ids: list[str]) -> DataFrame:
+    """`mapInPandas` that hands the long columns `ids` through as text.
+
+    pandas makes doubles of a batch of longs with a null in it, and so other ids of those beyond 2**53.
+    """
+    out = T._parse_datatype_string(schema)
+    said = T.StructType([T.StructField(f.name, T.StringType() if f.name in ids else f.dataType) for f in out.fields])
+    made = df.select(*[F.col(c).cast("string").alias(c) if c in ids else F.col(c) for c in df.columns]).mapInPandas(run, said)
+    return made.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in out.fields])
+
+
+def unused(name: str, taken: list[str]) -> str:
+    """`name`, or with underscores what no column of `taken` is called, whatever the case."""
+    known = {c.lower() for c in taken}
+    while name.lower() in known:
+        name += "_"
+    return name
+
+
 def text_bytes(text: Column) -> Column:
     """UTF-8 length; null counts none."""
     return F.coalesce(F.octet_length(text), F.lit(0)).cast("long")

@@ -453,7 +453,9 @@ def score(docs: DataFrame) -> DataFrame:
         return pd.DataFrame(rows, columns=["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score", "bits_per_byte"])
 
     schema = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, bits_per_byte double"
-    return cut.groupBy("block").cogroup(answers.groupBy("block")).applyInPandas(run, schema)
+    named = cut.withColumn("doc_id", F.col("doc_id").cast("string"))  # ids as text: pandas rounds longs beside a null
+    out = named.groupBy("block").cogroup(answers.groupBy("block")).applyInPandas(run, schema.replace("doc_id long", "doc_id string"))
+    return out.withColumn("doc_id", F.col("doc_id").cast("long"))
 
 
 def op8_context_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

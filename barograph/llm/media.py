@@ -25,7 +25,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from barograph.llm.common import materialise, table
+from barograph.llm.common import in_pandas, materialise, table
 
 UNIT, WIDTH, PAD = 576, 24, 255
 PNG_MAGIC = b"\x89PNG\r\n\x1a\n"
@@ -266,7 +266,7 @@ def text_blobs(docs: DataFrame) -> DataFrame:
                 rows.append((doc_id, n, DECLARED[(c >> 3) % len(DECLARED)], wrapper[0] + media + wrapper[1]))
             yield pd.DataFrame(rows, columns=["doc_id", "n_bytes", "declared", "blob"])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInPandas(make, "doc_id long, n_bytes long, declared string, blob binary")
+    return in_pandas(docs.select(F.col("doc_id").cast("long"), "text"), make, "doc_id long, n_bytes long, declared string, blob binary", ["doc_id"])
 
 
 def features(blobs: DataFrame) -> DataFrame:
@@ -286,7 +286,7 @@ def features(blobs: DataFrame) -> DataFrame:
                 rows.append((doc_id, n, len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-32:]), size, hashlib.sha256(media).hexdigest(), feature))
             yield pd.DataFrame(rows, columns=["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"])
 
-    return blobs.mapInPandas(run, "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
+    return in_pandas(blobs, run, "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string", ["doc_id"])
 
 
 def op2_signature_sniffing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from barograph.llm.common import join_skewed, materialise, table
+from barograph.llm.common import join_skewed, materialise, table, unused
 from barograph.llm.components import components, followed, roots
 
 PERMUTATIONS, ROWS = 80, 5
@@ -277,13 +277,14 @@ def keep_one(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     Defined cases: a row without doc_id stays unless its group has one with doc_id; different texts under one
     doc_id are judged each; texts without words are copies only of those with the same doc_id.
     """
-    rows = materialise(docs.withColumn("_row_key", F.monotonically_increasing_id()), "rows")
-    found = grouped(rows.select(F.col("_row_key").alias("key"), F.col("doc_id").cast("long").alias("doc_id"), "text"), k, percent)
+    row_key = unused("_row_key", docs.columns)
+    rows = materialise(docs.withColumn(row_key, F.monotonically_increasing_id()), "rows")
+    found = grouped(rows.select(F.col(row_key).alias("key"), F.col("doc_id").cast("long").alias("doc_id"), "text"), k, percent)
     alone = F.col("comp").isNull() & F.col("doc_id").isNotNull()
     named = found.select("key", "doc_id", F.when(alone, F.col("doc_id")).alias("wordless"), F.when(~alone, F.coalesce("comp", "key")).alias("group"))
     first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "key"))
-    kept = named.groupBy("wordless", "group").agg(first.alias("first")).select(F.col("first.key").alias("_row_key"))
-    return rows.join(kept, "_row_key", "left_semi").select(*docs.columns)
+    kept = named.groupBy("wordless", "group").agg(first.alias("first")).select(F.col("first.key").alias(row_key))
+    return rows.join(kept, row_key, "left_semi").select(*docs.columns)
 
 
 def op6_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -31,7 +31,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from barograph.llm.common import table
+from barograph.llm.common import in_pandas, table
 from barograph.llm.tokens import default_path
 
 N_BEST, BYTE_SCORE, LINKS_KNOWN, SEARCHES_KNOWN, UNIT = 4, -14.0, 450_000, 50_000, 1 << 20
@@ -232,7 +232,7 @@ def encode_table(docs: DataFrame, n: int = N_BEST, tokenizer_path: str | None =
             yield pd.DataFrame(rows, columns=["doc_id", "n_pieces", "ids_crc32", "score", "nbest", "round_trip", *["ids"] * with_ids])
 
     schema = "doc_id long, n_pieces long, ids_crc32 long, score double, nbest array<struct<score:double,n_pieces:long,ids_crc32:long>>, round_trip boolean" + ", ids array<int>" * with_ids
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInPandas(run, schema)
+    return in_pandas(docs.select(F.col("doc_id").cast("long"), "text"), run, schema, ["doc_id"])
 
 
 def op7_nbest_segmentation(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,9 +1,10 @@
 """Best-fit packing by patterns: fit repeat counts of few-piece patterns to the length histogram.
 
 Texts become pieces of at most `size` tokens. The histogram of piece lengths (as many counts as there are
-lengths) comes to the driver; patterns of one to four lengths that fill a sequence are enumerated, their
-repeat counts fitted to the histogram by non-negative least squares, rounded down within what is there,
-and refitted on the rest; what remains is packed best fit, longest first, by counts. Each run of the plan
+lengths) comes to the driver; patterns of few lengths that fill a sequence are enumerated, their repeat counts
+fitted to the histogram by non-negative least squares, rounded down within what is there, and refitted on the
+rest; what remains is packed best fit, longest first, by counts. Where that needs more sequences than best fit
+alone, best fit it is. Each run of the plan
 says which ranks of a length go to which sequences, so pieces find their place from their rank alone.
 
 Defined cases: null and empty texts are the end id alone; pieces of the full size stand alone under
@@ -20,19 +21,23 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from barograph.llm.common import gapless_rank, materialise, table
+from barograph.llm.common import gapless_rank, in_pandas, materialise, table
 from barograph.llm.tokens import byte_bpe
 
 SIZE, END_ID = 1024, 2
-ROUNDS, STEPS, MOST_PATTERNS = 4, 300, 12_000
+STEPS = 300
+#: Pairs alone suit lengths that are spread evenly; all patterns, in part and twice, suit most others.
+STAGES = (((2, 1.0),), ((SIZE, 0.8), (SIZE, 0.8)))
 _RANK_BITS = 44
 
 
 def pieces(docs: DataFrame, size: int = SIZE, tokenizer_path: str | None = None) -> DataFrame:
-    """doc_id, piece, start, length, ids_crc32; a longer text's first piece takes the remainder."""
+    """doc_id, piece, start, length, ids_crc32 and number, any that tells pieces apart once they are written; a longer text's first piece takes the remainder."""
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        encoder = byte_bpe(tokenizer_path)
+        from pyspark import TaskContext
+
+        encoder, number = byte_bpe(tokenizer_path), TaskContext.get().partitionId() << 33
         end = np.array([END_ID], "<u4").tobytes()
         for b in batches:
             rows = []
@@ -42,34 +47,57 @@ def pieces(docs: DataFrame, size: int = SIZE, tokenizer_path: str | None = None)
                 at, k = 0, 0
                 while at < n:
                     length = (n % size or size) if k == 0 else size
-                    rows.append((doc_id, k, at, length, zlib.crc32(ids[4 * at : 4 * (at + length)])))
-                    at, k = at + length, k + 1
-            yield pd.DataFrame(rows, columns=["doc_id", "piece", "start", "length", "ids_crc32"])
+                    rows.append((doc_id, k, at, length, zlib.crc32(ids[4 * at : 4 * (at + length)]), number))
+                    at, k, number = at + length, k + 1, number + 1
+            yield pd.DataFrame(rows, columns=["doc_id", "piece", "start", "length", "ids_crc32", "number"])
+
+    return in_pandas(docs.select(F.col("doc_id").cast("long"), "text"), cut, "doc_id long, piece int, start long, length long, ids_crc32 long, number long", ["doc_id"])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInPandas(cut, "doc_id long, piece int, start long, length long, ids_crc32 long")
 
+def patterns(have: np.ndarray, size: int) -> list[tuple[int, ...]]:
+    """Every pattern of few documents that fills a sequence of the present lengths.
 
-def patterns(have: np.ndarray, size: int, seed: int) -> list[tuple[int, ...]]:
-    """Patterns of up to four present lengths, each closed by the longest present length that still fits."""
+    All pairs and triples of lengths whose sum is `size`; for each length as many copies as fit, with the one or two
+    lengths that close the rest; and each length with the longest that still fits. As many patterns as there are pieces
+    for four of them at most, those first whose scarcest length is most frequent: more could not all be used.
+    """
     lengths = np.flatnonzero(have)
-    below = np.maximum.accumulate(np.where(have > 0, np.arange(len(have)), 0))
-    rng = np.random.default_rng(seed)
-    found: dict[tuple[int, ...], None] = {}
-
-    def close(head: tuple[int, ...]) -> None:
-        last = int(below[max(0, size - sum(head))])
-        found.setdefault(tuple(sorted((*head, last) if last else head, reverse=True)))
-
-    for a in lengths:
-        close((int(a),))
-    weight = have[lengths] / have[lengths].sum()
-    for width in (2, 3):
-        for head in rng.choice(lengths, (MOST_PATTERNS, width), p=weight):
-            if head.sum() < size:
-                close(tuple(int(x) for x in head))
-            if len(found) >= MOST_PATTERNS * (width - 1) // 2 + len(lengths):
-                break
-    return list(found)
+    there = have > 0
+    below = np.maximum.accumulate(np.where(there, np.arange(len(have)), 0))
+    found: list[np.ndarray] = []
+
+    def exact(heads: np.ndarray) -> None:
+        """Heads of equal width that one present length closes; the closer is not longer than the head's last."""
+        rest = size - heads.sum(1)
+        whole = heads[rest == 0]
+        if len(whole):
+            found.append(whole)
+        ok = (rest > 0) & (rest <= heads[:, -1])
+        ok[ok] = there[rest[ok]]
+        if ok.any():
+            found.append(np.hstack([heads[ok], rest[ok, None]]))
+
+    exact(lengths[:, None])
+    for n in lengths:  # pairs of a longer and a shorter, one row of them at a time
+        exact(np.stack([np.full((lengths <= n).sum(), n), lengths[lengths <= n]], 1))
+        for copies in range(size // n, max(1, size // n - 4), -1):
+            rest = size - copies * n
+            close = int(below[rest])
+            if copies > 2 and close:
+                tail = [close] if close == rest else [close, int(below[rest - close])]
+                found.append(np.array([[n] * copies + [x for x in tail if x]]))
+            elif copies > 2 and not rest:
+                found.append(np.full((1, copies), n))
+        if close := int(below[size - n]):
+            found.append(np.array([[n, close]]))
+    most = max(256, int(have.sum()) // 4)
+    rows = [(int(have[p].min()), tuple(sorted(map(int, p), reverse=True))) for block in found for p in _scarce_first(block, have, most)]
+    rows = sorted(dict.fromkeys(rows), key=lambda r: (-r[0], r[1]))
+    return [p for _, p in rows[:most]]
+
+
+def _scarce_first(block: np.ndarray, have: np.ndarray, most: int) -> np.ndarray:
+    return block if len(block) <= most else block[np.argsort(-have[block].min(1), kind="stable")[:most]]
 
 
 def nnls_counts(have: np.ndarray, found: list[tuple[int, ...]]) -> np.ndarray:
@@ -119,26 +147,35 @@ def best_fit(have: np.ndarray, size: int) -> list[tuple[tuple[int, ...], int]]:
     return done
 
 
-def plan(have: np.ndarray, size: int) -> list[tuple[tuple[int, ...], int]]:
-    """(pattern, repeats) that use up `have` (counts by length, 0 to size) exactly."""
+def fitted(have: np.ndarray, size: int, stages: tuple[tuple[int, float], ...]) -> tuple[list[tuple[tuple[int, ...], int]], int]:
+    """(pattern, repeats) and how many pieces no pattern took, which are packed best fit.
+
+    A stage is (most pieces of a pattern, part of its count that is placed): only full patterns are placed, and what a part
+    leaves keeps the rest flexible.
+    """
     rest, out = have.astype(np.int64).copy(), []
-    for r in range(ROUNDS):
-        if rest.sum() < 64:
-            break
-        found = patterns(rest, size, r)
+    for width, part in stages:
+        found = [p for p in patterns(rest, size) if len(p) <= width and sum(p) == size]
+        if not found:
+            continue
         x = nnls_counts(rest.astype(float), found)
-        full = np.array([sum(p) for p in found])
-        for i in np.lexsort((-x, -full)):
-            want = int(np.floor(x[i] + 1e-9))
-            # a last round may leave more waste; the earlier ones only take nearly full patterns
-            if want < 1 or full[i] < size * 0.995:
-                continue
+        for i in np.argsort(-x, kind="stable"):
+            want = int(np.floor(x[i] * part + 1e-9))
+            if want < 1:
+                break
             kinds, times = np.unique(np.array(found[i]), return_counts=True)
             c = min(want, int((rest[kinds] // times).min()))
             if c > 0:
                 rest[kinds] -= c * times
                 out.append((found[i], c))
-    return out + best_fit(rest, size)
+    return out + best_fit(rest, size), int(rest.sum())
+
+
+def plan(have: np.ndarray, size: int) -> list[tuple[tuple[int, ...], int]]:
+    """(pattern, repeats) that use up `have` (counts by length, 0 to size) exactly: of the ways in STAGES, and best fit alone,
+    that with the fewest sequences, of equal ones that whose patterns take most pieces."""
+    made = [(best_fit(have, size), int(have.sum())), *[fitted(have, size, s) for s in STAGES]]
+    return min(made, key=lambda m: (sum(c for _, c in m[0]), m[1]))[0]
 
 
 def runs(made: list[tuple[tuple[int, ...], int]]) -> np.ndarray:
@@ -157,17 +194,17 @@ def runs(made: list[tuple[tuple[int, ...], int]]) -> np.ndarray:
 
 
 def pack(cut: DataFrame, size: int = SIZE) -> DataFrame:
-    """cut: materialised pieces -> the same rows with sequence_id and offset."""
+    """cut: materialised pieces -> the same rows, without number, with sequence_id and offset."""
     counted = cut.where(F.col("length") < size).groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()  # under `size` rows
     have = np.zeros(size + 1, np.int64)
     for r in counted:
         have[r["length"]] = r["n"]
     where = runs(plan(have, size))
-    full = cut.where(F.col("length") == size).select("*", (-1 - F.monotonically_increasing_id()).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
+    names = [c for c in cut.columns if c != "number"]
+    full = cut.where(F.col("length") == size).select(*names, (-1 - F.monotonically_increasing_id()).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
     part = cut.where(F.col("length") < size)
-    ranked = gapless_rank(part, ["length"], F.xxhash64("doc_id", "piece"), [F.col("doc_id"), F.col("piece"), F.col("ids_crc32")], "rank", min(512, max(64, int(have.sum()) // 1_000_000)))
-    names = cut.columns
-    sent = cut.sparkSession.sparkContext.broadcast(where)  # a row for each length of each pattern: bounded by ROUNDS and MOST_PATTERNS, and by `size` for the rest
+    ranked = gapless_rank(part, ["length"], F.xxhash64("number"), [F.col("number")], "rank", min(512, max(64, int(have.sum()) // 1_000_000)))
+    sent = cut.sparkSession.sparkContext.broadcast(where)  # a row for each length of each pattern used, of which there are `size` squared at most
 
     def place(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         where = sent.value
@@ -177,7 +214,7 @@ def pack(cut: DataFrame, size: int = SIZE) -> DataFrame:
             b = b.drop(columns="rank")
             yield b.assign(sequence_id=where[at, 1] + key - where[at, 0], offset=where[at, 2])
 
-    placed = ranked.select(*names, "rank").mapInPandas(place, full.schema)
+    placed = in_pandas(ranked.select(*names, "rank"), place, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in full.schema.fields), ["doc_id"])
     return placed.unionByName(full)
 
 

@@ -6,7 +6,7 @@ most keys, several for a key larger than a shard. Its documents elsewhere ask to
 as many as its quota allows, chosen by hash. Rounds end when nobody is let in, or after ROUNDS, which bounds the
 jobs, not the rows. Loners never ask; they are what the last step moves to make the counts
 exactly even, after it has kept linked ones. All choices go by hashes of doc_id and text, so the layout of the
-table does not matter.
+table does not matter, but for which of several equal rows goes where.
 
 Law `rows`: shard sizes differ by one document at most.
 """
@@ -75,6 +75,16 @@ def _asking(members: DataFrame, goals: DataFrame, keys: DataFrame, n: int, turn:
     return rows.withColumn("goal", F.when(~there, F.aggregate("goals", start, step, lambda acc: acc["to"]))).drop("goals")
 
 
+def _told_apart(base: DataFrame, total: int, shards: int) -> DataFrame:
+    """Rows that repeat in doc_id and text get ids, and first shards, of their own: quotas and ranks split them like any others."""
+    again = materialise(base.groupBy("id").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "repeated")
+    if again.isEmpty():
+        return base
+    rows = join_skewed(base.withColumn("row", F.monotonically_increasing_id()), again, "id", again, "n", total)
+    own = F.when(F.col("n") > 1, F.xxhash64("id", "row")).otherwise(F.col("id"))
+    return materialise(rows.withColumn("id", own).withColumn("shard", F.pmod(F.xxhash64("id"), F.lit(shards)).cast("int")).select(base.columns), "shard-base")
+
+
 def assign(docs: DataFrame, shards: int = SHARDS, key: Column | None = None) -> DataFrame:
     """doc_id, size, text_crc32, linked, shard, slot for each row of docs(doc_id, text, ...).
 
@@ -91,6 +101,7 @@ def assign(docs: DataFrame, shards: int = SHARDS, key: Column | None = None) ->
         "shard-base",
     )
     total = base.count()
+    base = _told_apart(base, max(1, total), shards)
     groups = materialise(base.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "groups")
     marked = materialise(join_skewed(base, groups, "key", groups, "n", max(1, total)).withColumn("linked", F.col("n").isNotNull()).drop("n"), "marked")
     moved = propagate(marked.where("linked"), total, shards)

@@ -18,7 +18,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from barograph.llm.common import materialise, new_path, open_store, table, write_atomic
+from barograph.llm.common import in_pandas, materialise, new_path, open_store, table, write_atomic
 from barograph.llm.tokens import word_bpe
 
 MAGIC, BLOCK, END_ID, NO_ID = b"S8B1", 256, 2, -(2**63)
@@ -172,7 +172,7 @@ def write_files(docs: DataFrame, folder: str, tokenizer_path: str | None = None,
         if ids:
             yield flush()
 
-    return materialise(ranged.mapInPandas(write, "file string, docs long, ids long"), "token-files")
+    return materialise(in_pandas(ranged, write, "file string, docs long, ids long", ["doc_id"]), "token-files")
 
 
 def read_files(files: DataFrame, folder: str) -> DataFrame:

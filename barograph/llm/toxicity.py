@@ -178,26 +178,25 @@ def fit(docs: DataFrame, labels: DataFrame) -> FactorizationMachine:
 def score(docs: DataFrame, model: FactorizationMachine) -> DataFrame:
     """doc_id, held_out, score, predicted; one scan, no shuffle."""
 
-    def scored(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    cols = docs.select(F.col("doc_id").cast("long"), held_out(F.col("doc_id"), 4).alias("held_out"), _scorer(model)("text").alias("score"))
+    return cols.withColumn("predicted", (F.col("score") >= THRESHOLD).cast("int"))
+
+
+def _scorer(model: FactorizationMachine):
+    """Scores of a text column; no other column goes through Python."""
+
+    @F.pandas_udf("double")
+    def scored(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         at = SlotCache({} if model.slots is None else {int(s): i for i, s in enumerate(model.slots)})
-        for b in batches:
-            p = [model.score(at(t)) for t in b["text"]]
-            yield pd.DataFrame({"doc_id": b["doc_id"], "held_out": b["held_out"], "score": p, "predicted": [int(x >= THRESHOLD) for x in p]})
+        for texts in batches:
+            yield pd.Series([model.score(at(t)) for t in texts], dtype="float64")
 
-    cols = docs.select(F.col("doc_id").cast("long"), "text", held_out(F.col("doc_id"), 4).alias("held_out"))
-    return cols.mapInPandas(scored, "doc_id long, held_out boolean, score double, predicted int")
+    return scored
 
 
 def keep_clean(docs: DataFrame, model: FactorizationMachine) -> DataFrame:
     """The rows of `docs`, all columns, whose text scores under THRESHOLD."""
-    names = docs.columns
-
-    def clean(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        at = SlotCache({} if model.slots is None else {int(s): i for i, s in enumerate(model.slots)})
-        for b in batches:
-            yield b[[model.score(at(t)) < THRESHOLD for t in b["text"]]][names]
-
-    return docs.mapInPandas(clean, docs.schema)
+    return docs.where(_scorer(model)("text") < THRESHOLD)
 
 
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -24,7 +24,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from barograph.llm.common import join_skewed, materialise, new_path, open_store, table, write_atomic
+from barograph.llm.common import in_pandas, join_skewed, materialise, new_path, open_store, table, write_atomic
 
 #: Archives are closed at this many payload bytes or records, which bounds a task's memory and a group's rows.
 ARCHIVE_BYTES, ARCHIVE_RECORDS = 16 << 20, 20_000
@@ -41,7 +41,7 @@ def clean(value: str | None) -> str:
     return " ".join((value or "").split())
 
 
-def record(kind: str, page_id: int | None, uri: str | None, payload: bytes, size: int, sha: str, refers_to: int | None = None) -> bytes:
+def record(kind: str, page_id: str | None, uri: str | None, payload: bytes, size: int, sha: str, refers_to: str | None = None) -> bytes:
     """A WARC/1.1 record; a revisit keeps the HTTP headers, the full payload's length among them, and no payload."""
     http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {size}\r\n\r\n".encode()
     block = http + (payload if kind == "response" else b"")
@@ -55,15 +55,16 @@ def record(kind: str, page_id: int | None, uri: str | None, payload: bytes, size
 
 
 def inflated(stream) -> Iterator[bytes]:
-    """The bytes of a gzip file of any number of members, a chunk at a time."""
-    z = zlib.decompressobj(31)
+    """The bytes of a gzip file of any number of members, a chunk at a time; raises where it ends within a member or its trailer."""
+    z = None
     while data := stream.read(CHUNK):
         while data:
+            z = z or zlib.decompressobj(31)
             yield z.decompress(data)
             data = z.unused_data
             if z.eof:
-                z = zlib.decompressobj(31)
-    if not z.eof and z.flush():
+                z = None
+    if z is not None:
         raise ValueError("truncated gzip stream")
 
 
@@ -95,9 +96,9 @@ def records(chunks: Iterator[bytes]) -> Iterator[tuple[dict[str, str], bytes]]:
         del buf[:need]
 
 
-def page_of(urn: str) -> int | None:
-    value = urn.removeprefix("<urn:page:").removesuffix(">")
-    return int(value) if value else None
+def page_of(urn: str) -> str | None:
+    """The page's id as it was written, null for none."""
+    return urn.removeprefix("<urn:page:").removesuffix(">") or None
 
 
 def write_monolithic(pages: DataFrame, folder: str) -> DataFrame:
@@ -113,25 +114,24 @@ def write_monolithic(pages: DataFrame, folder: str) -> DataFrame:
             out.write(z.flush())
             name = f"{part:06d}-{k:05d}"
             write_atomic(folder, f"{name}.mono.warc.gz", out.getvalue())
-            return pd.DataFrame([(name, *r) for r in rows], columns=["archive", "record", "page_id", "payload_bytes", "payload_digest"])
+            return pd.DataFrame([(name, *r) for r in rows], columns=["archive", "record", "page_id", "payload_bytes", "payload_digest"], dtype=object)
 
         for b in batches:
             for page_id, url, html in zip(b["page_id"], b["url"], b["html"], strict=True):
-                page_id = None if pd.isna(page_id) else int(page_id)
                 payload = (html or "").encode()
                 sha = digest(payload)
                 out.write(z.compress(record("response", page_id, url, payload, len(payload), sha)))
                 rows.append((len(rows), page_id, len(payload), sha))
                 size += len(payload)
                 if size >= ARCHIVE_BYTES or len(rows) >= ARCHIVE_RECORDS:
-                    yield flush().astype({"page_id": "Int64"})
+                    yield flush()
                     k, size, rows = k + 1, 0, []
                     z, out = zlib.compressobj(1, zlib.DEFLATED, 31), io.BytesIO()
         if rows:
-            yield flush().astype({"page_id": "Int64"})
+            yield flush()
 
     cols = pages.select(F.col("page_id").cast("long"), F.col("url").cast("string"), F.col("html").cast("string"))
-    return materialise(cols.mapInPandas(write, "archive string, record int, page_id long, payload_bytes long, payload_digest string"), "manifest")
+    return materialise(in_pandas(cols, write, "archive string, record int, page_id long, payload_bytes long, payload_digest string", ["page_id"]), "manifest")
 
 
 def _parts(spark: SparkSession) -> int:
@@ -152,7 +152,7 @@ def normalise(decided: DataFrame, folder: str) -> DataFrame:
 
     def rewrite(rows: pd.DataFrame) -> pd.DataFrame:
         name = rows["archive"].iloc[0]
-        refers = {int(n): None if pd.isna(r) else int(r) for n, r in zip(rows["record"], rows["refers_to"], strict=True)}
+        refers = {int(n): None if pd.isna(r) else r for n, r in zip(rows["record"], rows["refers_to"], strict=True)}
         store, base = open_store(folder)
         out, index, at = io.BytesIO(), [], 0
         with store.open_input_stream(f"{base}/{name}.mono.warc.gz", compression=None) as stream:
@@ -170,7 +170,7 @@ def normalise(decided: DataFrame, folder: str) -> DataFrame:
         return pd.DataFrame({"archive": [name], "members": [len(index)], "bytes": [at]})
 
     # the manifest is small and would meet in one task: archives are dealt over as many as a shuffle has
-    dealt = decided.select("archive", "record", "refers_to").repartition(_parts(decided.sparkSession), "archive")
+    dealt = decided.select("archive", "record", F.col("refers_to").cast("string").alias("refers_to")).repartition(_parts(decided.sparkSession), "archive")
     return materialise(dealt.groupBy("archive").applyInPandas(rewrite, "archive string, members long, bytes long"), "archives")
 
 
@@ -200,10 +200,10 @@ def read_archives(archives: DataFrame, folder: str) -> DataFrame:
                         if head["WARC-Type"] == "response" and (digest(payload) != sha or len(payload) != size):
                             raise ValueError(f"{name}: payload of {e['urn']} does not match its digest")
                         rows.append((page_of(head["WARC-Record-ID"]), size, sha, head["WARC-Type"], page_of(head["WARC-Refers-To"]) if "WARC-Refers-To" in head else None))
-                yield pd.DataFrame(rows, columns=["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"]).astype({"page_id": "Int64", "refers_to": "Int64"})
+                yield pd.DataFrame(rows, columns=["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"], dtype=object)
 
     spread = archives.select("archive").repartition(_parts(archives.sparkSession), "archive")
-    return spread.mapInPandas(read, "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long")
+    return in_pandas(spread, read, "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long", ["page_id", "refers_to"])
 
 
 def op4_warc_normaliser(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -80,7 +80,6 @@ def tokenizer(name: str):
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(public_tokenizers.path(name))
-    t.encode_special_tokens = True
     return t
 
 
