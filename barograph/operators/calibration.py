@@ -28,7 +28,8 @@ def disjoint(fit: list[int] | tuple[int, ...], evaluate: list[int] | tuple[int,
 def only_folds(df: DataFrame, fold: str, allowed: list[int] | tuple[int, ...]) -> DataFrame:
     """The same rows; the job fails at one of another fold."""
     odd = ~F.coalesce(F.col(fold).isin(list(allowed)), F.lit(False))
-    return df.withColumn(fold, F.when(odd, F.raise_error(F.concat(F.lit("not a fold to fit on: "), F.coalesce(F.col(fold).cast("string"), F.lit("NULL")))).cast(df.schema[fold].dataType)).otherwise(F.col(fold)))
+    said = F.concat(F.lit("not a fold to fit on: "), F.coalesce(F.col(fold).cast("string"), F.lit("NULL")))
+    return df.where(F.when(odd, F.raise_error(said).cast("boolean")).otherwise(F.lit(True)))  # a filter, as a column that nobody reads is not computed
 
 
 def pooled(blocks: Iterator[tuple[float, float, int, int]]) -> list[list]:

@@ -66,4 +66,4 @@ def quantiles(df: DataFrame, value: str, shares: list[float], by: list[str] | No
     high = found.select(*by, (F.col("rank") - 1).alias("_low"), F.col("value").alias("_b"))
     both = asked.join(low, [*by, "_low"]).join(high, [*by, "_low"], "left")
     value_ = F.when(F.col("_part") > 0, F.col("_a") + (F.col("_b") - F.col("_a")) * F.col("_part")).otherwise(F.col("_a"))
-    return both.groupBy(*by).agg(F.transform(F.array_sort(F.collect_list(F.struct("_i", value_.alias("v")))), lambda x: x["v"]).alias("q"))
+    return both.groupBy(*by).agg(F.transform(F.array_sort(F.collect_list(F.struct("_i", value_.alias("v")))), lambda x: x["v"]).alias("q")).where(F.size("q") > 0)

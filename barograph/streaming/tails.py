@@ -48,9 +48,10 @@ def labels(opens: np.ndarray, highs: np.ndarray, lows: np.ndarray, horizon: int,
 
 
 def _merged(old: list[tuple], new: pd.DataFrame) -> dict[int, tuple]:
+    """Rows by day; a bar that comes again keeps what was told of it."""
     rows = {r[0]: r for r in old}
     for day, o, h, low in zip((new["trade_date"] - _EPOCH).dt.days if len(new) else [], new["open_price"], new["high_price"], new["low_price"], strict=True):
-        rows[int(day)] = (int(day), o, h, low, _UNTOLD, NO_END)
+        rows[int(day)] = (int(day), o, h, low, *rows[int(day)][4:]) if int(day) in rows else (int(day), o, h, low, _UNTOLD, NO_END)
     return rows
 
 
