@@ -55,7 +55,7 @@ class ChunkEncoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True  # for chunks; texts with such a string in them go whole through `plain`
         self.plain = Tokenizer.from_file(path)
-        self.marks = re.compile("|".join(re.escape(t.content) for t in self.plain.get_added_tokens_decoder().values()) or r"(?!)")
+        self.marks = [t.content for t in self.plain.get_added_tokens_decoder().values()]
         self.chunks, self.joint, self.known, self.before = chunks, joint, {"": b""}, {}
         self.merges = self.tokenizer.model.tokenize
         #: Byte-level vocabularies spell printable bytes as themselves and the others, in order, from U+0100 on.
@@ -132,7 +132,7 @@ class ChunkEncoder:
         out: list[bytes] = [b""] * len(texts)
         at, size = [], 0
         for i, t in enumerate(texts):
-            if t and self.marks.search(t):
+            if t and any(m in t for m in self.marks):
                 out[i] = np.asarray(self.plain.encode(t, add_special_tokens=False).ids, "<u4").tobytes()
             elif t:
                 at.append(i)
