@@ -2,5 +2,5 @@
 
 from __future__ import annotations
 
-from barograph.plans import adapters, checks, depth, guards, ingest, models, prices, sentiments, texts, training  # noqa: F401
+from barograph.plans import adapters, checks, depth, guards, ingest, models, prices, scans, sentiments, texts, training  # noqa: F401
 from barograph.plans.registry import ORACLES, QUERIES  # noqa: F401
