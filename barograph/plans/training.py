@@ -228,11 +228,20 @@ def normalise(v: Views) -> DataFrame:
     return v.preds.select("event_id", F.round(stacking.sigmoid(p * 30 - 15), 8).alias("sig"), F.round(stacking.normalised([p + 0.1, p + 0.2])[0], 8).alias("first"))
 
 
-@query("I17_platt")
+def _sql_newton(steps: int) -> str:
+    """Platt's Newton steps one after another; six reach the fixed point to more digits than are compared."""
+    out = ["w0 AS (SELECT 0.0::DOUBLE AS a, 0.0::DOUBLE AS b)"]
+    for k in range(steps):
+        out.append(f"s{k} AS MATERIALIZED (SELECT a, b, sum(e * p) - 1e-6 * a AS ga, sum(e) AS gb, sum(v * p * p) + 1e-6 AS aa, sum(v * p) AS ab, sum(v) + 1e-12 AS bb FROM (SELECT a, b, p, y - q AS e, q * (1 - q) AS v FROM (SELECT a, b, p, y, 1 / (1 + exp(-(a * p + b))) AS q FROM preds, w{k} WHERE fold < 3)) GROUP BY a, b)")
+        out.append(f"w{k + 1} AS MATERIALIZED (SELECT a + (ga * bb - gb * ab) / (aa * bb - ab * ab) AS a, b + (aa * gb - ab * ga) / (aa * bb - ab * ab) AS b FROM s{k})")
+    return ", " + ",\n".join(out) + f"\nSELECT event_id, p, round(1 / (1 + exp(-(a * p + b))), 6) AS calibrated FROM preds, w{steps} WHERE fold >= 3"
+
+
+@query("I17_platt", _sql_newton(6))
 def platt(v: Views) -> DataFrame:
-    """Platt's two numbers on folds 0 to 2, applied to the others; Newton steps are not SQL."""
+    """Platt's two numbers on folds 0 to 2, applied to the others."""
     a, b = stacking.platt(v.preds.where("fold < 3"), "p", "y")
-    return v.preds.where("fold >= 3").select("event_id", "p", F.round(1 / (1 + F.exp(-(a * F.col("p") + b))), 8).alias("calibrated"))
+    return v.preds.where("fold >= 3").select("event_id", "p", F.round(1 / (1 + F.exp(-(a * F.col("p") + b))), 6).alias("calibrated"))
 
 
 @query("I19_calibration_quality", """, cq AS (SELECT fold, y, p, p * p AS q FROM preds), r AS (SELECT fold, y, (rank() OVER (PARTITION BY fold ORDER BY p) + (count(*) OVER (PARTITION BY fold, p) - 1) / 2) AS r FROM cq),
@@ -246,3 +255,19 @@ def calibration_quality(v: Views) -> DataFrame:
 @query("I20_holdout_isolation", "SELECT count(*) FILTER (d < DATE '2024-01-20') AS before, count(*) FILTER (d >= DATE '2024-01-20') AS after, count(*) FILTER (d >= DATE '2024-01-20') = 0 AS isolated, count(*) FILTER (d < DATE '2024-01-20') = 0 AS holdout_only FROM preds")
 def holdout_isolation(v: Views) -> DataFrame:
     return stacking.holdout_isolation(v.preds, "d", "2024-01-20")
+
+
+def _sql_logistic(steps: int) -> str:
+    out = ["m AS (SELECT DISTINCT fold AS m FROM preds WHERE fold > (SELECT min(fold) FROM preds))", "t AS MATERIALIZED (SELECT m, event_id, fold, y, p FROM preds JOIN m ON fold <= m)", "w0 AS (SELECT m, 0.0::DOUBLE AS b, 0.0::DOUBLE AS a FROM m)"]
+    for k in range(steps):
+        out.append(f"s{k} AS MATERIALIZED (SELECT m, a, b, sum(e) AS gb, sum(e * p) - a AS ga, sum(v) AS bb, sum(v * p) AS ab, sum(v * p * p) + 1 AS aa FROM (SELECT m, a, b, p, y - q AS e, q * (1 - q) AS v FROM (SELECT m, a, b, p, y, 1 / (1 + exp(-(a * p + b))) AS q FROM t JOIN w{k} USING (m) WHERE fold < m)) GROUP BY m, a, b)")
+        out.append(f"w{k + 1} AS MATERIALIZED (SELECT m, a + (ga * bb - gb * ab) / (aa * bb - ab * ab) AS a, b + (aa * gb - ab * ga) / (aa * bb - ab * ab) AS b FROM s{k})")
+    return ", " + ",\n".join(out) + f"\nSELECT event_id, fold, round(1 / (1 + exp(-(a * p + b))), 6) AS probability FROM t JOIN w{steps} USING (m) WHERE fold = m"
+
+
+@query("I12_I15_logistic", _sql_logistic(6))
+def logistic(v: Views) -> DataFrame:
+    """A logistic model for each fold on the folds before it, all in the same jobs."""
+    from barograph.operators import learners
+
+    return learners.logistic_by_fold(v.preds.select("event_id", "fold", "y", "p"), ["p"], "y", "fold", "event_id").withColumn("probability", F.round("probability", 6))
