@@ -211,7 +211,7 @@ def class_links(classes: DataFrame, banded: DataFrame, rows: DataFrame, k: int,
     """(the links of steps 2 to 4, the components of all of them) of classes(id, ...) and banded(id, bucket).
 
     Links of step 2 lead from each representative to one smaller key, a forest, so its roots are its components.
-    Steps 3 and 4 both start from those and find links between them, which are few.
+    Step 3 starts from those and finds links between them, which are few, and step 4 from what step 3 has joined.
     """
     shared = banded.groupBy("bucket").agg(F.min("id").alias("pivot"), F.count(F.lit(1)).alias("n")).where("n > 1")
     shared = materialise(shared, "shared")
@@ -235,12 +235,17 @@ def class_links(classes: DataFrame, banded: DataFrame, rows: DataFrame, k: int,
     more = apart.groupBy(F.col("id").alias("a"), F.col("pivot").alias("b")).agg(F.min("comp").alias("ca"), F.min("pivot_comp").alias("cb"))
     found = confirm(materialise(more, "pairs"), rows, k, percent)
     links.append(materialise(found.select(F.col("ca").alias("a"), F.col("cb").alias("b")).distinct(), "links"))
+    if not links[1].isEmpty():  # what the pivots join need not be compared in blocks
+        labels = _joined(labels, links[1])
+        kept = with_labels(kept.drop("comp"), labels)
     links.append(materialise(cross_links(kept.select("bucket", "id", "comp"), rows, k, percent), "links"))
-    between = links[1].unionByName(links[2])
-    if between.isEmpty():
-        return links, labels
+    return links, labels if links[2].isEmpty() else _joined(labels, links[2])
+
+
+def _joined(labels: DataFrame, between: DataFrame) -> DataFrame:
+    """labels(id, comp) after links (a, b) between components; components of one representative may have no row in labels yet."""
     led = components(between)
-    return links, materialise(followed(labels, led).unionByName(led.join(labels.select("id"), "id", "left_anti")), "labels")
+    return materialise(followed(labels, led).unionByName(led.join(labels.select("id"), "id", "left_anti")), "labels")
 
 
 def grouped(rows: DataFrame, k: int, percent: int) -> DataFrame:
