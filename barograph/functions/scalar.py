@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 #: What reports write for a missing number.
 MISSING_MARKS = ["", "--", "-", "X", "x"]
 FULL_WIDTH, HALF_WIDTH = "０１２３４５６７８９．－", "0123456789.-"
-TEXT_FORMATS = ["yyyy-MM-dd HH:mm:ss", "yyyy/MM/dd HH:mm:ss", "yyyy-MM-dd HH:mm", "yyyy/MM/dd HH:mm", "EEE MMM d HH:mm:ss yyyy", "yyyy-MM-dd", "yyyy/MM/dd"]
+TEXT_FORMATS = ["yyyy-MM-dd HH:mm:ss", "yyyy/MM/dd HH:mm:ss", "yyyy-MM-dd HH:mm", "yyyy/MM/dd HH:mm", "yyyy-MM-dd'T'HH:mm:ss", "yyyy-MM-dd", "yyyy/MM/dd"]
 
 
 def parse_number(s: Column) -> Column:
@@ -40,7 +40,7 @@ def post_time(url: Column) -> Column:
 
 def parse_time(s: Column) -> Column:
     """H05, its full formats: the first that reads the text."""
-    return F.coalesce(*[F.try_to_timestamp(s, F.lit(f)) for f in TEXT_FORMATS if "EEE" not in f])
+    return F.coalesce(*[F.try_to_timestamp(s, F.lit(f)) for f in TEXT_FORMATS])
 
 
 def provider_symbol(stock_id: Column, market: Column) -> Column:

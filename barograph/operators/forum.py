@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from barograph.functions import scalar
+from barograph.operators import substrings
 from barograph.operators.comments import BOO, NEUTRAL, PUSH
 
 #: The site's markup.
@@ -79,14 +80,11 @@ def board_outcome(scanned: DataFrame, hits: DataFrame, since: int | None, budget
 def board_hits(pages: DataFrame, keywords: DataFrame, base_url: str, since: int | None, budget: int, source: str = "board") -> DataFrame:
     """Entries of the scanned pages by each keyword that their title holds, once a (url, keyword).
 
-    keywords(keyword) is the tracked list. Titles and keywords meet by the keyword's first two characters, an
-    equality, before the substring test.
+    keywords(keyword) is the tracked list. Titles and keywords meet by the keyword's rarest gram, an equality, before
+    the substring test.
     """
     read = entries(pages.join(scanned_pages(pages, base_url, since, budget).where(~F.col("failed")).select("page_index"), "page_index", "left_semi"), base_url)
-    at = F.sequence(F.lit(1), F.greatest(F.length("title"), F.lit(1)))
-    grams = F.array_distinct(F.concat(F.transform(at, lambda i: F.substring(F.col("title"), i, F.lit(1))), F.transform(at, lambda i: F.substring(F.col("title"), i, F.lit(2)))))
-    keyed = keywords.select("keyword").distinct().withColumn("_g", F.substring("keyword", 1, 2))
-    hits = read.withColumn("_g", F.explode(grams)).join(keyed, "_g").where(F.contains("title", "keyword"))
+    hits = substrings.hits(read, "title", keywords.select("keyword"), "keyword")
     w = Window.partitionBy("url", "keyword").orderBy("page_index", "pos")
     first = hits.withColumn("_r", F.row_number().over(w)).where("_r = 1")
     return first.select(F.lit(source).alias("source"), F.col("keyword").alias("fetch_keyword"), "date", "title", "push_count", "author", "url")

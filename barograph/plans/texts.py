@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from barograph.functions import scalar
+from barograph.operators import substrings
 from barograph.plans.registry import query
 from barograph.sources.fixtures import ALLOWED, WITH_DIRECTION, Views
 
@@ -90,22 +91,14 @@ def common_codes(v: Views) -> DataFrame:
     return v.table("customer").select("c_custkey", scalar.common_stock_code(F.col("c_custkey").cast("string")).alias("common"))
 
 
-def _grams(at: Column, n: int) -> Column:
-    return F.transform(at, lambda i: F.substring(F.col("text"), i, F.lit(n)))
-
-
 @query("C16_keyword_hits", ", k AS (SELECT DISTINCT p_type AS kw FROM part UNION SELECT DISTINCT split_part(p_name, ' ', 1) FROM part) SELECT p_partkey, kw FROM part JOIN k ON contains(lower(p_name || ' ' || p_type), lower(kw))")
 def keyword_hits(v: Views) -> DataFrame:
-    """Keywords meet titles by their first three characters, an equality, before the substring test; shorter ones by all they have."""
+    """Keywords meet titles by the rarest of their three-character runs before the substring test; shorter ones by all they have."""
     part = v.table("part")
     kw = part.select(F.col("p_type").alias("kw")).union(part.select(F.split("p_name", " ")[0])).distinct()
-    text = F.lower(F.concat_ws(" ", "p_name", "p_type"))
-    at = F.sequence(F.lit(1), F.greatest(F.length("text"), F.lit(1)))
-    grams = F.array_distinct(F.flatten(F.array(*[_grams(at, n) for n in (1, 2, 3)])))
-    titles = part.select("p_partkey", text.alias("text")).withColumn("gram", F.explode(grams))
-    keyed = kw.withColumn("gram", F.substring(F.lower("kw"), 1, 3))
-    hits = titles.join(keyed, "gram").where(F.contains("text", F.lower("kw")))
-    return hits.select("p_partkey", "kw").distinct()
+    titles = part.select("p_partkey", F.lower(F.concat_ws(" ", "p_name", "p_type")).alias("text"))
+    found = substrings.hits(titles, "text", kw.select(F.lower("kw").alias("low")), "low")
+    return found.join(kw.withColumn("low", F.lower("kw")), "low").select("p_partkey", "kw").distinct()
 
 
 @query("F06_F07_dedupe", "SELECT event_type, user_id, min(event_id) AS first_id FROM events GROUP BY 1, 2")

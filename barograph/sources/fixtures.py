@@ -43,8 +43,9 @@ preds AS (
 """
 
 
-#: Bars by (application, folder): the price table that every query on bars reads, kept partitioned and sorted by stock.
-_BARS: dict[tuple[str, str], DataFrame] = {}
+#: Bars by (application, folder), with the listing of the files they were made of: the price table that every query on bars reads, kept
+#: partitioned and sorted by stock.
+_BARS: dict[tuple[str, str], tuple[tuple, DataFrame]] = {}
 
 
 class Views:
@@ -59,10 +60,23 @@ class Views:
     @property
     def bars(self) -> DataFrame:
         """Daily bars, persisted in memory and on disk: windows by stock over them need neither exchange nor sort."""
-        key = (self.spark.sparkContext.applicationId, self.sf_dir)
+        key, listing = (self.spark.sparkContext.applicationId, self.sf_dir), self._listing("lineitem", "part")
+        if key in _BARS and _BARS[key][0] != listing:  # the folder was written anew
+            _BARS.pop(key)[1].unpersist()
         if key not in _BARS:
-            _BARS[key] = self.built_bars().repartition("stock_id").sortWithinPartitions("stock_id", "trade_date").persist()
-        return _BARS[key]
+            _BARS[key] = listing, self.built_bars().repartition("stock_id").sortWithinPartitions("stock_id", "trade_date").persist()
+        return _BARS[key][1]
+
+    def _listing(self, *names: str) -> tuple:
+        """Path, size and time of every file of some tables, whatever the store."""
+        found, conf = [], self.spark.sparkContext._jsc.hadoopConfiguration()
+        for name in names:
+            path = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{self.sf_dir}/{name}.parquet")
+            files = path.getFileSystem(conf).listFiles(path, True)
+            while files.hasNext():
+                f = files.next()
+                found.append((f.getPath().toString(), f.getLen(), f.getModificationTime()))
+        return tuple(sorted(found))
 
     def built_bars(self) -> DataFrame:
         """Daily bars of each brand: its ships of a day are ticks; part is a dimension that Catalyst may broadcast by size."""
