@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from barograph.functions import scalar
 from barograph.operators import asof, indicators
@@ -61,12 +62,18 @@ def theme_daily(articles: DataFrame, theme_map: DataFrame, calendar: DataFrame)
 
 def fused(both: DataFrame) -> DataFrame:
     """70 to 30 where both sides speak, one side alone otherwise; both_daily has a row where either does."""
+    return with_fusion(both).select("stock_id", "trade_date", "article_count", "sentiment", "pos", "neg", "bullishness", "agreement")
+
+
+def with_fusion(both: DataFrame) -> DataFrame:
+    """The sums of both sides, NULL on a day without articles, to article_count, sentiment, pos, neg, bullishness and agreement."""
     d, t = F.try_divide("direct_s", "direct_w"), F.try_divide("theme_s", "theme_w")
     score = F.when(d.isNotNull() & t.isNotNull(), DIRECT_SHARE * d + THEME_SHARE * t).otherwise(F.coalesce(d, t, F.lit(0.5)))
     zero = lambda c: F.coalesce(F.col(c), F.lit(0.0))
     pos, neg = (zero(f"direct_{c}") + THEME_SHARE * zero(f"theme_{c}") for c in ("pos", "neg"))
-    out = both.select("stock_id", "trade_date", (F.col("direct_n") + F.col("theme_n")).alias("article_count"), score.alias("sentiment"), pos.alias("pos"), neg.alias("neg"))
-    return out.withColumn("bullishness", scalar.bullishness(F.col("pos"), F.col("neg"))).withColumn("agreement", scalar.agreement(F.col("pos"), F.col("neg")))
+    n = F.col("direct_n") + F.col("theme_n")
+    out = both.withColumns({"article_count": n, "sentiment": F.when(n.isNotNull(), score), "pos": pos, "neg": neg})
+    return out.withColumns({"bullishness": scalar.bullishness(F.col("pos"), F.col("neg")), "agreement": scalar.agreement(F.col("pos"), F.col("neg"))})
 
 
 def failed_keys(run_log: DataFrame, entity_map: DataFrame, calendar: DataFrame, reach: int = 2) -> DataFrame:
@@ -82,27 +89,49 @@ def failed_keys(run_log: DataFrame, entity_map: DataFrame, calendar: DataFrame,
     return days.select("stock_id", "trade_date").join(covered, ["stock_id", "trade_date"], "left_anti")
 
 
-def daily_features(bars: DataFrame, articles: DataFrame, entity_map: DataFrame, theme_map: DataFrame, run_log: DataFrame, allowed: list[str]) -> DataFrame:
-    """Technical and sentiment features on the price calendar.
+def _told_days(bars: DataFrame, hits: DataFrame, batches: DataFrame, reach: int) -> DataFrame:
+    """bars with the sums of the hits that fall to each day and `_failed`, as `failed_keys` has it: bars, hits(stock_id, eff, ...) and
+    batches(stock_id, batch_date, _usable) meet in one exchange and one order by stock.
+
+    Latest first, and on one day batches, then the day, then what is said: a hit goes to the last day seen, and a day is
+    covered if the last usable batch seen is at most `reach` days ahead of it.
+    """
+    days = bars.select("*", F.col("trade_date").alias("_at"), F.lit(1).alias("_side"))
+    said = hits.withColumnRenamed("eff", "_at").withColumn("_side", F.lit(0))
+    asked = batches.withColumnRenamed("batch_date", "_at").withColumn("_side", F.lit(2))
+    rows = days.unionByName(said, allowMissingColumns=True).unionByName(asked, allowMissingColumns=True)
+    whole = Window.partitionBy("stock_id")
+    seen = whole.orderBy(F.desc("_at"), F.desc("_side")).rowsBetween(Window.unboundedPreceding, 0)
+    last = lambda on: F.last(F.when(on, F.col("_at")), ignorenulls=True).over(seen)
+    batch = F.when(F.col("_side") == 2, F.col("_at"))
+    rows = rows.withColumns({"_day": last(F.col("_side") == 1), "_next": last(F.col("_usable")), "_from": F.min(batch).over(whole), "_to": F.max(batch).over(whole)})
+    covered = F.coalesce(F.date_sub("_next", reach) <= F.col("_at"), F.lit(False))
+    failed = F.coalesce(F.col("_at").between(F.col("_from"), F.col("_to")), F.lit(False)) & ~covered
+    kept = rows.where((F.col("_side") != 2) & F.col("_day").isNotNull())
+    sums = [c for c in hits.columns if c not in ("stock_id", "eff")]
+    own = [c for c in bars.columns if c not in ("stock_id", "trade_date")]
+    # one row of a day is its bar: the greatest known value of its columns is the bar's
+    out = kept.groupBy("stock_id", F.col("_day").alias("trade_date")).agg(*[F.max(c).alias(c) for c in own], *[F.sum(c).alias(c) for c in sums], F.max(F.when(F.col("_side") == 1, failed)).alias("_bad"))
+    return out
+
+
+def daily_features(bars: DataFrame, articles: DataFrame, entity_map: DataFrame, theme_map: DataFrame, run_log: DataFrame, allowed: list[str], reach: int = 2) -> DataFrame:
+    """Technical and sentiment features on the price calendar; a stock has one bar a day.
 
     The status comes before any fill: a failed key is SOURCE_FAILED, articles or not, the others are SUCCESS or, without
     an article, SUCCESS_EMPTY. Days without articles that did not fail have 0 articles and indices of 0.0, but
     no sentiment; failed rows end with NULL in all eight sentiment columns, whatever was fetched or filled.
     """
-    cal = bars.select("stock_id", "trade_date")
-    art = scored(articles, allowed)
-    sent = fused(both_daily(art, entity_map, theme_map, cal))
-    failed = failed_keys(run_log, entity_map, cal).withColumn("_failed", F.lit(True))
-    keys = ["stock_id", "trade_date"]
-    df = indicators.technical(bars).join(sent, keys, "left").join(failed, keys, "left")
-    df = df.withColumn("_bad", F.coalesce("_failed", F.lit(False)))
+    hits = _hits(scored(articles, allowed), entity_map, theme_map)
+    batches = run_log.join(entity_map, run_log["item_key"] == entity_map["keyword"]).groupBy("stock_id", "batch_date").agg(F.max(F.col("outcome").isin("OK", "NO_DATA")).alias("_usable"))
+    df = indicators.technical(with_fusion(_told_days(bars, hits, batches, reach)))
     df = df.withColumn("source_status", F.when(F.col("_bad"), FAILED).when(F.col("article_count") > 0, SUCCESS).otherwise(EMPTY))
     df = df.withColumns({c: F.when(~F.col("_bad"), F.coalesce(c, F.lit(zero))) for c, zero in (("article_count", 0), ("bullishness", 0.0), ("agreement", 0.0))})
     df = (
         df.withColumn("sentiment_3d", indicators.rolling_mean("sentiment", 3)).withColumn("sentiment_5d", indicators.rolling_mean("sentiment", 5))
         .withColumn("sentiment_lag1", indicators.lag_with_warm_up("sentiment", 1, F.col("_bad"))).withColumn("sentiment_lag2", indicators.lag_with_warm_up("sentiment", 2, F.col("_bad")))
     )
-    return df.withColumns({c: F.when(~F.col("_bad"), F.col(c)) for c in OWNED}).drop("_bad", "_failed", "pos", "neg")
+    return df.withColumns({c: F.when(~F.col("_bad"), F.col(c)) for c in OWNED}).drop("_bad", "pos", "neg", *[c for c in hits.columns if c not in ("stock_id", "eff")])
 
 
 ORDERS = {"newest": ["post_time DESC", "article_id"], "oldest": ["post_time", "article_id"], "highest": ["sentiment_score DESC NULLS LAST", "article_id"], "lowest": ["sentiment_score NULLS LAST", "article_id"]}
