@@ -2,8 +2,9 @@
 
 Terms of a text are its distinct words (lower-cased, ASCII punctuation taken as space) and the 4- and
 5-character beginnings of longer words, hashed into 2**20 slots. A slot enters the model when its document
-frequencies among the training rows tell the labels apart; the machine then learns a weight for each slot
-and a factor vector, whose products give the weight of each pair that occurs together.
+frequencies tell the labels apart among all training rows, or among those that hold a slot which does so; the
+machine then learns a weight for each slot and a factor vector, whose products give the weight of each pair that
+occurs together.
 
 Defined cases: null and empty texts carry no term and score the bias; labels that are null or belong to no
 document are left out; a document labelled twice counts as toxic if either label says so; with no usable
@@ -127,26 +128,20 @@ def fit_machine(slots: np.ndarray, rows: list[np.ndarray], y: np.ndarray, seed:
     return m
 
 
-def fit(docs: DataFrame, labels: DataFrame) -> FactorizationMachine:
-    """Fit on labelled rows outside the held-out fold.
+def telling(texts: DataFrame, beside: frozenset[int] | None = None) -> list[int] | None:
+    """Slots whose document frequencies tell the labels of texts(text, y) apart, the clearest MOST_FEATURES at most.
 
-    The sample (SAMPLE_ROWS ids and labels at most) is broadcast. Its texts are gathered once, each text once, toxic
-    if any copy is labelled so: neither copies nor the way rows are dealt to tasks change the model. Term counts
-    are summed on the executors; only the chosen slots, then the sampled rows' few chosen slots, come to the driver.
+    With `beside`, only texts that hold one of these slots count: a term that tells nothing alone, as the mention of
+    a group, enters if it does so beside one of them. None where the texts do not have both labels.
     """
-    sample = (
-        labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"), 4))
-        .groupBy("doc_id").agg(F.max(F.col("toxic").cast("int")).alias("y"))
-        .orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE_ROWS)
-    )
-    found = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(sample), "doc_id")
-    texts = materialise(found.groupBy(F.md5(F.col("text").cast("binary")).alias("digest")).agg(F.min("doc_id").alias("doc_id"), F.max("y").alias("y"), F.first("text").alias("text")), "toxicity-sample")
 
     def counts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         slots, df, tox, n = SlotCache(), np.zeros(SLOTS, np.int64), np.zeros(SLOTS, np.int64), [0, 0]
         for b in batches:
             for text, y in zip(b["text"], b["y"], strict=True):
                 f = slots(text)
+                if beside is not None and beside.isdisjoint(f):
+                    continue
                 df[f] += 1
                 n[0] += 1
                 if y:
@@ -159,11 +154,32 @@ def fit(docs: DataFrame, labels: DataFrame) -> FactorizationMachine:
     summed = materialise(summed, "terms")  # read twice below
     total = summed.where("slot = -1").collect()
     if not total or total[0]["df"] == 0 or total[0]["tox"] in (0, total[0]["df"]):
-        return EMPTY
+        return None
     p = total[0]["tox"] / total[0]["df"]
     z = (F.col("tox") - F.col("df") * p) / F.sqrt(F.col("df") * (p * (1 - p)))
-    chosen = summed.where(f"slot >= 0 and df >= {LEAST_DF}").withColumn("z", F.abs(z)).where(F.col("z") >= LEAST_Z).orderBy(F.desc("z"), "slot").limit(MOST_FEATURES).select("slot").collect()
-    slots = np.array(sorted(r["slot"] for r in chosen), np.int64)
+    clear = summed.where(f"slot >= 0 and df >= {LEAST_DF}").withColumn("z", F.abs(z)).where(F.col("z") >= LEAST_Z)
+    return [r["slot"] for r in clear.orderBy(F.desc("z"), "slot").limit(MOST_FEATURES).select("slot").collect()]
+
+
+def fit(docs: DataFrame, labels: DataFrame) -> FactorizationMachine:
+    """Fit on labelled rows outside the held-out fold.
+
+    The sample (SAMPLE_ROWS ids and labels at most) is broadcast. Its texts are gathered once, each text once, toxic
+    if any copy is labelled so: neither copies nor the way rows are dealt to tasks change the model. Term counts
+    are summed on the executors; only the chosen slots, then the sampled rows' few chosen slots, come to the driver.
+    """
+    sample = (
+        labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"), 4))
+        .groupBy("doc_id").agg(F.max(F.col("toxic").cast("int")).alias("y"))
+        .orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE_ROWS)
+    )
+    found = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(sample), "doc_id")
+    texts = materialise(found.groupBy(F.md5(F.col("text").cast("binary")).alias("digest")).agg(F.min("doc_id").alias("doc_id"), F.max("y").alias("y"), F.first("text").alias("text")), "toxicity-sample")
+
+    alone = telling(texts)
+    if alone is None:
+        return EMPTY
+    slots = np.array(sorted({*alone, *(telling(texts, frozenset(alone)) or [])}), np.int64)
     keep = {int(s): i for i, s in enumerate(slots)}
 
     def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
