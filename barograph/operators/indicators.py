@@ -83,18 +83,19 @@ def rsi(bars: DataFrame, n: int = 14, block: int = 256) -> DataFrame:
     share = F.coalesce(1 - F.col("_c"), F.lit(1.0))
     for name, x in gain.items():
         df = df.withColumn(name, F.col("_q") * F.coalesce(F.sum(F.when(F.col("_x").isNotNull(), share * x / F.col("_q"))).over(inside), F.lit(0.0)))
-    ends = df.groupBy("stock_id", "_b").agg(F.min("_q").alias("_q"), *[F.max_by(g, "trade_date").alias(g) for g in gain])
-    blocks = Window.partitionBy("stock_id").orderBy("_b")  # a block in 256 rows
-    carried: dict[str, Column] = {}
+    def end(column: str, k: int) -> Column:
+        """Value at the end of the k-th block before; blocks have no gaps, rows are already in their order."""
+        return F.max_by(column, "trade_date").over(Window.partitionBy("stock_id").orderBy("_b").rangeBetween(-k, -k))
+
+    df = df.select("*", *[end(col, k).alias(f"{col}_{k}") for k in range(1, 5) for col in ("_q", *gain)])
+    carried = []
     for g in gain:
         total, product = F.lit(0.0), F.lit(1.0)
         for k in range(1, 5):
-            total = total + product * F.coalesce(F.lag(g, k).over(blocks), F.lit(0.0))
-            product = product * F.coalesce(F.lag("_q", k).over(blocks), F.lit(0.0))
-        carried[g] = total
-    before = ends.select("stock_id", "_b", *[v.alias(f"{g}_in") for g, v in carried.items()])
-    df = df.join(before, ["stock_id", "_b"], "left")
-    up, down = (F.col(g) + F.col("_q") * F.col(f"{g}_in") for g in gain)
+            total = total + product * F.coalesce(F.col(f"{g}_{k}"), F.lit(0.0))
+            product = product * F.coalesce(F.col(f"_q_{k}"), F.lit(0.0))
+        carried.append(F.col(g) + F.col("_q") * total)
+    up, down = carried
     value = F.when(down == 0, F.when(up > 0, 100.0).otherwise(50.0)).otherwise(100 - 100 / (1 + up / down))
     return df.withColumn("rsi_14", F.when(F.col("_k") < n, F.lit(50.0)).otherwise(value)).select(*bars.columns, "rsi_14")
 
