@@ -55,6 +55,7 @@ _LOWER = bytes(i + 32 if 65 <= i <= 90 else i for i in range(256))
 _SEED = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93], np.uint64)
 _NODE = np.uint64(0xA0761D6478BD642F)
 _J = np.arange(8)
+_BITS = ((np.arange(256)[:, None] >> (7 - _J)) & 1).astype(np.float32)
 
 
 def windows(raw: bytes) -> np.ndarray:
@@ -197,17 +198,17 @@ class Mixer:
             new, gate = self.inputs(distinct[i : i + CHUNK])
             x[:, i : i + CHUNK] = new.transpose(2, 0, 1)
             z[i : i + CHUNK] = self.mixed(new, gate)
-        bit = bits_of(distinct).astype(np.float32)
+        last = (distinct & 255).astype(np.uint8)
         out, order = np.zeros(len(texts)), np.argsort(-size, kind="stable")
         i = 0
         while i < len(order):  # as many side by side as keeps a step's arrays in a core's cache
             step = next(run for end, run in RUNS if size[order[i]] <= end)
             mine = order[i : i + max(8, min(SIDE_BY_SIDE, STEP_BYTES // step))]
-            out[mine] = self._online(code, x, z, bit, start[mine], size[mine])
+            out[mine] = self._online(code, x, z, last, start[mine], size[mine])
             i += len(mine)
         return out
 
-    def _online(self, code: np.ndarray, x: np.ndarray, z: np.ndarray, bit: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    def _online(self, code: np.ndarray, x: np.ndarray, z: np.ndarray, last: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
         """Texts of falling size: each run is predicted from the state after the runs before.
 
         A text's state: `own`, what it adds to the weights by order and bit position, and by bucket how often
@@ -227,7 +228,7 @@ class Mixer:
             at = code[np.minimum(start[:live, None] + step[None, :], len(code) - 1)]
             shape = live, wide * 8
             xs = [v.take(at, 0).astype(np.float32).reshape(shape) for v in x]
-            p, bits = z.take(at, 0).reshape(shape), bit.take(at, 0).reshape(shape)
+            p, bits = z.take(at, 0).reshape(shape), _BITS.take(last.take(at), 0).reshape(shape)
             for v, w in zip(xs, own, strict=True):
                 p += v * np.tile(w[:live], (1, wide))
             np.clip(p, -12, 12, out=p)
@@ -276,17 +277,34 @@ def runs(size: int) -> Iterator[tuple[int, int]]:
 
 def bucket(z: np.ndarray) -> np.ndarray:
     """Nearest half, from 0 on; the least and the greatest take all beyond."""
-    return (np.clip(z + z, -(BUCKETS // 2), BUCKETS // 2) + (BUCKETS // 2 + 0.5)).astype(np.int64)
+    twice = z + z
+    np.clip(twice, -(BUCKETS // 2), BUCKETS // 2, out=twice)
+    twice += BUCKETS // 2 + 0.5
+    return twice.astype(np.int64)
 
 
-def blocks(docs: DataFrame) -> DataFrame:
-    """doc_id, text, held_out, block: runs of rows of one task, about BLOCK_BYTES of text each."""
-    size = docs.agg(F.count(F.lit(1)).alias("n"), F.sum(F.octet_length("text")).alias("b")).first()
-    rows = min(MOST_BLOCK_ROWS, max(1, int(BLOCK_BYTES * size["n"] / max(1, size["b"] or 1))))
-    number = F.monotonically_increasing_id()
-    part, row = F.shiftright(number, 33), number.bitwiseAND((1 << 33) - 1)
+def _running_block(most_bytes: int):
+    """Of a task's rows in order: the number of the block of each; only sizes pass through here."""
+
+    @F.pandas_udf("long")
+    def numbers(sizes: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        number = held = rows = 0
+        for batch in sizes:
+            out = np.empty(len(batch), np.int64)
+            for i, size in enumerate(batch.tolist()):
+                if rows and (held + size > most_bytes or rows >= MOST_BLOCK_ROWS):
+                    number, held, rows = number + 1, 0, 0
+                held, rows, out[i] = held + size, rows + 1, number
+            yield pd.Series(out)
+
+    return numbers.asNondeterministic()
+
+
+def blocks(docs: DataFrame, most_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """doc_id, text, held_out, block: runs of rows of one task, of at most `most_bytes` of text or one text that has more."""
     cols = docs.select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text"), held_out(F.col("doc_id"), 7).alias("held_out"))
-    return materialise(cols.withColumn("block", F.shiftleft(part, 33) + F.floor(row / rows)), "blocks")
+    numbered = cols.withColumn("block", _running_block(most_bytes)(F.octet_length("text").cast("long")))
+    return materialise(numbered.withColumn("block", F.shiftleft(F.spark_partition_id().cast("long"), 33) + F.col("block")), "blocks")
 
 
 def block_tokens(cut: DataFrame) -> DataFrame:

@@ -7,6 +7,7 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from barograph.llm import context_mixing as cm
 from barograph.llm.common import table
@@ -92,3 +93,15 @@ def test_the_model_does_not_depend_on_how_rows_are_dealt(spark, trained):
     again = cm.fit(train, sum(map(len, texts)))
     assert again[1] == bits and again[2] == pytest.approx(weights, abs=2e-6) and again[3] == pytest.approx(refine)
     assert cm.Mixer(*again).costs(held) == pytest.approx(cm.Mixer(again[0], bits, weights, refine).costs(held), rel=1e-5)
+
+
+def test_blocks_are_cut_by_bytes(spark):
+    """A table sorted by length: no block beyond the limit but those of one text, no row lost, and full blocks but the last of a task."""
+    size = F.when(F.col("id") < 3000, 10).when(F.col("id") == 3100, 250_000).otherwise(9_000)
+    docs = spark.range(3400).coalesce(2).select(F.col("id").alias("doc_id"), F.when(F.col("id") != 5, F.repeat(F.lit("a"), size.cast("int"))).alias("text"))
+    most = 100_000
+    got = cm.blocks(docs, most).groupBy("block").agg(F.count(F.lit(1)).alias("rows"), F.sum(F.octet_length("text")).alias("bytes")).collect()
+    assert sum(r["rows"] for r in got) == 3400 and sum(r["bytes"] for r in got) == 2999 * 10 + 250_000 + 399 * 9_000
+    assert all(r["bytes"] <= most or r["rows"] == 1 for r in got)
+    assert sum(r["bytes"] < most - 9_000 for r in got) <= 4  # each task's last one, and the one before the long text
+    assert len({r["block"] for r in cm.blocks(docs.where("false")).collect()}) == 0
