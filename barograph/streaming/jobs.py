@@ -67,11 +67,15 @@ def daily_counts(articles: DataFrame, delay: str = "2 days") -> DataFrame:
 
 
 def append_once(path: str, keys: list[str]) -> Callable[[DataFrame, int], None]:
-    """A sink that a repeated batch can't double: a folder a batch, overwritten as a whole; keys that an earlier batch has written are left out."""
+    """A sink that a repeated batch can't double: a folder a batch, overwritten as a whole; keys that an earlier batch has written are left out.
+
+    Of rows of one key the least by their other columns stays, so a repeated batch writes the same row.
+    """
 
     def write(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
-        fresh = batch.dropDuplicates(keys)
+        rest = [c for c in batch.columns if c not in keys]
+        fresh = batch.groupBy(*keys).agg(F.min(F.struct(*rest)).alias("_least")).select(*keys, "_least.*").select(*batch.columns) if rest else batch.dropDuplicates(keys)
         if number:
             old = spark.read.option("basePath", path).schema(batch.schema.add("batch", "long")).parquet(path).where(F.col("batch") < number)
             fresh = fresh.join(old.select(*keys), keys, "left_anti")

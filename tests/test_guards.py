@@ -133,6 +133,15 @@ def test_a_repeated_batch_is_written_once(spark, tmp_path):
     assert sorted(r["k"] for r in spark.read.parquet(out).collect()) == [1, 2, 3]
 
 
+def test_of_rows_of_one_key_the_least_is_written_however_they_are_dealt(spark, tmp_path):
+    rows = [(1, "b", 2.0), (1, "a", None), (1, "a", 1.0), (None, "z", 1.0), (None, "y", 9.0), (2, None, 5.0)]
+    for n, order in enumerate((rows, rows[::-1])):
+        out = str(tmp_path / f"out{n}")
+        jobs.append_once(out, ["k"])(spark.createDataFrame(order, "k long, s string, x double").repartition(3), 0)
+        got = spark.read.parquet(out).drop("batch").collect()
+        assert {tuple(r) for r in got} == {(1, "a", None), (None, "y", 9.0), (2, None, 5.0)} and len(got) == 3
+
+
 def test_days_close_behind_the_watermark(spark, tmp_path):
     src, out = str(tmp_path / "in"), str(tmp_path / "out")
     schema = "post_time timestamp_ntz, sentiment_score double"
