@@ -238,9 +238,9 @@ class Mixer:
             np.exp(-p, out=p)
             p += 1
             np.reciprocal(p, out=p)
-            past = np.repeat(step, 8)[None, :] >= size[:live, None]
-            ragged = past[:, -1].any()
+            ragged = size[live - 1] < b  # the last is the shortest
             if ragged:
+                past = np.repeat(step, 8)[None, :] >= size[:live, None]
                 k[past] = n * BUCKETS  # bytes beyond the end count in a cell that nobody reads
                 bits[past] = p[past]
             q = (off / (STRENGTH + seen)).astype(np.float32).take(k)
