@@ -80,6 +80,12 @@ def close_enough(a: Column, b: Column, tolerance: float = 1e-6) -> Column:
     return F.coalesce(F.abs(a - b) <= tolerance, a.isNull() & b.isNull())
 
 
+def rounded(x: Column, digits: int) -> Column:
+    """The double nearest x * 10 ** digits without its fraction, as SQL on doubles has it: 0.285 is 28.499999999999996 hundredths, so 0.28; F.round goes by the digits shown and says 0.29."""
+    unit = float(10**digits)
+    return F.round(x * unit) / unit
+
+
 def sentiment_band(s: Column) -> Column:
     """NULL counts as neutral."""
     return F.when(s >= 0.6, "positive").when(s <= 0.4, "negative").otherwise("neutral")

@@ -36,6 +36,13 @@ def test_numbers_and_marks(spark):
     assert [one(spark, scalar.push_count(F.lit(x))) for x in ("爆", "X1", "7", "", "?")] == [100, -10, 7, 0, 0]
 
 
+def test_shown_scores_are_rounded_as_doubles(spark):
+    """By the digits shown the first three would be 0.29, 1.01 and -0.29."""
+    got = [one(spark, scalar.rounded(F.lit(x), 2)) for x in (0.285, 1.005, -0.285, 0.125, 0.2849, 1.0)]
+    assert got == [0.28, 1.0, -0.28, 0.13, 0.28, 1.0]
+    assert one(spark, scalar.rounded(F.lit(None).cast("double"), 2)) is None
+
+
 def test_unknown_market_raises(spark):
     with pytest.raises(Exception, match="unknown market"):
         one(spark, scalar.provider_symbol(F.lit("1"), F.lit("MARS")))
