@@ -302,6 +302,18 @@ def test_boosted_trees_are_those_of_plain_loops(spark):
     assert loss(got) < math.log(2) - 0.05
 
 
+def test_boosting_rounds_run_over_cells_not_rows(spark, monkeypatch):
+    kept, store = [], boosting.stored
+    monkeypatch.setattr(boosting, "stored", lambda df, name: kept.append(store(df, name)) or kept[-1])
+    cells = [(f, y, x) for f in range(3) for y in (0, 1, 1) for x in (0.0, 1.0 + y, 2.0)]
+    df = spark.createDataFrame([(i, *c) for i, c in enumerate(cells * 40)], "k long, fold int, y int, a double")
+    o = {"rounds": 2, "depth": 1, "rate": 0.3, "penalty": 1.0, "bins": 4}
+    got = {r["k"]: r["probability"] for r in boosting.fit_by_fold(df, ["a"], "y", "fold", "k", **o).collect()}
+    want = boosted([(i, f, y, (x,)) for i, (f, y, x) in enumerate(cells * 40)], {0, 1, 2}, **o)
+    assert sorted(got) == sorted(want) and [got[k] for k in want] == pytest.approx(list(want.values()), abs=1e-9)
+    assert len(kept) == 3 and max(x.count() for x in kept) <= 2 * 3 * 6
+
+
 def test_boosting_without_anything_to_learn(spark):
     df = spark.createDataFrame([(i, i % 2, 1, None) for i in range(10)], "k long, fold int, y int, a double")
     got = boosting.fit_by_fold(df, ["a"], "y", "fold", "k", rounds=1, depth=1, rate=1.0, penalty=0.0).collect()
