@@ -5,11 +5,13 @@ from __future__ import annotations
 import shutil
 from datetime import date, datetime
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
 from barograph.operators import partitioned, scans, substrings, training
-from barograph.sources.fixtures import Views
+from barograph.queries import ORACLES, QUERIES
+from barograph.sources.fixtures import SQL_VIEWS, Views
 
 
 def test_parameters_are_values_not_text(spark):
@@ -58,6 +60,20 @@ def test_words_in_texts_by_their_rarest_gram(spark):
     assert sorted((r["id"], r["w"]) for r in got) == sorted((i, w) for i, t in enumerate(texts) for w in words if t and w and w in t)
 
 
+def test_texts_are_searched_once_and_rows_joined_last(spark, tmp_path):
+    """Copies of a title are one text to search; rows that repeat stay, and titles without a name hold no keyword."""
+    texts = spark.createDataFrame([("red ring",)] * 50 + [("ring",)] * 50 + [(None,)], "t string")
+    words = spark.createDataFrame([("ring",), ("red",)], "w string")
+    assert sorted(map(tuple, substrings.words_in(texts, "t", words, "w").collect())) == [("red ring", "red"), ("red ring", "ring"), ("ring", "ring")]
+    rows = [(1, "red ring", "LARGE"), (1, "red ring", "LARGE"), (2, "Red bolt", "SMALL"), (3, None, "LARGE"), (4, "small ring", None)]
+    spark.createDataFrame(rows, "p_partkey long, p_name string, p_type string").write.parquet(str(tmp_path / "part.parquet"))
+    got = sorted(map(tuple, QUERIES["C16_keyword_hits"](spark, str(tmp_path)).collect()))
+    with duckdb.connect() as con:
+        con.execute(f"CREATE VIEW part AS SELECT * FROM '{tmp_path}/part.parquet/*.parquet'")
+        assert got == sorted(con.execute("WITH base AS (SELECT 1)" + ORACLES["C16_keyword_hits"].removeprefix(SQL_VIEWS)).fetchall())
+    assert got.count((1, "red")) == 2
+
+
 def test_a_boundary_holds_even_if_no_column_is_read(spark):
     df = spark.createDataFrame([("a", date(2024, 1, 1)), ("b", date(2024, 1, 2))], "s string, d date")
     with pytest.raises(Exception, match="at or after the boundary: 2024-01-02"):
