@@ -22,14 +22,20 @@ from barograph.llm.common import in_pandas, materialise, new_path, open_store, t
 from barograph.llm.tokens import word_bpe
 
 MAGIC, BLOCK, END_ID, NO_ID = b"S8B1", 256, 2, -(2**63)
+#: Blocks that are packed in step: some 50 bytes of working memory an id, whatever the size of the file.
+IN_STEP = 4096
 #: ids a word by selector (fixed by the format); selector 0 escapes, 15 holds one id of up to 60 bits.
 COUNTS = np.array([1, 60, 30, 20, 15, 12, 10, 8, 7, 6, 5, 4, 3, 2, 2, 1])
 BITS = np.array([64, 1, 2, 3, 4, 5, 6, 7, 8, 10, 12, 15, 20, 30, 30, 60])
+#: Bits of the ids below 2 ** 16, which those of most vocabularies are.
+_SHORT = np.ceil(np.log2(np.arange(1, (1 << 16) + 1))).astype(np.uint8)
 _ORDER = [1, 2, 3, 4, 5, 6, 7, 8, 9, 10, 11, 12, 13, 15, 0]
 
 
 def bit_length(ids: np.ndarray) -> np.ndarray:
     """Bits that each u64 id needs, 0 for 0."""
+    if not len(ids) or ids.max() < len(_SHORT):
+        return _SHORT[ids]
     out = np.zeros(len(ids), np.uint8)
     rest = ids
     for step in (32, 16, 8, 4, 2, 1):
@@ -41,10 +47,18 @@ def bit_length(ids: np.ndarray) -> np.ndarray:
 
 
 def pack_words(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(words, first word of each block) of u64 ids; all blocks advance together, a word a step."""
+    """(words, first word of each block) of unsigned ids; IN_STEP blocks advance together, a word a step."""
+    words, starts, before = [np.zeros(0, np.uint64)], [np.zeros(0, np.uint64)], 0
+    for at in range(0, len(ids), IN_STEP * BLOCK):
+        w, s = _pack_some(ids[at : at + IN_STEP * BLOCK].astype(np.uint64))
+        words.append(w)
+        starts.append(s + np.uint64(before))
+        before += len(w)
+    return np.concatenate(words), np.concatenate(starts)
+
+
+def _pack_some(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     n = len(ids)
-    if not n:
-        return np.zeros(0, np.uint64), np.zeros(0, np.uint64)
     blocks = -(-n // BLOCK)
     pos = np.arange(n)
     block_end = np.minimum(np.arange(1, blocks + 1) * BLOCK, n)[pos // BLOCK]
@@ -66,12 +80,13 @@ def pack_words(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     selector = chosen.reshape(-1)[:n]
     at = np.arange(blocks) * BLOCK
     live = np.arange(blocks)
-    steps: list[tuple[np.ndarray, np.ndarray]] = []
+    heads = np.zeros(n, bool)
     while len(live):
-        steps.append((live, at[live]))
-        at[live] += COUNTS[selector[at[live]]]
-        live = live[at[live] < end[live]]
-    where = np.sort(np.concatenate([p for _, p in steps]))
+        here = at[live]
+        heads[here] = True
+        at[live] = here = here + COUNTS[selector[here]]
+        live = live[here < end[live]]
+    where = np.flatnonzero(heads)
     sel = selector[where]
     size = np.where(sel == 0, 2, 1)
     first = np.concatenate([[0], np.cumsum(size)[:-1]])
@@ -117,7 +132,7 @@ def unpack_words(words: np.ndarray, starts: np.ndarray, n: int) -> np.ndarray:
 
 
 def dump(doc_ids: np.ndarray, counts: np.ndarray, ids: np.ndarray) -> bytes:
-    words, starts = pack_words(ids.astype(np.uint64))
+    words, starts = pack_words(ids)
     head = np.array([len(doc_ids), len(ids), len(starts), len(words)], "<u8").tobytes()
     return MAGIC + np.array([BLOCK], "<u4").tobytes() + head + b"".join(x.tobytes() for x in (doc_ids.astype("<i8"), counts.astype("<u8"), starts.astype("<u8"), words.astype("<u8")))
 
@@ -193,7 +208,7 @@ def read_files(files: DataFrame, folder: str) -> DataFrame:
                 with store.open_input_stream(f"{base}/{name}") as f:
                     doc_ids, counts, ids = load(f.read())
                 ends = np.cumsum(counts)
-                raw = memoryview(ids.astype("<u4").tobytes())
+                raw = memoryview(ids.astype("<u4")).cast("B")
                 crc = [zlib.crc32(raw[4 * (e - c) : 4 * e]) for c, e in zip(counts, ends, strict=True)]
                 shown = pd.Series(doc_ids.astype(np.int64)).astype("Int64").mask(doc_ids == NO_ID)
                 yield pd.DataFrame({"doc_id": shown, "start": at + ends - counts, "n_tokens": counts, "ids_crc32": crc})

@@ -89,3 +89,18 @@ def test_patterns_never_need_more_sequences_than_best_fit():
     assert left < 0.8 * have.sum() and sum(c for _, c in fitted) < sum(c for _, c in packing.best_fit(have, 1024))
     pairs = packing.patterns(np.bincount([1000, 24, 512, 512, 300, 700, 24], minlength=1025), 1024)
     assert {(1000, 24), (512, 512), (700, 300, 24)} <= set(pairs)
+
+
+def test_simple8b_files_are_packed_in_little_memory():
+    """Many blocks, in more than one step of them: the ids come back, and packing needs less than 40 bytes an id beside them."""
+    import tracemalloc
+
+    from barograph.llm import simple8b
+
+    ids = (np.random.default_rng(3).zipf(1.3, 3_000_000) % 49_000).astype("<u4")
+    ids[::9999] = 2**32 - 1
+    tracemalloc.start()
+    data = simple8b.dump(np.arange(1), np.array([len(ids)]), ids)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert (simple8b.load(data)[2] == ids).all() and most < 40 * len(ids)
