@@ -97,8 +97,9 @@ def signatures(rows: DataFrame, k: int) -> DataFrame:
 
     def make(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            sets = [shingles(t, k, KNOWN) for t in b["text"]]
-            yield pd.DataFrame({"key": b["key"], "n_shingles": [len(s) for s in sets], "set_id": [set_digest(s) for s in sets], "bands": [band_keys(s) if len(s) else None for s in sets]})
+            sets = (shingles(t, k, KNOWN) for t in b["text"])  # one text's set at a time
+            rows = [(len(s), set_digest(s), band_keys(s) if len(s) else None) for s in sets]
+            yield pd.DataFrame({"key": b["key"], "n_shingles": [r[0] for r in rows], "set_id": [r[1] for r in rows], "bands": [r[2] for r in rows]})
 
     return rows.select("key", "text").mapInPandas(make, "key long, n_shingles long, set_id binary, bands array<long>")
 

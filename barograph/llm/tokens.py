@@ -53,9 +53,8 @@ class ChunkEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # for chunks; texts with such a string in them go whole through `plain`
-        self.plain = Tokenizer.from_file(path)
-        self.marks = [t.content for t in self.plain.get_added_tokens_decoder().values()]
+        self.tokenizer.encode_special_tokens = True  # for chunks; texts with such a string in them go through `whole`
+        self.marks = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.chunks, self.joint, self.known, self.before = chunks, joint, {"": b""}, {}
         self.merges = self.tokenizer.model.tokenize
         #: Byte-level vocabularies spell printable bytes as themselves and the others, in order, from U+0100 on.
@@ -66,6 +65,14 @@ class ChunkEncoder:
         for token, i in self.tokenizer.get_vocab().items():
             self.width[i] = len(token.removesuffix("</w>"))
 
+    def whole(self, text: str) -> bytes:
+        """ids of a text in which the strings of special tokens become these."""
+        self.tokenizer.encode_special_tokens = False
+        try:
+            return np.asarray(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+        finally:
+            self.tokenizer.encode_special_tokens = True
+
     def _plain(self, c: str) -> bool:
         """Printable, up to Latin-1 where the tokenizer normalises, and parted from the next: neither length nor limits change in a row."""
         if self.joint:
@@ -133,7 +140,7 @@ class ChunkEncoder:
         at, size = [], 0
         for i, t in enumerate(texts):
             if t and any(m in t for m in self.marks):
-                out[i] = np.asarray(self.plain.encode(t, add_special_tokens=False).ids, "<u4").tobytes()
+                out[i] = self.whole(t)
             elif t:
                 at.append(i)
                 size += len(t)

@@ -31,7 +31,8 @@ SAMPLE_ROWS = 40_000
 MOST_FEATURES, LEAST_DF, LEAST_Z = 4096, 4, 4.5
 FACTORS, EPOCHS, RATE, L2 = 8, 25, 0.1, 1e-4
 THRESHOLD = 0.3
-CACHE = 400_000
+#: Words that a task remembers: while it scores, when most have no slot that counts, and while it counts all slots.
+CACHE, CACHE_ALL = 400_000, 120_000
 
 _PUNCT = bytes(32 if chr(i) in "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~\t\n\r\x0b\x0c" else i for i in range(256))
 
@@ -50,7 +51,7 @@ class SlotCache:
     """word -> slots (only those of `keep`, as model positions, when given); bounded, cleared when full."""
 
     def __init__(self, keep: dict[int, int] | None = None):
-        self.keep, self.known = keep, {}
+        self.keep, self.known, self.most = keep, {}, CACHE_ALL if keep is None else CACHE
 
     def __call__(self, text: str | None) -> list[int]:
         found: set[int] = set()
@@ -58,7 +59,7 @@ class SlotCache:
         for w in words_of(text):
             s = known.get(w)
             if s is None:
-                if len(known) >= CACHE:
+                if len(known) >= self.most:
                     known.clear()
                 s = slots_of(w)
                 if self.keep is not None:

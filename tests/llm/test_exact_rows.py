@@ -104,3 +104,18 @@ def test_simple8b_files_are_packed_in_little_memory():
     most = tracemalloc.get_traced_memory()[1]
     tracemalloc.stop()
     assert (simple8b.load(data)[2] == ids).all() and most < 40 * len(ids)
+
+
+def test_batches_for_python_are_small(spark, tmp_path):
+    """Rows of 20,000 characters: no batch holds more than some 8 MB of text, and what the session sets stays."""
+    from barograph.llm import common
+
+    spark.conf.unset(common.BATCH_BYTES[0])
+    spark.range(1500).selectExpr("id", "repeat('x', 20000) AS text").coalesce(1).write.parquet(str(tmp_path / "documents.parquet"))
+    docs = common.table(spark, str(tmp_path), "documents")
+    sizes = docs.mapInPandas(lambda bs: (b.assign(n=b["text"].str.len().sum())[["n"]].head(1) for b in bs), "n long").collect()
+    assert sum(r["n"] for r in sizes) == 30_000_000 and max(r["n"] for r in sizes) < 9_000_000
+    spark.conf.set(common.BATCH_BYTES[0], "1m")
+    common.table(spark, str(tmp_path), "documents")
+    assert spark.conf.get(common.BATCH_BYTES[0]) == "1m"
+    spark.conf.unset(common.BATCH_BYTES[0])
