@@ -48,9 +48,11 @@ RATE, STRENGTH = 0.002, 48.0
 #: Runs of bytes between updates: (up to this byte, run).
 RUNS = [(256, 16), (1024, 32), (8192, 64), (65536, 512), (1 << 62, 4096)]
 SIDE_BY_SIDE, STEP_BYTES = 512, 16_384
-BLOCK_BYTES, MOST_BLOCK_ROWS, SLICE = 32 << 20, 80_000, 3_000_000
+BLOCK_BYTES, MOST_BLOCK_ROWS, SLICE, REMEMBERED = 32 << 20, 80_000, 3_000_000, 400_000
 END = 255
 MOST_COUNT = 30_000.0
+#: Above twice what the outcomes of a run can sum up to in a cell, 8 * 4096.
+APART = float(1 << 17)
 _LOWER = bytes(i + 32 if 65 <= i <= 90 else i for i in range(256))
 _SEED = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93], np.uint64)
 _NODE = np.uint64(0xA0761D6478BD642F)
@@ -160,6 +162,7 @@ class Mixer:
     def __init__(self, folder: str, bits: int, weights: np.ndarray, refine: np.ndarray | None = None):
         self.folder, self.bits, self.weights, self.refine = folder, bits, weights, refine
         self.counts = counters(folder, bits).view("<u4").reshape(-1)
+        self.known, self.records = pd.Index([], dtype=np.int64), np.zeros((1, 2 * ORDERS), np.int64)
 
     def inputs(self, grams: np.ndarray, leave_out: bool = False) -> tuple[np.ndarray, np.ndarray]:
         """(stretched probabilities by window, bit and order, in steps of 1/16; gates)."""
@@ -187,62 +190,77 @@ class Mixer:
                 at, held = i + 1, 0
         return out
 
+    def _records(self, distinct: np.ndarray) -> np.ndarray:
+        """A cache line a window: its inputs, eight steps of 1/16 an order, and the trained mix of its eight bits.
+
+        Those of the slices before are remembered, up to REMEMBERED windows; most windows of a slice were there before.
+        """
+        at = self.known.get_indexer(distinct)
+        out, new = self.records.take(at, 0, mode="clip"), np.flatnonzero(at < 0)
+        for i in range(0, len(new), CHUNK):
+            here = new[i : i + CHUNK]
+            x, gate = self.inputs(distinct[here])
+            out[here, :ORDERS] = np.ascontiguousarray(x.transpose(0, 2, 1)).view(np.int64)[..., 0]
+            out[here, ORDERS:] = self.mixed(x, gate).view(np.int64)
+        if len(self.known) + len(new) <= REMEMBERED:
+            self.known, self.records = self.known.append(pd.Index(distinct[new])), np.concatenate([self.records[: len(self.known)], out[new]])
+        else:
+            self.known, self.records = pd.Index(distinct[:REMEMBERED]), out[:REMEMBERED]
+        return out
+
     def _slice(self, texts: list[bytes]) -> np.ndarray:
         each = [windows(t) for t in texts]
         size = np.array([len(w) for w in each])
         start = np.concatenate([[0], np.cumsum(size)[:-1]])
         code, distinct = pd.factorize(np.concatenate(each))
         del each
-        x, z = np.empty((ORDERS, len(distinct), 8), np.int8), np.empty((len(distinct), 8), np.float32)
-        for i in range(0, len(distinct), CHUNK):
-            new, gate = self.inputs(distinct[i : i + CHUNK])
-            x[:, i : i + CHUNK] = new.transpose(2, 0, 1)
-            z[i : i + CHUNK] = self.mixed(new, gate)
+        records = self._records(distinct)
         last = (distinct & 255).astype(np.uint8)
         out, order = np.zeros(len(texts)), np.argsort(-size, kind="stable")
         i = 0
         while i < len(order):  # as many side by side as keeps a step's arrays in a core's cache
             step = next(run for end, run in RUNS if size[order[i]] <= end)
             mine = order[i : i + max(8, min(SIDE_BY_SIDE, STEP_BYTES // step))]
-            out[mine] = self._online(code, x, z, last, start[mine], size[mine])
+            out[mine] = self._online(code, records, last, start[mine], size[mine])
             i += len(mine)
         return out
 
-    def _online(self, code: np.ndarray, x: np.ndarray, z: np.ndarray, last: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    def _online(self, code: np.ndarray, records: np.ndarray, last: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
         """Texts of falling size: each run is predicted from the state after the runs before.
 
         A text's state: `own`, what it adds to the weights by order and bit position, and by bucket how often
-        (`seen`) and by how much in all (`off`) outcomes were above the trained map. Arrays are texts by the bits
-        of a run, eight a byte.
+        (`seen`) and by how much in all (`off`) outcomes were above the trained map. Arrays are the bytes of a run by
+        texts and bits, so what a text holds meets each byte as one long row.
         """
         n = len(size)
-        own = np.zeros((ORDERS, n, 8), np.float32)
+        own = np.zeros((ORDERS, n * 8), np.float32)
         seen, off = np.zeros(n * BUCKETS + 1), np.zeros(n * BUCKETS + 1)
         trained = self.refine.astype(np.float32).ravel()
         rate, half, least, most = np.float32(RATE / 256), np.float32(0.5), np.float32(1e-6), np.float32(1 - 1e-6)
-        rows = (np.arange(n) * BUCKETS)[:, None]
+        rows, places = np.repeat(np.arange(n) * BUCKETS, 8), np.tile(_J * BUCKETS, n)
+        shift = rows - places
         out = np.zeros(n)
         for a, b in runs(int(size[0])):
-            live, wide = int(np.searchsorted(-size, -a, "left")), b - a
-            step = np.arange(a, b)
-            at = code[np.minimum(start[:live, None] + step[None, :], len(code) - 1)]
-            shape = live, wide * 8
-            xs = [v.take(at, 0).astype(np.float32).reshape(shape) for v in x]
-            p, bits = z.take(at, 0).reshape(shape), _BITS.take(last.take(at), 0).reshape(shape)
+            live, whole = (int(np.searchsorted(-size, -v, "left")) for v in (a, b - 1))  # size > a, size >= b
+            step, wide, shape = np.arange(a, b), b - a, (b - a, live * 8)
+            at = code.take(start[None, :live] + step[:, None], mode="clip")
+            mine = records.take(at, 0)
+            xs = [np.ascontiguousarray(mine[..., o]).view(np.int8).astype(np.float32).reshape(shape) for o in range(ORDERS)]
+            p, bits = np.ascontiguousarray(mine[..., ORDERS:]).view(np.float32).reshape(shape), _BITS.take(last.take(at), 0).reshape(shape)
             for v, w in zip(xs, own, strict=True):
-                p += v * np.tile(w[:live], (1, wide))
+                p += v * w[: live * 8]
             np.clip(p, -12, 12, out=p)
             k = bucket(p)
-            r = trained.take(k + np.tile(_J * BUCKETS, wide))
-            k += rows[:live]
+            k += places[: live * 8]
+            r = trained.take(k)
+            k += shift[: live * 8]
             np.exp(-p, out=p)
             p += 1
             np.reciprocal(p, out=p)
-            ragged = size[live - 1] < b  # the last is the shortest
-            if ragged:
-                past = np.repeat(step, 8)[None, :] >= size[:live, None]
-                k[past] = n * BUCKETS  # bytes beyond the end count in a cell that nobody reads
-                bits[past] = p[past]
+            if whole < live:  # the last ones end within the run
+                past = np.repeat(step[:, None] >= size[whole:live], 8, axis=1)
+                k[:, whole * 8 :][past] = n * BUCKETS  # bytes beyond the end count in a cell that nobody reads
+                np.copyto(bits[:, whole * 8 :], p[:, whole * 8 :], where=past)
             q = (off / (STRENGTH + seen)).astype(np.float32).take(k)
             q += p
             q += r
@@ -251,18 +269,22 @@ class Mixer:
             q -= 1
             q += bits
             np.abs(q, out=q)  # the probability of what came
-            np.log(q, out=q)
-            if ragged:
-                q[past] = 0
-            out[:live] += q.sum(1, dtype=np.float64)
+            if whole < live:
+                q[:, whole * 8 :][past] = 1
+            q = q.reshape(wide // 4, 4, live * 8)  # four of at least a millionth each: a float holds their product
+            product = q[:, 0] * q[:, 1]
+            product *= q[:, 2]
+            product *= q[:, 3]
+            out[:live] += np.log(product, out=product).sum(0, dtype=np.float64).reshape(live, 8).sum(1)
             cells = k.ravel()
-            seen += np.bincount(cells, minlength=len(seen))
-            off += np.bincount(cells, (bits - r).ravel(), len(off))
+            both = np.bincount(cells, np.add(bits - r, APART, dtype=np.float64).ravel(), len(seen))  # one pass for counts and sums
+            times = np.rint(both / APART)
+            seen += times
+            off += both - times * APART
             seen[-1] = off[-1] = 0
             bits -= p
-            err = bits.reshape(live, wide, 8)
             for v, w in zip(xs, own, strict=True):
-                w[:live] += rate * np.einsum("bnk,bnk->bk", v.reshape(err.shape), err)
+                w[: live * 8] += rate * np.einsum("nk,nk->k", v, bits)
         return out / np.log(10)
 
 
