@@ -1,9 +1,7 @@
-"""Models: ridge by normal equations, forests of Spark's own library, scalers."""
+"""Models: ridge by normal equations, logistic models by Newton steps, Spark's own classifiers, scalers."""
 
 from __future__ import annotations
 
-from functools import reduce
-
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -23,25 +21,6 @@ def ridge_weights(df: DataFrame, features: list[str], y: str, penalty: float = 1
     return dict(zip(["bias", *features], np.linalg.solve(gram, [row[f"t{i}"] for i in range(k)]), strict=True))
 
 
-def forest_by_fold(df: DataFrame, features: list[str], y: str, fold: str, key: str, trees: int = 50, depth: int = 5, seed: int = 42) -> DataFrame:
-    """For each fold but the first, a forest of the rows before it; (key, fold, probability).
-
-    Folds are few; the rows of each fit stay distributed. Rows with a NULL label or feature are left out.
-    """
-    from pyspark.ml.classification import RandomForestClassifier
-    from pyspark.ml.feature import VectorAssembler
-    from pyspark.ml.functions import vector_to_array
-
-    rows = VectorAssembler(inputCols=features, outputCol="_x", handleInvalid="skip").transform(df.where(F.col(y).isNotNull())).withColumn("_y", F.col(y).cast("double"))
-    ids = sorted(r[0] for r in rows.select(fold).distinct().collect())
-    model = RandomForestClassifier(featuresCol="_x", labelCol="_y", numTrees=trees, maxDepth=depth, seed=seed)
-    out = []
-    for k in ids[1:]:
-        fitted = model.fit(rows.where(F.col(fold) < k))
-        out.append(fitted.transform(rows.where(F.col(fold) == k)).select(key, fold, vector_to_array("probability")[1].alias("probability")))
-    return reduce(DataFrame.unionByName, out) if out else rows.select(key, fold, F.lit(0.0).alias("probability")).where("false")
-
-
 def logistic_by_fold(df: DataFrame, features: list[str], y: str, fold: str, key: str, penalty: float = 1.0, steps: int = 12) -> DataFrame:
     """Key, fold, probability of every fold but the first by a logistic model of the rows before it.
 

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from barograph.operators import folds, indicators, learners, merges, metrics, selection
+from barograph.operators import folds, forests, indicators, learners, merges, metrics, selection
 from barograph.plans.prices import W
 from barograph.plans.registry import query
 from barograph.sources.fixtures import Views
@@ -155,9 +155,9 @@ def ridge(v: Views) -> DataFrame:
 
 @query("I12_I15_forest")
 def forest(v: Views) -> DataFrame:
-    """A random forest for each fold, trained on the folds before it; trees are the library's, so rows alone are compared."""
+    """A random forest for each fold, trained on the folds before it; trees are random, so rows alone are compared."""
     df = v.preds.select("event_id", "fold", "y", "p", "vol", "ret")
-    return learners.forest_by_fold(df, ["p", "vol", "ret"], "y", "fold", "event_id")
+    return forests.forest_by_fold(df, ["p", "vol", "ret"], "y", "fold", "event_id")
 
 
 OLD, NEW = "volume % 3 <> 0", "volume % 3 <> 1"
