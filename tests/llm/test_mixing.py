@@ -105,3 +105,15 @@ def test_blocks_are_cut_by_bytes(spark):
     assert all(r["bytes"] <= most or r["rows"] == 1 for r in got)
     assert sum(r["bytes"] < most - 9_000 for r in got) <= 4  # each task's last one, and the one before the long text
     assert len({r["block"] for r in cm.blocks(docs.where("false")).collect()}) == 0
+
+
+def test_windows_of_an_earlier_slice_are_not_computed_again(trained, monkeypatch):
+    model, texts, _ = trained
+    asked, inputs = [], cm.Mixer.inputs
+    monkeypatch.setattr(cm.Mixer, "inputs", lambda self, grams, *rest: asked.extend(grams.tolist()) or inputs(self, grams, *rest))
+    monkeypatch.setattr(cm, "SLICE", 20_000)
+    some = texts[:60]
+    got = cm.Mixer(*model).costs(some)
+    assert sum(map(len, some)) > 2 * cm.SLICE and len(asked) == len(set(asked))
+    monkeypatch.setattr(cm, "REMEMBERED", 0)
+    assert cm.Mixer(*model).costs(some).round(6).tolist() == got.round(6).tolist()
