@@ -25,11 +25,12 @@ answers meet the block's texts in a cogroup of bounded size.
 from __future__ import annotations
 
 import functools
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -233,57 +234,68 @@ class Mixer:
         texts and bits, so what a text holds meets each byte as one long row.
         """
         n = len(size)
-        own = np.zeros((ORDERS, n * 8), np.float32)
+        own = np.zeros((ORDERS + 1, n * 8), np.float32)
+        own[0] = 1  # of the trained mix, which goes before the orders' inputs
         seen, off = np.zeros(n * BUCKETS + 1), np.zeros(n * BUCKETS + 1)
         trained = self.refine.astype(np.float32).ravel()
-        rate, half, least, most = np.float32(RATE / 256), np.float32(0.5), np.float32(1e-6), np.float32(1 - 1e-6)
+        rate, half, least, most_likely = np.float32(RATE / 256), np.float32(0.5), np.float32(1e-6), np.float32(1 - 1e-6)
         rows, places = np.repeat(np.arange(n) * BUCKETS, 8), np.tile(_J * BUCKETS, n)
         shift = rows - places
         out = np.zeros(n)
+        most = n * 8 * max(b - a for a, b in runs(int(size[0])))
+        room = [np.empty(most * (ORDERS + 1), np.float32), *(np.empty(most, np.float32) for _ in range(5))]  # used by every run: they stay in a core's cache
+        room += [np.empty(most, np.int64), np.empty(most, np.int64), np.empty(most // 8, np.int64), np.empty(most)]
         for a, b in runs(int(size[0])):
             live, whole = (int(np.searchsorted(-size, -v, "left")) for v in (a, b - 1))  # size > a, size >= b
             step, wide, shape = np.arange(a, b), b - a, (b - a, live * 8)
-            at = code.take(start[None, :live] + step[:, None], mode="clip")
-            mine = records.take(at, 0)
-            xs = [np.ascontiguousarray(mine[..., o]).view(np.int8).astype(np.float32).reshape(shape) for o in range(ORDERS)]
-            p, bits = np.ascontiguousarray(mine[..., ORDERS:]).view(np.float32).reshape(shape), _BITS.take(last.take(at), 0).reshape(shape)
-            for v, w in zip(xs, own, strict=True):
-                p += v * w[: live * 8]
+            xs, p, r, q, bits, scratch, k, mine, line, weight = (v[: wide * live * len(v) // (most // 8)] for v in room)
+            p, r, q, bits, scratch, k = (v.reshape(shape) for v in (p, r, q, bits, scratch, k))
+            xs = xs.reshape(ORDERS + 1, *shape)
+            at = code.take(start[None, :live] + step[:, None], mode="clip").ravel()
+            mine = records.take(at, 0, out=mine.reshape(-1, 2 * ORDERS), mode="clip")
+            for o, v in enumerate(xs[1:]):
+                np.copyto(line, mine[:, o])
+                np.copyto(v, line.view(np.int8).reshape(shape))
+            np.copyto(xs[0].view(np.int64).reshape(-1, ORDERS), mine[:, ORDERS:])
+            _BITS.take(last.take(at), 0, out=bits.reshape(-1, 8), mode="clip")
+            np.einsum("onk,ok->nk", xs, own[:, : live * 8], out=p)
             np.clip(p, -12, 12, out=p)
-            k = bucket(p)
+            bucket(p, scratch, k)
             k += places[: live * 8]
-            r = trained.take(k)
+            trained.take(k, out=r, mode="clip")
             k += shift[: live * 8]
-            np.exp(-p, out=p)
+            np.negative(p, out=p)
+            np.exp(p, out=p)
             p += 1
             np.reciprocal(p, out=p)
             if whole < live:  # the last ones end within the run
                 past = np.repeat(step[:, None] >= size[whole:live], 8, axis=1)
                 k[:, whole * 8 :][past] = n * BUCKETS  # bytes beyond the end count in a cell that nobody reads
                 np.copyto(bits[:, whole * 8 :], p[:, whole * 8 :], where=past)
-            q = (off / (STRENGTH + seen)).astype(np.float32).take(k)
+            (off / (STRENGTH + seen)).astype(np.float32).take(k, out=q, mode="clip")
             q += p
             q += r
             q *= half
-            np.clip(q, least, most, out=q)
+            np.clip(q, least, most_likely, out=q)
             q -= 1
             q += bits
             np.abs(q, out=q)  # the probability of what came
             if whole < live:
                 q[:, whole * 8 :][past] = 1
-            q = q.reshape(wide // 4, 4, live * 8)  # four of at least a millionth each: a float holds their product
-            product = q[:, 0] * q[:, 1]
-            product *= q[:, 2]
-            product *= q[:, 3]
+            four = q.reshape(wide // 4, 4, live * 8)  # four of at least a millionth each: a float holds their product
+            product = four[:, 0]
+            for i in (1, 2, 3):
+                product *= four[:, i]
             out[:live] += np.log(product, out=product).sum(0, dtype=np.float64).reshape(live, 8).sum(1)
-            cells = k.ravel()
-            both = np.bincount(cells, np.add(bits - r, APART, dtype=np.float64).ravel(), len(seen))  # one pass for counts and sums
+            np.copyto(weight.reshape(shape), np.subtract(bits, r, out=scratch))
+            weight += APART
+            both = np.bincount(k.ravel(), weight, len(seen))  # one pass for counts and sums
             times = np.rint(both / APART)
             seen += times
             off += both - times * APART
             seen[-1] = off[-1] = 0
             bits -= p
-            for v, w in zip(xs, own, strict=True):
+            for v, w in zip(xs[1:], own[1:], strict=True):
                 w[: live * 8] += rate * np.einsum("nk,nk->k", v, bits)
         return out / np.log(10)
 
@@ -297,12 +309,15 @@ def runs(size: int) -> Iterator[tuple[int, int]]:
         a += step
 
 
-def bucket(z: np.ndarray) -> np.ndarray:
+def bucket(z: np.ndarray, scratch: np.ndarray | None = None, out: np.ndarray | None = None) -> np.ndarray:
     """Nearest half, from 0 on; the least and the greatest take all beyond."""
-    twice = z + z
+    twice = np.add(z, z, out=scratch)
     np.clip(twice, -(BUCKETS // 2), BUCKETS // 2, out=twice)
     twice += BUCKETS // 2 + 0.5
-    return twice.astype(np.int64)
+    if out is None:
+        return twice.astype(np.int64)
+    np.copyto(out, twice, casting="unsafe")
+    return out
 
 
 def _running_block(most_bytes: int):
@@ -329,27 +344,43 @@ def blocks(docs: DataFrame, most_bytes: int = BLOCK_BYTES) -> DataFrame:
     return materialise(numbered.withColumn("block", F.shiftleft(F.spark_partition_id().cast("long"), 33) + F.col("block")), "blocks")
 
 
+def words_of(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """(all words of the texts, A-Z lower-cased, one after another; how many each text has)."""
+    bare = pc.ascii_trim_whitespace(pc.ascii_lower(texts.cast(pa.large_string())))
+    some = pc.greater(pc.binary_length(bare), 0)
+    lists = pc.ascii_split_whitespace(bare.filter(some))
+    sizes = np.zeros(len(texts), np.int64)
+    sizes[some.to_numpy(zero_copy_only=False)] = pc.list_value_length(lists).to_numpy()
+    return lists.flatten(), sizes
+
+
 def block_tokens(cut: DataFrame) -> DataFrame:
     """block, token, n: each block's distinct tokens with their training count there (0 where only held-out texts have it)."""
 
-    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        def out(block: int, seen: set, train: Counter) -> pd.DataFrame:
-            seen |= train.keys()
-            return pd.DataFrame({"block": block, "token": list(seen), "n": [train[w] for w in seen]})
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def out(block: int, train: list[pa.Array], held: list[pa.Array]) -> pa.RecordBatch:
+            coded = pa.concat_arrays(train + held).dictionary_encode()
+            tokens = coded.dictionary.cast(pa.large_binary()).cast(pa.binary())
+            n = np.bincount(coded.indices.to_numpy()[: sum(map(len, train))], minlength=len(tokens))
+            return pa.RecordBatch.from_arrays([pa.array(np.full(len(tokens), block)), tokens, pa.array(n)], ["block", "token", "n"])
 
-        now, seen, train = None, set(), Counter()
+        now, train, held = None, [], []
         for b in batches:
-            for block, text, held in zip(b["block"], b["text"], b["held_out"], strict=True):
-                if now is not None and block != now:
-                    yield out(now, seen, train)
-                    seen, train = set(), Counter()
-                now = block
-                words = text.encode().translate(_LOWER).split()
-                seen.update(words) if held else train.update(words)
+            numbers = b["block"].to_numpy()
+            cuts = [0, *(np.flatnonzero(numbers[1:] != numbers[:-1]) + 1).tolist(), len(numbers)]
+            for i, j in zip(cuts[:-1], cuts[1:], strict=True):
+                if i == j:
+                    continue
+                if now is not None and numbers[i] != now:
+                    yield out(now, train, held)
+                    train, held = [], []
+                now, texts, apart = numbers[i], b["text"].slice(i, j - i), b["held_out"].slice(i, j - i)
+                train.append(words_of(texts.filter(pc.invert(apart)))[0])
+                held.append(words_of(texts.filter(apart))[0])
         if now is not None:
-            yield out(now, seen, train)
+            yield out(now, train, held)
 
-    return cut.select("block", "text", "held_out").mapInPandas(count, "block long, token binary, n long")
+    return cut.select("block", "text", "held_out").mapInArrow(count, "block long, token binary, n long")
 
 
 def window_counts(train: DataFrame) -> DataFrame:
@@ -478,24 +509,29 @@ def score(docs: DataFrame) -> DataFrame:
     model = fit(train, size["bytes"])
     end_value, scale = np.log10(ends + 1), np.log10(total + distinct + 1)
 
-    def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
         m = Mixer(*model)
-        c = dict(zip(right["token"], right["c"], strict=True))
-        raws = [t.encode() for t in left["text"]]
+        texts = pa.concat_arrays([x.cast(pa.large_string()) for x in left["text"].chunks])
+        raws = texts.cast(pa.large_binary()).to_pylist()
+        found, sizes = words_of(texts)
+        c = right["c"].to_numpy()
+        at = pc.index_in(found.cast(pa.large_binary()), value_set=right["token"].cast(pa.large_binary())).to_numpy()
+        some = sizes > 0
+        start = (np.cumsum(sizes) - sizes)[some]
+        base, known = np.zeros(len(raws)), np.full(len(raws), int(ends > 0))
+        if len(start):
+            base[some] = np.add.reduceat(np.log10(c + 1.0)[at], start)
+            known[some] += np.add.reduceat((c > 0).astype(np.int64)[at], start)
+        base += end_value - (sizes + 1) * scale
+        del found, at
         once = {t: i for i, t in enumerate(dict.fromkeys(raws))}  # copies in a block are scored once
-        found = m.costs(list(once))[[once[t] for t in raws]]
-        rows = []
-        for doc_id, raw, held, s in zip(left["doc_id"], raws, left["held_out"], found.tolist(), strict=True):
-            words = raw.translate(_LOWER).split()
-            k = np.fromiter(map(c.__getitem__, words), np.int64, len(words))
-            base = float(np.log10(k + 1.0).sum() + end_value - (len(words) + 1) * scale)
-            rows.append((doc_id, held, len(words) + 1, int((k > 0).sum()) + (ends > 0), total, base, round(s, 6), -s / np.log10(2) / max(1, len(raw))))
-        return pd.DataFrame(rows, columns=["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score", "bits_per_byte"])
+        s = m.costs(list(once))[[once[t] for t in raws]]
+        a_byte = -s / np.log10(2) / np.maximum(1, [len(t) for t in raws])
+        return pa.table({"doc_id": left["doc_id"], "held_out": left["held_out"], "n_tokens": sizes + 1, "n_known": known,
+                         "train_tokens": np.full(len(raws), total), "base_score": base, "score": s.round(6), "bits_per_byte": a_byte})
 
     schema = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, bits_per_byte double"
-    named = cut.withColumn("doc_id", F.col("doc_id").cast("string"))  # ids as text: pandas rounds longs beside a null
-    out = named.groupBy("block").cogroup(answers.groupBy("block")).applyInPandas(run, schema.replace("doc_id long", "doc_id string"))
-    return out.withColumn("doc_id", F.col("doc_id").cast("long"))
+    return cut.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(run, schema)
 
 
 def op8_context_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

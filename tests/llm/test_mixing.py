@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import math
 import random
+from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -117,3 +119,28 @@ def test_windows_of_an_earlier_slice_are_not_computed_again(trained, monkeypatch
     assert sum(map(len, some)) > 2 * cm.SLICE and len(asked) == len(set(asked))
     monkeypatch.setattr(cm, "REMEMBERED", 1)
     assert cm.Mixer(*model).costs(some).round(6).tolist() == got.round(6).tolist()
+
+
+def test_words_are_split_and_counted_as_columns(spark):
+    """No word becomes a Python object; sums and counts are those of a plain count, over texts of every kind of space."""
+    texts = ["".join(map(chr, range(1, 0x250))), "", " \t\r\n", None, " a  B\x1cc\x1fd\x0b\x0ce ", "É é É A", "b a B" * 40, *(f"A{chr(c)}b" for c in range(256))]
+    ids = [2**60 + i for i in range(len(texts))]
+    docs = spark.createDataFrame([*zip(ids, texts, strict=True), (None, "a b  zz")], "doc_id long, text string")
+    words, n = cm.words_of(pa.array([t or "" for t in texts]))
+    plain = [(t or "").encode().translate(cm._LOWER).split() for t in [*texts, "a b  zz"]]
+    assert [w.encode() for w in words.to_pylist()] == [w for x in plain[:-1] for w in x] and n.tolist() == list(map(len, plain[:-1]))
+    tokens = cm.block_tokens(cm.blocks(docs))
+    assert "InPandas" not in tokens._jdf.queryExecution().toString()
+    out = cm.score(docs)
+    assert "InPandas" not in out._jdf.queryExecution().toString()
+    got = {r["doc_id"]: r for r in out.collect()}
+    trained = [x for i, x in zip([*ids, None], plain, strict=True) if not got[i]["held_out"]]
+    c = Counter(w for x in trained for w in x)
+    total = c.total() + len(trained)
+    scale = math.log10(total + len(c) + 1 + 1)
+    assert len(got) == len(plain) and any(r["held_out"] for r in got.values()) and not got[None]["held_out"]
+    for i, x in zip([*ids, None], plain, strict=True):
+        r = got[i]
+        base = sum(math.log10(c[w] + 1) for w in x) + math.log10(len(trained) + 1) - (len(x) + 1) * scale
+        assert (r["n_tokens"], r["n_known"], r["train_tokens"]) == (len(x) + 1, sum(w in c for w in x) + 1, total)
+        assert r["base_score"] == pytest.approx(base, abs=1e-9)
